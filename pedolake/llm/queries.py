@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, language_model, sharding, token_counts, toxicity
+from . import bpe_codec, decontaminate, language_model, sharding, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(spark, docs, toxicity.fit_toxicity(spark, docs, labels))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, for each numbered operator."""
-    found = [op1_toxicity, op4_language_model, op5_decontamination, op6_token_counts, op9_bpe_codec, op10_sharding]
+    found = [op1_toxicity, op2_suffix_array_dedup, op4_language_model, op5_decontamination, op6_token_counts, op9_bpe_codec, op10_sharding]
     return {f.__name__: f for f in found}
 
 
