@@ -119,7 +119,7 @@ class WordEndCounter:
         else:
             chunks = text.split()
         words = self.words
-        missing = set(chunks) - words.keys()
+        missing = set(chunks).difference(words)
         if missing:
             if len(words) + len(missing) > self.limit:
                 words.clear()
