@@ -209,7 +209,7 @@ class Codec:
     def plain(self, text: str) -> list[bytes]:
         pieces = _PIECE.findall(text)
         known = self.known
-        missing = set(pieces) - known.keys()
+        missing = set(pieces).difference(known)
         if missing:
             if len(known) + len(missing) > self.limit:
                 known.clear()
@@ -225,7 +225,7 @@ class Codec:
     def decode(self, runs: list[bytes]) -> bytes:
         """Bytes of the text that the ids stand for."""
         known, bytes_of = self.decoded, self.merger.bytes_of
-        missing = set(runs) - known.keys()
+        missing = set(runs).difference(known)
         if missing:
             if len(known) + len(missing) > self.limit:
                 known.clear()
