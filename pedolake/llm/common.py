@@ -122,11 +122,12 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        low = materialize(spark, low, f"{name}-low")  # both sides of the join are then exchanged, and a hub can be split
         large = (
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(spark, large.where("u <> v").distinct(), f"{name}-large")
+        low = materialize(spark, large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, language_model, sharding, substring_dedup, token_counts, toxicity
+from . import bpe_codec, decontaminate, language_model, near_dedup, sharding, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(
         spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -52,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, for each numbered operator."""
-    found = [op1_toxicity, op2_suffix_array_dedup, op4_language_model, op5_decontamination, op6_token_counts, op9_bpe_codec, op10_sharding]
+    found = [op1_toxicity, op2_suffix_array_dedup, op4_language_model, op5_decontamination, op6_token_counts, op7_minhash_near_dedup, op9_bpe_codec, op10_sharding]
     return {f.__name__: f for f in found}
 
 
