@@ -11,7 +11,7 @@ counts of its distinct words and bigrams, as sorted hashes dealt to targets by h
 the counts of all blocks and answers every block in the block's own order; each block then scores its
 documents with the answers. A frequent word is one key per block, so no key gathers many rows, and
 what is gathered grows with the distinct n-grams of the input. Word keys are 64 bits long; bigram keys
-48 bits within a target, whose number grows with the corpus.
+40 bits within a target, whose number grows with the corpus.
 
 Defined results: a null or empty text is one end; without training documents every count is 0 and
 base_score and score are 0 for each token. Repeated rows are scored alike and each counts in training.
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, materialize, mix64, pack, pack_sorted, remainder, tune, unpack, unpack_sorted
 
 #: Tokens of a block, and bytes of text for each target of the count exchange.
-BLOCK_TOKENS, TARGET_BYTES = 4_000_000, 10_000_000
+BLOCK_TOKENS, TARGET_BYTES = 2_000_000, 5_000_000
 #: Remainders of crc32(doc_id) modulo 10: not trained on, and used for the weights.
 HELD_OUT, TUNING = 0, 1
 BUCKETS = 40
 _SALT = np.uint64(0x9E3779B97F4A7C15)
-_BIGRAM_BITS = np.uint64(16)
+_BIGRAM_BITS = np.uint64(24)
 
 _ENCODED = (
     "block long, tuning boolean, target int, words binary, word_n binary, pairs binary, pair_n binary,"
