@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedolake.llm import bpe_codec, decontaminate, toxicity
+from pedolake.llm import bpe_codec, decontaminate, near_dedup, substring_dedup, toxicity
 from pedolake.llm.common import materialize
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,6 +22,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(DOCUMENT).withColumn("score", score).where(F.col("score") < params.threshold).select(DOCUMENT)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates, the one of the least id."""
+    classes = near_dedup.near_duplicates(spark, docs)
+    gone = materialize(spark, classes.where("not kept").select("doc_id").distinct(), "pipeline-gone")
+    small = gone.count() <= near_dedup.BROADCAST_ROWS
+    return docs.select(DOCUMENT).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(DOCUMENT)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated substrings out of the texts; bytes left of a character that is cut go with it."""
+    carry = ("lang", "source")
+    done = substring_dedup.remove_repeats(spark, docs.select(DOCUMENT), keep_text=True, carry=carry)
+
+    @F.pandas_udf("string")
+    def whole_characters(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    text = done.select("doc_id", whole_characters("raw").alias("text"), *carry)
+    return text.withColumn("n_chars", F.length("text").cast("long")).select(DOCUMENT)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in which no benchmark window occurs."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -33,7 +55,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("decontamination", drop_contaminated), ("bpe_codec", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe_codec", encode),
+]
 
 #: No SQL expresses a fitted model or a byte-pair encoder; the stages are tested against brute force.
 ORACLE_SQL = None

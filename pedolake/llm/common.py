@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import zstandard
@@ -25,7 +26,8 @@ SPACE_TABLE = bytes(32 if 9 <= b <= 13 else b for b in LOWER_TABLE)
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds the batches that go to Python workers by bytes, not by rows alone."""
+    """Bounds the batches that go to Python workers by bytes, not by rows alone, and lets workers import this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     return spark

@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, language_model, near_dedup, sharding, substring_dedup, token_counts, toxicity
+from . import (
+    bpe_codec,
+    decontaminate,
+    embedding_join,
+    language_model,
+    license_scan,
+    near_dedup,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +35,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_cover_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.threshold_join(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(spark, _table(spark, sf_dir, "documents"))
 
@@ -44,6 +59,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(
         spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -56,7 +75,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, for each numbered operator."""
-    found = [op1_toxicity, op2_suffix_array_dedup, op4_language_model, op5_decontamination, op6_token_counts, op7_minhash_near_dedup, op9_bpe_codec, op10_sharding]
+    found = [
+        op1_toxicity,
+        op2_suffix_array_dedup,
+        op3_cover_tree_join,
+        op4_language_model,
+        op5_decontamination,
+        op6_token_counts,
+        op7_minhash_near_dedup,
+        op8_license_scan,
+        op9_bpe_codec,
+        op10_sharding,
+    ]
     return {f.__name__: f for f in found}
 
 
