@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import completeness
+
+FAMILIES = [completeness]
+
 
 def queries() -> dict:
-    return {}
+    """Name to callable (spark, sf_dir)."""
+    return {f.__name__: f for family in FAMILIES for f in family.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Name to DuckDB SQL, where SQL can express the query."""
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
