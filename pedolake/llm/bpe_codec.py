@@ -14,10 +14,12 @@ results. The lexicon only saves time: the ids are the same for any lexicon, an e
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import tempfile
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +40,10 @@ _PIECE = regex.compile(
 )
 
 
+#: Stands for a pair that no rule merges; above every rank.
+_NEVER = 1 << 60
+
+
 class Merger:
     """Exact merging of a piece of text to ids, and ids to bytes, from the vocabulary file."""
 
@@ -47,10 +53,11 @@ class Merger:
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         back = {c: b for b, c in enumerate(letters)}
         self.symbols = [vocab[c] for c in letters]
-        self.merges: dict[int, tuple[int, int]] = {}
+        #: left id * 2**20 + right id: rank * 2**20 + merged id
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault(vocab[a] << 20 | vocab[b], (rank, vocab[a + b]))
+            self.merges.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
@@ -62,42 +69,36 @@ class Merger:
         if len(ids) > LONGEST:
             return self.merge_long(ids)
         known = self.merges.get
-        pairs = [known(ids[i] << 20 | ids[i + 1]) for i in range(len(ids) - 1)]
-        while True:
-            best = min((p for p in pairs if p), default=None)
-            if best is None:
-                return ids
+        pairs = [known(a << 20 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while pairs and (best := min(pairs)) < _NEVER:
             i = pairs.index(best)
-            ids[i : i + 2] = [best[1]]
-            del pairs[i]
+            ids[i] = new = best & 0xFFFFF
+            del ids[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = known(ids[i - 1] << 20 | ids[i])
+                pairs[i - 1] = known(ids[i - 1] << 20 | new, _NEVER)
             if i < len(pairs):
-                pairs[i] = known(ids[i] << 20 | ids[i + 1])
+                pairs[i] = known(new << 20 | ids[i + 1], _NEVER)
+        return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, for pieces of any length."""
-        import heapq
-
         n, known = len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := known(ids[i] << 20 | ids[i + 1]))]
+        heap = [(m, i) for i in range(n - 1) if (m := known(ids[i] << 20 | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            rank, i, new = heapq.heappop(heap)
-            if ids[i] < 0 or (j := after[i]) >= n:
-                continue
-            m = known(ids[i] << 20 | ids[j])
-            if m is None or m[0] != rank:
+            rank, i = heapq.heappop(heap)
+            if ids[i] < 0 or (j := after[i]) >= n or known(ids[i] << 20 | ids[j]) != rank:
                 continue
+            new = rank & 0xFFFFF
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 if m := known(new << 20 | ids[k]):
-                    heapq.heappush(heap, (m[0], i, m[1]))
+                    heapq.heappush(heap, (m, i))
             if (p := before[i]) >= 0 and (m := known(ids[p] << 20 | new)):
-                heapq.heappush(heap, (m[0], p, m[1]))
+                heapq.heappush(heap, (m, p))
         return [i for i in ids if i >= 0]
 
 
@@ -158,23 +159,24 @@ class Lexicon:
     """Reads a compiled lexicon from any buffer, a memory map included."""
 
     def __init__(self, buffer):
-        head = np.frombuffer(buffer, np.int32, 8)
-        self.root, at, parts = int(head[0]), 32, []
-        for n in head[1:].tolist():
-            parts.append(np.frombuffer(buffer, np.int32, n, at) if n else np.zeros(0, np.int32))
-            at += 4 * n
+        whole = memoryview(buffer).cast("B").cast("i")
+        self.root, at, parts = whole[0], 8, []
+        for n in whole[1:8].tolist():
+            parts.append(whole[at : at + n])
+            at += n
         self.first, self.final, self.labels, self.targets, self.skips, self.ends, self.ids = parts
 
     def find(self, word: bytes) -> list[int] | None:
         """Ids of a word, or None if the lexicon does not hold it."""
         state, number = self.root, 0
+        first, labels, targets, skips = self.first, self.labels, self.targets, self.skips
         for b in word:
-            lo, hi = self.first[state], self.first[state + 1]
-            k = lo + np.searchsorted(self.labels[lo:hi], b)
-            if k == hi or self.labels[k] != b:
+            lo, hi = first[state], first[state + 1]
+            k = bisect_left(labels, b, lo, hi)
+            if k == hi or labels[k] != b:
                 return None
-            number += self.skips[k]
-            state = self.targets[k]
+            number += skips[k]
+            state = targets[k]
         if not self.final[state]:
             return None
         return self.ids[self.ends[number] : self.ends[number + 1]].tolist()
