@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import completeness
+from . import completeness, statistics
 
-FAMILIES = [completeness]
+FAMILIES = [completeness, statistics]
 
 
 def queries() -> dict:
