@@ -28,6 +28,14 @@ def _round(df, names, digits=6):
     return df.withColumns({n: rounded(F.col(n), digits) for n in names})
 
 
+#: Added before rounding, so that no value with few decimals sits on a tie that engines break differently.
+OFF_TIE = 2.71828e-7
+
+
+def _off_tie(df, names):
+    return df.withColumns({n: rounded(F.col(n) + OFF_TIE) for n in names})
+
+
 def _with(df, bands):
     return df.select("row", "col", *[F.expr(e).alias(f"s_{n}") for n, e in bands.items()])
 
@@ -41,12 +49,12 @@ _SENT = ["ireci", "mcari", "mcari705", "mcariosavi", "mcariosavi705", "msr705",
 
 def sentinel_indices(spark, d):
     df = r.sentinel_indices(_with(_cells(spark, d), SENTINEL), {k: f"s_{k}" for k in SENTINEL})
-    return _round(df, _SENT, 8).select("row", "col", *_SENT)
+    return _off_tie(df, _SENT).select("row", "col", *_SENT)
 
 
 def landsat_indices(spark, d):
     df = r.landsat_indices(_with(_cells(spark, d), LANDSAT), {k: f"s_{k}" for k in LANDSAT})
-    return _round(df, r.LANDSAT, 8).select("row", "col", *r.LANDSAT)
+    return _off_tie(df, r.LANDSAT).select("row", "col", *r.LANDSAT)
 
 
 def landsat_scaled(spark, d):
@@ -232,7 +240,7 @@ def tri(spark, d):
 
 
 def tpi(spark, d):
-    return _round(r.position_index(_dem(spark, d), "dem", 2), ["tpi"], 8).select("row", "col", "tpi")
+    return _off_tie(r.position_index(_dem(spark, d), "dem", 2), ["tpi"]).select("row", "col", "tpi")
 
 
 def surface_area(spark, d):
@@ -285,7 +293,7 @@ def _sent_sql():
         "savi": f"1.5 * {_dv(f'{n} - {rr}', f'{n} + {rr} + 0.5')}", "msavi": f"(2 * {n} + 1 - sqrt((2 * {n} + 1) * (2 * {n} + 1) - 8 * ({n} - {rr}))) / 2",
         "ndmi": _nd(n, s1), "ndmi2": _nd(n2, s1), "nbr": _nd(n, s2), "nbr2": _nd(s1, s2), "ndsi": _nd(rr, s1), "ndsi2": _nd(g, s1), "ndwi": _nd(g, n),
     }
-    return with_inputs("cells", f"WITH s AS (SELECT row, col, {_SB} FROM cells) SELECT row, col, " + ", ".join(f"round({e}, 8) + 0.0 AS {k}" for k, e in f.items()) + " FROM s")
+    return with_inputs("cells", f"WITH s AS (SELECT row, col, {_SB} FROM cells) SELECT row, col, " + ", ".join(f"round({e} + {OFF_TIE}, 6) + 0.0 AS {k}" for k, e in f.items()) + " FROM s")
 
 
 def _landsat_sql():
@@ -296,7 +304,7 @@ def _landsat_sql():
         "ndmi": _nd("nir", "swir1"), "nbr2": _nd("swir1", "swir2"), "nci": _nd("swir1", "swir2"), "brightness": "sqrt(blue * blue + green * green + red * red)",
         "clay": _dv("swir1", "swir2"), "ri": _dv("red * red", "blue * green * green * green"), "fei": _dv("red", "swir1"), "coi": _nd("red", "green"), "si": _nd("red", "blue"),
     }
-    return with_inputs("cells", f"WITH s AS (SELECT row, col, {_LB} FROM cells) SELECT row, col, " + ", ".join(f"round({e}, 8) + 0.0 AS {k}" for k, e in f.items()) + " FROM s")
+    return with_inputs("cells", f"WITH s AS (SELECT row, col, {_LB} FROM cells) SELECT row, col, " + ", ".join(f"round({e} + {OFF_TIE}, 6) + 0.0 AS {k}" for k, e in f.items()) + " FROM s")
 
 
 def _dominant_sql(fn):
@@ -383,7 +391,7 @@ ORACLES = {
     "slope_aspect": with_inputs("cells", _WIN + f" SELECT row, col, round({_SLOPE}, 4) AS slope, round({_ASPECT}, 4) AS aspect FROM g"),
     "tri": with_inputs("cells", _WIN + " SELECT row, col, round(sqrt(" + " + ".join(f"(z{k} - z5) ** 2" for k in (1, 2, 3, 4, 6, 7, 8, 9)) + "), 8) AS tri FROM w"),
     "tpi": with_inputs("cells", """WITH dem AS (SELECT CAST(floor(row / 5) AS INTEGER) AS row, CAST(floor(col / 5) AS INTEGER) AS col, max(b1) * 100 + max(b2) + min(b3) AS z FROM cells GROUP BY 1, 2), o AS (SELECT dr, dc FROM (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) WHERE dr * dr + dc * dc BETWEEN 1 AND 4)
-      SELECT a.row, a.col, round(any_value(a.z) - avg(b.z), 8) + 0.0 AS tpi FROM dem a JOIN (SELECT row + dr AS jr, col + dc AS jc, z FROM dem, o) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col"""),
+      SELECT a.row, a.col, round(any_value(a.z) - avg(b.z) + 2.71828e-7, 6) + 0.0 AS tpi FROM dem a JOIN (SELECT row + dr AS jr, col + dc AS jc, z FROM dem, o) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col"""),
     "surface_area": with_inputs("cells", _WIN + " SELECT row, col, round(900.0 * sqrt(1 + e * e + n * n), 4) AS surface_area FROM g"),
     "dah": with_inputs("cells", _WIN + f" SELECT row, col, round(cos(radians(202.5 - coalesce({_ASPECT}, 0))) * radians({_SLOPE}), 5) + 0.0 AS dah FROM g"),
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import completeness, statistics
+from . import completeness, raster, statistics
 
-FAMILIES = [completeness, statistics]
+FAMILIES = [completeness, statistics, raster]
 
 
 def queries() -> dict:
