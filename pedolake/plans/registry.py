@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import completeness, raster, statistics
+from . import completeness, environment, raster, statistics
 
-FAMILIES = [completeness, statistics, raster]
+FAMILIES = [completeness, statistics, raster, environment]
 
 
 def queries() -> dict:
