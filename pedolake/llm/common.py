@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,40 +108,43 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Edges that one task of a component round handles; rounds on few edges then use few tasks.
+EDGES_PER_TASK = 100_000
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of each batch as stars: every node to the least node it reaches within the batch."""
+    for batch in batches:
+        ids, at = np.unique(np.concatenate([batch.column(k).to_numpy() for k in range(2)]), return_inverse=True)
+        label = local_components(len(ids), *np.split(at, 2))
+        inner = np.flatnonzero(label != np.arange(len(ids)))
+        yield pa.record_batch([pa.array(ids[inner]), pa.array(ids[label[inner]])], names=["u", "v"])
+
+
 def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the least id.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014) until the edges no longer
-    change. Each step groups by node with partial minima and joins the minimum back, so a hub costs
+    Alternates the large-star and small-star steps of Kiveris et al. (2014) until every node points at
+    a root. Each step groups by node with partial minima and joins the minimum back, so a hub costs
     one row for each of its edges and no list is built. Only nodes with an edge to another node are
     returned. Every round is written to the shared scratch folder.
     """
-    edges = (
-        edges.where("a <> b and a is not null and b is not null")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    edges = materialize(spark, edges, f"{name}-edges")
-    state = None
+    edges = edges.where("a <> b and a is not null and b is not null").select("a", "b")
+    edges = materialize(spark, edges.mapInArrow(_contracted, "u long, v long").distinct(), f"{name}-edges")
     while True:
+        tasks = max(8, -(-edges.count() // EDGES_PER_TASK))
+        kept = lambda df, step: materialize(spark, df.coalesce(tasks), f"{name}-{step}")  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        low = materialize(spark, low, f"{name}-low")  # both sides of the join are then exchanged, and a hub can be split
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        large = materialize(spark, large.where("u <> v").distinct(), f"{name}-large")
-        low = materialize(spark, large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v"))
-        )
-        edges = materialize(spark, small.where("u <> v").distinct(), f"{name}-round")
-        now = edges.agg(
-            F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(u % 1000003 + v % 999983)")
-        ).first()
-        if state is not None and tuple(now) == state:
+        # minima are written first: both sides of the join are then exchanged, and a hub can be split
+        low = kept(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "low")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = kept(large.where("u <> v"), "large")
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = kept(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "round")
+        # done when each node has one edge, and to a node that has none
+        n, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+        if n == nodes and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        state = tuple(now)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -133,9 +133,9 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), raw.alias("raw")).mapInArrow(sketch, _BASE)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     """Shingle sets of the wanted ids (doc_id and more columns), made anew from whole texts."""
-    small = wanted.count() <= BROADCAST_ROWS
+    small = n_wanted <= BROADCAST_ROWS
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
     picked = texts.join(F.broadcast(wanted) if small else wanted, "doc_id")
@@ -235,18 +235,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stars = in_band.join(shared, "band").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     groups = materialize(spark, components(spark, stars, "near-groups"), "near-groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    sized = materialize(spark, sizes, "near-sizes")
+    n_groups = groups.count()
+    few = max(8, n_groups // 50_000)  # tasks for what has one row per candidate
+    sized = materialize(spark, sizes.coalesce(few), "near-sizes")
     members = groups.join(sized, "component").withColumnRenamed("node", "doc_id")
     members = members.join(reps.select(F.col("rep").alias("doc_id"), "bands", "sketch"), "doc_id")
-    members = materialize(spark, members, "near-members")
+    members = materialize(spark, members.coalesce(few), "near-members")
     wanted = members.select("doc_id", "component", "m")
-    sets = sets_of(docs, wanted).join(members.select("doc_id", "bands", "sketch"), "doc_id")
+    sets = sets_of(docs, wanted, n_groups).join(members.select("doc_id", "bands", "sketch"), "doc_id")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     sets = sets.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     sets = materialize(spark, sets, "near-shingles")
 
     # small groups share tasks; of a large one, chunk 0 goes to every task and each other chunk to one
-    tasks = max(64, wanted.count() // 256)
+    tasks = max(64, n_groups // 256)
     small = sets.where("chunks = 1").withColumn("part", F.col("component")).withColumn(
         "task", F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("long")
     )
