@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import completeness, environment, raster, statistics
+from . import completeness, environment, modelling, raster, statistics
 
-FAMILIES = [completeness, statistics, raster, environment]
+FAMILIES = [completeness, statistics, raster, environment, modelling]
 
 
 def queries() -> dict:
