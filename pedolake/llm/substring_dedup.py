@@ -333,9 +333,9 @@ def remove_repeats(
     n_bytes = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks, targets = max(48, -(-n_bytes // BLOCK_BYTES)), max(48, -(-n_bytes // TARGET_BYTES))
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.select("doc_id", *carry, raw.alias("raw"))
+    base = docs.select("doc_id", *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], raw.alias("raw"))
     base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(blocks)))
-    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name in ("doc_id", *carry))
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name == "doc_id" or f.name[:6] == "carry_")
 
     def asks(pdf: pd.DataFrame) -> pd.DataFrame:
         return ask(int(pdf["block"].iloc[0]), BlockKeys([bytes(t) for t in pdf["raw"]], length, targets), targets)
@@ -363,4 +363,5 @@ def remove_repeats(
             f"{own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, raw binary",
         )
     )
-    return picked.where("shard is null").drop("shard", "regions").unionByName(done)
+    every = picked.where("shard is null").drop("shard", "regions").unionByName(done)
+    return every.withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})

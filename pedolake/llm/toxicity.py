@@ -1,6 +1,7 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A document is its set of hashed terms (lower-cased words of letters and digits). The machine scores
+A document is its set of hashed terms: lower-cased words of letters and digits, and the beginnings of
+longer words, so that an inflected form is known by its stem. The machine scores
 ``w0 + sum_i w_i + sum_{i<j} <v_i, v_j>`` over that set, so pairs of terms add to what terms weigh
 alone. It is fitted on a bounded sample of labelled rows (``ToxicityParams.fit_rows``, the rows with
 the least hash of their id); the score is then computed for every whole text, in one scan.
@@ -12,6 +13,7 @@ scores. Columns beside ``doc_id`` and ``text`` are carried along untouched.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,10 +35,11 @@ class ToxicityParams:
     buckets: int = 1 << 22
     rank: int = 8
     min_rows: int = 5
-    epochs: int = 40
+    min_deviate: float = 3.0
+    steps: int = 1500
     batch: int = 256
     rate: float = 0.05
-    decay: float = 1e-5
+    decay: float = 1e-4
     seed: int = 17
     threshold: float = 0.5
 
@@ -58,14 +61,16 @@ class FactorizationMachine:
             v = self.factors[at]
             s = v.sum(0)
             z += float(self.linear[at].sum() + 0.5 * (s @ s - (v * v).sum()))
-        return float(1.0 / (1.0 + np.exp(-max(-500.0, min(500.0, z)))))
+        return 0.0 if z < -700 else 1.0 / (1.0 + math.exp(-z))
 
 
 def hashed_terms(text: bytes | None, buckets: int) -> set[int]:
-    """Hash buckets of a text's distinct words."""
+    """Hash buckets of a text's distinct words, and of the first five bytes of longer ones."""
     if not text:
         return set()
-    return {zlib.crc32(w) % buckets for w in set(text.translate(WORD_TABLE).split())}
+    words = set(text.translate(WORD_TABLE).split())
+    words.update([b"^" + w[:5] for w in words if len(w) > 5])
+    return {zlib.crc32(w) % buckets for w in words}
 
 
 def fit_machine(sets: list[np.ndarray], labels: np.ndarray, params: ToxicityParams) -> FactorizationMachine:
@@ -83,7 +88,7 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, params: ToxicityPara
     # the sets of long texts hold most words, so a term is held against a smoothed binomial deviate
     z = np.abs(hits - n * prior) / np.sqrt(n * prior * (1 - prior) + 1.0)
     order = np.lexsort((terms, -np.where(n >= params.min_rows, z, -1.0)))[: params.terms]
-    order = order[n[order] >= params.min_rows]
+    order = order[(n[order] >= params.min_rows) & (z[order] >= params.min_deviate)]
     place = np.full(len(terms), -1)
     place[order] = np.arange(len(order))
     x = np.zeros((len(sets), len(order)), np.uint8)
@@ -92,15 +97,18 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, params: ToxicityPara
     rng = np.random.default_rng(params.seed)
     w = np.zeros(len(order), np.float32)
     v = rng.normal(0, 0.01, (len(order), params.rank)).astype(np.float32)
+    # the rarer class weighs more, so that a rare label still reaches the threshold
+    rare = np.sqrt((1 - prior) / prior)
+    weight = np.where(y == 1, rare, 1.0).astype(np.float32)
     gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
-    for _ in range(params.epochs if len(order) else 0):
+    for _ in range(-(-params.steps * params.batch // len(y)) if len(order) else 0):
         shuffled = rng.permutation(len(y))
         for start in range(0, len(y), params.batch):
             rows = shuffled[start : start + params.batch]
             xb = x[rows].astype(np.float32)
             s = xb @ v
             score = bias + xb @ w + 0.5 * ((s * s).sum(1) - xb @ (v * v).sum(1))
-            err = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[rows]) / len(rows)
+            err = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[rows]) * weight[rows] / len(rows)
             dw = xb.T @ err + params.decay * w
             dv = xb.T @ (err[:, None] * s) - v * (xb.T @ err)[:, None] + params.decay * v
             db = float(err.sum())
