@@ -34,7 +34,7 @@ from .common import tune
 from .token_counts import SPACE, byte_letters
 
 #: Words of the lexicon, entries of a worker's memo, and longest text piece that either holds.
-LEXICON, MEMO, LONGEST = 32_768, 1_000_000, 64
+LEXICON, MEMO, LONGEST = 32_768, 400_000, 64
 _PIECE = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
@@ -188,13 +188,18 @@ class Codec:
     def __init__(self, path: str, lexicon: Lexicon | None = None, memo: int = MEMO):
         self.merger, self.lexicon, self.limit = Merger(path), lexicon, memo
         self.known: dict[str, bytes] = {}
+        #: pieces that the lexicon holds; they stay when the rest is forgotten
+        self.frequent: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece, in decimal, joined by commas."""
         raw = piece.encode()
         ids = self.lexicon.find(raw) if self.lexicon and len(raw) <= LONGEST else None
-        return ",".join(map(str, ids if ids is not None else self.merger.merge(raw))).encode()
+        if ids is None:
+            return ",".join(map(str, self.merger.merge(raw))).encode()
+        self.frequent[piece] = run = ",".join(map(str, ids)).encode()
+        return run
 
     def encode(self, text: str) -> list[bytes]:
         """Ids of a text, as comma-joined runs: one for each piece."""
@@ -215,7 +220,8 @@ class Codec:
         if missing:
             if len(known) + len(missing) > self.limit:
                 known.clear()
-                missing = set(pieces)
+                known.update(self.frequent)
+                missing = set(pieces).difference(known)
             for p in missing:
                 known[p] = self.piece(p)
         out = list(map(known.__getitem__, pieces))

@@ -53,7 +53,7 @@ class WordHashes(dict):
     """Hash of each word, remembered; starts anew when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
