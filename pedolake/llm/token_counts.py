@@ -26,7 +26,7 @@ from .common import tune
 #: Entries of a worker's table of remembered words.
 MEMO = 1_500_000
 #: White space as Unicode has it (str.split() would also split at \x1c-\x1f).
-SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 _SPACES = regex.compile(rf"[{SPACE}]+")
 
