@@ -37,11 +37,23 @@ def near_zero_variance(df: DataFrame, columns: Sequence[str], freq_cut: float =
     )
 
 
-def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Rows with the average rank of a column: counts by value are ranked, so ties cost one row each."""
+def average_ranks(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+    """Rows with the average rank of a numeric column.
+
+    Counts by value are ranked, so ties cost one row each. The values are cut at approximate quantiles
+    into buckets that are ranked side by side; each bucket's offset is the rows of those before it.
+    """
+    value = F.col(column).cast("double")
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    below = F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(column, (F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2).alias("__rank"))
+    cuts = sorted(set(counts.select(value.alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 0.01)))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+    placed = counts.withColumn("__b", bucket)
+    totals = placed.groupBy("__b").agg(F.sum("__n").alias("__t"))
+    before = F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("__b", before.alias("__before"))  # a row per bucket
+    below = F.sum("__n").over(Window.partitionBy("__b").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("__below", F.coalesce(below, F.lit(0))).join(F.broadcast(offsets), "__b")
+    ranks = placed.select(column, (F.col("__before") + F.col("__below") + (F.col("__n") + 1) / 2).alias("__rank"))
     return df.join(ranks, column, "left")
 
 
