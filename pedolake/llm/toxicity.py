@@ -30,7 +30,7 @@ from .common import WORD_TABLE, remainder, tune
 class ToxicityParams:
     """fit_rows bounds the labelled sample, terms the fitted hashed terms, buckets the hash range."""
 
-    fit_rows: int = 20_000
+    fit_rows: int = 12_000
     terms: int = 1024
     buckets: int = 1 << 22
     rank: int = 8
@@ -80,20 +80,22 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, params: ToxicityPara
         return FactorizationMachine()
     prior = (y.sum() + 0.5) / (len(y) + 1.0)
     bias = float(np.log(prior / (1 - prior)))
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    terms, position = np.unique(flat, return_inverse=True)
-    n = np.bincount(position, minlength=len(terms)).astype(float)
-    hits = np.bincount(position, weights=y[owner], minlength=len(terms))
+    n, hits = np.zeros(params.buckets, np.int32), np.zeros(params.buckets, np.int32)
+    for terms, label in zip(sets, y.astype(np.int32), strict=True):
+        n[terms] += 1
+        hits[terms] += label
+    seen = np.flatnonzero(n >= params.min_rows)
+    n, hits = n[seen].astype(float), hits[seen].astype(float)
     # the sets of long texts hold most words, so a term is held against a smoothed binomial deviate
     z = np.abs(hits - n * prior) / np.sqrt(n * prior * (1 - prior) + 1.0)
-    order = np.lexsort((terms, -np.where(n >= params.min_rows, z, -1.0)))[: params.terms]
-    order = order[(n[order] >= params.min_rows) & (z[order] >= params.min_deviate)]
-    place = np.full(len(terms), -1)
-    place[order] = np.arange(len(order))
+    order = np.lexsort((seen, -z))[: params.terms]
+    order = order[z[order] >= params.min_deviate]
+    place = np.full(params.buckets, -1, np.int32)
+    place[seen[order]] = np.arange(len(order))
     x = np.zeros((len(sets), len(order)), np.uint8)
-    keep = place[position] >= 0
-    x[owner[keep], place[position[keep]]] = 1
+    for row, terms in zip(x, sets, strict=True):
+        at = place[terms]
+        row[at[at >= 0]] = 1
     rng = np.random.default_rng(params.seed)
     w = np.zeros(len(order), np.float32)
     v = rng.normal(0, 0.01, (len(order), params.rank)).astype(np.float32)
@@ -118,7 +120,7 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, params: ToxicityPara
             w -= params.rate * dw / np.sqrt(gw)
             v -= params.rate * dv / np.sqrt(gv)
             bias -= params.rate * db / gb**0.5
-    index = {int(t): i for i, t in enumerate(terms[order])}
+    index = {int(t): i for i, t in enumerate(seen[order])}
     return FactorizationMachine(index, bias, w.astype(float), v.astype(float))
 
 
@@ -153,7 +155,7 @@ def fit_toxicity(
         .select("terms", "toxic")
     )
     rows = sample.collect()
-    sets = [np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in rows]
+    sets = [np.frombuffer(r["terms"], np.int32) for r in rows]
     return fit_machine(sets, np.array([r["toxic"] for r in rows]), params)
 
 
