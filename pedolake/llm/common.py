@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -36,15 +37,16 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; the setting is made here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="pedolake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+    """A new path below spark.checkpoint.dir; only where that is unset, below a folder made here."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="pedolake-")
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared scratch folder and reads it again: lineage ends in files all executors see."""
     path = scratch_path(spark, name)
