@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 from .token_counts import SPACE, byte_letters
 
 #: Words of the lexicon, entries of a worker's memo, and longest text piece that either holds.
@@ -264,10 +264,11 @@ def codec(path: str, lexicon: bytes) -> Codec:
 
 
 def frequent_words(spark: SparkSession, docs: DataFrame, size: int = LEXICON) -> list[str]:
-    """The size most frequent words (between white space) of all texts, ties in byte order.
+    """The most frequent words (between white space) of all texts: whole count classes, as many as fit in size.
 
-    Each partition sends a word once with its count; the counts are summed in Spark, and only the
-    bounded list of the most frequent reaches the driver.
+    Each partition sends a word once with its count; the counts are summed in Spark and written once. A
+    histogram of counts (eighths of powers of two, so some hundred rows) tells the least count that
+    leaves at most size words, and only those reach the driver.
     """
     tune(spark)
 
@@ -290,15 +291,23 @@ def frequent_words(spark: SparkSession, docs: DataFrame, size: int = LEXICON) ->
             yield out()
 
     texts = docs.where("text is not null").select(F.col("text").cast("binary").alias("raw"))
-    top = (
+    summed = (
         texts.mapInArrow(counts, "word binary, n long")
         .where(F.octet_length("word") <= LONGEST - 1)
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(size)
+        .withColumn("class", F.floor(F.log2("n") * 8).cast("int"))
     )
-    return [bytes(r["word"]).decode("utf-8", "replace") for r in top.collect()]
+    summed = materialize(spark, summed, "codec-words")
+    left, least = size, None
+    for row in summed.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("class")).collect():
+        if row["n"] > left:
+            break
+        left, least = left - row["n"], row["class"]
+    if least is None:
+        return []
+    top = summed.where(F.col("class") >= least).select("word").collect()
+    return sorted(bytes(r["word"]).decode("utf-8", "replace") for r in top)
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: str, size: int = LEXICON) -> bytes:
