@@ -247,20 +247,13 @@ class Codec:
         return out.decode("utf-8", "replace").encode()
 
 
-_LOADED: dict[tuple[str, int], Codec] = {}
-
-
-def codec(path: str, lexicon: bytes) -> Codec:
-    """The codec of this worker, which outlives a task; the lexicon is mapped from a file of its own."""
-    key = (path, hash(lexicon))
-    if key not in _LOADED:
-        _LOADED.clear()
-        with tempfile.TemporaryFile() as f:
-            f.write(lexicon)
-            f.flush()
-            mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        _LOADED[key] = Codec(path, Lexicon(mapped))
-    return _LOADED[key]
+def open_codec(path: str, lexicon: bytes) -> Codec:
+    """A codec whose lexicon is mapped from a temporary file of this worker; all it holds goes with it."""
+    with tempfile.TemporaryFile() as f:
+        f.write(lexicon)
+        f.flush()
+        mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    return Codec(path, Lexicon(mapped))
 
 
 def frequent_words(spark: SparkSession, docs: DataFrame, size: int = LEXICON) -> list[str]:
@@ -324,7 +317,7 @@ def round_trip(spark: SparkSession, text: Column, vocabulary: str, lexicon: byte
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(vocabulary, shared.value)
+        own = open_codec(vocabulary, shared.value)
         for texts in batches:
             rows = []
             for t in texts:
@@ -347,9 +340,10 @@ def encode_ids(spark: SparkSession, text: Column, vocabulary: str, lexicon: byte
     shared = spark.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("array<int>")
-    def code(texts: pd.Series) -> pd.Series:
-        own = codec(vocabulary, shared.value)
-        return texts.map(lambda t: [int(i) for run in own.encode(t) for i in run.split(b",")])
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = open_codec(vocabulary, shared.value)
+        for texts in batches:
+            yield texts.map(lambda t: [int(i) for run in own.encode(t) for i in run.split(b",")])
 
     return code(F.coalesce(text, F.lit("")))
 
@@ -359,9 +353,10 @@ def decode_ids(spark: SparkSession, ids: Column, vocabulary: str, lexicon: bytes
     shared = spark.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("string")
-    def text(rows: pd.Series) -> pd.Series:
-        own = codec(vocabulary, shared.value)
-        return rows.map(lambda r: own.decode([str(i).encode() for i in r]).decode())
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = open_codec(vocabulary, shared.value)
+        for rows in batches:
+            yield rows.map(lambda r: own.decode([str(i).encode() for i in r]).decode())
 
     return text(ids)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a batch sent to a Python worker may hold; long texts then come in small batches.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 #: A-Z to a-z, all other bytes as they are.
