@@ -8,6 +8,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch_path
+
 
 def leaf_values(model, train: DataFrame, target: str, key: str) -> DataFrame:
     """One training value for each (tree, leaf): that of the row with the least hash of its key."""
@@ -67,14 +69,35 @@ def shapley_linear(rows: DataFrame, background: DataFrame, weights: Mapping[str,
     return rows.join(F.broadcast(means)).select(key, F.explode(phi).alias("p")).select(key, "p.*")
 
 
+def numbered(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
+    """The columns with a dense number from 0 in the order of their hash, and how many rows there are.
+
+    Rows are dealt by ranges of the hash and written once, so that counts and places are of the same
+    ranges; equal rows are spread over ranges by a salt, which cannot change what has which number.
+    """
+    spark = df.sparkSession
+    hashed = df.select(*columns).withColumn("_hash", F.xxhash64(*columns)).withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = hashed.repartitionByRange("_hash", *columns, "_salt").sortWithinPartitions("_hash", *columns, "_salt")
+    at = F.monotonically_increasing_id()
+    path = scratch_path(spark, "numbered")
+    placed = ranged.select(*columns, F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    offsets, n = [], 0
+    for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        offsets.append((r["_part"], n))
+        n += r["n"]
+    first = spark.createDataFrame(offsets, "_part long, _first long")
+    return placed.join(F.broadcast(first), "_part").select(*columns, (F.col("_place") + F.col("_first")).alias("number")), n
+
+
 def shapley_monte_carlo(rows: DataFrame, background: DataFrame, scorer: Callable[[Mapping[str, Column]], Column], features: Sequence[str], key: str, draws: int, seed: int) -> DataFrame:
-    """Monte-Carlo Shapley values: per draw a background row (of at most 4096 slots) and a feature order, both from hashes."""
-    bg = background.select(F.pmod(F.xxhash64(*features), F.lit(4096)).alias("slot"), *[F.col(c).alias(f"b_{c}") for c in features])
-    bg = bg.groupBy("slot").agg(*[F.min_by(f"b_{c}", F.struct(*[f"b_{x}" for x in features])).alias(f"b_{c}") for c in features])
-    slots = bg.agg(F.sort_array(F.collect_set("slot")).alias("slots"))
-    wide = rows.select(key, *features).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).join(F.broadcast(slots))
-    pick = F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.size("slots").cast("long"))
-    wide = wide.withColumn("slot", F.element_at("slots", (pick + 1).cast("int"))).drop("slots").join(bg, "slot")
+    """Monte-Carlo Shapley values: per draw a background row (each of them with equal chance) and a feature order, both from hashes."""
+    bg, n = numbered(background, features)
+    bg = bg.select("number", *[F.col(c).alias(f"b_{c}") for c in features])
+    wide = rows.select(key, *features).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    pick = F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(max(n, 1)).cast("long"))
+    wide = wide.withColumn("number", pick).join(bg, "number")
     order = {c: F.xxhash64(F.col(key), F.col("draw"), F.lit(seed), F.lit(c)) for c in features}
     out = []
     for f in features:
