@@ -1,10 +1,15 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-A text's passages are its lines, its paragraphs (runs of lines between empty lines) and the whole text.
-A passage is normalised to lower-case words of letters and digits and compared, as its set of word
-bigrams, with each template whose size its own size allows: at a threshold t, Dice can only be reached
-by sets with t / (2 - t) to (2 - t) / t times as many bigrams. Of those, only templates that share a
-bigram are compared. A passage of one word has that word as its only bigram.
+A text is normalised to one sequence of lower-case words of letters and digits; line and paragraph
+breaks part words like any space. A passage is any run of words in it, compared, as its set of word
+bigrams, with each template: a notice is found inside a line, wrapped over lines or over paragraphs. At
+a threshold t, Dice can only be reached by sets that hold t / (2 - t) of a template's bigrams, so a
+template is only looked for in texts with that many of them. Runs begin and end with a bigram of the
+template (others only lower Dice) and grow while the threshold can be reached. A template of one word
+matches that word.
+
+Runs compete, those of the highest Dice first, then by name and place: a run goes if kept runs of the
+same licence, or of templates of comparable size, hold half of it, or it holds half of such a run.
 
 Defined results: null and empty texts match nothing; ties go to the template whose name comes first;
 repeated rows get equal results. The templates are a fixed list, broadcast with the function.
@@ -103,46 +108,77 @@ class Scanner:
             for b in s:
                 self.holders.setdefault(b, []).append(k)
         self.known = set(self.holders)
-        ratio = (2 - threshold) / threshold
-        self.least = min(len(s) for _, s in self.sets) / ratio
-        self.most = max(len(s) for _, s in self.sets) * ratio
-        self.ratio = ratio
-
-    def passage(self, words: list[bytes]) -> tuple[float, str] | None:
-        """Best (Dice, name) at the threshold or more, or None."""
-        if not words:
-            return None
-        own = bigrams(words)
-        if not self.least <= len(own) <= self.most:
-            return None
+        self.singles = {b for b in self.known if len(b) == 1}
+        self.ratio = (2 - threshold) / threshold
+
+    def runs(self, pairs: list[tuple[bytes, ...]], k: int) -> list[tuple[float, str, int, int, int]]:
+        """(Dice, name, first, last, template) of the best run from each place at which one reaches the threshold.
+
+        A run whose first bigram comes again is no better than the one from there, and one whose last
+        bigram has come before is no better than without it; so no place is passed more often than the
+        template has bigrams.
+        """
+        name, s = self.sets[k]
+        out = []
+        for first in [i for i, b in enumerate(pairs) if b in s]:
+            own, both, best = set(), 0, None
+            for last in range(first, len(pairs)):
+                b = pairs[last]
+                if b in own:
+                    if b == pairs[first]:
+                        break
+                    continue
+                own.add(b)
+                if b in s:
+                    both += 1
+                    dice = 2 * both / (len(own) + len(s))
+                    if dice >= self.threshold and (best is None or dice > best[0]):
+                        best = (dice, name, first, last, k)
+                elif 2 * len(s) < self.threshold * (2 * len(s) + len(own) - both):
+                    break
+            if best:
+                out.append(best)
+        return out
+
+    def scan(self, text: bytes | None) -> list[tuple[float, str]]:
+        """Matches (Dice, name) of all passages that are kept."""
+        words = (text or b"").translate(WORD_TABLE).split()
+        found = self.known.intersection(zip(words, words[1:]))
+        if self.singles:
+            found |= self.singles.intersection(zip(words))
         shared: dict[int, int] = {}
-        for b in own & self.known:
+        for b in found:
             for k in self.holders[b]:
                 shared[k] = shared.get(k, 0) + 1
-        best = None
-        for k, both in shared.items():
-            name, s = self.sets[k]
-            if len(s) > self.ratio * len(own) or len(own) > self.ratio * len(s):
+        able = [k for k, n in shared.items() if 2 * n >= self.threshold * (n + len(self.sets[k][1]))]
+        if not able:
+            return []
+        pairs, alone = list(zip(words, words[1:])), list(zip(words)) if self.singles else []
+        runs = [r for k in able for r in self.runs(alone if self.sets[k][1] <= self.singles else pairs, k)]
+        return [r[:2] for r in self.kept(sorted(runs, key=lambda r: (-r[0], r[1], -len(self.sets[r[4]][1]), r[2])))]
+
+    def kept(self, runs: list[tuple[float, str, int, int, int]]) -> list[tuple[float, str, int, int, int]]:
+        """Runs that no better one stands for."""
+        out: list[tuple[float, str, int, int, int]] = []
+        holders: dict[int, list[int]] = {}
+        for run in runs:
+            _, name, first, last, k = run
+            n, inside, over = len(self.sets[k][1]), 0, {}
+            for at in range(first, last + 1):
+                rivals = [o for o in holders.get(at, ()) if out[o][1] == name or self.alike(n, len(self.sets[out[o][4]][1]))]
+                inside += bool(rivals)
+                for o in rivals:
+                    over[o] = over.get(o, 0) + 1
+            if 2 * inside >= last - first + 1 or any(2 * m >= out[o][3] - out[o][2] + 1 for o, m in over.items()):
                 continue
-            dice = 2 * both / (len(own) + len(s))
-            if dice >= self.threshold and (best is None or (-dice, name) < (-best[0], best[1])):
-                best = (dice, name)
-        return best
-
-    def scan(self, text: bytes | None) -> list[tuple[float, str]]:
-        """Matches of all passages: lines, paragraphs of several lines, and the whole text."""
-        lines = [x.translate(WORD_TABLE).split() for x in (text or b"").split(b"\n")]
-        passages, run = list(lines), []
-        for words in [*lines, []]:
-            if words:
-                run.append(words)
-            else:
-                if len(run) > 1:
-                    passages.append([w for x in run for w in x])
-                run = []
-        if any(not x for x in lines) and sum(map(len, lines)) <= self.most * 4:
-            passages.append([w for x in lines for w in x])
-        return [m for p in passages if (m := self.passage(p))]
+            for at in range(first, last + 1):
+                holders.setdefault(at, []).append(len(out))
+            out.append(run)
+        return out
+
+    def alike(self, m: int, n: int) -> bool:
+        """Whether sets of m and n bigrams could reach the threshold with each other."""
+        return m <= self.ratio * n and n <= self.ratio * m
 
 
 def scan_licenses(
