@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pedolake.llm import bpe_codec, decontaminate, near_dedup, substring_dedup, toxicity
 from pedolake.llm.common import materialize
 
+#: Five-word shingles, similar from 0.8 on: a pair at 0.8 shares no band of 46 with probability below 1e-6.
+NEAR = near_dedup.NearParams(shingle=5, threshold_percent=80, bands=46)
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates, the one of the least id."""
-    classes = near_dedup.near_duplicates(spark, docs)
+    classes = near_dedup.near_duplicates(spark, docs, NEAR)
     gone = materialize(spark, classes.where("not kept").select("doc_id").distinct(), "pipeline-gone")
     small = gone.count() <= near_dedup.BROADCAST_ROWS
     return docs.select(DOCUMENT).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(DOCUMENT)
@@ -63,7 +65,7 @@ STAGES = [
     ("bpe_codec", encode),
 ]
 
-#: No SQL expresses a fitted model or a byte-pair encoder; the stages are tested against brute force.
+#: No SQL expresses a fitted model or a byte-pair encoder; tests/llm/test_pipeline_stages.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash bands, odd sketches, and a check on full shingle sets.
 
-A document is its set of distinct three-word shingles. Documents are linked if their sets' Jaccard
-similarity is ``THRESHOLD_PERCENT`` or more; classes are the components of the links.
+A document is its set of distinct shingles of ``NearParams.shingle`` words. Documents are linked if
+their sets' Jaccard similarity is ``NearParams.threshold_percent`` or more; classes are the components
+of the links. Figures below are those of the default parameters.
 
 1. Equal sets are one class at once, through one aggregation by a 128-bit key of the set.
 2. 180 MinHash samples make 30 bands of 6. A pair at the threshold shares no band with probability
@@ -17,13 +18,15 @@ compared, in blocks, with the rest of the group. No pair of all rows is ever emi
 gathered in one task, and no candidate is dropped for its group's size.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; a text of
-one or two words is one shingle; repeated rows are copies. Columns other than doc_id and text are
+fewer words than a shingle is one shingle; repeated rows are copies. Columns other than doc_id and text are
 ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,21 +37,48 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, components, local_components, materialize, mix64, tune
 
-SHINGLE, THRESHOLD_PERCENT = 3, 85
-BANDS, ROWS = 30, 6
-SAMPLES, SKETCH_BITS = BANDS * ROWS, 1024
+SKETCH_BITS = 1024
 #: Estimates this far below the threshold are dropped: five standard deviations of 180 samples.
 MARGIN = 0.135
+
+
+@dataclass(frozen=True)
+class NearParams:
+    """Words of a shingle, least similarity of a link, bands and samples of each, and margin of the estimates."""
+
+    shingle: int = 3
+    threshold_percent: int = 85
+    bands: int = 30
+    rows: int = 6
+    margin: float = MARGIN
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
+
+DEFAULT = NearParams()
 #: Sets of a chunk; ids up to which a list of candidates is broadcast rather than shuffled.
 CHUNK, BROADCAST_ROWS = 512, 1_000_000
 
-_RNG = np.random.default_rng(20_240_501)
-_MULTIPLY = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
-_FOLD = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+@lru_cache(8)
+def _draws(params: NearParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and summands of the samples, and multipliers of the rows of a band."""
+    rng = np.random.default_rng(20_240_501)
+    multiply = rng.integers(0, 1 << 32, params.samples, dtype=np.uint32) | np.uint32(1)
+    add = rng.integers(0, 1 << 32, params.samples, dtype=np.uint32)
+    return multiply, add, rng.integers(0, 1 << 63, params.rows, dtype=np.uint64) | np.uint64(1)
+
+
+@lru_cache(8)
+def _mixers(shingle: int) -> tuple[np.uint64, ...]:
+    """An odd number for each place in a shingle."""
+    return (*_MIX, *(mix64(np.arange(3, max(3, shingle), dtype=np.uint64)) | np.uint64(1)))[:shingle]
+
+
 class WordHashes(dict):
     """Hash of each word, remembered; starts anew when large."""
 
@@ -59,14 +89,14 @@ class WordHashes(dict):
         return h
 
 
-def shingle_sets(texts: list[bytes], words: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], words: WordHashes, shingle: int = DEFAULT.shingle) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     each = [np.fromiter(map(words.__getitem__, t.translate(LOWER_TABLE).split()), np.uint64) for t in texts]
     out = []
     for h in each:
-        if len(h) >= SHINGLE:
-            n = len(h) - SHINGLE + 1
-            mixed = sum(mix64(h[i : i + n] ^ m) * m for i, m in enumerate(_MIX))
+        if len(h) >= shingle:
+            n = len(h) - shingle + 1
+            mixed = sum(mix64(h[i : i + n] ^ m) * m for i, m in enumerate(_mixers(shingle)))
             out.append(np.unique(mix64(mixed)))
         elif len(h):
             out.append(mix64(np.array([sum(int(x) * (i + 7) for i, x in enumerate(h)) % (1 << 64)], np.uint64)))
@@ -75,39 +105,40 @@ def shingle_sets(texts: list[bytes], words: WordHashes) -> list[np.ndarray]:
     return out
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
+def samples(shingles: np.ndarray, params: NearParams = DEFAULT) -> np.ndarray:
     """MinHash samples of a set."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SAMPLES, np.uint32(0xFFFFFFFF))
+    multiply, add, _ = _draws(params)
+    least = np.full(params.samples, np.uint32(0xFFFFFFFF))
     for at in range(0, len(low), 4096):
         part = low[at : at + 4096]
-        np.minimum(least, (_MULTIPLY[:, None] * part + _ADD[:, None]).min(1), out=least)
+        np.minimum(least, (multiply[:, None] * part + add[:, None]).min(1), out=least)
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray, params: NearParams = DEFAULT) -> np.ndarray:
     """One key for each band of samples."""
-    rows = least.astype(np.uint64).reshape(BANDS, ROWS)
-    return mix64((rows * _FOLD).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0]).view(np.int64)
+    rows = least.astype(np.uint64).reshape(params.bands, params.rows)
+    return mix64((rows * _draws(params)[2]).sum(1, dtype=np.uint64) + np.arange(1, params.bands + 1, dtype=np.uint64) * _MIX[0]).view(np.int64)
 
 
 def odd_sketch(least: np.ndarray) -> bytes:
     """Parities of the samples, folded into a bitmap."""
-    bits = mix64(least.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
+    bits = mix64(least.astype(np.uint64) + (np.arange(len(least), dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
     return np.packbits(np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, params: NearParams = DEFAULT) -> np.ndarray:
     """Similarity from pairs of sketches, given as rows of 64-bit words."""
     odd = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
     left = np.maximum(1 - 2 * odd / SKETCH_BITS, 1e-9)
-    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(left)
+    return 1 + SKETCH_BITS / (4 * params.samples) * np.log(left)
 
 
 _BASE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
 
 
-def sketch_documents(docs: DataFrame) -> DataFrame:
+def sketch_documents(docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame:
     """For each row: set size, key of the set, band keys and odd sketch (null for the empty set)."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
@@ -118,13 +149,13 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
             n, k1, k2, bands, sketches = [], [], [], [], []
-            for s in shingle_sets(texts, words):
+            for s in shingle_sets(texts, words, params.shingle):
                 n.append(len(s))
                 if len(s):
-                    least = samples(s)
+                    least = samples(s, params)
                     key = xxhash.xxh3_128_digest(s.tobytes())
                     a, b = np.frombuffer(key, np.int64).tolist()
-                    k1.append(a), k2.append(b), bands.append(band_keys(least)), sketches.append(odd_sketch(least))
+                    k1.append(a), k2.append(b), bands.append(band_keys(least, params)), sketches.append(odd_sketch(least))
                 else:
                     k1.append(None), k2.append(None), bands.append(None), sketches.append(None)
             yield pa.record_batch([pa.array(v, f.type) for v, f in zip((ids, n, k1, k2, bands, sketches), schema, strict=True)], schema=schema)
@@ -133,7 +164,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), raw.alias("raw")).mapInArrow(sketch, _BASE)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, shingle: int = DEFAULT.shingle) -> DataFrame:
     """Shingle sets of the wanted ids (doc_id and more columns), made anew from whole texts."""
     small = n_wanted <= BROADCAST_ROWS
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -144,13 +175,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = WordHashes()
         for t in batches:
-            yield pd.Series([s.tobytes() for s in shingle_sets(list(t), words)], dtype=object)
+            yield pd.Series([s.tobytes() for s in shingle_sets(list(t), words, shingle)], dtype=object)
 
     return picked.withColumn("shingles", shingles("raw")).drop("raw").dropDuplicates(["doc_id"])
 
 
 def confirmed_links(
-    sets: list[np.ndarray], bands: np.ndarray, sketches: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray
+    sets: list[np.ndarray], bands: np.ndarray, sketches: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray,
+    params: NearParams = DEFAULT,
 ) -> np.ndarray:
     """Links (i, j) that join what label holds apart, each confirmed on full sets, between left and right.
 
@@ -162,7 +194,7 @@ def confirmed_links(
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
         apart = label[rows][:, None] != label[right][None]
-        size_ok = 100 * np.minimum(n[rows][:, None], n[right]) >= THRESHOLD_PERCENT * np.maximum(n[rows][:, None], n[right])
+        size_ok = 100 * np.minimum(n[rows][:, None], n[right]) >= params.threshold_percent * np.maximum(n[rows][:, None], n[right])
         near = np.zeros_like(apart)
         for b in range(bands.shape[1]):
             near |= bands[rows, b][:, None] == bands[right, b]
@@ -171,8 +203,8 @@ def confirmed_links(
     i, j = np.concatenate(found, 1) if found else np.zeros((2, 0), int)
     i, j = np.minimum(i, j), np.maximum(i, j)
     i, j = np.unique(np.stack((i, j)), axis=1) if len(i) else (i, j)
-    guess = np.concatenate([estimate(sketches[i[a : a + 65536]], sketches[j[a : a + 65536]]) for a in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-    keep = guess >= THRESHOLD_PERCENT / 100 - MARGIN
+    guess = np.concatenate([estimate(sketches[i[a : a + 65536]], sketches[j[a : a + 65536]], params) for a in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+    keep = guess >= params.threshold_percent / 100 - params.margin
     order = np.argsort(-guess[keep], kind="stable")
     i, j = i[keep][order], j[keep][order]
     _, own = np.unique(label, return_inverse=True)
@@ -182,7 +214,7 @@ def confirmed_links(
         i, j = i[apart], j[apart]
         head_i, head_j, i, j = i[:batch], j[:batch], i[batch:], j[batch:]
         both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(head_i, head_j, strict=True)], int)
-        yes = 100 * both >= THRESHOLD_PERCENT * (n[head_i] + n[head_j] - both) if len(head_i) else np.zeros(0, bool)
+        yes = 100 * both >= params.threshold_percent * (n[head_i] + n[head_j] - both) if len(head_i) else np.zeros(0, bool)
         if yes.any():
             links.append(np.stack((head_i[yes], head_j[yes]), 1))
             own = local_components(own.max() + 1, own[head_i[yes]], own[head_j[yes]])[own]
@@ -201,29 +233,29 @@ def _edges(ids: np.ndarray, links: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[links[:, 0]], "b": ids[links[:, 1]]}, dtype="int64")
 
 
-def compare_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+def compare_groups(pdf: pd.DataFrame, params: NearParams = DEFAULT) -> pd.DataFrame:
     """Links within each group of a task, or (in a large group) of a chunk with itself and chunk 0."""
     out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
     for _, group in pdf.groupby("part", sort=False):
         sets, bands, sketches, ids = _unpacked(group)
         all_ = np.arange(len(ids))
-        out.append(_edges(ids, confirmed_links(sets, bands, sketches, all_, all_, all_)))
+        out.append(_edges(ids, confirmed_links(sets, bands, sketches, all_, all_, all_, params)))
     return pd.concat(out, ignore_index=True)
 
 
-def compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+def compare_blocks(pdf: pd.DataFrame, params: NearParams = DEFAULT) -> pd.DataFrame:
     """Links between the left rows (what is apart from the largest component) and the right rows of a block."""
     sets, bands, sketches, ids = _unpacked(pdf)
     side = pdf["left"].to_numpy()
     label = pdf["label"].to_numpy()
-    links = confirmed_links(sets, bands, sketches, label, np.flatnonzero(side), np.arange(len(ids)))
+    links = confirmed_links(sets, bands, sketches, label, np.flatnonzero(side), np.arange(len(ids)), params)
     return _edges(ids, links)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable), kept."""
     tune(spark)
-    base = materialize(spark, sketch_documents(docs), "near-base")
+    base = materialize(spark, sketch_documents(docs, params), "near-base")
     filled = base.where("n_shingles > 0")
     reps = filled.groupBy("k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
@@ -242,7 +274,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     members = members.join(reps.select(F.col("rep").alias("doc_id"), "bands", "sketch"), "doc_id")
     members = materialize(spark, members.coalesce(few), "near-members")
     wanted = members.select("doc_id", "component", "m")
-    sets = sets_of(docs, wanted, n_groups).join(members.select("doc_id", "bands", "sketch"), "doc_id")
+    sets = sets_of(docs, wanted, n_groups, params.shingle).join(members.select("doc_id", "bands", "sketch"), "doc_id")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     sets = sets.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     sets = materialize(spark, sets, "near-shingles")
@@ -257,7 +289,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "task", F.xxhash64("component", "part")
     )
     rows = small.unionByName(large).select("task", "part", "doc_id", "shingles", "bands", "sketch")
-    links = materialize(spark, rows.groupBy("task").applyInPandas(compare_groups, "a long, b long"), "near-links")
+    links = materialize(spark, rows.groupBy("task").applyInPandas(lambda pdf: compare_groups(pdf, params), "a long, b long"), "near-links")
 
     big = sets.where("chunks > 1")
     if not big.isEmpty():
@@ -276,7 +308,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         against = against.withColumn("j", F.col("chunk")).withColumn("left", F.lit(False))
         columns = ["component", "i", "j", "left", "doc_id", "label", "shingles", "bands", "sketch"]
         blocks = apart.select(columns).unionByName(against.select(columns))
-        more = blocks.groupBy("component", "i", "j").applyInPandas(compare_blocks, "a long, b long")
+        more = blocks.groupBy("component", "i", "j").applyInPandas(lambda pdf: compare_blocks(pdf, params), "a long, b long")
         links = materialize(spark, links.unionByName(more), "near-more")
 
     classes = components(spark, links, "near-classes")
