@@ -98,14 +98,41 @@ def train_threshold(train: DataFrame, dbar: float) -> tuple[DataFrame, DataFrame
 
 
 def whitening(train: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and a projection under which Euclidean distance is Mahalanobis distance."""
-    p = len(train.select(vector).first()[0])
-    sums = [F.avg(F.col(vector)[i]).alias(f"m{i}") for i in range(p)]
-    sums += [F.covar_samp(F.col(vector)[i], F.col(vector)[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = train.agg(*sums).first()
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    values, vectors = np.linalg.eigh(np.linalg.pinv(cov))
-    return np.array([row[f"m{i}"] for i in range(p)]), vectors * np.sqrt(np.maximum(values, 0))
+    """Mean and a projection under which Euclidean distance is Mahalanobis distance, from all components of complete rows.
+
+    Each partition sums its p x p moments about the mean with NumPy; the sums are added in one aggregation.
+    """
+    complete = train.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda c: c.isNull() | F.isnan(c))).select(F.col(vector).alias("v"))
+    mean, _ = training_moments(complete, "v")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((len(mean), len(mean))), 0
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch.v.to_numpy()) - mean
+                total, n = total + x.T @ x, n + len(x)
+        if n:
+            yield pd.DataFrame({"sums": [np.append(total.ravel(), n)]})
+
+    sums = complete.mapInPandas(moments, "sums array<double>").select(F.posexplode("sums").alias("i", "s"))
+    sums = np.array([r["s"] for r in sums.groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()])
+    cov = sums[:-1].reshape(len(mean), len(mean)) / max(sums[-1] - 1, 1) if len(sums) else np.zeros((len(mean), len(mean)))
+    # directions without variance go, at the tolerance of MASS::ginv
+    values, vectors = np.linalg.eigh(np.linalg.pinv(cov, rcond=np.sqrt(np.finfo(float).eps), hermitian=True))
+    return mean, vectors * np.sqrt(np.maximum(values, 0))
+
+
+def projected(df: DataFrame, vector: str, mean: np.ndarray, w: np.ndarray) -> DataFrame:
+    """Vectors less the mean, times the projection, as z; incomplete vectors become null."""
+
+    @F.pandas_udf("array<double>")
+    def project(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype=object)
+        full = [i for i, v in enumerate(vectors) if v is not None and not np.isnan(np.asarray(v, float)).any()]
+        if full:
+            z = (np.stack([np.asarray(vectors.iloc[i], float) for i in full]) - mean) @ w
+            for i, row in zip(full, z, strict=True):
+                out.iat[i] = row
+        return out
+
+    return df.withColumn("z", project(F.col(vector).cast("array<double>")))

@@ -171,14 +171,9 @@ def aoa_neighbours(spark, d):
 
 
 def aoa_mahalanobis(spark, d):
-    df = derived(spark, d, "train_new")
-    short = df.withColumn("v", F.transform(F.slice("embedding", 1, 8), lambda c: c.cast("double")))
-    train, new = short.where("part = 'train'"), short.where("part = 'new'")
-    mean, w = aoa.whitening(train, "v")
-    rows = [F.lit(0.0)] * 8
-    for j in range(8):
-        rows[j] = sum((F.col("v")[i] - float(mean[i])) * float(w[i, j]) for i in range(8))
-    z = lambda x: x.select("vec_id", "fold", F.array(*rows).alias("z"))
+    train, new = _aoa(spark, d)
+    mean, w = aoa.whitening(train, "z")
+    z = lambda x: aoa.projected(x, "z", mean, w).select("vec_id", "fold", "z")
     return aoa.dissimilarity(z(new), z(train), aoa.mean_distance(z(train))).select("vec_id", "di")
 
 
