@@ -4,8 +4,9 @@ Texts are normalised to lower-case words parted by single spaces. Every run of t
 of an item (or the whole item, if shorter) is a pattern; each text is scanned once and the matches'
 ends are mapped to word numbers, and from those to byte offsets of the original text.
 
-Benchmarks above ``chunk_bytes`` are cut into several automata, built and scanned one after another;
-the hits of each are merged into the same row, so the memory of a worker stays bounded.
+Benchmarks above ``chunk_bytes`` are cut into several automata. One function scans with all of them: a
+worker gathers texts up to ``BUFFER_BYTES``, builds one automaton at a time, scans the texts with it and
+merges the hits per row, so the plan does not grow with the benchmark, and a worker holds one automaton.
 
 Defined results: null and empty texts have no words and no hits; null or wordless items never match;
 repeated item ids count once; columns other than doc_id, text (item_id, text) are carried or ignored.
@@ -14,7 +15,7 @@ repeated item ids count once; columns other than doc_id, text (item_id, text) ar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,6 +28,8 @@ from .common import WORD_TABLE, tune
 WINDOW = 10
 #: Text of test items for one automaton; its states take about a thousand times as many bytes.
 CHUNK_BYTES = 200_000
+#: Texts that a worker gathers before it builds several automata, one after another.
+BUFFER_BYTES = 32 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -93,7 +96,7 @@ def byte_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, in
 _STATE = "n_words long, ranges array<struct<first:long,last:long>>, items array<string>"
 
 
-def benchmark_chunks(benchmark: DataFrame, chunk_bytes: int) -> list[list[tuple[str, bytes]]]:
+def benchmark_chunks(benchmark: DataFrame, chunk_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
     """Test items, brought to the driver one bounded chunk at a time and handed on as broadcasts."""
     items = benchmark.where("text is not null and item_id is not null").select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw")
@@ -105,22 +108,46 @@ def benchmark_chunks(benchmark: DataFrame, chunk_bytes: int) -> list[list[tuple[
         yield [(r["item"], bytes(r["raw"])) for r in part.toLocalIterator()]
 
 
-def _scanner(spark: SparkSession, chunk: list[tuple[str, bytes]], window: int):
-    """UDF that scans texts with the automaton of one chunk, built once per task."""
-    shared = spark.sparkContext.broadcast(chunk)
+def _buffers(batches: Iterator[pd.Series], most: int) -> Iterator[list[pd.Series]]:
+    """Batches, gathered until they hold that many bytes."""
+    held, size = [], 0
+    for texts in batches:
+        held.append(texts)
+        size += sum(len(t or b"") for t in texts)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _scanner(spark: SparkSession, chunks: Iterable[list[tuple[str, bytes]]], window: int):
+    """UDF that scans texts with the automaton of each chunk; that of a single chunk is built once per task."""
+    shared = [spark.sparkContext.broadcast(chunk) for chunk in chunks]
 
     @F.pandas_udf(_STATE)
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = build_automaton(shared.value, window)
-        for texts in batches:
-            rows = [scan(automaton, t) for t in texts]
-            yield pd.DataFrame(
-                {
-                    "n_words": [r[0] for r in rows],
-                    "ranges": [[{"first": a, "last": b} for a, b in r[1]] for r in rows],
-                    "items": [sorted(r[2]) for r in rows],
-                }
-            )
+        only = build_automaton(shared[0].value, window) if len(shared) == 1 else None
+        for held in _buffers(batches, 0 if only is not None else BUFFER_BYTES):
+            n_words, ranges, items = {}, {}, {}
+            for chunk in shared:
+                automaton = only if only is not None else build_automaton(chunk.value, window)
+                for k, texts in enumerate(held):
+                    for i, t in enumerate(texts):
+                        n_words[k, i], found, names = scan(automaton, t)
+                        if found:
+                            ranges[k, i] = merge([*ranges.get((k, i), []), *found])
+                            items[k, i] = names | items.get((k, i), set())
+                del automaton
+            for k, texts in enumerate(held):
+                at = [(k, i) for i in range(len(texts))]
+                yield pd.DataFrame(
+                    {
+                        "n_words": [n_words[x] for x in at],
+                        "ranges": [[{"first": a, "last": b} for a, b in ranges.get(x, [])] for x in at],
+                        "items": [sorted(items.get(x, ())) for x in at],
+                    }
+                )
 
     return hits
 
@@ -135,18 +162,7 @@ def find_contamination(
     """All columns of docs, and ``hit``: n_words, ranges of hit words, ids of items that occur."""
     tune(spark)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    state = None
-    for chunk in benchmark_chunks(benchmark, chunk_bytes):
-        new = _scanner(spark, chunk, window)(raw)
-        if state is None:
-            state = new
-        else:
-            state = F.struct(
-                new["n_words"].alias("n_words"),
-                F.concat(state["ranges"], new["ranges"]).alias("ranges"),
-                F.array_distinct(F.concat(state["items"], new["items"])).alias("items"),
-            )
-    return docs.withColumn("hit", state)
+    return docs.withColumn("hit", _scanner(spark, benchmark_chunks(benchmark, chunk_bytes), window)(raw))
 
 
 def hit_words(ranges: F.Column) -> F.Column:
