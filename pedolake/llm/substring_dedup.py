@@ -1,25 +1,27 @@
 """Exact removal of repeated substrings, by suffix arrays of shards.
 
-A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts elsewhere in the corpus,
+A byte goes if it is covered by a string of ``length`` bytes that also starts elsewhere in the corpus,
 the same document included; strings are judged on the input. Matches never cross documents.
 
-Three steps, each one exchange of sorted keys between blocks of documents and targets that sum them:
-
-1. Every window of LENGTH bytes picks its least-hashed run of ``GRAM`` bytes. A window can only repeat
-   if its pick repeats, so blocks ask how often their picks (and their whole texts) occur. Of whole
-   texts that occur more than once all bytes go, and one copy stays for comparison with others.
-2. What repeats by its picks is cut into shards. Each shard's suffix array (induced sorting) and
-   permuted common prefixes give its classes of equal windows; for each class the shard asks whether
-   other shards hold it too.
-3. Windows whose class has two members or more, here or anywhere, are removed.
-
-A class is one key per shard and a pick one per block, so a passage in every document burdens no task;
-blocks and shards are bounded by bytes. Keys of windows are 64 bits long and dealt to targets by a
-second, independent hash; the number of targets grows with the corpus.
-
-Defined results: null and empty texts, and those shorter than LENGTH, lose nothing (a null text counts
+1. Every window of length bytes picks its least-hashed run of ``GRAM`` bytes (the leftmost of equals), so
+   equal windows pick equal bytes. Neighbouring windows with one pick are a run; its span is all they
+   cover. Documents are packed into blocks, and Spark counts each block's distinct (pick, span) pairs.
+2. A pick that stands once repeats nowhere. Where all spans of a pick are equal, all its windows repeat.
+   What is left are picks with several spans: edges of passages and places near an edit.
+3. One copy of each such span goes to a shard with the other spans of its pick. The shard's suffix array
+   (induced sorting) and permuted common prefixes give its classes of equal windows; windows in a class
+   of two or more repeat. A pick of more than ``HOT`` spans is dealt over several shards, and a row for
+   each class of those tells which classes other shards hold too.
+4. Each block gets what holds for its pairs, and cuts its documents.
+
+A text is read once and kept compressed with its block; no row is made for each byte or window but in
+shards of hot picks. Blocks and shards are bounded by bytes; within a block a pair is one row, however
+many copies it has. A single text larger than a block is a block, and one larger than ``CHUNK`` is
+hashed in pieces. Picks and spans are told apart by 64 bits each of two hashes of different bytes.
+
+Defined results: null and empty texts, and those shorter than length, lose nothing (a null text counts
 as empty); repeated rows are copies of each other; columns other than doc_id and text are ignored
-unless named in ``carry``.
+unless named in ``carry``, and may have any name.
 """
 
 from __future__ import annotations
@@ -30,16 +32,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, pack, pack_sorted, tune, unpack, unpack_sorted
+from .common import materialize, mix64, pack, tune, unpack
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 64
-#: Bytes of text of a block, of a shard, and for each target; bytes hashed at once (a power of two).
-BLOCK_BYTES, SHARD_BYTES, TARGET_BYTES, CHUNK = 8 << 20, 4 << 20, 32 << 20, 1 << 20
+#: Bytes of text of a block and of a shard; bytes hashed at once (a power of two).
+BLOCK_BYTES, SHARD_BYTES, CHUNK = 6 << 20, 2 << 20, 1 << 20
+#: Spans of one pick that a shard takes; more are dealt over several.
+HOT = 2048
 #: Odd multipliers of the rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -120,70 +127,160 @@ def picks(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> pd.Data
     return pd.concat(out, ignore_index=True)
 
 
-def dealt(keys: np.ndarray, targets: int, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order of distinct keys by target and key, and where each target's share begins."""
-    target = (mix64((keys if by is None else by) ^ np.uint64(_BASES[1])) % np.uint64(targets)).astype(np.int64)
-    order = np.lexsort((keys, target))
-    return order, np.searchsorted(target[order], np.arange(targets + 1))
-
-
-def _text_keys(texts: list[bytes], length: int) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(t) if len(t) >= length else 0 for t in texts], np.uint64)
-
-
-class BlockKeys:
-    """Picks and whole texts of a block as sorted distinct keys."""
-
-    def __init__(self, texts: list[bytes], length: int, targets: int):
-        self.runs, self.texts = picks(texts, length), _text_keys(texts, length)
-        self.keys, self.n = np.unique(self.runs.key.to_numpy(), return_counts=True)
-        self.text_keys, self.text_n = np.unique(self.texts[self.texts > 0], return_counts=True)
-        self.order, self.cut = dealt(self.keys, targets)
-        self.text_order, self.text_cut = dealt(self.text_keys, targets)
-
-
-_ASK = "block long, target int, keys binary, many binary, texts binary, texts_many binary"
-_REPLY = "block long, target int, keys binary, texts binary"
-
-
-def ask(block: int, keys: BlockKeys, targets: int) -> pd.DataFrame:
-    """Keys for each target, with a flag for those that the block holds more than once."""
-    rows = []
-    for t in range(targets):
-        k, x = keys.order[keys.cut[t] : keys.cut[t + 1]], keys.text_order[keys.text_cut[t] : keys.text_cut[t + 1]]
-        if len(k) or len(x):
-            many, texts_many = np.packbits(keys.n[k] > 1).tobytes(), np.packbits(keys.text_n[x] > 1).tobytes()
-            rows.append((block, t, pack_sorted(keys.keys[k]), many, pack_sorted(keys.text_keys[x]), texts_many))
-    return pd.DataFrame(rows, columns=["block", "target", "keys", "many", "texts", "texts_many"])
+class Block:
+    """Texts of a block, one after another with a byte between, and its runs of windows with one pick."""
+
+    def __init__(self, texts: list[bytes], length: int):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.joined, self.starts = b"\0".join(texts), np.cumsum(sizes + 1) - sizes - 1
+        runs = picks(texts, length, min(GRAM, length))
+        self.first = (runs["first"].to_numpy() + self.starts[runs["text"].to_numpy()]).astype(np.int32)
+        self.n = runs["n"].to_numpy().astype(np.int32)
+        view = memoryview(self.joined)
+        digest = xxhash.xxh3_64_intdigest
+        ends = (self.first + self.n + (length - 1)).tolist()
+        spans = np.fromiter((digest(view[a:b]) for a, b in zip(self.first.tolist(), ends, strict=True)), np.uint64, len(ends))
+        key = runs["key"].to_numpy()
+        order = np.lexsort((spans, key))
+        key, spans = key[order], spans[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (spans[1:] != spans[:-1])
+        #: the block's distinct pairs, how often each stands, and the pair of each run
+        self.picks, self.spans = key[new].view(np.int64), spans[new].view(np.int64)
+        self.many = np.diff(np.append(np.flatnonzero(new), len(order))).astype(np.int32)
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(new) - 1
+
+
+def _blocks_schema(docs: DataFrame) -> tuple[str, list[str]]:
+    own = [f for f in docs.schema if f.name == "doc_id" or f.name.startswith("carry_")]
+    lists = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in own)
+    fixed = "block long, lengths array<long>, texts binary, first binary, n binary, pair binary, picks array<long>, spans array<long>, many array<int>"
+    return f"{lists}, {fixed}", [f.name for f in own]
+
+
+def coded_blocks(docs: DataFrame, length: int) -> DataFrame:
+    """One row per block: its documents' columns as arrays, its texts compressed, its runs and pairs."""
+    (schema, own), most = _blocks_schema(docs), BLOCK_BYTES
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def emit() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            texts = table.column("raw").to_pylist()
+            block = Block(texts, length)
+            one = lambda name: pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), table.column(name).combine_chunks())
+            many = lambda values, kind: pa.array([values], pa.list_(kind))
+            columns = {name: one(name) for name in own} | {
+                "block": pa.array([part << 32 | made], pa.int64()),
+                "lengths": many(np.array([len(t) for t in texts], np.int64), pa.int64()),
+                "texts": pa.array([zstandard.ZstdCompressor(level=3).compress(block.joined)], pa.binary()),
+                "first": pa.array([pack(block.first)], pa.binary()),
+                "n": pa.array([pack(block.n)], pa.binary()),
+                "pair": pa.array([pack(block.pair)], pa.binary()),
+                "picks": many(block.picks, pa.int64()),
+                "spans": many(block.spans, pa.int64()),
+                "many": many(block.many, pa.int32()),
+            }
+            return pa.RecordBatch.from_pydict(columns)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(batch.schema.get_field_index("raw")).nbytes
+            if size >= most:
+                yield emit()
+                made, held, size = made + 1, [], 0
+        if held:
+            yield emit()
+
+    return docs.mapInArrow(code, schema)
+
+
+def _texts_of(row: pa.Table) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(row.column("texts")[0].as_py())
+
+
+def _runs_of(row: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(unpack(row.column(c)[0].as_py(), np.int32) for c in ("first", "n", "pair"))
+
+
+def span_bytes(block: pa.Table, wanted: pa.Table, length: int) -> pa.Table:
+    """The bytes of a block's wanted pairs, from one run of each."""
+    columns = ["shard", "pick", "span", "hot"]
+    if not block.num_rows or not wanted.num_rows:
+        return wanted.select(columns).slice(0, 0).append_column("raw", pa.array([], pa.binary()))
+    joined, (first, n, pair) = _texts_of(block), _runs_of(block)
+    run = np.zeros(int(pair.max()) + 1, np.int32)
+    run[pair] = np.arange(len(pair), dtype=np.int32)
+    run = run[wanted.column("pair").to_numpy()]
+    ends = first[run] + n[run] + length - 1
+    raw = pa.array([joined[a:b] for a, b in zip(first[run].tolist(), ends.tolist(), strict=True)], pa.binary())
+    return wanted.select(columns).append_column("raw", raw)
 
 
-def _bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
-
-
-def repeated(keys: list[np.ndarray], many: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each asker and key: whether it occurs more than once anywhere, and whether this asker is the first."""
-    flat = np.concatenate(keys)
-    flags = np.concatenate([_bits(m, len(k)) for m, k in zip(many, keys, strict=True)])
-    _, first, at, n = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-    twice = (np.bincount(at, flags) + n)[at] > 1
-    own = np.zeros(len(flat), bool)
-    own[first] = True
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    return np.split(twice, cuts), np.split(own, cuts)
-
+class Shard:
+    """Spans of a shard, one after another with a separator behind each."""
+
+    def __init__(self, spans: list[bytes]):
+        sizes = np.array([len(x) for x in spans], np.int32)
+        ends = np.cumsum(sizes + 1, dtype=np.int32) - 1
+        self.starts = ends - sizes
+        self.text = np.frombuffer(b"".join(x + b"\0" for x in spans), np.uint8)
+        self.room = np.repeat(ends, sizes + 1) - np.arange(len(self.text), dtype=np.int32)
+        self.letters = self.text.astype(np.int16) + 1
+        self.letters[ends] = 0
 
-def reply(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One target's answer to every block; the first asker of a repeated text keeps it for comparison."""
-    pdf = pdf.sort_values("block")
-    twice, _ = repeated([unpack_sorted(b, np.uint64) for b in pdf["keys"]], list(pdf["many"]))
-    texts, own = repeated([unpack_sorted(b, np.uint64) for b in pdf["texts"]], list(pdf["texts_many"]))
-    return pd.DataFrame(
+    def classes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows in the order of the suffix array, and where a class of equal ones begins."""
+        order = suffix_array(self.letters, 257)
+        shared = common_prefixes(self.text, order, self.room, length)
+        order = order[self.room[order] >= length]
+        new = shared[order] < length
+        new[:1] = True
+        return order, new
+
+
+_VERDICT = "pick long, span long, gone array<int>, keys array<long>, at array<int>"
+
+
+def judge(table: pa.Table, length: int) -> pa.Table:
+    """For each span of a shard the windows (from, to) that repeat in it; for hot picks also a key per class.
+
+    ``at`` is the window of a class of one, which another shard may still hold, and -1 for others.
+    """
+    shard = Shard(table.column("raw").to_pylist())
+    order, new = shard.classes(length)
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(order)))
+    repeats = np.zeros(len(shard.text) + 1, np.int8)
+    repeats[order[np.repeat(n > 1, n)]] = 1
+    edges = np.diff(repeats, prepend=np.int8(0))
+    begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    owner = np.searchsorted(shard.starts, begin, "right") - 1
+    begin, end = begin - shard.starts[owner], end - shard.starts[owner]
+    cut = np.searchsorted(owner, np.arange(table.num_rows + 1))
+    both = np.stack((begin, end), 1).astype(np.int32)
+    gone = [both[a:b].ravel() for a, b in zip(cut, cut[1:])]
+    keys, places = [None] * table.num_rows, [None] * table.num_rows
+    hot = table.column("hot").to_numpy(zero_copy_only=False)
+    if hot.any():
+        window = order[first]
+        owner = np.searchsorted(shard.starts, window, "right") - 1
+        key = rolling(shard.text, length)[window].view(np.int64)
+        place = np.where(n > 1, -1, window - shard.starts[owner]).astype(np.int32)
+        turn = np.argsort(owner, kind="stable")
+        cut = np.searchsorted(owner[turn], np.arange(table.num_rows + 1))
+        for i in np.flatnonzero(hot).tolist():
+            own = turn[cut[i] : cut[i + 1]]
+            keys[i], places[i] = key[own], place[own]
+    return pa.table(
         {
-            "block": pdf["block"],
-            "target": pdf["target"],
-            "keys": [np.packbits(x).tobytes() for x in twice],
-            "texts": [np.packbits(np.concatenate((x, o))).tobytes() for x, o in zip(texts, own, strict=True)],
+            "pick": table.column("pick"),
+            "span": table.column("span"),
+            "gone": pa.array(gone, pa.list_(pa.int32())),
+            "keys": pa.array(keys, pa.list_(pa.int64())),
+            "at": pa.array(places, pa.list_(pa.int32())),
         }
     )
 
@@ -194,174 +291,105 @@ def spans_of(covered: np.ndarray) -> np.ndarray:
     return np.stack((np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)), 1)
 
 
-def cover(n: int, first: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """Bytes of a text of n bytes that the given runs of windows cover."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, first + windows + length - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-_PICKED = "shard long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, raw binary, regions array<long>"
-
-
-def pick_regions(docs: pd.DataFrame, replies: pd.DataFrame, length: int, targets: int, keep_text: bool) -> pd.DataFrame:
-    """What a block's replies settle: results of texts that cannot repeat or are copies; else regions to compare."""
-    texts, block = [bytes(t) for t in docs["raw"]], int(docs["block"].iloc[0])
-    keys = BlockKeys(texts, length, targets)
-    twice, copied, own = np.zeros(len(keys.keys), bool), *np.zeros((2, len(keys.text_keys)), bool)
-    for t, k, x in zip(replies["target"], replies["keys"], replies["texts"], strict=True):
-        at, text_at = keys.order[keys.cut[t] : keys.cut[t + 1]], keys.text_order[keys.text_cut[t] : keys.text_cut[t + 1]]
-        twice[at] = _bits(k, len(at))
-        both = _bits(x, 2 * len(text_at))
-        copied[text_at], own[text_at] = both[: len(text_at)], both[len(text_at) :]
-    runs = keys.runs[twice[np.searchsorted(keys.keys, keys.runs.key.to_numpy())]]
-    by_text = {d: g for d, g in runs.groupby("text")}
-    rows, shard, held, kept_here = [], block << 20, 0, set()
-    for d, text in enumerate(texts):
-        key, n, regions = keys.texts[d], len(text), None
-        place = np.searchsorted(keys.text_keys, key) if key else 0
-        is_copy = bool(key) and bool(copied[place])
-        if is_copy:
-            regions = [0, n] if own[place] and key not in kept_here else None
-            kept_here.add(key)
-        elif d in by_text:
-            g = by_text[d]
-            regions = spans_of(cover(n, g["first"].to_numpy(), g["n"].to_numpy(), length)).ravel().tolist()
-        left = b"" if is_copy else text
-        done = (n - len(left), int(is_copy), hashlib.sha256(left).hexdigest())
-        if regions:
-            if held > SHARD_BYTES:
-                shard, held = shard + 1, 0
-            held += sum(regions[1::2]) - sum(regions[::2])
-        rows.append(
-            (
-                shard if regions else None,
-                n,
-                *(done if is_copy or not regions else (None, None, None)),
-                text if regions else left if keep_text else None,
-                regions,
-            )
-        )
-    names = ["shard", "n_bytes", "n_removed", "n_spans", "kept_sha256", "raw", "regions"]
-    out = pd.DataFrame(rows, columns=names).astype({"shard": "Int64", "n_removed": "Int64", "n_spans": "Int64"})
-    return pd.concat([docs.drop(columns=["block", "raw"]).reset_index(drop=True), out], axis=1)
-
-
-class Shard:
-    """Regions of a shard's texts, one after another, with a separator behind each."""
-
-    def __init__(self, texts: list[bytes], regions: list[np.ndarray], length: int):
-        self.parts = [(d, a, b) for d, r in enumerate(regions) for a, b in np.asarray(r).reshape(-1, 2).tolist()]
-        joined = b"".join(texts[d][a:b] + b"\0" for d, a, b in self.parts)
-        self.text = np.frombuffer(joined, np.uint8)
-        ends = np.cumsum([b - a + 1 for _, a, b in self.parts]) - 1
-        self.starts = ends - np.array([b - a for _, a, b in self.parts])
-        self.room = np.repeat(ends, np.diff(np.append(self.starts, len(self.text)))) - np.arange(len(self.text))
-        self.windows = np.flatnonzero(self.room >= length)
-        self.letters = self.text.astype(np.int16) + 1
-        self.letters[ends] = 0
-        self.key = rolling(self.text, length)[self.windows]
-        self.by = rolling(self.text, length, _BASES[1])[self.windows]
-
-    def classes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """One window of each class of equal windows, as its place among the windows, and the class sizes."""
-        order = suffix_array(self.letters, 257)
-        shared = common_prefixes(self.text, order, self.room, length)
-        order = order[self.room[order] >= length]
-        new = shared[order] < length
-        new[:1] = True
-        at = np.flatnonzero(new)
-        return np.searchsorted(self.windows, order[at]), np.diff(np.append(at, len(order)))
-
-
-def ask_classes(pdf: pd.DataFrame, length: int, targets: int) -> pd.DataFrame:
-    """Class keys of a shard for each target, from its suffix array."""
-    shard = Shard([bytes(t) for t in pdf["raw"]], list(pdf["regions"]), length)
-    one, n = shard.classes(length)
-    keys, first = np.unique(shard.key[one], return_index=True)
-    order, cut = dealt(keys, targets, shard.by[one][first])
-    rows = []
-    for t in range(targets):
-        k = order[cut[t] : cut[t + 1]]
-        if len(k):
-            rows.append((int(pdf["shard"].iloc[0]), t, pack_sorted(keys[k]), np.packbits(n[first][k] > 1).tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "target", "keys", "many"])
-
-
-def reply_classes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which classes have two members or more over all shards."""
-    twice, _ = repeated([unpack_sorted(b, np.uint64) for b in pdf["keys"]], list(pdf["many"]))
-    return pd.DataFrame({"shard": pdf["shard"], "target": pdf["target"], "keys": [np.packbits(x).tobytes() for x in twice]})
-
-
-def remove(pdf: pd.DataFrame, replies: pd.DataFrame, length: int, targets: int, keep_text: bool) -> pd.DataFrame:
-    """Results of a shard's texts, from the replies to its classes."""
-    texts, regions = [bytes(t) for t in pdf["raw"]], list(pdf["regions"])
-    shard = Shard(texts, regions, length)
-    keys, first, at = np.unique(shard.key, return_index=True, return_inverse=True)
-    order, cut = dealt(keys, targets, shard.by[first])
-    twice = np.zeros(len(keys), bool)
-    for t, bits in zip(replies["target"], replies["keys"], strict=True):
-        k = order[cut[t] : cut[t + 1]]
-        twice[k] = _bits(bits, len(k))
-    gone = shard.windows[twice[at]]
-    part = np.searchsorted(shard.starts, gone, "right") - 1
-    base = np.array([a for _, a, _ in shard.parts]) - shard.starts
-    owner, places = np.array([d for d, _, _ in shard.parts])[part], gone + base[part]
-    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    rows = []
-    for d, text in enumerate(texts):
-        if pd.notna(pdf["n_removed"].iloc[d]):  # a copy, which is settled
-            rows.append((pdf["n_removed"].iloc[d], pdf["n_spans"].iloc[d], pdf["kept_sha256"].iloc[d], b"" if keep_text else None))
-            continue
-        own = places[cuts[d] : cuts[d + 1]]
-        covered = cover(len(text), own, np.ones(len(own), int), length)
-        kept = np.frombuffer(text, np.uint8)[~covered].tobytes()
-        rows.append((int(covered.sum()), len(spans_of(covered)), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-    out = pdf.drop(columns=["shard", "regions"]).copy()
-    out[["n_removed", "n_spans", "kept_sha256", "raw"]] = pd.DataFrame(rows, index=out.index, dtype=object)
-    return out
+def cut_block(block: pa.Table, told: pa.Table, length: int, own: list[str], keep_text: bool) -> pa.Table:
+    """Results of a block's documents, from what is told of its pairs (gone: null means every window)."""
+    if not block.num_rows:
+        raise ValueError("told of a block that is not there")
+    joined, (first, n, pair) = _texts_of(block), _runs_of(block)
+    edge = np.zeros(len(joined) + 1, np.int32)
+    if told.num_rows:
+        gone, pairs = told.column("gone").combine_chunks(), told.column("pair").to_numpy()
+        whole = np.zeros(int(pair.max()) + 1, bool)
+        whole[pairs[gone.is_null().to_numpy(zero_copy_only=False)]] = True
+        runs = np.flatnonzero(whole[pair])
+        np.add.at(edge, first[runs], 1)
+        np.add.at(edge, first[runs] + n[runs] + (length - 1), -1)
+        turn = np.argsort(pair, kind="stable")
+        sorted_pair = pair[turn]
+        for p, windows in zip(pairs.tolist(), gone, strict=True):
+            for run in turn[np.searchsorted(sorted_pair, p) : np.searchsorted(sorted_pair, p, "right")] if windows.is_valid and len(windows) else ():
+                ends = np.asarray(windows.values, np.int32).reshape(-1, 2) + first[run]
+                np.add.at(edge, ends[:, 0], 1)
+                np.add.at(edge, ends[:, 1] + (length - 1), -1)
+    covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    del edge
+    begins = spans_of(covered)[:, 0]
+    lengths = block.column("lengths").combine_chunks().flatten().to_numpy()
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    n_spans = np.searchsorted(begins, starts + lengths) - np.searchsorted(begins, starts)
+    data, removed, digests, left = np.frombuffer(joined, np.uint8), [], [], []
+    for at, size, spans in zip(starts.tolist(), lengths.tolist(), n_spans.tolist(), strict=True):
+        kept = joined[at : at + size]
+        if spans:
+            kept = data[at : at + size][~covered[at : at + size]].tobytes()
+        removed.append(size - len(kept))
+        digests.append(hashlib.sha256(kept).hexdigest())
+        left.append(kept if keep_text else None)
+    columns = {name: block.column(name).combine_chunks().flatten() for name in own} | {
+        "n_bytes": pa.array(lengths, pa.int64()),
+        "n_removed": pa.array(removed, pa.int64()),
+        "n_spans": pa.array(n_spans, pa.int64()),
+        "kept_sha256": pa.array(digests, pa.string()),
+        "raw": pa.array(left, pa.binary()),
+    }
+    return pa.table(columns)
+
+
+def told_windows(spark: SparkSession, blocks: DataFrame, length: int) -> DataFrame:
+    """Rows (block, pair, gone) of the pairs that repeat: gone are their windows (from, to), null for all."""
+    pairs = blocks.select("block", F.posexplode(F.arrays_zip("picks", "spans", "many")).alias("pair", "x")).select(
+        "block", "pair", F.col("x.picks").alias("pick"), F.col("x.spans").alias("span"), F.col("x.many").alias("many")
+    )
+    # a pick that stands once is gone from here on
+    again = pairs.groupBy("pick").agg(F.sum("many").alias("n"), (F.min("span") != F.max("span")).alias("mixed"))
+    again = materialize(spark, again.where("n > 1").select("pick", "mixed"), "repeats-picks")
+    repeats = materialize(spark, pairs.join(again, "pick"), "repeats-pairs")
+    mixed = repeats.where("mixed").select("block", "pair", "pick", "span", "many")
+    spans = mixed.groupBy("pick", "span").agg(F.sum("many").alias("n"), F.min(F.struct("block", "pair")).alias("one"))
+    spans = materialize(spark, spans, "repeats-spans")
+    of_pick = spans.groupBy("pick").agg(F.count(F.lit(1)).alias("m"))
+    n_spans = spans.count()
+    shards = max(24, -(-n_spans * int(1.4 * length) // SHARD_BYTES))
+    hot = F.col("m") > HOT
+    salt = F.pmod(F.xxhash64("span"), F.ceil(F.col("m") / HOT))
+    # shards of hot picks have negative numbers of their own
+    shard = F.when(hot, -1 - F.abs(F.shiftright(F.xxhash64("pick", salt), 1))).otherwise(F.pmod(F.xxhash64("pick"), F.lit(shards)))
+    wanted = spans.join(of_pick, "pick").select("one.block", "one.pair", "pick", "span", shard.cast("long").alias("shard"), hot.alias("hot"))
+    raw = wanted.groupBy("block").cogroup(blocks.select("block", "texts", "first", "n", "pair").groupBy("block"))
+    raw = raw.applyInArrow(lambda w, b: span_bytes(b, w, length), "shard long, pick long, span long, hot boolean, raw binary")
+    verdicts = materialize(spark, raw.groupBy("shard").applyInArrow(lambda t: judge(t, length), _VERDICT), "repeats-verdicts")
+    classes = verdicts.where("keys is not null").select("pick", "span", F.explode(F.arrays_zip("keys", "at")).alias("x"))
+    classes = classes.select("pick", "span", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
+    shared = classes.groupBy("pick", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    more = classes.where("at >= 0").join(shared, ["pick", "key"]).groupBy("pick", "span").agg(F.collect_list("at").alias("more"))
+    windows = F.concat("gone", F.flatten(F.transform(F.coalesce("more", F.array().cast("array<int>")), lambda w: F.array(w, w + 1))))
+    told = spans.select("pick", "span", "n").join(verdicts.join(more, ["pick", "span"], "left"), ["pick", "span"], "left")
+    told = told.select("pick", "span", F.when(F.col("n") == 1, windows).alias("gone")).where("gone is null or size(gone) > 0")
+    whole = repeats.where("not mixed").select("block", "pair", F.lit(None).cast("array<int>").alias("gone"))
+    return whole.unionByName(mixed.join(told, ["pick", "span"]).select("block", "pair", "gone"))
 
 
 def remove_repeats(
     spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep_text: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns of carry, and
-    raw, what is left of the bytes (null unless keep_text)."""
+    raw, what is left of the bytes (null unless keep_text). length may be 8 to a quarter of CHUNK."""
+    if not 8 <= length <= CHUNK // 4:
+        raise ValueError(f"length must be 8 to {CHUNK // 4}")
     tune(spark)
-    n_bytes = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    blocks, targets = max(48, -(-n_bytes // BLOCK_BYTES)), max(48, -(-n_bytes // TARGET_BYTES))
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select("doc_id", *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], raw.alias("raw"))
-    base = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(blocks)))
-    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name == "doc_id" or f.name[:6] == "carry_")
-
-    def asks(pdf: pd.DataFrame) -> pd.DataFrame:
-        return ask(int(pdf["block"].iloc[0]), BlockKeys([bytes(t) for t in pdf["raw"]], length, targets), targets)
-
-    def regions(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        return pick_regions(pdf, replies, length, targets, keep_text)
-
-    told = base.groupBy("block").applyInPandas(asks, _ASK).groupBy("target").applyInPandas(reply, _REPLY)
-    picked = base.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(regions, f"{own}, {_PICKED}")
-    picked = materialize(spark, picked, "repeats-picked")
-    open_ = picked.where("shard is not null")
-    told = (
-        open_.select("shard", "raw", "regions")
-        .groupBy("shard")
-        .applyInPandas(lambda p: ask_classes(p, length, targets), "shard long, target int, keys binary, many binary")
-        .groupBy("target")
-        .applyInPandas(reply_classes, "shard long, target int, keys binary")
-    )
-    told = materialize(spark, told, "repeats-classes")
+    blocks = materialize(spark, coded_blocks(base, length), "repeats-blocks")
+    told = told_windows(spark, blocks, length)
+    own = [f for f in base.schema if f.name != "raw"]
+    names, schema = [f.name for f in own], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
     done = (
-        open_.groupBy("shard")
-        .cogroup(told.groupBy("shard"))
-        .applyInPandas(
-            lambda p, r: remove(p, r, length, targets, keep_text),
-            f"{own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, raw binary",
+        blocks.select("block", "lengths", "texts", "first", "n", "pair", *names)
+        .groupBy("block")
+        .cogroup(told.groupBy("block"))
+        .applyInArrow(
+            lambda b, t: cut_block(b, t, length, names, keep_text),
+            f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, raw binary",
         )
     )
-    every = picked.where("shard is null").drop("shard", "regions").unionByName(done)
-    return every.withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
+    return done.withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
