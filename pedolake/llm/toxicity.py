@@ -3,12 +3,14 @@
 A document is its set of hashed terms: lower-cased words of letters and digits, and the beginnings of
 longer words, so that an inflected form is known by its stem. The machine scores
 ``w0 + sum_i w_i + sum_{i<j} <v_i, v_j>`` over that set, so pairs of terms add to what terms weigh
-alone. It is fitted on a bounded sample of labelled rows (``ToxicityParams.fit_rows``, the rows with
-the least hash of their id); the score is then computed for every whole text, in one scan.
+alone. The fitted terms are those that tell the labels apart by themselves, and those that do so in a
+pair beyond what both say alone (an exclusive-or, say), looked for among the most varied terms. The
+machine is fitted on a bounded sample of labelled rows (``ToxicityParams.fit_rows``, by least hash);
+the score is then computed for every whole text, in one scan.
 
 Defined results: a null or empty text, or one without fitted terms, gets the score of ``w0`` alone;
 with no labelled rows at all the score is 0 and nothing is predicted toxic. Repeated rows get equal
-scores. Columns beside ``doc_id`` and ``text`` are carried along untouched.
+scores. Columns beside ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ from .common import WORD_TABLE, remainder, tune
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """fit_rows bounds the labelled sample, terms the fitted hashed terms, buckets the hash range."""
+    """fit_rows bounds the labelled sample, terms and paired the fitted hashed terms (by themselves, for pairs),
+    varied the terms whose pairs are looked at, buckets the hash range."""
 
-    fit_rows: int = 12_000
+    fit_rows: int = 20_000
     terms: int = 1024
+    varied: int = 1024
+    paired: int = 256
+    pair_deviate: float = 5.5
     buckets: int = 1 << 22
     rank: int = 8
     min_rows: int = 5
@@ -73,6 +79,31 @@ def hashed_terms(text: bytes | None, buckets: int) -> set[int]:
     return {zlib.crc32(w) % buckets for w in words}
 
 
+def _matrix(sets: list[np.ndarray], terms: np.ndarray, buckets: int) -> np.ndarray:
+    """1 where a set (row) holds a term (column)."""
+    place = np.full(buckets, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    x = np.zeros((len(sets), len(terms)), np.uint8)
+    for row, own in zip(x, sets, strict=True):
+        at = place[own]
+        row[at[at >= 0]] = 1
+    return x
+
+
+def pair_deviates(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray:
+    """For each pair of terms: how far its positive rows are from what both terms' own rates add up to."""
+    both, hits = (np.zeros((x.shape[1], x.shape[1]), np.float32) for _ in range(2))
+    for at in range(0, len(x), 1024):
+        part = x[at : at + 1024].astype(np.float32)
+        both += part.T @ part
+        hits += part.T @ (part * y[at : at + 1024, None])
+    rate = np.diag(hits) / np.maximum(np.diag(both), 1)
+    expected = both * np.clip(rate[:, None] + rate[None] - prior, 0, 1)
+    z = np.abs(hits - expected) / np.sqrt(both * prior * (1 - prior) + 1.0)
+    np.fill_diagonal(z, 0)
+    return z
+
+
 def fit_machine(sets: list[np.ndarray], labels: np.ndarray, params: ToxicityParams) -> FactorizationMachine:
     """Fits the machine on term sets and 0/1 labels by minibatch AdaGrad on the logistic loss."""
     y = np.asarray(labels, np.float32)
@@ -90,12 +121,11 @@ def fit_machine(sets: list[np.ndarray], labels: np.ndarray, params: ToxicityPara
     z = np.abs(hits - n * prior) / np.sqrt(n * prior * (1 - prior) + 1.0)
     order = np.lexsort((seen, -z))[: params.terms]
     order = order[z[order] >= params.min_deviate]
-    place = np.full(params.buckets, -1, np.int32)
-    place[seen[order]] = np.arange(len(order))
-    x = np.zeros((len(sets), len(order)), np.uint8)
-    for row, terms in zip(x, sets, strict=True):
-        at = place[terms]
-        row[at[at >= 0]] = 1
+    varied = np.lexsort((seen, -n * (len(y) - n)))[: params.varied]
+    beyond = pair_deviates(_matrix(sets, seen[varied], params.buckets), y, prior).max(1, initial=0)
+    telling = np.lexsort((seen[varied], -beyond))[: params.paired]
+    order = np.concatenate((order, np.setdiff1d(varied[telling[beyond[telling] >= params.pair_deviate]], order)))
+    x = _matrix(sets, seen[order], params.buckets)
     rng = np.random.default_rng(params.seed)
     w = np.zeros(len(order), np.float32)
     v = rng.normal(0, 0.01, (len(order), params.rank)).astype(np.float32)
@@ -130,7 +160,8 @@ def fit_toxicity(
     """Learns from labelled rows (doc_id, toxic) whose id's crc32 modulo 5 is not 0.
 
     At most ``fit_rows`` labelled rows are taken, those with the least hash of their id; their ids are
-    joined to the texts as a broadcast of that proven size.
+    joined to the texts as a broadcast of that proven size. Where ids repeat, so many of the joined rows
+    are taken, those with the least hash of id and text.
     """
     tune(spark)
     taken = (
@@ -149,9 +180,9 @@ def fit_toxicity(
     sample = (
         docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
         .join(F.broadcast(taken), "doc_id")
-        .select("doc_id", "toxic", terms_of("raw").alias("terms"))
-        .orderBy("doc_id", "terms")
-        .limit(2 * params.fit_rows)
+        .select(F.xxhash64("doc_id", "raw").alias("turn"), "toxic", terms_of("raw").alias("terms"))
+        .orderBy("turn", "toxic")
+        .limit(params.fit_rows)
         .select("terms", "toxic")
     )
     rows = sample.collect()
