@@ -1,77 +1,71 @@
 """Benchmark decontamination by an Aho-Corasick automaton over normalised test items.
 
-Texts are normalised to lower-case words parted by single spaces. Every run of ten consecutive words
-of an item (or the whole item, if shorter) is a pattern; each text is scanned once and the matches'
-ends are mapped to word numbers, and from those to byte offsets of the original text.
+Texts are normalised to lower-case words. Every run of ten consecutive words of an item (or the whole
+item, if shorter) is a pattern, as a sequence of word numbers; words that no item holds are number 0.
+Each text is scanned once, as its sequence of numbers; a match's end is a word of the text, and words
+are mapped to byte offsets of the original text.
 
-Benchmarks above ``chunk_bytes`` are cut into several automata. One function scans with all of them: a
-worker gathers texts up to ``BUFFER_BYTES``, builds one automaton at a time, scans the texts with it and
-merges the hits per row, so the plan does not grow with the benchmark, and a worker holds one automaton.
+There is one automaton for all items of up to ``chunk_bytes`` of text; a worker keeps it from task to
+task. Larger benchmarks are cut into several: a worker gathers texts up to ``BUFFER_BYTES``, builds one
+automaton at a time, scans the texts with it and merges the hits per row, so the plan does not grow
+with the benchmark, and a worker holds one automaton.
 
 Defined results: null and empty texts have no words and no hits; null or wordless items never match;
-repeated item ids count once; columns other than doc_id, text (item_id, text) are carried or ignored.
+repeated item ids count once; repeated rows get equal results. Other columns of docs are carried, but
+for one of the name of the result column, which is replaced (pass another ``column`` to keep it).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import ahocorasick
-import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, tune
+from .common import WORD_TABLE, tune, worker_holds
 
 WINDOW = 10
-#: Text of test items for one automaton; its states take about a thousand times as many bytes.
-CHUNK_BYTES = 200_000
+#: Text of test items for one automaton; its states take about a hundred times as many bytes.
+CHUNK_BYTES = 1_000_000
 #: Texts that a worker gathers before it builds several automata, one after another.
 BUFFER_BYTES = 32 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def windows_of(text: bytes | None, window: int = WINDOW) -> set[bytes]:
-    """Normalised windows of an item."""
-    words = (text or b"").translate(WORD_TABLE).split()
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
-
-
-def build_automaton(items: list[tuple[str, bytes | None]], window: int = WINDOW):
-    """Automaton whose values are (number of words, ids of the items that hold the window)."""
-    owners: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for w in windows_of(text, window):
-            owners.setdefault(w, set()).add(item)
-    automaton = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(ids))))
-    if len(automaton):
-        automaton.make_automaton()
-    return automaton
-
-
-def scan(automaton, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, hit word ranges [from, to) merged and ascending, and items that occur."""
-    words = (text or b"").translate(WORD_TABLE).split()
-    if not words or not len(automaton):
-        return len(words), [], set()
-    joined = b" " + b" ".join(words) + b" "
-    found = list(automaton.iter(joined.decode("latin-1")))
-    if not found:
-        return len(words), [], set()
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    last = np.searchsorted(gaps, [end for end, _ in found])  # words that end before this gap
-    items: set[str] = set()
-    ranges = []
-    for k, (_, (n, ids)) in zip(last.tolist(), found, strict=True):
-        items.update(ids)
-        ranges.append((k - n, k))
-    return len(words), merge(ranges), items
+class Matcher:
+    """One automaton over the windows of some items, on word numbers."""
+
+    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
+        self.numbers: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            words = (text or b"").translate(WORD_TABLE).split()
+            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
+            for i in range(max(1, len(ids) - window + 1) if ids else 0):
+                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, names in owners.items():
+            self.automaton.add_word(w, (len(w), tuple(sorted(names))))
+        self.patterns = len(owners)
+        if owners:
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, hit word ranges [from, to) merged and ascending, and items that occur."""
+        words = (text or b"").translate(WORD_TABLE).split()
+        items: set[str] = set()
+        if not words or not self.patterns:
+            return len(words), [], items
+        ranges = []
+        for last, (n, names) in self.automaton.iter(tuple(map(self.numbers.get, words, repeat(0)))):
+            items.update(names)
+            ranges.append((last + 1 - n, last + 1))
+        return len(words), merge(ranges), items
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -124,21 +118,22 @@ def _buffers(batches: Iterator[pd.Series], most: int) -> Iterator[list[pd.Series
 def _scanner(spark: SparkSession, chunks: Iterable[list[tuple[str, bytes]]], window: int):
     """UDF that scans texts with the automaton of each chunk; that of a single chunk is built once per task."""
     shared = [spark.sparkContext.broadcast(chunk) for chunk in chunks]
+    key = ("matcher", window, xxhash.xxh3_64_intdigest(repr([sorted(c.value) for c in shared]).encode()))
 
     @F.pandas_udf(_STATE)
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        only = build_automaton(shared[0].value, window) if len(shared) == 1 else None
+        only = worker_holds(key, lambda: Matcher(shared[0].value, window)) if len(shared) == 1 else None
         for held in _buffers(batches, 0 if only is not None else BUFFER_BYTES):
             n_words, ranges, items = {}, {}, {}
             for chunk in shared:
-                automaton = only if only is not None else build_automaton(chunk.value, window)
+                matcher = only if only is not None else Matcher(chunk.value, window)
                 for k, texts in enumerate(held):
                     for i, t in enumerate(texts):
-                        n_words[k, i], found, names = scan(automaton, t)
+                        n_words[k, i], found, names = matcher.scan(t)
                         if found:
                             ranges[k, i] = merge([*ranges.get((k, i), []), *found])
                             items[k, i] = names | items.get((k, i), set())
-                del automaton
+                del matcher
             for k, texts in enumerate(held):
                 at = [(k, i) for i in range(len(texts))]
                 yield pd.DataFrame(
@@ -158,11 +153,12 @@ def find_contamination(
     benchmark: DataFrame,
     window: int = WINDOW,
     chunk_bytes: int = CHUNK_BYTES,
+    column: str = "hit",
 ) -> DataFrame:
-    """All columns of docs, and ``hit``: n_words, ranges of hit words, ids of items that occur."""
+    """All columns of docs, and ``column``: n_words, ranges of hit words, ids of items that occur."""
     tune(spark)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.withColumn("hit", _scanner(spark, benchmark_chunks(benchmark, chunk_bytes), window)(raw))
+    return docs.withColumn(column, _scanner(spark, benchmark_chunks(benchmark, chunk_bytes), window)(raw))
 
 
 def hit_words(ranges: F.Column) -> F.Column:
