@@ -1,14 +1,16 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 Each shard owns several points of a 64-bit ring; a document belongs to the first point clockwise of
-its own hash (of doc_id and the text's checksum). Every shard has a bound on its rows, and documents that find a shard full continue
-clockwise to the next point whose shard has room. The bounds are the floor and the ceiling of rows
-over shards, so counts are at most one apart (law ``rows``).
+its own hash (of doc_id and the text's checksum), a point included. Every shard has a bound on its
+rows, and documents that find a shard full continue clockwise to the next point whose shard has room.
+The bounds are the floor and the ceiling of rows over shards, so counts are at most one apart (law
+``rows``). With one shard more, rows move to it and, where bounds shift, along the ring; with
+``POINTS`` points a shard the shares of the arcs differ little, so few rows overflow.
 
-Spark counts the rows of each arc between two points; the walk along the ring runs on those counts
-(points are a fixed number, so their size does not grow with the data) and yields, for each arc, which
-ranks go to which shard from which slot. The rank of a row within its arc is then all a row needs.
-[JVM functions only: no Python code touches a row.]
+The ring is cut at every point and at ``CELLS`` even places. Spark counts the rows of each cut; the walk
+along the ring runs on those counts (cuts are a fixed number, so they do not grow with the data) and
+yields, for each cut, which ranks go to which shard from which slot. The rank of a row within its cut
+is then all a row needs. [JVM functions only: no Python code touches a row.]
 
 Defined results: a null text has size 8 and the checksum of the empty text; rows that agree in doc_id
 and text are interchangeable; null ids hash as nulls; an empty table gives no rows.
@@ -16,15 +18,14 @@ and text are interchangeable; null ids hash as nulls; an empty table gives no ro
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SHARDS, POINTS = 24, 64
-#: Sub-arcs of an arc: ranks are found in each and shifted by the counts before it.
-CELLS = 1 << 14
+SHARDS, POINTS = 24, 256
+#: Even parts of the ring, besides the cuts at its points; ranks are found in each and shifted by the counts before it.
+CELL_BITS = 14
 
 
 def ring_points(spark: SparkSession, shards: int, points: int) -> list[tuple[int, int]]:
@@ -65,16 +66,24 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS,
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("at"),
     )
-    # the ring is cut into equal cells; a cell belongs to the first point after it, and rows only need their cell
-    cell = F.shiftrightunsigned(F.col("at").bitwiseXOR(F.lit(-(1 << 63))), 50).cast("int")
-    keyed = keyed.withColumn("cell", cell)
-    starts = [at + (1 << 63) for at, _ in nodes]
-    arc_of = [bisect_left(starts, (c + 1) << 50) % arcs for c in range(CELLS)]
-    n_cell = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a row's cut: its even part of the ring, and how many points of that part are before it
+    shift, by_cell = 64 - CELL_BITS, {}
+    for at, _ in nodes:
+        by_cell.setdefault((at + (1 << 63)) >> shift, []).append(at)
+    before, parts = 0, []
+    for c in range(1 << CELL_BITS):
+        parts.append((c, before, by_cell.get(c, [])))
+        before += len(by_cell.get(c, []))
+    first_arc = {c: n for c, n, _ in parts}
+    inside = F.broadcast(spark.createDataFrame([(c, p) for c, _, p in parts], "cell int, points array<long>"))
+    keyed = keyed.withColumn("cell", F.shiftrightunsigned(F.col("at").bitwiseXOR(F.lit(-(1 << 63))), shift).cast("int")).join(inside, "cell")
+    keyed = keyed.withColumn("sub", F.size(F.filter("points", lambda p: p < F.col("at")))).drop("points")
+    n_cut = {(r["cell"], r["sub"]): r["n"] for r in keyed.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n")).collect()}
+    arc_of = {(c, k): (first_arc[c] + k) % arcs for c, k in n_cut}
     counts, base = [0] * arcs, {}
-    for c in sorted(n_cell):
-        base[c] = counts[arc_of[c]]
-        counts[arc_of[c]] += n_cell[c]
+    for cut in sorted(n_cut):
+        base[cut] = counts[arc_of[cut]]
+        counts[arc_of[cut]] += n_cut[cut]
     total = sum(counts)
     room = [total // shards + (s < total % shards) for s in range(shards)]
     filled, plan = [0] * shards, []
@@ -85,18 +94,18 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS,
     for p in plan:
         by_arc.setdefault(p[0], []).append(p)
     segments = []
-    for c, before in base.items():
-        for arc, lo, hi, shard, slot in by_arc[arc_of[c]]:
-            a, b = max(lo, before), min(hi, before + n_cell[c])
+    for cut, before in base.items():
+        for _, lo, hi, shard, slot in by_arc[arc_of[cut]]:
+            a, b = max(lo, before), min(hi, before + n_cut[cut])
             if a < b:
-                segments.append((c, a - before, b - before, shard, slot + a - lo))
-    table = spark.createDataFrame(segments, "cell int, lo long, hi long, shard int, first_slot long")
-    table = table.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard", "first_slot"))).alias("parts"))
-    order = Window.partitionBy("cell").orderBy("at", "doc_id", "text_crc32", "size")
+                segments.append((*cut, a - before, b - before, shard, slot + a - lo))
+    table = spark.createDataFrame(segments, "cell int, sub int, lo long, hi long, shard int, first_slot long")
+    table = table.groupBy("cell", "sub").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard", "first_slot"))).alias("parts"))
+    order = Window.partitionBy("cell", "sub").orderBy("at", "doc_id", "text_crc32", "size")
     ranked = keyed.withColumn("rank", F.row_number().over(order).cast("long") - 1)
     part = F.filter("parts", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"]))[0]
     return (
-        ranked.join(F.broadcast(table), "cell")
+        ranked.join(F.broadcast(table), ["cell", "sub"])
         .withColumn("part", part)
         .select(
             "doc_id",
