@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer for frequent words.
 
 Frequent words are counted over the whole corpus, their ids are found by exact merging, and they are
-compiled into a minimal acyclic automaton whose states share suffixes; each state knows how many words
-it leads to, so a walk also gives the word's number, which points to its ids. The automaton is one
-block of bytes: it is broadcast, written once per worker to a temporary file and memory-mapped. Words
-that it does not hold are merged exactly, and remembered in a table of bounded size.
+compiled into a minimal acyclic automaton whose states share suffixes; each arc knows how many words
+come before those below it, so a walk also gives the word's number, which points to its ids. The
+automaton is broadcast as one block of bytes; each worker lays its arcs out by state and byte in a
+temporary file, maps that, and keeps it for later tasks. The distinct pieces of some texts walk through
+it side by side, a byte at a time; pieces that it does not hold are merged exactly, and remembered in
+a table whose bytes are bounded. Decoding goes from ids to bytes, piece by piece of the vocabulary.
 
 Defined results: null and empty texts encode to no ids and decode to the empty text; special strings
 inside a text become their own id, as the tokenizers library does by default. Repeated rows get equal
@@ -19,22 +21,25 @@ import json
 import mmap
 import os
 import tempfile
-from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import materialize, tune, worker_holds
 from .token_counts import SPACE, byte_letters
 
-#: Words of the lexicon, entries of a worker's memo, and longest text piece that either holds.
-LEXICON, MEMO, LONGEST = 32_768, 400_000, 64
+#: Words of the lexicon, bytes of a worker's memo, and longest text piece that either holds.
+LEXICON, MEMO_BYTES, LONGEST = 32_768, 192 << 20, 64
+#: Characters of texts that are encoded together; what an entry of the memo takes beside its letters and ids.
+GROUP_CHARS, ENTRY_BYTES = 1 << 19, 200
 _PIECE = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
@@ -156,104 +161,127 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """Reads a compiled lexicon from any buffer, a memory map included."""
+    """Reads a compiled lexicon; its arcs are laid out by state and kind of byte in a memory-mapped table."""
 
-    def __init__(self, buffer):
-        whole = memoryview(buffer).cast("B").cast("i")
-        self.root, at, parts = whole[0], 8, []
+    def __init__(self, compiled: bytes):
+        whole = np.frombuffer(compiled, np.int32)
+        self.root, at, parts = int(whole[0]), 8, []
         for n in whole[1:8].tolist():
             parts.append(whole[at : at + n])
             at += n
-        self.first, self.final, self.labels, self.targets, self.skips, self.ends, self.ids = parts
+        first, self.final, labels, self.targets, self.skips, ends, ids = parts
+        used = np.unique(labels)
+        self.kind, self.width = np.zeros(256, np.int32), len(used) + 1
+        self.kind[used] = np.arange(1, self.width)
+        arcs = np.zeros(max(1, len(self.final) * self.width), np.int32)
+        state = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        arcs[state * self.width + self.kind[labels]] = np.arange(1, len(labels) + 1)
+        with tempfile.TemporaryFile() as f:
+            f.write(arcs.tobytes())
+            f.flush()
+            self.arcs = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
+        cuts, ids = ends.tolist(), ids.tolist()
+        #: ids of each word, by its number
+        self.outputs = [tuple(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Number of each word, -1 for those that are not held; all walk side by side."""
+        size = np.array([len(w) for w in words], np.int64)
+        data, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        state, number, out = np.full(len(words), self.root), np.zeros(len(words), np.int32), np.full(len(words), -1, np.int32)
+        alive, k = np.flatnonzero(size <= LONGEST), 0
+        while len(alive):
+            done = alive[size[alive] == k]
+            done = done[self.final[state[done]] > 0]
+            out[done] = number[done]
+            alive = alive[size[alive] > k]
+            arc = self.arcs[state[alive] * self.width + self.kind[data[at[alive] + k]]]
+            alive, arc = alive[arc > 0], arc[arc > 0] - 1
+            number[alive] += self.skips[arc]
+            state[alive] = self.targets[arc]
+            k += 1
+        return out
 
     def find(self, word: bytes) -> list[int] | None:
         """Ids of a word, or None if the lexicon does not hold it."""
-        state, number = self.root, 0
-        first, labels, targets, skips = self.first, self.labels, self.targets, self.skips
-        for b in word:
-            lo, hi = first[state], first[state + 1]
-            k = bisect_left(labels, b, lo, hi)
-            if k == hi or labels[k] != b:
-                return None
-            number += skips[k]
-            state = targets[k]
-        if not self.final[state]:
-            return None
-        return self.ids[self.ends[number] : self.ends[number + 1]].tolist()
+        number = int(self.numbers([word])[0])
+        return None if number < 0 else list(self.outputs[number])
 
 
 class Codec:
-    """Encodes and decodes whole texts; what it has merged is remembered, to a bound."""
-
-    def __init__(self, path: str, lexicon: Lexicon | None = None, memo: int = MEMO):
-        self.merger, self.lexicon, self.limit = Merger(path), lexicon, memo
-        self.known: dict[str, bytes] = {}
-        #: pieces that the lexicon holds; they stay when the rest is forgotten
-        self.frequent: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of a piece, in decimal, joined by commas."""
-        raw = piece.encode()
-        ids = self.lexicon.find(raw) if self.lexicon and len(raw) <= LONGEST else None
-        if ids is None:
-            return ",".join(map(str, self.merger.merge(raw))).encode()
-        self.frequent[piece] = run = ",".join(map(str, ids)).encode()
-        return run
-
-    def encode(self, text: str) -> list[bytes]:
-        """Ids of a text, as comma-joined runs: one for each piece."""
+    """Encodes and decodes whole texts; what it has merged is remembered, to a bound of bytes."""
+
+    def __init__(self, path: str, lexicon: Lexicon, memo_bytes: int = MEMO_BYTES):
+        self.merger, self.lexicon, self.limit, self.held = Merger(path), lexicon, memo_bytes, 0
+        #: ids of pieces that the lexicon does not hold
+        self.known: dict[str, tuple[int, ...]] = {}
+        n = max(self.merger.bytes_of) + 1
+        #: bytes that each id stands for, and its decimal digits
+        self.bytes_of = [self.merger.bytes_of.get(i, b"") for i in range(n)]
+        self.digits = [str(i).encode() for i in range(n)]
+
+    def merged(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece that is not in the lexicon."""
+        ids = tuple(self.merger.merge(piece.encode()))
+        if len(piece) <= LONGEST:
+            self.held += ENTRY_BYTES + len(piece) + 8 * len(ids)
+            if self.held > self.limit:
+                self.known, self.held = {}, 0
+            self.known[piece] = ids
+        return ids
+
+    def table(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of each of some distinct pieces."""
+        each, outputs = list(pieces), self.lexicon.outputs
+        out = {}
+        for piece, number in zip(each, self.lexicon.numbers([p.encode() for p in each]).tolist(), strict=True):
+            out[piece] = outputs[number] if number >= 0 else self.known.get(piece) or self.merged(piece)
+        return out
+
+    def parts(self, text: str) -> list[str | int]:
+        """Pieces of a text; ids in place of special strings."""
         special = self.merger.special_at
         if special is None or "<|" not in text:
-            return self.plain(text)
+            return _PIECE.findall(text)
         out, at = [], 0
         for m in special.finditer(text):
-            out += self.plain(text[at : m.start()])
-            out.append(str(self.merger.special[m[0]]).encode())
+            out += _PIECE.findall(text[at : m.start()])
+            out.append(self.merger.special[m[0]])
             at = m.end()
-        return out + self.plain(text[at:])
-
-    def plain(self, text: str) -> list[bytes]:
-        pieces = _PIECE.findall(text)
-        known = self.known
-        missing = set(pieces).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                known.update(self.frequent)
-                missing = set(pieces).difference(known)
-            for p in missing:
-                known[p] = self.piece(p)
-        out = list(map(known.__getitem__, pieces))
-        for p in missing:
-            if len(p) > LONGEST:
-                del known[p]
-        return out
-
-    def decode(self, runs: list[bytes]) -> bytes:
+        return out + _PIECE.findall(text[at:])
+
+    def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of each text."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                yield from self._encode(group)
+                group, size = [], 0
+        yield from self._encode(group)
+
+    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+        parts = [self.parts(t) for t in texts]
+        distinct = set().union(*parts)
+        special = {x for x in distinct if isinstance(x, int)}
+        ids = self.table(distinct - special) | {x: (x,) for x in special}
+        for p in parts:
+            yield list(chain.from_iterable(map(ids.__getitem__, p)))
+
+    def decode(self, ids: list[int]) -> bytes:
         """Bytes of the text that the ids stand for."""
-        known, bytes_of = self.decoded, self.merger.bytes_of
-        missing = set(runs).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = set(runs)
-            for r in missing:
-                known[r] = b"".join(bytes_of[int(i)] for i in r.split(b","))
-        out = b"".join(map(known.__getitem__, runs))
-        for r in missing:
-            if len(r) > 8 * LONGEST:
-                del known[r]
-        return out.decode("utf-8", "replace").encode()
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").encode()
+
+    def decimal(self, ids: list[int]) -> bytes:
+        """Ids in decimal, joined by commas."""
+        return b",".join(map(self.digits.__getitem__, ids))
 
 
 def open_codec(path: str, lexicon: bytes) -> Codec:
-    """A codec whose lexicon is mapped from a temporary file of this worker; all it holds goes with it."""
-    with tempfile.TemporaryFile() as f:
-        f.write(lexicon)
-        f.flush()
-        mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    return Codec(path, Lexicon(mapped))
+    """This worker's codec for a vocabulary and a compiled lexicon."""
+    key = ("codec", path, xxhash.xxh3_64_intdigest(lexicon))
+    return worker_holds(key, lambda: Codec(path, Lexicon(lexicon)))
 
 
 def frequent_words(spark: SparkSession, docs: DataFrame, size: int = LEXICON) -> list[str]:
@@ -319,17 +347,8 @@ def round_trip(spark: SparkSession, text: Column, vocabulary: str, lexicon: byte
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = open_codec(vocabulary, shared.value)
         for texts in batches:
-            rows = []
-            for t in texts:
-                runs = own.encode(t)
-                ids = b",".join(runs)
-                rows.append(
-                    (
-                        ids.count(b",") + 1 if runs else 0,
-                        hashlib.sha256(ids).hexdigest(),
-                        hashlib.sha256(own.decode(runs)).hexdigest(),
-                    )
-                )
+            sha = lambda raw: hashlib.sha256(raw).hexdigest()
+            rows = [(len(ids), sha(own.decimal(ids)), sha(own.decode(ids))) for ids in own.encode(texts)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return code(F.coalesce(text, F.lit("")))
@@ -343,7 +362,7 @@ def encode_ids(spark: SparkSession, text: Column, vocabulary: str, lexicon: byte
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = open_codec(vocabulary, shared.value)
         for texts in batches:
-            yield texts.map(lambda t: [int(i) for run in own.encode(t) for i in run.split(b",")])
+            yield pd.Series(list(own.encode(texts)), dtype=object)
 
     return code(F.coalesce(text, F.lit("")))
 
@@ -356,7 +375,7 @@ def decode_ids(spark: SparkSession, ids: Column, vocabulary: str, lexicon: bytes
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = open_codec(vocabulary, shared.value)
         for rows in batches:
-            yield rows.map(lambda r: own.decode([str(i).encode() for i in r]).decode())
+            yield rows.map(lambda r: own.decode(r).decode())
 
     return text(ids)
 

@@ -17,9 +17,12 @@ first compared with itself and with chunk 0; what is then still apart from the l
 compared, in blocks, with the rest of the group. No pair of all rows is ever emitted, no group is
 gathered in one task, and no candidate is dropped for its group's size.
 
+Equal sets are a node with a number of its own; ids only name the rows and the classes, so they may repeat.
+
 Defined results: null, empty and wordless texts have the empty set and link with nothing; a text of
-fewer words than a shingle is one shingle; repeated rows are copies. Columns other than doc_id and text are
-ignored.
+fewer words than a shingle is one shingle; repeated rows are copies, and rows that share an id are
+rows of their own. A null id is below none: a class is named by its least id that is not null. Columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, components, local_components, materialize, mix64, tune
+from .common import LOWER_TABLE, components, local_components, materialize, mix64, tune, worker_holds
 
 SKETCH_BITS = 1024
-#: Estimates this far below the threshold are dropped: five standard deviations of 180 samples.
-MARGIN = 0.135
+#: Pairs whose estimate is this far below the threshold are not checked: eight standard deviations of 180
+#: samples and their sketch, so that a link is passed over with probability below 1e-14.
+MARGIN = 0.22
 
 
 @dataclass(frozen=True)
@@ -135,19 +139,25 @@ def estimate(a: np.ndarray, b: np.ndarray, params: NearParams = DEFAULT) -> np.n
     return 1 + SKETCH_BITS / (4 * params.samples) * np.log(left)
 
 
-_BASE = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
+_BASE = "doc_id long, t long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """Id, text as bytes, and a hash of the text; id and hash tell rows of different texts apart."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw")).withColumn("t", F.xxhash64("raw"))
 
 
 def sketch_documents(docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame:
-    """For each row: set size, key of the set, band keys and odd sketch (null for the empty set)."""
+    """For each row: hash of the text, set size, key of the set, band keys and odd sketch (null for the empty set)."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
+        [("doc_id", pa.int64()), ("t", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
     )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = worker_holds(("words",), WordHashes)
         for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
+            ids, texts, hashes = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             n, k1, k2, bands, sketches = [], [], [], [], []
             for s in shingle_sets(texts, words, params.shingle):
                 n.append(len(s))
@@ -158,26 +168,26 @@ def sketch_documents(docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame
                     k1.append(a), k2.append(b), bands.append(band_keys(least, params)), sketches.append(odd_sketch(least))
                 else:
                     k1.append(None), k2.append(None), bands.append(None), sketches.append(None)
-            yield pa.record_batch([pa.array(v, f.type) for v, f in zip((ids, n, k1, k2, bands, sketches), schema, strict=True)], schema=schema)
+            made = [pa.array(v, f.type) for v, f in zip((n, k1, k2, bands, sketches), list(schema)[2:], strict=True)]
+            yield pa.record_batch([ids, hashes, *made], schema=schema)
 
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long"), raw.alias("raw")).mapInArrow(sketch, _BASE)
+    return rows_of(docs).mapInArrow(sketch, _BASE)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, shingle: int = DEFAULT.shingle) -> DataFrame:
-    """Shingle sets of the wanted ids (doc_id and more columns), made anew from whole texts."""
+    """Shingle sets of the wanted nodes (node, doc_id, t), made anew from the whole text of one row of each."""
     small = n_wanted <= BROADCAST_ROWS
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
-    picked = texts.join(F.broadcast(wanted) if small else wanted, "doc_id")
+    texts, wanted = rows_of(docs).alias("d"), wanted.alias("w")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.t") == F.col("w.t"))
+    picked = texts.join(F.broadcast(wanted) if small else wanted, same).select("node", "raw").dropDuplicates(["node"])
 
     @F.pandas_udf("binary")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = WordHashes()
+        words = worker_holds(("words",), WordHashes)
         for t in batches:
             yield pd.Series([s.tobytes() for s in shingle_sets(list(t), words, shingle)], dtype=object)
 
-    return picked.withColumn("shingles", shingles("raw")).drop("raw").dropDuplicates(["doc_id"])
+    return picked.select("node", shingles("raw").alias("shingles"))
 
 
 def confirmed_links(
@@ -226,7 +236,7 @@ def _unpacked(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     sets = [np.frombuffer(b, np.uint64) for b in pdf["shingles"]]
     bands = np.stack([np.asarray(b, np.int64) for b in pdf["bands"]])
     sketches = np.stack([np.frombuffer(b, np.uint64) for b in pdf["sketch"]])
-    return sets, bands, sketches, pdf["doc_id"].to_numpy()
+    return sets, bands, sketches, pdf["node"].to_numpy()
 
 
 def _edges(ids: np.ndarray, links: np.ndarray) -> pd.DataFrame:
@@ -252,31 +262,30 @@ def compare_blocks(pdf: pd.DataFrame, params: NearParams = DEFAULT) -> pd.DataFr
     return _edges(ids, links)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least id reachable), kept."""
+def near_classes(spark: SparkSession, docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame:
+    """One row per document: doc_id, t (hash of the text), n_shingles, class (null for the empty set), least (its least id)."""
     tune(spark)
     base = materialize(spark, sketch_documents(docs, params), "near-base")
     filled = base.where("n_shingles > 0")
     reps = filled.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "t")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
-    reps = materialize(spark, reps, "near-sets")
-    in_band = reps.select("rep", F.explode("bands").alias("band"))
-    shared = in_band.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    reps = materialize(spark, reps.withColumn("node", F.monotonically_increasing_id()), "near-sets")
+    in_band = reps.select("node", F.explode("bands").alias("band"))
+    shared = in_band.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = materialize(spark, shared, "near-bands")
-    stars = in_band.join(shared, "band").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    stars = in_band.join(shared, "band").select(F.col("node").alias("a"), F.col("first").alias("b"))
     groups = materialize(spark, components(spark, stars, "near-groups"), "near-groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     n_groups = groups.count()
     few = max(8, n_groups // 50_000)  # tasks for what has one row per candidate
     sized = materialize(spark, sizes.coalesce(few), "near-sizes")
-    members = groups.join(sized, "component").withColumnRenamed("node", "doc_id")
-    members = members.join(reps.select(F.col("rep").alias("doc_id"), "bands", "sketch"), "doc_id")
+    members = groups.join(sized, "component").join(reps.select("node", "row.doc_id", "row.t", "bands", "sketch"), "node")
     members = materialize(spark, members.coalesce(few), "near-members")
-    wanted = members.select("doc_id", "component", "m")
-    sets = sets_of(docs, wanted, n_groups, params.shingle).join(members.select("doc_id", "bands", "sketch"), "doc_id")
+    sets = sets_of(docs, members.select("node", "doc_id", "t"), n_groups, params.shingle)
+    sets = sets.join(members.select("node", "component", "m", "bands", "sketch"), "node")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    sets = sets.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    sets = sets.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     sets = materialize(spark, sets, "near-shingles")
 
     # small groups share tasks; of a large one, chunk 0 goes to every task and each other chunk to one
@@ -288,13 +297,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = D
     large = sets.where("chunks > 1").withColumn("part", F.explode(parts.cast("array<bigint>"))).withColumn(
         "task", F.xxhash64("component", "part")
     )
-    rows = small.unionByName(large).select("task", "part", "doc_id", "shingles", "bands", "sketch")
+    rows = small.unionByName(large).select("task", "part", "node", "shingles", "bands", "sketch")
     links = materialize(spark, rows.groupBy("task").applyInPandas(lambda pdf: compare_groups(pdf, params), "a long, b long"), "near-links")
 
     big = sets.where("chunks > 1")
     if not big.isEmpty():
-        found = components(spark, links, "near-first").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label")
-        big = big.join(found, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        found = components(spark, links, "near-first").withColumnRenamed("component", "label")
+        big = big.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
         big = materialize(spark, big, "near-big")
         count = big.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
         main = count.groupBy("component").agg(
@@ -302,19 +311,46 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = D
         )
         main = materialize(spark, main.where("others > 0"), "near-main")
         rest = big.join(main, "component").withColumn("left_chunks", F.ceil(F.col("others") / CHUNK).cast("int"))
-        apart = rest.where("label <> main").withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("left_chunks")).cast("int"))
+        apart = rest.where("label <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("left_chunks")).cast("int"))
         apart = apart.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("left", F.lit(True))
         against = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("left_chunks") - 1)))
         against = against.withColumn("j", F.col("chunk")).withColumn("left", F.lit(False))
-        columns = ["component", "i", "j", "left", "doc_id", "label", "shingles", "bands", "sketch"]
+        columns = ["component", "i", "j", "left", "node", "label", "shingles", "bands", "sketch"]
         blocks = apart.select(columns).unionByName(against.select(columns))
         more = blocks.groupBy("component", "i", "j").applyInPandas(lambda pdf: compare_blocks(pdf, params), "a long, b long")
         links = materialize(spark, links.unionByName(more), "near-more")
 
     classes = components(spark, links, "near-classes")
-    of_set = reps.select("k1", "k2", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    of_set = of_set.select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    of_set = materialize(spark, of_set, "near-sets-classes")
-    out = base.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    of_set = reps.select("k1", "k2", "node", "least").join(classes, "node", "left")
+    of_set = materialize(spark, of_set.select("k1", "k2", "least", F.coalesce("component", "node").alias("class")), "near-sets-classes")
+    of_class = of_set.groupBy("class").agg(F.min("least").alias("least"))
+    of_set = of_set.select("k1", "k2", "class").join(of_class, "class")
+    return base.select("doc_id", "t", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left").drop("k1", "k2")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least id reachable), kept."""
+    out = near_classes(spark, docs, params)
+    out = out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame:
+    """All columns of docs, one row of each class: that of the least id (nulls first), of texts under one id
+    that of the least hash; rows of the empty set all stay."""
+    classes = materialize(spark, near_classes(spark, docs, params).where("class is not null").select("class", "doc_id", "t"), "near-rows")
+    pairs = classes.groupBy("class", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    pairs = materialize(spark, pairs, "near-pairs")
+    best = pairs.groupBy("class").agg(F.min(F.struct("doc_id", "t", "n")).alias("best"))
+    pairs = pairs.join(best, "class").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t") == F.col("best.t")))
+    settled = pairs.select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), "stays", "n").where("not stays or n > 1")
+    settled = materialize(spark, settled, "near-settled")
+    gone, copies = settled.where("not stays"), settled.where("stays")
+    keyed = docs.withColumn("gone_key", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("gone_key") == F.col("gone_t"))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    left = keyed.join(small(gone), same, "left_anti")
+    if not copies.isEmpty():  # equal rows: one of them stays
+        copies = small(copies)
+        left = left.join(copies, same, "left_anti").unionByName(left.join(copies, same, "left_semi").dropDuplicates(["doc_id", "gone_key"]))
+    return left.drop("gone_key")

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import tune, worker_holds
 
 #: Entries of a worker's table of remembered words.
 MEMO = 1_500_000
@@ -141,23 +141,13 @@ class WordEndCounter:
         return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
 
 
-_LOADED: dict[str, WordEndCounter] = {}
-
-
-def counter(path: str) -> WordEndCounter:
-    """The counter of this worker, which outlives a task."""
-    if path not in _LOADED:
-        _LOADED[path] = WordEndCounter(path)
-    return _LOADED[path]
-
-
 def token_count(spark: SparkSession, text: Column, vocabulary: str) -> Column:
     """Tokens of each whole text; vocabulary is a path that every executor can open."""
     tune(spark)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = counter(vocabulary)
+        own = worker_holds(("counter", vocabulary), lambda: WordEndCounter(vocabulary))
         for texts in batches:
             yield pd.Series([own.count(t) for t in texts], dtype="int64")
 
