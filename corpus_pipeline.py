@@ -25,11 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates, the one of the least id."""
-    classes = near_dedup.near_duplicates(spark, docs, NEAR)
-    gone = materialize(spark, classes.where("not kept").select("doc_id").distinct(), "pipeline-gone")
-    small = gone.count() <= near_dedup.BROADCAST_ROWS
-    return docs.select(DOCUMENT).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(DOCUMENT)
+    """Keeps one document of each class of near duplicates, the one of the least id; texts without words all stay."""
+    return near_dedup.one_of_each(spark, docs.select(DOCUMENT), NEAR).select(DOCUMENT)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
