@@ -1,17 +1,21 @@
 """Language-model scores by deleted interpolation of n-gram maximum-likelihood estimates.
 
 A text is its lower-cased words and one end; the end also stands before the first word. The model mixes
-the bigram estimate c(v,w)/c(v), the unigram estimate c(w)/N and the uniform 1/(V+1). The weights
-depend on the bucket (power of two) of the context's count c(v); they are learned by expectation-
-maximisation on counts of a tenth of the training documents, against estimates from the other nine
-tenths. Scores then use the counts of all training documents.
-
-How it is laid out: documents are encoded in blocks of a few million tokens. Each block asks for the
-counts of its distinct words and bigrams, as sorted hashes dealt to targets by hash; each target sums
-the counts of all blocks and answers every block in the block's own order; each block then scores its
-documents with the answers. A frequent word is one key per block, so no key gathers many rows, and
-what is gathered grows with the distinct n-grams of the input. Word keys are 64 bits long; bigram keys
-40 bits within a target, whose number grows with the corpus.
+the trigram estimate c(u,v,w)/c(u,v), the bigram estimate c(v,w)/c(v), the unigram estimate c(w)/N and
+the uniform 1/(V+1); the first word of a text, which has no word before the end, takes its bigram
+estimate for its trigram estimate. The weights depend on the bucket (power of two) of the context's
+count: that of (u,v) where the pair was seen, else that of v. They are learned by expectation-
+maximisation on a tenth of the training documents, against estimates from the other nine tenths. Scores
+then use the counts of all training documents.
+
+How it is laid out: documents are encoded in blocks of some million tokens. Each block asks for the
+counts of its distinct words, pairs and triples, as sorted hashes dealt to targets by hash; each target
+sums the counts of all blocks and answers every block in the block's own order; each block then scores
+its documents with the answers. A frequent word is one key per block, so no key gathers many rows, and
+what is gathered grows with the distinct n-grams of the input. Word keys are 64 bits long; those of
+pairs and triples 48 bits within a target, whose number grows with the corpus. The rounds of the
+expectation-maximisation read the estimates of the tuning tokens where they lie and add up shares by
+bucket; only those sums come to the driver.
 
 Defined results: a null or empty text is one end; without training documents every count is 0 and
 base_score and score are 0 for each token. Repeated rows are scored alike and each counts in training.
@@ -33,18 +37,22 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, materialize, mix64, pack, pack_sorted, remainder, tune, unpack, unpack_sorted
 
 #: Tokens of a block, and bytes of text for each target of the count exchange.
-BLOCK_TOKENS, TARGET_BYTES = 2_000_000, 5_000_000
+BLOCK_TOKENS, TARGET_BYTES = 1_500_000, 5_000_000
 #: Remainders of crc32(doc_id) modulo 10: not trained on, and used for the weights.
 HELD_OUT, TUNING = 0, 1
 BUCKETS = 40
-_SALT = np.uint64(0x9E3779B97F4A7C15)
-_BIGRAM_BITS = np.uint64(24)
-
-_ENCODED = (
-    "block long, tuning boolean, target int, words binary, word_n binary, pairs binary, pair_n binary,"
-    " doc_ids array<long>, lengths array<int>, rems array<int>, tokens binary, hashes binary"
+#: Rounds of expectation-maximisation at most, and the change of a weight at which they end.
+ROUNDS, SETTLED = 40, 1e-4
+_SALT, _SALT3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SHORT = np.uint64(16)
+GRAMS = ("words", "pairs", "triples")
+
+_TOKENS = "block long, tuning boolean, doc_ids array<long>, lengths array<int>, rems array<int>, tokens binary, hashes binary"
+_ASK = "block long, tuning boolean, target int, words binary, words_n binary, pairs binary, pairs_n binary, triples binary, triples_n binary"
+_ANSWER = (
+    "block long, target int, words binary, pairs binary, triples binary,"
+    " words_rest binary, pairs_rest binary, triples_rest binary, v_all long, v_rest long"
 )
-_ANSWER = "block long, target int, words binary, pairs binary, words_rest binary, pairs_rest binary, v_all long, v_rest long"
 
 
 def targets_for(n_bytes: int) -> int:
@@ -52,72 +60,77 @@ def targets_for(n_bytes: int) -> int:
     return max(48, -(-n_bytes // TARGET_BYTES))
 
 
-class Block:
-    """Distinct words and bigrams of a block, ordered by target and key, and where each token points."""
+class Keys:
+    """Distinct n-grams of a block in the order of target and key, and which of them each token is."""
+
+    def __init__(self, key: np.ndarray, target: np.ndarray, at: np.ndarray):
+        order = np.lexsort((key, target)).astype(np.int32)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.key, self.target, self.at = key[order], target[order], place[at]
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(codes, return_inverse=True)
+    return codes, at.astype(np.int32)
+
 
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, targets: int):
-        self.ids, self.prev = ids, np.concatenate((np.zeros(1, ids.dtype), ids[:-1]))
-        pairs, self.pair_at = np.unique(self.prev.astype(np.int64) << 32 | ids, return_inverse=True)
-        mixed = mix64(hashes[pairs >> 32] * _SALT + mix64(hashes[pairs & 0xFFFFFFFF]))
-        self.pair_key, self.pair_target = mixed >> _BIGRAM_BITS, (mix64(mixed) % np.uint64(targets)).astype(np.int32)
-        self.word_key, self.word_target = hashes, (mix64(hashes ^ _SALT) % np.uint64(targets)).astype(np.int32)
-        self.word_order = np.lexsort((self.word_key, self.word_target))
-        self.pair_order = np.lexsort((self.pair_key, self.pair_target))
+class Block:
+    """A block's words, pairs and triples; starts are the places of its texts' first tokens."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, targets: int):
+        self.first = np.zeros(len(ids), bool)
+        self.first[starts] = True
+        before = np.concatenate((np.zeros(1, ids.dtype), ids[:-1]))
+        dealt = lambda mixed: (mix64(mixed ^ _SALT) % np.uint64(targets)).astype(np.int32)
+        self.words = Keys(hashes, dealt(hashes), ids)
+        codes, at = _distinct(before.astype(np.int64) << 32 | ids)
+        mixed = mix64(hashes[codes >> 32] * _SALT + mix64(hashes[codes & 0xFFFFFFFF]))
+        self.pairs = Keys(mixed >> _SHORT, dealt(mixed), at)
+        # the pair before each token; none before a first one, which asks for no triple
+        inner = np.flatnonzero(~self.first)
+        triples, of = _distinct(at[inner - 1].astype(np.int64) << 32 | ids[inner])
+        mixed = mix64(mixed[triples >> 32] * _SALT3 + mix64(hashes[triples & 0xFFFFFFFF]))
+        self.triples, self.inner = Keys(mixed >> _SHORT, dealt(mixed), of), inner
+        #: the word before each token; the end, a block's last token, also stands before its first
+        self.before = np.roll(self.words.at, 1)
 
     def asks(self, counted: bool, targets: int) -> Iterator[tuple]:
-        """(target, word keys, word counts, pair keys, pair counts); counts are zeros for held-out blocks."""
-        n_word = np.bincount(self.ids, minlength=len(self.word_key)) if counted else np.zeros(len(self.word_key), int)
-        n_pair = np.bincount(self.pair_at, minlength=len(self.pair_key)) if counted else np.zeros(len(self.pair_key), int)
-        w_cut = np.searchsorted(self.word_target[self.word_order], np.arange(targets + 1))
-        p_cut = np.searchsorted(self.pair_target[self.pair_order], np.arange(targets + 1))
+        """(target, keys and counts of words, pairs, triples); counts are zeros for held-out blocks."""
+        grams = [getattr(self, g) for g in GRAMS]
+        cuts = [np.searchsorted(g.target, np.arange(targets + 1)) for g in grams]
+        n = [np.bincount(g.at, minlength=len(g.key)) if counted else np.zeros(len(g.key), int) for g in grams]
         for t in range(targets):
-            w = self.word_order[w_cut[t] : w_cut[t + 1]]
-            p = self.pair_order[p_cut[t] : p_cut[t + 1]]
-            if len(w) or len(p):
-                yield (
-                    t,
-                    pack_sorted(self.word_key[w]),
-                    pack(n_word[w].astype(np.uint32)),
-                    pack_sorted(self.pair_key[p]),
-                    pack(n_pair[p].astype(np.uint32)),
-                )
-
-    def placed(self, answers: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of each word and each pair from the answers (target, words, pairs) of all targets."""
-        answers = sorted(answers, key=lambda a: a[0])
-        words, pairs = np.zeros(len(self.word_key)), np.zeros(len(self.pair_key))
-        words[self.word_order] = np.concatenate([unpack(a[1], np.uint32) for a in answers])
-        pairs[self.pair_order] = np.concatenate([unpack(a[2], np.uint32) for a in answers])
-        return words, pairs
-
-
-def encode_blocks(spark: SparkSession, docs: DataFrame, targets: int) -> DataFrame:
-    """Rows of two kinds: a block's tokens (target null), and what it asks of each target."""
+            parts = [slice(c[t], c[t + 1]) for c in cuts]
+            if any(p.stop > p.start for p in parts):
+                yield (t, *[x for g, k, p in zip(grams, n, parts, strict=True) for x in (pack_sorted(g.key[p]), pack(k[p].astype(np.uint32)))])
+
+    @staticmethod
+    def placed(answers: pd.DataFrame, suffix: str = "") -> list[np.ndarray]:
+        """Counts of the words, pairs and triples from the answers of all targets."""
+        answers = answers.sort_values("target")
+        return [np.concatenate([unpack(b, np.uint32) for b in answers[g + suffix]]).astype(float) for g in GRAMS]
+
+
+def encode_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of tokens: the training documents, the tuning ones and those held out in blocks of their own."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [
-                ("block", pa.int64()), ("tuning", pa.bool_()), ("target", pa.int32()), ("words", pa.binary()),
-                ("word_n", pa.binary()), ("pairs", pa.binary()), ("pair_n", pa.binary()),
-                ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("rems", pa.list_(pa.int32())),
-                ("tokens", pa.binary()), ("hashes", pa.binary()),
+                ("block", pa.int64()), ("tuning", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
+                ("rems", pa.list_(pa.int32())), ("tokens", pa.binary()), ("hashes", pa.binary()),
             ]
         )
         part, made = TaskContext.get().partitionId(), 0
         open_blocks: dict[int, dict] = {}
 
-        def emit(kind: int, held: dict) -> Iterator[pa.RecordBatch]:
+        def emit(kind: int, held: dict) -> pa.RecordBatch:
             nonlocal made
             block, made = part << 20 | made, made + 1
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in held["words"]), np.uint64, len(held["words"]))
-            ids = np.concatenate(held["ids"])
-            coded = Block(hashes, ids, targets)
-            nil = [None] * 7
-            row = [block, kind == TUNING, None, None, None, None, None, held["doc_ids"], held["lengths"], held["rems"], pack(ids), pack(hashes)]
-            yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-            for ask in coded.asks(kind != HELD_OUT, targets):
-                row = [block, kind == TUNING, *ask, *nil[:5]]
-                yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+            row = [block, kind == TUNING, held["doc_ids"], held["lengths"], held["rems"], pack(np.concatenate(held["ids"])), pack(hashes)]
+            return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         def new() -> dict:
             words: defaultdict = defaultdict()
@@ -138,15 +151,37 @@ def encode_blocks(spark: SparkSession, docs: DataFrame, targets: int) -> DataFra
                 held["rems"].append(rem)
                 held["n"] += len(ids) + 1
                 if held["n"] >= BLOCK_TOKENS:
-                    yield from emit(kind, open_blocks.pop(kind))
+                    yield emit(kind, open_blocks.pop(kind))
         for kind in sorted(open_blocks):
-            yield from emit(kind, open_blocks[kind])
+            yield emit(kind, open_blocks[kind])
 
     return docs.select(
-        "doc_id",
+        F.col("doc_id").cast("long"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"),
         remainder(F.col("doc_id"), 10).cast("int").alias("rem"),
-    ).mapInArrow(encode, _ENCODED)
+    ).mapInArrow(encode, _TOKENS)
+
+
+def opened(row: dict, targets: int) -> Block:
+    """A block from its row."""
+    lengths = np.asarray(row["lengths"], np.int64)
+    return Block(unpack(row["hashes"], np.uint64), unpack(row["tokens"], np.int32), np.cumsum(lengths) - lengths, targets)
+
+
+def ask_counts(tokens: DataFrame, targets: int) -> DataFrame:
+    """What each block asks of each target."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "tuning", "target", *[x for g in GRAMS for x in (g, f"{g}_n")]]
+        kinds = [pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 6]
+        for batch in batches:
+            for row in batch.to_pylist():
+                counted = row["rems"][0] != HELD_OUT
+                for a in opened(row, targets).asks(counted, targets):
+                    values = (row["block"], row["tuning"], *a)
+                    yield pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+    return tokens.select("block", "tuning", "lengths", "rems", "tokens", "hashes").mapInArrow(ask, _ASK)
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray], rest: list[bool]) -> tuple[list, list, int, int]:
@@ -162,24 +197,16 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray], rest: list[bool]) -
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """One target: sums what all blocks have sent, and answers each in its own order."""
-    rest = (~pdf.tuning).tolist()
-    words = summed([unpack_sorted(b, np.uint64) for b in pdf.words], [unpack(b, np.uint32) for b in pdf.word_n], rest)
-    pairs = summed([unpack_sorted(b, np.uint64) for b in pdf.pairs], [unpack(b, np.uint32) for b in pdf.pair_n], rest)
-    coded = lambda xs: [pack(x.astype(np.uint32)) for x in xs]
-    out = pd.DataFrame(
-        {
-            "block": pdf.block,
-            "target": pdf.target,
-            "words": coded(words[0]),
-            "pairs": coded(pairs[0]),
-            "words_rest": [b if t else None for b, t in zip(coded(words[1]), pdf.tuning, strict=True)],
-            "pairs_rest": [b if t else None for b, t in zip(coded(pairs[1]), pdf.tuning, strict=True)],
-            "v_all": 0,
-            "v_rest": 0,
-        }
-    )
-    out.loc[out.index[0], ["v_all", "v_rest"]] = [words[2], words[3]]
-    return out
+    rest, out = (~pdf.tuning).tolist(), {"block": pdf.block, "target": pdf.target}
+    for g in GRAMS:
+        every, others, v_all, v_rest = summed([unpack_sorted(b, np.uint64) for b in pdf[g]], [unpack(b, np.uint32) for b in pdf[f"{g}_n"]], rest)
+        out[g] = [pack(x.astype(np.uint32)) for x in every]
+        out[f"{g}_rest"] = [pack(x.astype(np.uint32)) if t else None for x, t in zip(others, pdf.tuning, strict=True)]
+        if g == "words":
+            out["v_all"], out["v_rest"] = v_all, v_rest
+    out = pd.DataFrame(out)
+    out.loc[out.index[1:], ["v_all", "v_rest"]] = 0
+    return out[["block", "target", *GRAMS, *[f"{g}_rest" for g in GRAMS], "v_all", "v_rest"]]
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -187,109 +214,121 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(BUCKETS - 1, 1 + np.floor(np.log2(np.maximum(context, 1)))), 0).astype(int)
 
 
-def estimates(words: np.ndarray, pairs: np.ndarray, coded: Block, n: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, bigram and unigram estimate of each token."""
-    context = words[coded.prev]
-    bigram = np.divide(pairs[coded.pair_at], context, out=np.zeros(len(context)), where=context > 0)
-    return bucket_of(context), bigram, words[coded.ids] / max(n, 1.0)
-
-
-def em_weights(table: pd.DataFrame, rounds: int = 60) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) by bucket from binned ratios (bucket, bi, uni, n) to the uniform."""
-    weights = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
-    weights[0] = [0.0, 0.8, 0.2]
-    fallback = None
-    for b in [None, *range(BUCKETS)]:
-        own = table if b is None else table[table.bucket == b]
-        if own.n.sum() < 1:
-            if b is not None and fallback is not None and b:
-                weights[b] = fallback
-            continue
-        ratio = np.stack([from_bin(own.bi.to_numpy()), from_bin(own.uni.to_numpy()), np.ones(len(own))], 1)
-        n, lam = own.n.to_numpy(float), np.array([0.4, 0.5, 0.1])
-        if b == 0:
-            ratio[:, 0] = 0
-        for _ in range(rounds):
-            share = lam * ratio
-            share /= share.sum(1, keepdims=True)
-            lam = (share * n[:, None]).sum(0) / n.sum()
-        lam = np.maximum(lam, [0.0, 0.0, 1e-6])
-        if b is None:
-            fallback = lam / lam.sum()
-        else:
-            weights[b] = lam / lam.sum()
+def estimates(counts: list[np.ndarray], block: Block, n: float, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each token, and its estimates (trigram, bigram, unigram, uniform) as columns.
+
+    Buckets of a pair's count come after those of a word's."""
+    words, pairs, triples = counts
+    ratio = lambda a, b: np.divide(a, b, out=np.zeros(len(b)), where=b > 0)
+    context, pair = words[block.before], pairs[block.pairs.at]
+    p = np.zeros((len(pair), 4))
+    p[:, 1] = ratio(pair, context)
+    p[:, 2] = words[block.words.at] / max(n, 1.0)
+    p[:, 3] = 1 / (v + 1)
+    p[:, 0] = p[:, 1]
+    of_pair = np.zeros(len(pair))
+    of_pair[block.inner] = pair[block.inner - 1]
+    p[block.inner, 0] = ratio(triples[block.triples.at], of_pair[block.inner])
+    return np.where(of_pair > 0, BUCKETS + bucket_of(of_pair), bucket_of(context)), p
+
+
+def first_weights() -> np.ndarray:
+    """Weights before the first round, by bucket; those of an unseen context give nothing to its estimates."""
+    w = np.tile([0.3, 0.3, 0.3, 0.1], (2 * BUCKETS, 1))
+    w[:BUCKETS, 0] = 0  # the pair was not seen
+    w[0, 1] = 0
+    return w / w.sum(1, keepdims=True)
+
+
+def shares(bucket: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums, by bucket, of what part of each token's probability each estimate has."""
+    part = weights[bucket] * p
+    part /= part.sum(1, keepdims=True)
+    return np.stack([np.bincount(bucket, part[:, k], 2 * BUCKETS) for k in range(4)], 1)
+
+
+def renewed(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Weights of the next round; a bucket without tokens keeps its own. The uniform keeps a millionth."""
+    seen = sums.sum(1) > 0
+    out = weights.copy()
+    out[seen] = sums[seen] / sums[seen].sum(1, keepdims=True)
+    out[:, 3] = np.maximum(out[:, 3], 1e-6)
+    return out / out.sum(1, keepdims=True)
+
+
+def learn_weights(spark: SparkSession, rows: DataFrame) -> np.ndarray:
+    """Weights by expectation-maximisation over rows (bucket, p: packed buckets and estimates of some tokens)."""
+    weights = first_weights()
+    for _ in range(ROUNDS):
+
+        def one(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2 * BUCKETS, 4))
+            for batch in batches:
+                for row in batch.to_pylist():
+                    total += shares(unpack(row["bucket"], np.int16), unpack(row["p"], np.float64).reshape(-1, 4), weights)
+            yield pa.record_batch([pa.array(np.arange(8 * BUCKETS)), pa.array(total.ravel())], names=["i", "s"])
+
+        got = rows.mapInArrow(one, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+        sums = np.zeros(8 * BUCKETS)
+        for r in got:
+            sums[r["i"]] = r["s"]
+        new = renewed(weights, sums.reshape(-1, 4))
+        done = np.abs(new - weights).max() < SETTLED
+        weights = new
+        if done:
+            break
     return weights
 
 
-def to_bin(ratio: np.ndarray) -> np.ndarray:
-    """Quarter powers of two; -1000 for 0."""
-    return np.where(ratio > 0, np.round(4 * np.log2(np.maximum(ratio, 1e-300))), -1000).astype(np.int32)
-
-
-def from_bin(bins: np.ndarray) -> np.ndarray:
-    return np.where(bins > -1000, np.exp2(bins / 4.0), 0.0)
-
-
-def _of_block(tokens: pd.DataFrame, targets: int) -> tuple[pd.Series, Block]:
-    row = tokens.iloc[0]
-    return row, Block(unpack(row.hashes, np.uint64), unpack(row.tokens, np.int32), targets)
-
-
 def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     tune(spark)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     targets = targets_for(int(n_bytes))
-    coded = materialize(spark, encode_blocks(spark, docs, targets), "lm-blocks")
-    asks = coded.where("target is not null").select("block", "tuning", "target", "words", "word_n", "pairs", "pair_n")
-    answers = materialize(spark, asks.groupBy("target").applyInPandas(answer, _ANSWER), "lm-answers")
-    tokens = coded.where("target is null").select("block", "tuning", "doc_ids", "lengths", "rems", "tokens", "hashes")
-    of_doc = F.explode(F.arrays_zip("lengths", "rems")).alias("d")
-    sizes = tokens.select(of_doc).select(F.col("d.lengths").alias("n"), F.col("d.rems").alias("rem"))
+    tokens = materialize(spark, encode_blocks(docs), "lm-blocks")
+    answers = materialize(spark, ask_counts(tokens, targets).groupBy("target").applyInPandas(answer, _ANSWER), "lm-answers")
+    sizes = tokens.select(F.explode(F.arrays_zip("lengths", "rems")).alias("d")).select(F.col("d.lengths").alias("n"), F.col("d.rems").alias("rem"))
     n_all, n_rest = sizes.agg(
         F.sum(F.when(F.col("rem") != HELD_OUT, F.col("n"))), F.sum(F.when(~F.col("rem").isin(HELD_OUT, TUNING), F.col("n")))
     ).first()
     v_all, v_rest = answers.agg(F.sum("v_all"), F.sum("v_rest")).first()
     n_all, n_rest, v_all, v_rest = (int(x or 0) for x in (n_all, n_rest, v_all, v_rest))
 
-    def histogram(tokens: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        _, block = _of_block(tokens, targets)
-        words, pairs = block.placed(list(zip(replies.target, replies.words_rest, replies.pairs_rest, strict=True)))
-        bucket, bigram, unigram = estimates(words, pairs, block, n_rest)
-        binned = pd.DataFrame({"bucket": bucket, "bi": to_bin(bigram * (v_rest + 1)), "uni": to_bin(unigram * (v_rest + 1))})
-        return binned.groupby(["bucket", "bi", "uni"]).size().reset_index(name="n")
+    def estimate(tokens: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        block = opened(tokens.iloc[0], targets)
+        bucket, p = estimates(block.placed(replies, "_rest"), block, n_rest, v_rest)
+        return pd.DataFrame({"bucket": [pack(bucket.astype(np.int16))], "p": [pack(p.ravel())]})
 
-    tuning = tokens.where("tuning").groupBy("block").cogroup(answers.where("words_rest is not null").groupBy("block"))
-    bins = tuning.applyInPandas(histogram, "bucket int, bi int, uni int, n long")
-    weights = em_weights(bins.groupBy("bucket", "bi", "uni").agg(F.sum("n").alias("n")).toPandas())
+    rest = answers.where("words_rest is not null").select("block", "target", *[f"{g}_rest" for g in GRAMS])
+    tuning = tokens.where("tuning").groupBy("block").cogroup(rest.groupBy("block")).applyInPandas(estimate, "bucket binary, p binary")
+    weights = learn_weights(spark, materialize(spark, tuning, "lm-tuning"))
     if not n_all:
-        weights[0] = [0.0, 0.0, 1.0]
+        weights = np.tile([0.0, 0.0, 0.0, 1.0], (2 * BUCKETS, 1))
 
     def score(tokens: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        row, block = _of_block(tokens, targets)
-        words, pairs = block.placed(list(zip(replies.target, replies.words, replies.pairs, strict=True)))
-        bucket, bigram, unigram = estimates(words, pairs, block, n_all)
-        lam = weights[bucket]
-        p = lam[:, 0] * bigram + lam[:, 1] * unigram + lam[:, 2] / (v_all + 1)
-        own = words[block.ids]
+        row = tokens.iloc[0]
+        block = opened(row, targets)
+        counts = block.placed(replies)
+        bucket, p = estimates(counts, block, n_all, v_all)
+        own = counts[0][block.words.at]
         base = np.log10((own + 0.1) / (n_all + 0.1 * (v_all + 1)))
-        starts = np.concatenate(([0], np.cumsum(row.lengths)[:-1])).astype(int)
-        add = lambda x: np.add.reduceat(x, starts)
+        lengths = np.asarray(row.lengths, np.int64)
+        add = lambda x: np.add.reduceat(x, np.cumsum(lengths) - lengths)
         return pd.DataFrame(
             {
                 "doc_id": pd.array(list(row.doc_ids), "Int64"),
                 "held_out": np.asarray(row.rems) == HELD_OUT,
-                "n_tokens": np.asarray(row.lengths).astype(np.int64),
+                "n_tokens": lengths,
                 "n_known": add((own > 0).astype(np.int64)),
                 "train_tokens": n_all,
                 "base_score": add(base),
-                "score": add(np.log10(p)),
+                "score": add(np.log10((weights[bucket] * p).sum(1))),
             }
         )
 
     return (
         tokens.groupBy("block")
-        .cogroup(answers.select("block", "target", "words", "pairs").groupBy("block"))
+        .cogroup(answers.select("block", "target", *GRAMS).groupBy("block"))
         .applyInPandas(
             score,
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

@@ -184,12 +184,6 @@ def test_language_model(spark, docs, nothing):
     assert language_model.score_documents(spark, nothing).count() == 0
 
 
-def test_language_model_is_a_distribution():
-    # three words and the end over a context that was seen: estimates and the uniform share sum to one
-    lam = language_model.em_weights(__import__("pandas").DataFrame({"bucket": [3], "bi": [8], "uni": [2], "n": [10]}))
-    assert np.allclose(lam.sum(1), 1) and (lam >= 0).all() and (lam[:, 2] > 0).all()
-
-
 # 5
 
 
