@@ -1,9 +1,9 @@
 """Benchmark decontamination by an Aho-Corasick automaton over normalised test items.
 
 Texts are normalised to lower-case words. Every run of ten consecutive words of an item (or the whole
-item, if shorter) is a pattern, as a sequence of word numbers; words that no item holds are number 0.
-Each text is scanned once, as its sequence of numbers; a match's end is a word of the text, and words
-are mapped to byte offsets of the original text.
+item, if shorter) is a pattern, as a string with one letter for each word; words that no item holds are
+one letter for all. Each text is scanned once, as such a string; a match's end is a word of the text,
+and words are mapped to byte offsets of the original text.
 
 There is one automaton for all items of up to ``chunk_bytes`` of text; a worker keeps it from task to
 task. Larger benchmarks are cut into several: a worker gathers texts up to ``BUFFER_BYTES``, builds one
@@ -37,18 +37,23 @@ BUFFER_BYTES = 32 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def _letter(k: int) -> str:
+    """The letter of the k-th word: any but 0 and what stands for halves of pairs."""
+    return chr(k + 1 if k + 1 < 0xD800 else k + 1 + 0x800)
+
+
 class Matcher:
-    """One automaton over the windows of some items, on word numbers."""
+    """One automaton over the windows of some items, a letter for each word."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
-        self.numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.letters: dict[bytes, str] = {}
+        owners: dict[str, set[str]] = {}
         for item, text in items:
             words = (text or b"").translate(WORD_TABLE).split()
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            spelled = "".join([self.letters.setdefault(w, _letter(len(self.letters))) for w in words])
+            for i in range(max(1, len(words) - window + 1) if words else 0):
+                owners.setdefault(spelled[i : i + window], set()).add(item)
+        self.automaton = ahocorasick.Automaton()
         for w, names in owners.items():
             self.automaton.add_word(w, (len(w), tuple(sorted(names))))
         self.patterns = len(owners)
@@ -62,7 +67,7 @@ class Matcher:
         if not words or not self.patterns:
             return len(words), [], items
         ranges = []
-        for last, (n, names) in self.automaton.iter(tuple(map(self.numbers.get, words, repeat(0)))):
+        for last, (n, names) in self.automaton.iter("".join(map(self.letters.get, words, repeat("\0")))):
             items.update(names)
             ranges.append((last + 1 - n, last + 1))
         return len(words), merge(ranges), items
