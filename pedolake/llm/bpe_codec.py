@@ -4,9 +4,10 @@ Frequent words are counted over the whole corpus, their ids are found by exact m
 compiled into a minimal acyclic automaton whose states share suffixes; each arc knows how many words
 come before those below it, so a walk also gives the word's number, which points to its ids. The
 automaton is broadcast as one block of bytes; each worker lays its arcs out by state and byte in a
-temporary file, maps that, and keeps it for later tasks. The distinct pieces of some texts walk through
-it side by side, a byte at a time; pieces that it does not hold are merged exactly, and remembered in
-a table whose bytes are bounded. Decoding goes from ids to bytes, piece by piece of the vocabulary.
+temporary file, maps that, and keeps it for later tasks. Texts are cut into units at spaces that begin a
+piece; the distinct units of some texts walk through the automaton side by side, a byte at a time.
+Units that it does not hold are merged exactly, and remembered in a table whose bytes are bounded.
+Decoding goes from ids to bytes of the vocabulary.
 
 Defined results: null and empty texts encode to no ids and decode to the empty text; special strings
 inside a text become their own id, as the tokenizers library does by default. Repeated rows get equal
@@ -20,9 +21,11 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -37,14 +40,16 @@ from .common import materialize, tune, worker_holds
 from .token_counts import SPACE, byte_letters
 
 #: Words of the lexicon, bytes of a worker's memo, and longest text piece that either holds.
-LEXICON, MEMO_BYTES, LONGEST = 32_768, 192 << 20, 64
+LEXICON, MEMO_BYTES, LONGEST = 32_768, 256 << 20, 64
 #: Characters of texts that are encoded together; what an entry of the memo takes beside its letters and ids.
-GROUP_CHARS, ENTRY_BYTES = 1 << 19, 200
+GROUP_CHARS, ENTRY_BYTES = 1 << 21, 160
 _PIECE = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 
 
+#: A space that does not begin a piece.
+_ODD = re.compile(r" (?:\s|$)")
 #: Stands for a pair that no rule merges; above every rank.
 _NEVER = 1 << 60
 
@@ -213,61 +218,79 @@ class Codec:
 
     def __init__(self, path: str, lexicon: Lexicon, memo_bytes: int = MEMO_BYTES):
         self.merger, self.lexicon, self.limit, self.held = Merger(path), lexicon, memo_bytes, 0
-        #: ids of pieces that the lexicon does not hold
+        #: ids of units and pieces that were merged
         self.known: dict[str, tuple[int, ...]] = {}
         n = max(self.merger.bytes_of) + 1
         #: bytes that each id stands for, and its decimal digits
         self.bytes_of = [self.merger.bytes_of.get(i, b"") for i in range(n)]
         self.digits = [str(i).encode() for i in range(n)]
 
-    def merged(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece that is not in the lexicon."""
-        ids = tuple(self.merger.merge(piece.encode()))
-        if len(piece) <= LONGEST:
-            self.held += ENTRY_BYTES + len(piece) + 8 * len(ids)
-            if self.held > self.limit:
-                self.known, self.held = {}, 0
-            self.known[piece] = ids
+    def remember(self, unit: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(unit) <= LONGEST:
+            self.held += ENTRY_BYTES + len(unit) + 8 * len(ids)
+            self.known[unit] = ids
         return ids
 
-    def table(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each of some distinct pieces."""
-        each, outputs = list(pieces), self.lexicon.outputs
-        out = {}
-        for piece, number in zip(each, self.lexicon.numbers([p.encode() for p in each]).tolist(), strict=True):
-            out[piece] = outputs[number] if number >= 0 else self.known.get(piece) or self.merged(piece)
-        return out
+    def merged(self, unit: str) -> tuple[int, ...]:
+        """Ids of a unit that is not in the lexicon: its pieces are merged, or were before."""
+        pieces = _PIECE.findall(unit)
+        if len(pieces) == 1:
+            return self.remember(unit, tuple(self.merger.merge(unit.encode())))
+        known, ids = self.known, ()
+        for piece in pieces:
+            ids += known.get(piece) or self.remember(piece, tuple(self.merger.merge(piece.encode())))
+        return self.remember(unit, ids)
+
+    @contextmanager
+    def knowing(self, units: set[str | int]) -> Iterator[dict[str | int, tuple[int, ...]]]:
+        """A table that holds the ids of all the units: what is not remembered walks through the lexicon, and
+        what that does not hold is merged. Only merged units stay remembered."""
+        if self.held > self.limit:
+            self.known, self.held = {}, 0
+        missing = list(units.difference(self.known))
+        words = [u for u in missing if isinstance(u, str)]
+        found = {u: (u,) for u in missing if isinstance(u, int)}
+        for unit, number in zip(words, self.lexicon.numbers([u.encode() for u in words]).tolist(), strict=True):
+            found[unit] = self.lexicon.outputs[number] if number >= 0 else self.merged(unit)
+        mine = [u for u in found if u not in self.known]
+        self.known.update(found)
+        yield self.known
+        for u in mine:
+            del self.known[u]
+
+    @staticmethod
+    def plain(text: str) -> list[str]:
+        """Units of a text without special strings. A space before what is none always belongs to the piece
+        that it begins, so a text may be cut there; one with other spaces is cut into its pieces."""
+        if _ODD.search(text):
+            return _PIECE.findall(text)
+        words = text.split(" ")
+        return [words[0], *map(" ".__add__, words[1:])] if words[0] else list(map(" ".__add__, words[1:]))
 
     def parts(self, text: str) -> list[str | int]:
-        """Pieces of a text; ids in place of special strings."""
+        """Units of a text; ids in place of special strings."""
         special = self.merger.special_at
         if special is None or "<|" not in text:
-            return _PIECE.findall(text)
+            return self.plain(text)
         out, at = [], 0
         for m in special.finditer(text):
-            out += _PIECE.findall(text[at : m.start()])
+            out += self.plain(text[at : m.start()])
             out.append(self.merger.special[m[0]])
             at = m.end()
-        return out + _PIECE.findall(text[at:])
+        return out + self.plain(text[at:])
 
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of each text."""
-        group, size = [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= GROUP_CHARS:
-                yield from self._encode(group)
-                group, size = [], 0
-        yield from self._encode(group)
-
-    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
-        parts = [self.parts(t) for t in texts]
-        distinct = set().union(*parts)
-        special = {x for x in distinct if isinstance(x, int)}
-        ids = self.table(distinct - special) | {x: (x,) for x in special}
-        for p in parts:
-            yield list(chain.from_iterable(map(ids.__getitem__, p)))
+        """Ids of each text; the units of a bounded group of texts are looked up together."""
+        parts, size = [], 0
+        for text in chain(texts, [None]):
+            if size >= GROUP_CHARS or text is None:
+                with self.knowing(set().union(*parts)) as ids:
+                    for p in parts:
+                        yield list(chain.from_iterable(map(ids.__getitem__, p)))
+                parts, size = [], 0
+            if text is not None:
+                parts.append(self.parts(text))
+                size += len(text)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the text that the ids stand for."""
@@ -332,10 +355,11 @@ def frequent_words(spark: SparkSession, docs: DataFrame, size: int = LEXICON) ->
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: str, size: int = LEXICON) -> bytes:
-    """Compiled lexicon of the pieces that the most frequent words of docs consist of."""
+    """Compiled lexicon of the most frequent words of docs, each with the space before it."""
     merger = Merger(vocabulary)
-    pieces = {p for w in frequent_words(spark, docs, size) for p in _PIECE.findall(f" {w}")}
-    return compile_lexicon({p.encode(): merger.merge(p.encode()) for p in pieces if len(p.encode()) <= LONGEST})
+    ids = lambda unit: [i for p in _PIECE.findall(unit) for i in merger.merge(p.encode())]
+    units = [f" {w}" for w in frequent_words(spark, docs, size)]
+    return compile_lexicon({u.encode(): ids(u) for u in units if len(u.encode()) <= LONGEST})
 
 
 def round_trip(spark: SparkSession, text: Column, vocabulary: str, lexicon: bytes) -> Column:
