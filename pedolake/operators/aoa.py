@@ -1,13 +1,14 @@
 """Area of applicability: dissimilarity of new rows to the training rows.
 
 Distances go block by block: the training rows are cut into chunks of bounded size by a hash of their
-id, each chunk is broadcast in turn, and running results are kept per row, so no join of all pairs is
-built and memory does not grow with the training table.
+id, each chunk passes through the driver and is broadcast, and running results are kept per row, so no
+join of all pairs is built. A training table is what a model was fitted on; its chunks stay broadcast
+while a query runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -136,3 +137,21 @@ def projected(df: DataFrame, vector: str, mean: np.ndarray, w: np.ndarray) -> Da
         return out
 
     return df.withColumn("z", project(F.col(vector).cast("array<double>")))
+
+
+def coded(train: DataFrame, new: DataFrame, numeric: Sequence[str], classes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Adds a vector to both tables: numeric predictors, and a 0/1 for each level that the training rows have.
+
+    A level that they lack is unknown, and codes as zeros at all levels of its predictor."""
+    parts = [F.col(c).cast("double") for c in numeric]
+    for c in classes:
+        levels = [r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
+        parts += [F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)) for v in levels]
+    return train.withColumn("vector", F.array(*parts)), new.withColumn("vector", F.array(*parts))
+
+
+def local_density(rows: DataFrame, train: DataFrame, dbar: float, threshold: DataFrame, most: int = 20) -> DataFrame:
+    """Adds lpd, how many of the nearest training rows (``most`` at most) lie within the threshold, and its share of most."""
+    out = nearest(rows, train, most).join(F.broadcast(threshold))
+    lpd = F.size(F.filter("near", lambda n: n["d"] / dbar < F.col("threshold")))
+    return out.withColumn("lpd", lpd).withColumn("lpd_share", F.col("lpd") / most)

@@ -6,9 +6,10 @@ Cell-wise indices are column expressions. Neighbourhood operators explode intege
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 div = F.try_divide
@@ -96,15 +97,82 @@ def celsius(c: Column) -> Column:
     return c * 0.00341802 + 149.0 - 273.15
 
 
-def band_stack(bands: Mapping[str, DataFrame]) -> DataFrame:
-    """Bands of one geometry, each a table (row, col, value), as one table."""
+@dataclass(frozen=True)
+class Grid:
+    """Geometry of a layer: left and upper edge, cell size, rows and columns, and its coordinate system."""
+
+    xmin: float
+    ymax: float
+    res: float
+    n_rows: int
+    n_cols: int
+    crs: str = ""
+
+
+def require_same_geometry(grids: Sequence[Grid]) -> Grid:
+    """The one geometry of all layers, or an error that tells what differs."""
+    for k, g in enumerate(grids[1:], 2):
+        differ = [f for f in Grid.__dataclass_fields__ if getattr(g, f) != getattr(grids[0], f)]
+        if differ:
+            raise ValueError(f"layer {k} differs in {', '.join(differ)}")
+    return grids[0]
+
+
+def band_stack(bands: Mapping[str, DataFrame], grids: Sequence[Grid] = (), strict: bool = False) -> DataFrame:
+    """Bands of one geometry, each a table (row, col, value), as one table of the cells that all of them have.
+
+    Given grids must agree; strict asks that every band has every cell.
+    """
+    if grids:
+        require_same_geometry(grids)
     out = None
     for name, df in bands.items():
         one = df.select("row", "col", F.col("value").alias(name))
         out = one if out is None else out.join(one, ["row", "col"])
+    if strict:
+        n = out.count()
+        odd = [name for name, df in bands.items() if df.count() != n]
+        if odd:
+            raise ValueError(f"bands with cells that others lack: {', '.join(odd)}")
+    return out
+
+
+def on_grid(layer: DataFrame, own: Grid, base: Grid) -> DataFrame:
+    """A layer (row, col, value) on another grid: each new cell takes the cell that holds its centre.
+
+    A cell tells by itself which new centres it holds, so nothing is joined.
+    """
+    left, top = own.xmin + F.col("col") * own.res, own.ymax - F.col("row") * own.res
+    first = lambda at: F.ceil(at / base.res - 0.5)  # noqa: E731  the first centre at or behind a place
+    inside = lambda lo, hi, n: (F.greatest(first(lo), F.lit(0)), F.least(first(hi) - 1, F.lit(n - 1)))
+    r0, r1 = inside(base.ymax - top, base.ymax - top + own.res, base.n_rows)
+    c0, c1 = inside(left - base.xmin, left - base.xmin + own.res, base.n_cols)
+    spans = layer.select("value", r0.alias("r0"), r1.alias("r1"), c0.alias("c0"), c1.alias("c1")).where("r0 <= r1 and c0 <= c1")
+    out = spans.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    return out.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value")
+
+
+def align_layers(layers: Mapping[str, tuple[DataFrame, Grid]], base: Grid) -> DataFrame:
+    """Layers on the base grid, as one table: those of its geometry as they are, others by the nearest cell."""
+    out = None
+    for name, (df, grid) in layers.items():
+        df = df.select("row", "col", "value")
+        one = (df if grid == base else on_grid(df, grid, base)).withColumnRenamed("value", name)
+        out = one if out is None else out.join(one, ["row", "col"], "full")
     return out
 
 
+def reproject(spark: SparkSession, layer: DataFrame, own: Grid, target: Grid, back: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+    """A layer (row, col, value) on a grid of another coordinate system, by the nearest cell: ``back`` takes
+    target coordinates to the layer's. Target cells outside the layer are left out."""
+    cells = spark.range(target.n_rows * target.n_cols).select(
+        F.floor(F.col("id") / target.n_cols).cast("int").alias("r"), (F.col("id") % target.n_cols).cast("int").alias("c")
+    )
+    x, y = back(target.xmin + (F.col("c") + 0.5) * target.res, target.ymax - (F.col("r") + 0.5) * target.res)
+    at = cells.select("r", "c", F.floor((own.ymax - y) / own.res).cast("int").alias("row"), F.floor((x - own.xmin) / own.res).cast("int").alias("col"))
+    return at.join(layer, ["row", "col"]).select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
 def dominant_layer(df: DataFrame, layers: Sequence[str], largest: bool = True, use_abs: bool = True) -> DataFrame:
     """Layer of the largest (or least) value in each complete cell, ties to the first, and its alphabetical code."""
     values = [F.abs(F.col(c)) if use_abs else F.col(c) for c in layers]
@@ -146,12 +214,13 @@ def window_offsets(n: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-h, h + 1) for b in range(-h, h + 1)]
 
 
-def focal_fill(cells: DataFrame, band: str, n: int = 3, how: str = "avg") -> DataFrame:
-    """Missing values of a band from an aggregate of their window; present values stay."""
+def focal_fill(cells: DataFrame, band: str, n: int = 3, how: str = "avg", substitute: float | None = None) -> DataFrame:
+    """Missing values of a band from an aggregate of their window; present values stay. What no window fills
+    takes the substitute, if one is given."""
     holes = cells.where(F.col(band).isNull())
     near = neighbours(holes, cells, window_offsets(n), band).where("value is not null")
     filled = near.groupBy("row", "col").agg(getattr(F, how)("value").alias("__fill"))
-    return cells.join(filled, ["row", "col"], "left").withColumn(band, F.coalesce(band, "__fill")).drop("__fill")
+    return cells.join(filled, ["row", "col"], "left").withColumn(band, F.coalesce(band, "__fill", F.lit(substitute).cast("double"))).drop("__fill")
 
 
 def resample_near(cells: DataFrame, band: str, factor: float) -> DataFrame:
@@ -187,13 +256,33 @@ def cubic_weight(t: Column) -> Column:
     return F.when(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1).when(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2).otherwise(0.0)
 
 
-def resample_cubic(cells: DataFrame, band: str, factor: float) -> DataFrame:
-    """Cubic convolution over 16 neighbours, weights made to sum to one over the present ones."""
+def spline_weight(t: Column) -> Column:
+    """Cubic B-spline kernel."""
+    a = F.abs(t)
+    return F.when(a < 1, 2.0 / 3.0 - a * a + 0.5 * a * a * a).when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6.0).otherwise(0.0)
+
+
+def lanczos_weight(t: Column) -> Column:
+    """Lanczos kernel of three lobes."""
+    a = F.abs(t)
+    x = F.lit(3.141592653589793) * a
+    return F.when(a < 1e-9, 1.0).when(a < 3, 3 * F.sin(x) * F.sin(x / 3) / (x * x)).otherwise(0.0)
+
+
+#: Kernels by name, with the cells that they reach to either side.
+KERNELS = {"cubic": (cubic_weight, 2), "cubicspline": (spline_weight, 2), "lanczos": (lanczos_weight, 3)}
+
+
+def resample_kernel(cells: DataFrame, band: str, factor: float, kernel: str) -> DataFrame:
+    """Weighted means of the cells around each new centre, weights made to sum to one over the present ones."""
+    if kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel}")
+    weight, side = KERNELS[kernel]
     grown = cells.select(F.floor(F.col("row") / factor).cast("int").alias("r"), F.floor(F.col("col") / factor).cast("int").alias("c")).distinct()
     at = grown.withColumn("u", (F.col("r") + 0.5) * factor - 0.5).withColumn("v", (F.col("c") + 0.5) * factor - 0.5)
     at = at.withColumn("row", F.floor("u").cast("int")).withColumn("col", F.floor("v").cast("int"))
-    near = neighbours(at.select("row", "col").distinct(), cells, [(a, b) for a in range(-1, 3) for b in range(-1, 3)], band).where("value is not null")
-    w = cubic_weight(F.col("u") - F.col("row") - F.col("dr")) * cubic_weight(F.col("v") - F.col("col") - F.col("dc"))
+    near = neighbours(at.select("row", "col").distinct(), cells, [(a, b) for a in range(1 - side, side + 1) for b in range(1 - side, side + 1)], band).where("value is not null")
+    w = weight(F.col("u") - F.col("row") - F.col("dr")) * weight(F.col("v") - F.col("col") - F.col("dc"))
     summed = at.join(near, ["row", "col"]).withColumn("w", w).groupBy("r", "c").agg(F.sum(F.col("w") * F.col("value")).alias("a"), F.sum("w").alias("b"))
     return summed.where("b > 0.000001").select("r", "c", (F.col("a") / F.col("b")).alias("value"))
 

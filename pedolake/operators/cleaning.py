@@ -69,6 +69,14 @@ def bad_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return column_diagnostic(df, columns).where("n_na > 0 or n_nan > 0 or n_inf > 0")
 
 
+def require_clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df itself, or an error that names the columns with missing, NaN or infinite values."""
+    bad = [r["column_name"] for r in bad_columns(df, columns).collect()]
+    if bad:
+        raise ValueError(f"missing or not finite: {', '.join(bad)}")
+    return df
+
+
 def _bounds(df: DataFrame, column: str, groups: Sequence[str], multiplier: float) -> DataFrame:
     q = F.percentile(column, [0.25, 0.75])
     out = df.groupBy(*groups).agg(q.alias("q"), F.count(F.lit(1)).alias("n_before"))
@@ -100,8 +108,11 @@ def outlier_report(df: DataFrame, columns: Sequence[str], multiplier: float = 1.
     for k, c in enumerate(columns):
         bounds = _bounds(df, c, groups, multiplier)
         df = _within(df, c, groups, multiplier)
-        left = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_after"))
-        one = bounds.join(left, list(groups), "left") if groups else bounds.join(F.broadcast(left))
+        left = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_after")).toDF(*[f"__{g}" for g in groups], "n_after")
+        on = F.lit(True)
+        for g in groups:
+            on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+        one = (bounds.join(left, on, "left") if groups else bounds.join(F.broadcast(left))).drop(*[f"__{g}" for g in groups])
         one = one.withColumn("n_after", F.coalesce("n_after", F.lit(0))).withColumn("column_name", F.lit(c)).withColumn("step", F.lit(k + 1))
         out = one if out is None else out.unionByName(one)
     return out

@@ -7,6 +7,8 @@ of one pass over the rows and of distinct masks times combinations, never rows t
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,15 +83,23 @@ def attr_combinations(
     spark: SparkSession, attrs: Sequence[str], min_size: int = 2, max_size: int | None = None,
     required: Sequence[str] = (), weights: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """Combinations with their masks, ordered by size and then by attribute positions."""
+    """Combinations with their masks, ordered by size and then by attribute positions.
+
+    They are counted by binomials before any is made, and made size by size, so 60 attributes in threes
+    are 34,220 masks; more than ``COMBINATION_LIMIT`` are refused.
+    """
     n, top = len(attrs), max_size or len(attrs)
     if not 0 < n <= 63:
         raise ValueError("between 1 and 63 attributes are allowed")
     must = sum(1 << attrs.index(a) for a in required)
     c = F.col("combo_mask")
     has = [c.bitwiseAND(F.lit(1 << i)) != 0 for i in range(n)]
-    combos = spark.range(1, 1 << n).withColumnRenamed("id", "combo_mask")
-    combos = combos.where((F.bit_count(c) >= min_size) & (F.bit_count(c) <= top) & (c.bitwiseAND(F.lit(must)) == must))
+    free = [1 << i for i in range(n) if not must >> i & 1]
+    sizes = range(max(0, min_size - len(set(required))), min(len(free), top - len(set(required))) + 1)
+    if sum(math.comb(len(free), k) for k in sizes) > COMBINATION_LIMIT:
+        raise ValueError(f"more than {COMBINATION_LIMIT} combinations")
+    masks = [[must + sum(more)] for k in sizes for more in itertools.combinations(free, k) if must or k]
+    combos = spark.createDataFrame(masks, "combo_mask long")
     places = F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(has)]))
     weigh = [F.when(h, F.lit(float((weights or {}).get(a, 1.0)))).otherwise(F.lit(0.0)) for a, h in zip(attrs, has, strict=True)]
     combos = combos.select(
@@ -99,23 +109,25 @@ def attr_combinations(
         F.concat_ws(" | ", *[F.when(h, F.lit(a)) for a, h in zip(attrs, has, strict=True)]).alias("attributes"),
         sum(weigh[1:], weigh[0]).alias("attribute_weight_sum"),
     )
-    if combos.limit(COMBINATION_LIMIT + 1).count() > COMBINATION_LIMIT:
-        raise ValueError(f"more than {COMBINATION_LIMIT} combinations")
     order = Window.orderBy("n_attributes", "places")
     return combos.withColumn("combo_id", F.row_number().over(order)).drop("places")
 
 
 def containing(masks: DataFrame, combos: DataFrame) -> DataFrame:
-    """Masks joined to the combinations they contain."""
+    """Masks joined to the combinations they contain, of which there are at most ``COMBINATION_LIMIT``."""
     return masks.join(F.broadcast(combos), F.col("mask").bitwiseAND(F.col("combo_mask")) == F.col("combo_mask"))
 
 
 def combo_summary(
     spark: SparkSession, df: DataFrame, attrs: Sequence[str], unit: str | None = None, depth: Column | None = None,
     weights: Mapping[str, float] | None = None, min_size: int = 2, required: Sequence[str] = (), ranges: Ranges | None = None,
+    max_size: int | None = None, more_units: Sequence[str] = (),
 ) -> DataFrame:
-    """Complete rows, units, depth classes and scores of every combination."""
-    combos = attr_combinations(spark, attrs, min_size, None, required, weights)
+    """Complete rows, units, depth classes and scores of every combination.
+
+    With further unit columns, the shares of units are averaged over all of them (``mean_pct_units``).
+    """
+    combos = attr_combinations(spark, attrs, min_size, max_size, required, weights)
     data = df.withColumn("depth_class", depth) if depth is not None else df
     extra = ([unit] if unit else []) + (["depth_class"] if depth is not None else [])
     seen = mask_counts(data, attrs, extra, ranges)
@@ -128,6 +140,10 @@ def combo_summary(
         out = out.join(units.groupBy(key).agg(F.count_distinct(unit).alias("n_units_complete")), key, "left")
         out = out.withColumn("n_units_complete", F.coalesce("n_units_complete", F.lit(0)))
         out = out.withColumn("pct_units_complete", safe_ratio(F.col("n_units_complete"), F.col("total_units")))
+    if more_units:
+        shares = unit_completeness(df, attrs, combos.select("combo_id", "combo_mask", "n_attributes", "attributes"), [*([unit] if unit else []), *more_units], ranges)
+        mean = shares.groupBy(key).agg((F.sum("pct_units_complete") / (len(more_units) + bool(unit))).alias("mean_pct_units"))
+        out = out.join(mean, key, "left").withColumn("mean_pct_units", F.coalesce("mean_pct_units", F.lit(0.0)))
     if depth is not None:
         depths = containing(seen.where("depth_class is not null").select("mask", "depth_class").distinct(), combos)
         out = out.join(depths.groupBy(key).agg(F.count_distinct("depth_class").alias("n_depth_classes_complete")), key, "left")
@@ -291,9 +307,9 @@ def depth_completeness(df: DataFrame, attrs: Sequence[str], combos: DataFrame, d
     return out.withColumn("pct_rows_complete_within_depth", safe_ratio(F.col("n_rows_complete"), F.col("n_rows_depth_total")))
 
 
-def unit_completeness(df: DataFrame, attrs: Sequence[str], combos: DataFrame, units: Sequence[str]) -> DataFrame:
+def unit_completeness(df: DataFrame, attrs: Sequence[str], combos: DataFrame, units: Sequence[str], ranges: Ranges | None = None) -> DataFrame:
     """Distinct units with complete rows, for each combination and unit column."""
-    masked = df.select(availability_mask(attrs).alias("mask"), *[F.col(u).cast("string").alias(u) for u in units])
+    masked = df.select(availability_mask(attrs, ranges).alias("mask"), *[F.col(u).cast("string").alias(u) for u in units])
     long = masked.select("mask", F.explode(F.array(*[F.struct(F.lit(u).alias("unit_col"), F.col(u).alias("unit")) for u in units])).alias("u"))
     seen = long.select("mask", "u.*").where("unit is not null").distinct()
     total = seen.groupBy("unit_col").agg(F.count_distinct("unit").alias("n_units_total"))
@@ -346,11 +362,43 @@ def depth_class_midpoint(upper: Column, lower: Column, breaks: Sequence[float])
     return out.otherwise(F.lit(f"deeper_than_{last:g}"))
 
 
-def decision_notes(summary: DataFrame, completeness: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Ordered sentences on the results."""
+def decision_notes(
+    summary: DataFrame, completeness: DataFrame, chosen: DataFrame, weights: Mapping[str, float] | None = None, ranges: Ranges | None = None,
+    ranges_used: bool = False, required: Sequence[str] = (), priority: str = "richness_first", losses: DataFrame | None = None,
+    bottleneck: DataFrame | None = None, targets: DataFrame | None = None,
+) -> DataFrame:
+    """Ordered sentences on the settings and the results: each comes from one row of a small result."""
+    spark = summary.sparkSession
+    text = lambda c: F.col(c).cast("string")
+    plain = [f"Candidates were ordered by selection_priority = {priority}."]
+    if required:
+        plain.append(f"All combinations hold the required attributes: {', '.join(required)}.")
+    equal = not weights or len(set(weights.values())) == 1
+    plain.append("All attributes weigh the same." if equal else "Attribute weights enter the weighted score.")
+    if not ranges:
+        plain.append("Completeness counts values that are not missing; no valid ranges were given.")
+    else:
+        plain.append(f"Valid ranges were given and {'count in' if ranges_used else 'do not count in'} the completeness of combinations.")
+    size = summary.agg(F.count(F.lit(1)).alias("n")).join(completeness.agg(F.max("n_rows").alias("rows")))
+    notes = [size.select(F.concat(text("n"), F.lit(" combinations were evaluated on "), text("rows"), F.lit(" rows.")).alias("note"))]
+    notes += [spark.createDataFrame([(p,)], "note string") for p in plain]
+    order = [F.struct(F.col("n_rows_complete"), F.col("weighted_score"))]
+    best = summary.agg(F.max_by(F.struct("attributes", "n_rows_complete"), order[0]).alias("b"))
+    notes.append(best.select(F.concat(F.lit("Most complete rows: "), "b.attributes", F.lit(", with "), F.col("b.n_rows_complete").cast("string"), F.lit(" rows.")).alias("note")))
     worst = completeness.agg(F.min_by("attribute", F.struct("n_non_na", "attribute")).alias("a"), F.min("n_non_na").alias("n"))
-    size = summary.agg(F.count(F.lit(1)).alias("n"), F.max("n_rows_complete").alias("m"))
-    first = worst.select(F.lit(1).alias("note_order"), F.concat(F.lit("The least complete attribute is "), "a", F.lit(" with "), F.col("n").cast("string"), F.lit(" values.")).alias("note"))
-    second = size.select(F.lit(2).alias("note_order"), F.concat(F.col("n").cast("string"), F.lit(" combinations were evaluated; the best keeps "), F.col("m").cast("string"), F.lit(" rows.")).alias("note"))
-    third = chosen.select(F.lit(3).alias("note_order"), F.concat(F.lit("Selected: "), "attributes", F.lit(", with "), F.col("n_rows_complete").cast("string"), F.lit(" complete rows.")).alias("note"))
-    return first.unionByName(second).unionByName(third)
+    notes.append(worst.select(F.concat(F.lit("The least complete attribute is "), "a", F.lit(" with "), text("n"), F.lit(" values.")).alias("note")))
+    if losses is not None:
+        step = losses.where("marginal_rows_lost is not null").agg(F.max_by(F.struct("n_attributes", "marginal_rows_lost"), F.struct("marginal_rows_lost", "n_attributes")).alias("s"))
+        notes.append(step.where("s is not null").select(F.concat(F.lit("The largest loss, of "), F.col("s.marginal_rows_lost").cast("string"), F.lit(" rows, comes with size "), F.col("s.n_attributes").cast("string"), F.lit(".")).alias("note")))
+    if bottleneck is not None:
+        hard = bottleneck.where("bottleneck_effect > 0").agg(F.max_by("attribute", F.struct("bottleneck_effect", "attribute")).alias("a"))
+        notes.append(hard.where("a is not null").select(F.concat(F.lit("The strongest bottleneck is "), "a", F.lit(".")).alias("note")))
+    if targets is not None:
+        one = targets.where("target_rank = 1")
+        notes.append(one.select(F.concat(F.lit("Best with the targets: "), "attributes", F.lit(", with "), text("n_rows_complete"), F.lit(" rows.")).alias("note")))
+    notes.append(chosen.select(F.concat(F.lit("Selected: "), "attributes", F.lit(", with "), text("n_rows_complete"), F.lit(" complete rows.")).alias("note")))
+    out = None
+    for k, n in enumerate(notes, 1):
+        one = n.select(F.lit(k).alias("note_order"), "note")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite
+from ..functions.expr import finite, ratio_nonzero
 
+# Names of the metrics.
 REGRESSION = ["ccc", "r2", "nse", "mae", "rmse", "mqi"]
 CLASSES = [
     "accuracy", "kappa", "sensitivity", "specificity", "ppv", "npv", "precision", "recall", "f1", "prevalence",
@@ -108,6 +109,6 @@ def group_classes(df: DataFrame, group: str, column: str) -> DataFrame:
 def size_within_tolerance(profile: DataFrame, size: str, metric: str, tol: float) -> DataFrame:
     """The smallest size whose metric is at most tol per cent below the best."""
     best = profile.agg(F.max(metric).alias("best"))
-    loss = (F.col("best") - F.col(metric)) / F.col("best") * 100
+    loss = ratio_nonzero(F.col("best") - F.col(metric), F.col("best")) * 100
     fit = profile.join(F.broadcast(best)).withColumn("loss_pct", loss).where(F.col("loss_pct") <= tol)
     return fit.orderBy(size).limit(1)

@@ -1,4 +1,4 @@
-"""Tuned training, feature elimination and validation pipelines over Spark ML."""
+"""Tuned training, feature elimination and model families over Spark ML; pipelines are in their own module."""
 
 from __future__ import annotations
 
@@ -9,12 +9,12 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, resample
+from . import metrics
 
 
 class MetricEvaluator(Evaluator):
@@ -28,6 +28,8 @@ class MetricEvaluator(Evaluator):
         row = self.frame_metrics(dataset.select(F.col(self.label).alias("obs"), F.col("prediction").alias("pred"))).first()
         if self.metric not in row.asDict():
             raise ValueError(f"the metric function does not return {self.metric}")
+        if row[self.metric] is not None and not isinstance(row[self.metric], (int, float)):
+            raise TypeError(f"{self.metric} is not a number")
         return float("-inf" if self.larger else "inf") if row[self.metric] is None else float(row[self.metric])
 
     def isLargerBetter(self) -> bool:
@@ -122,30 +124,6 @@ def indexed_label(df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:
     return model.transform(df), list(model.labels)
 
 
-def repeated_holdout(df: DataFrame, columns: Sequence[str], label: str, key: str, runs: int, p: float = 0.75) -> DataFrame:
-    """Metrics by run and data of repeated stratified holdouts: split, fit, score, stacked."""
-    out = None
-    for run in range(1, runs + 1):
-        split = resample.stratified_holdout(resample.quantile_strata(df, label), "stratum", key, p, run)
-        rows = assembled(split, columns, label)
-        scored = forest(seed=run).fit(rows.where("role = 'train'")).transform(rows)
-        one = metrics.regression_metrics(scored.select("role", F.col("label").alias("obs"), F.col("prediction").alias("pred")), ["role"])
-        one = one.withColumn("run", F.lit(run))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def nested_logo(df: DataFrame, columns: Sequence[str], label: str, group: str, units: Sequence) -> DataFrame:
-    """Held-out predictions of each unit, pooled into one row of metrics."""
-    rows, pooled = assembled(df, columns, label), None
-    for unit in units:
-        split = resample.leave_out(rows, group, unit)
-        held = GBTRegressor(maxIter=3, maxDepth=3, seed=7).fit(split.where("role = 'train'")).transform(split.where("role = 'holdout'"))
-        one = held.select(F.col("label").alias("obs"), F.col("prediction").alias("pred"))
-        pooled = one if pooled is None else pooled.unionByName(one)
-    return metrics.regression_metrics(pooled)
-
-
 def neighbour_votes(rows: DataFrame, train: DataFrame, near: DataFrame, label: str) -> DataFrame:
     """Class of each row by votes of its nearest training rows, weighted by inverse distance (near: vec_id, near)."""
     votes = near.select("vec_id", F.explode("near").alias("n")).select("vec_id", F.col("n.id").alias("id"), (1 / (F.col("n.d") + 1e-9)).alias("w"))

@@ -50,10 +50,10 @@ def spline_means(upper: np.ndarray, lower: np.ndarray, value: np.ndarray, breaks
     return np.array(means), float(np.sqrt(np.mean((fitted - value) ** 2)))
 
 
-def depth_spline(df: DataFrame, breaks: Sequence[float], lam: float = 0.1, low: float = 0.0, high: float = 1000.0, groups: int = 64) -> DataFrame:
+def depth_spline(df: DataFrame, breaks: Sequence[float], lam: float = 0.1, low: float = 0.0, high: float = 1000.0, rows_per_group: int = 50_000) -> DataFrame:
     """Spline means of each profile over standard depths (clipped to low and high) and its RMSE.
 
-    Profiles are dealt to groups by hash, so one call fits many. A profile without any value in the
+    Profiles are dealt by hash to as many groups as the rows ask for, so one call fits many. A profile without any value in the
     standard depths gets the value of its first layer in the first of them.
     """
     names = [f"d_{a:g}_{b:g}" for a, b in zip(breaks, breaks[1:], strict=False)]
@@ -69,6 +69,6 @@ def depth_spline(df: DataFrame, breaks: Sequence[float], lam: float = 0.1, low:
         return pd.DataFrame(rows, columns=["profile_id", *names, "rmse", "filled"])
 
     schema = "profile_id long, " + ", ".join(f"{n} double" for n in names) + ", rmse double, filled boolean"
-    part = F.pmod(F.xxhash64("profile_id"), F.lit(groups))
+    part = F.pmod(F.xxhash64("profile_id"), F.lit(max(64, df.count() // rows_per_group)))
     rows = df.where("value is not null").select(F.col("profile_id").cast("long").alias("profile_id"), "upper_limit", "lower_limit", "value", part.alias("part"))
     return rows.groupBy("part").applyInPandas(fit, schema)

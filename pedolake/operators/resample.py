@@ -21,11 +21,26 @@ def quantile_strata(df: DataFrame, target: str, groups: int = 5) -> DataFrame:
     return df.join(F.broadcast(cuts)).withColumn("stratum", below.cast("int")).drop("cuts")
 
 
+def drawn_places(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
+    """Adds each row's place in its group by its draw, and the group's rows.
+
+    A group is cut by the first letters of the draws into 4,096 parts that are ordered side by side; a
+    part's offset is the rows of the parts before it, so no group is ordered by one task.
+    """
+    drawn = df.withColumn("__draw", draw(seed, key)).withColumn("__part", F.substring("__draw", 1, 3))
+    sizes = drawn.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__g")
+    before = F.coalesce(F.sum("__n").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__g", "__p", before.alias("__before"), F.sum("__n").over(w).alias("n_group"))
+    inner = F.row_number().over(Window.partitionBy(group, "__part").orderBy("__draw", key))
+    placed = drawn.withColumn("__inner", inner).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return placed.withColumn("place", F.col("__inner") + F.col("__before")).drop("__draw", "__part", "__g", "__p", "__before", "__inner")
+
+
 def stratified_holdout(df: DataFrame, stratum: str, key: str, p: float, seed: int) -> DataFrame:
     """Marks ceil(p * n) rows of each stratum as 'train', the first by their draw."""
-    w = Window.partitionBy(stratum)
-    r, n = F.row_number().over(w.orderBy(draw(seed, key), key)), F.count(F.lit(1)).over(w)
-    return df.withColumn("role", F.when(r <= F.ceil(n * p), "train").otherwise("test"))
+    placed = drawn_places(df, stratum, key, seed)
+    return placed.withColumn("role", F.when(F.col("place") <= F.ceil(F.col("n_group") * p), "train").otherwise("test")).drop("place", "n_group")
 
 
 def grouped_holdout(df: DataFrame, group: str, target: str, p: float, seed: int) -> DataFrame:
@@ -70,6 +85,27 @@ def fold_leakage(folds: DataFrame, group: str) -> DataFrame:
     return each.groupBy("rep").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n_folds") > 1).alias("n_leaking"))
 
 
+def require_stratified(folds: DataFrame, group: str) -> DataFrame:
+    """The folds themselves, or an error if a class has fewer than two groups or is missing from the training part of a fold."""
+    few = folds.groupBy("rep", "class").agg(F.count_distinct(group).alias("n"), F.count_distinct("fold").alias("k")).where("n < 2 or k < 2")
+    bad = [r["class"] for r in few.select("class").distinct().limit(10).collect()]
+    if bad:
+        raise ValueError(f"classes that a training part would miss: {bad}")
+    return folds
+
+
+def leave_one_out_rows(df: DataFrame, unit: str, key: str) -> DataFrame:
+    """The rows that each unit leaves out (unit, key); all others train. One row each, however many units there are."""
+    return df.where(F.col(unit).isNotNull()).select(F.col(unit).alias("unit"), F.col(key).alias(key))
+
+
+def loo_index(df: DataFrame, key: str) -> DataFrame:
+    """Sizes of each leave-one-row-out resample."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_holdout"))
+    return n.join(F.broadcast(total)).select(key, "n_holdout", (F.col("total") - F.col("n_holdout")).alias("n_train"))
+
+
 def logo_index(df: DataFrame, group: str, key: str) -> DataFrame:
     """Sizes of each leave-one-group-out resample, from one count by group (rows are read when a unit is fitted)."""
     n = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_holdout"))
@@ -82,13 +118,29 @@ def leave_out(df: DataFrame, key: str, value) -> DataFrame:
     return df.withColumn("role", F.when(F.col(key) == F.lit(value), "holdout").otherwise("train"))
 
 
-def validate_resamples(index: DataFrame, n_rows: int, least: int = 2, classes: Sequence[str] = ()) -> DataFrame:
-    """Sizes of each resample (resample, row_id, role, class) and whether it may be used."""
+def require_usable(validated: DataFrame) -> DataFrame:
+    """The usable resamples, or an error if none is left."""
+    left = validated.where("usable")
+    if left.isEmpty():
+        raise ValueError("no resample can be used")
+    return left
+
+
+def validate_resamples(index: DataFrame, n_rows: int, least: int = 2, classes: Sequence[str] = (), rows: DataFrame | None = None) -> DataFrame:
+    """Sizes of each resample (resample, row_id, role, class) and whether it may be used.
+
+    Rows without an id, or (where the table of rows is given) with one that it does not hold, are counted
+    as unknown, and a resample with any may not be used.
+    """
     train, held = F.col("role") == "train", F.col("role") == "holdout"
+    unknown = F.col("row_id").isNull()
+    if rows is not None:
+        index = index.join(rows.select("row_id").distinct().withColumn("__known", F.lit(True)), "row_id", "left")
+        unknown = F.col("__known").isNull()
     out = index.groupBy("resample").agg(
-        F.count_if(train).alias("n_train"), F.count_if(held).alias("n_holdout"), F.count_distinct(F.when(train, F.col("class"))).alias("n_train_classes")
+        F.count_if(unknown).alias("n_unknown"), F.count_if(train).alias("n_train"), F.count_if(held).alias("n_holdout"), F.count_distinct(F.when(train, F.col("class"))).alias("n_train_classes")
     )
-    ok = (F.col("n_train") >= least) & (F.col("n_holdout") >= least) & (F.col("n_train") + F.col("n_holdout") <= n_rows)
+    ok = (F.col("n_unknown") == 0) & (F.col("n_train") >= least) & (F.col("n_holdout") >= least) & (F.col("n_train") + F.col("n_holdout") <= n_rows)
     if classes:
         ok = ok & (F.col("n_train_classes") == len(set(classes)))
     return out.withColumn("usable", ok)

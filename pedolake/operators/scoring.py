@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.scratch import scratch_path
 
 
+#: Values of a predictor that are tried together on each row.
+VALUES = 512
+
+
 def leaf_values(model, train: DataFrame, target: str, key: str) -> DataFrame:
     """One training value for each (tree, leaf): that of the row with the least hash of its key."""
     leaves = model.transform(train).select(key, target, F.posexplode(vector_to_array(model.getLeafCol())).alias("tree", "leaf"))
@@ -25,6 +29,19 @@ def forest_quantiles(model, rows: DataFrame, stored: DataFrame, key: str, quanti
     return tree_value_summary(leaves.join(stored, ["tree", "leaf"]), key, "stored", quantiles)
 
 
+def tree_value_summaries(values: DataFrame, key: str, value: str, what: Sequence[float | tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """Summaries of the tree values of each row: quantiles in [0, 1], or names with aggregates of one's own."""
+    out = []
+    for w in what:
+        if isinstance(w, tuple):
+            out.append(w[1](F.col(value)).alias(w[0]))
+        elif 0 <= w <= 1:
+            out.append(F.percentile(value, w).alias(f"q{round(100 * w)}"))
+        else:
+            raise ValueError("quantiles must lie in [0, 1]")
+    return values.groupBy(key).agg(*out)
+
+
 def tree_value_summary(values: DataFrame, key: str, value: str, quantiles: Sequence[float]) -> DataFrame:
     """Summaries of the tree values of each row."""
     q = F.percentile(value, list(quantiles)).alias("q")
@@ -42,24 +59,25 @@ def class_probabilities(model, rows: DataFrame, key: str, levels: Sequence[str])
 def partial_dependence(train: DataFrame, name: str, scorer: Callable[[Mapping[str, Column]], Column], columns: Sequence[str], low: float, high: float, delta: bool = False) -> DataFrame:
     """For each training value of a predictor: mean and quantiles of the score over all rows with that value set.
 
-    Equal values are scored once and keep their multiplicity. The values are broadcast; they are checked
-    against the rows' number so that the product stays within one pass per distinct value.
+    With delta, the score of each row as it is is taken off first. Every distinct value is a query against
+    all rows: values go in blocks of ``VALUES``, each one array, and rows that agree (in the other
+    predictors and, with delta, in their own score) are scored once, with their multiplicity.
     """
     values = train.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
-    others = train.select(*[c for c in columns if c != name])
-    # rows that agree in the other predictors are scored once
+    n_blocks = -(-max(1, values.count()) // VALUES)
+    block = F.pmod(F.xxhash64("value"), F.lit(n_blocks))
+    blocks = values.groupBy(block.alias("block")).agg(F.collect_list(F.struct("value", "n_rows")).alias("values"))
+    base = scorer({c: F.col(c) for c in columns}) if delta else F.lit(0.0)
+    others = train.select(*[c for c in columns if c != name], base.alias("base"))
     others = others.groupBy(*others.columns).agg(F.count(F.lit(1)).alias("weight"))
-    grid = others.crossJoin(values)
+    others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
+    grid = others.join(blocks, "block").withColumn("v", F.explode("values")).select(*others.columns, "v.value", "v.n_rows")
     score = scorer({c: F.col("value") if c == name else F.col(c) for c in columns})
-    scored = grid.withColumn("score", score)
+    scored = grid.withColumn("score", score - F.col("base"))
     out = scored.groupBy("value", "n_rows").agg(
         (F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("mean"), F.percentile("score", [low, high], F.col("weight")).alias("q")
     )
-    out = out.select("value", "n_rows", "mean", F.col("q")[0].alias("lci"), F.col("q")[1].alias("uci"))
-    if delta:
-        base = train.select(scorer({c: F.col(c) for c in columns}).alias("p")).agg(F.percentile("p", 0.5).alias("base"))
-        out = out.join(F.broadcast(base)).select("value", "n_rows", *[(F.col(c) - F.col("base")).alias(c) for c in ("mean", "lci", "uci")])
-    return out
+    return out.select("value", "n_rows", "mean", F.col("q")[0].alias("lci"), F.col("q")[1].alias("uci"))
 
 
 def shapley_linear(rows: DataFrame, background: DataFrame, weights: Mapping[str, float], key: str) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
+
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
@@ -37,34 +39,44 @@ def near_zero_variance(df: DataFrame, columns: Sequence[str], freq_cut: float =
     )
 
 
-def average_ranks(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
-    """Rows with the average rank of a numeric column.
+#: Ranges of values of a column that are ranked side by side.
+BUCKETS = 64
 
-    Counts by value are ranked, so ties cost one row each. The values are cut at approximate quantiles
-    into buckets that are ranked side by side; each bucket's offset is the rows of those before it.
-    """
-    value = F.col(column).cast("double")
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    cuts = sorted(set(counts.select(value.alias("v")).approxQuantile("v", [k / buckets for k in range(1, buckets)], 0.01)))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
-    placed = counts.withColumn("__b", bucket)
-    totals = placed.groupBy("__b").agg(F.sum("__n").alias("__t"))
+
+def average_ranks(counts: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """Average rank of each value (value, n): values are parted by the cuts and ranked side by side, and a
+    part's offset is the rows of those before it. Ties cost one row each."""
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    placed = counts.withColumn("__b", part)
+    totals = placed.groupBy("__b").agg(F.sum("n").alias("__t"))
     before = F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("__b", before.alias("__before"))  # a row per bucket
-    below = F.sum("__n").over(Window.partitionBy("__b").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumn("__below", F.coalesce(below, F.lit(0))).join(F.broadcast(offsets), "__b")
-    ranks = placed.select(column, (F.col("__before") + F.col("__below") + (F.col("__n") + 1) / 2).alias("__rank"))
-    return df.join(ranks, column, "left")
+    offsets = totals.select("__b", before.alias("__before"))  # a row per part, BUCKETS at most
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("__below", below).join(F.broadcast(offsets), "__b")
+    return placed.select(value, (F.col("__before") + F.col("__below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rank correlation of each pair of columns, over rows where both are present."""
+    """Rank correlation of each pair of columns, over rows where both are present.
+
+    Rows are counted by pair of values first, and ranks are joined to those counts, not to rows; the
+    correlation is one sum of moments about the mean rank, which ties do not move.
+    """
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    probabilities = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = dict(zip(columns, (sorted(set(q)) for q in doubles.approxQuantile(list(columns), probabilities, 0.01)), strict=True))
     out = None
     for i, a in enumerate(columns):
         for b in columns[i + 1 :]:
-            pair = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-            ranked = average_ranks(average_ranks(pair, a).withColumnRenamed("__rank", "ra"), b).withColumnRenamed("__rank", "rb")
-            one = ranked.agg(F.corr("ra", "rb").alias("rho")).select(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), "rho")
+            pairs = doubles.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+            pairs = written(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
+            ranks = [average_ranks(pairs.groupBy(x).agg(F.sum("n").alias("n")), x, cuts[c]).withColumnRenamed("rank", f"r{x}") for x, c in (("a", a), ("b", b))]
+            total = pairs.agg(((F.sum("n") + 1) / 2).alias("m"))
+            one = pairs.join(ranks[0], "a").join(ranks[1], "b").join(F.broadcast(total))
+            x, y, n = F.col("ra") - F.col("m"), F.col("rb") - F.col("m"), F.col("n")
+            one = one.agg(F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+            rho = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+            one = one.select(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), rho.alias("rho"))
             out = one if out is None else out.unionByName(one)
     return out
 

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Side of the square buckets that points and boxes are joined by.
-BUCKET = 8.0
-
-
-def _bucket(c: Column) -> Column:
-    return F.floor(c / BUCKET).cast("int")
-
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, keep_all: bool = True) -> DataFrame:
-    """Points with each box (poly_id, class_name, xmin ... ymax) that holds them, bounds included."""
-    spread = boxes.withColumn("bx", F.explode(F.sequence(_bucket(F.col("xmin")), _bucket(F.col("xmax")))))
-    spread = spread.withColumn("by", F.explode(F.sequence(_bucket(F.col("ymin")), _bucket(F.col("ymax")))))
-    placed = points.withColumn("px", _bucket(F.col("x"))).withColumn("py", _bucket(F.col("y")))
-    on = (F.col("px") == F.col("bx")) & (F.col("py") == F.col("by"))
+    """Points with each box (poly_id, class_name, xmin ... ymax) that holds them, bounds included.
+
+    They are joined by square buckets whose side is the power of two at or above a box's longer side, so
+    a box of any size meets at most nine buckets; a point looks into one bucket of each size in use.
+    """
+    longer = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(2.0**-40))
+    sized = boxes.withColumn("level", F.least(F.ceil(F.log2(longer)), F.lit(60)).cast("int"))
+    levels = [r["level"] for r in sized.select("level").where("level is not null").distinct().collect()]  # a hundred at most
+    side = F.pow(F.lit(2.0), F.col("level"))
+    bucket = lambda c: F.floor(F.col(c) / side)
+    spread = sized.withColumn("bx", F.explode(F.sequence(bucket("xmin"), bucket("xmax"))))
+    spread = spread.withColumn("by", F.explode(F.sequence(bucket("ymin"), bucket("ymax"))))
+    placed = points.withColumn("__point", F.monotonically_increasing_id()) if keep_all else points
+    looked = placed.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    looked = looked.withColumn("bx", bucket("x")).withColumn("by", bucket("y"))
     inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
-    return placed.join(spread, on & inside, "left" if keep_all else "inner").drop("px", "py", "bx", "by", "xmin", "xmax", "ymin", "ymax")
+    found = looked.join(spread, ["level", "bx", "by"]).where(inside).drop("level", "bx", "by", "xmin", "xmax", "ymin", "ymax")
+    if not keep_all:
+        return found
+    held = found.select("__point", *[c for c in found.columns if c not in placed.columns])
+    return placed.join(held, "__point", "left").drop("__point")
 
 
 def points_to_class(points: DataFrame, boxes: DataFrame, na: bool = True) -> DataFrame:
@@ -66,3 +73,17 @@ def vector_modal(df: DataFrame, layers: Sequence[str]) -> DataFrame:
 def vector_variety(df: DataFrame, layers: Sequence[str]) -> DataFrame:
     """Distinct present values over layers."""
     return df.withColumn("variety", F.size(F.array_distinct(F.array_compact(_layers(df, layers)))))
+
+
+def bind_layers(layers: Mapping[str, DataFrame], key: str, value: str) -> DataFrame:
+    """One column per layer, bound by feature id; a feature that a layer lacks is missing there."""
+    out = None
+    for name, df in layers.items():
+        one = df.select(key, F.col(value).alias(name))
+        out = one if out is None else out.join(one, key, "full")
+    return out
+
+
+def reduce_rows(df: DataFrame, layers: Sequence[str], name: str, function: Callable[[Column], Column]) -> DataFrame:
+    """Adds a column that a function of one's own makes of the array of a row's layers."""
+    return df.withColumn(name, function(_layers(df, layers)))

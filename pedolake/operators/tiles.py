@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite
+from ..functions.expr import finite, ratio_nonzero
 
 
 def valid_cell(band: str, values: list | None = None) -> Column:
@@ -89,36 +89,39 @@ def balanced_tiles(cells: DataFrame, band: str, k_rows: int, k_cols: int, rows:
 
 
 def cells_in_tiles(cells: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Cells with the tile whose ranges hold them; tiles are few and broadcast."""
-    inside = F.col("row").between(F.col("row_start"), F.col("row_end")) & F.col("col").between(F.col("col_start"), F.col("col_end"))
-    return cells.join(F.broadcast(tiles), inside)
+    """Cells with the tile whose ranges hold them: joined by raster row, then only a row's own tiles are looked at."""
+    by_row = tiles.withColumn("row", F.explode(F.sequence("row_start", "row_end").cast("array<int>")))
+    return cells.join(by_row, "row").where(F.col("col").between(F.col("col_start"), F.col("col_end")))
 
 
-def tile_summary(cells: DataFrame, tiles: DataFrame, band: str) -> DataFrame:
-    """Pixels, valid pixels, target and error of each tile; tiles without cells count 0."""
+def tile_summary(cells: DataFrame, tiles: DataFrame, band: str, values: list | None = None) -> DataFrame:
+    """Pixels, valid pixels (finite ones, or those of the given values), target and error of each tile; tiles without cells count 0."""
     n = cells_in_tiles(cells, tiles.select("tile_id", "row_start", "row_end", "col_start", "col_end"))
-    n = n.groupBy("tile_id").agg(F.count_if(valid_cell(band)).alias("n_valid"))
+    n = n.groupBy("tile_id").agg(F.count_if(valid_cell(band, values)).alias("n_valid"))
     out = tiles.select("tile_id", "row_start", "row_end", "col_start", "col_end").join(n, "tile_id", "left")
-    total = cells.agg(F.count_if(valid_cell(band)).alias("all_valid")).join(tiles.agg(F.count(F.lit(1)).alias("n_tiles")))
+    total = cells.agg(F.count_if(valid_cell(band, values)).alias("all_valid")).join(tiles.agg(F.count(F.lit(1)).alias("n_tiles")))
     pixels = ((F.col("row_end") - F.col("row_start") + 1) * (F.col("col_end") - F.col("col_start") + 1)).cast("long")
     out = out.join(F.broadcast(total)).withColumn("n_valid", F.coalesce("n_valid", F.lit(0).cast("long"))).withColumn("n_total", pixels)
     target = F.col("all_valid") / F.col("n_tiles")
     return out.select(
         "tile_id", "n_total", "n_valid", (F.col("n_valid") / F.col("n_total")).alias("valid_fraction"), target.alias("target"),
-        (F.col("n_valid") - target).alias("error"), (100 * (F.col("n_valid") - target) / target).alias("error_pct"),
+        (F.col("n_valid") - target).alias("error"), ratio_nonzero(100 * (F.col("n_valid") - target), target).alias("error_pct"),
     )
 
 
 def global_summary(summary: DataFrame) -> DataFrame:
     """Balance of a tiling in one row, with its status."""
-    n, e = F.col("n_valid"), F.abs(F.col("error_pct"))
+    n, e, size, share = F.col("n_valid"), F.abs(F.col("error_pct")), F.col("n_total"), F.col("valid_fraction")
     one = summary.agg(
         F.count(F.lit(1)).alias("n_tiles"), F.sum("n_total").alias("total_pixels"), F.sum(n).alias("valid_pixels"), F.min(n).alias("min_valid"),
         F.max(n).alias("max_valid"), F.avg(n).alias("mean_valid"), F.median(n).alias("median_valid"), F.stddev_samp(n).alias("sd_valid"),
         F.avg(e).alias("mean_abs_error_pct"), F.max(e).alias("max_abs_error_pct"), F.count_if(n == 0).alias("n_empty"),
-        F.percentile(n, 0.25).alias("q25_valid"), F.percentile(n, 0.75).alias("q75_valid"),
+        F.percentile(n, 0.25).alias("q25_valid"), F.percentile(n, 0.75).alias("q75_valid"), F.max("target").alias("target"),
+        F.max(F.abs(F.col("error"))).alias("max_abs_error"), F.min(size).alias("min_total"), F.max(size).alias("max_total"),
+        F.avg(size).alias("mean_total"), F.median(size).alias("median_total"), F.min(share).alias("min_fraction"), F.max(share).alias("max_fraction"),
+        F.avg(share).alias("mean_fraction"), F.median(share).alias("median_fraction"),
     )
-    cv, worst = F.col("sd_valid") / F.col("mean_valid"), F.col("max_abs_error_pct")
+    cv, worst = ratio_nonzero(F.col("sd_valid"), F.col("mean_valid")), F.col("max_abs_error_pct")
     status = (
         F.when(F.col("n_empty") > 0, "poor")
         .when((cv <= 0.02) & (worst <= 5), "excellent")
@@ -126,13 +129,13 @@ def global_summary(summary: DataFrame) -> DataFrame:
         .when((cv <= 0.10) & (worst <= 20), "acceptable")
         .otherwise("poor")
     )
-    return one.withColumn("cv_valid", cv).withColumn("valid_fraction", F.col("valid_pixels") / F.col("total_pixels")).withColumn("status", status)
+    return one.withColumn("cv_valid", cv).withColumn("valid_fraction", ratio_nonzero(F.col("valid_pixels"), F.col("total_pixels"))).withColumn("status", status)
 
 
 def tile_polygons(tiles: DataFrame, res: float, ymax: float) -> DataFrame:
     """Closed rings of tiles as text, from half a cell outside the outer cell centres."""
     x0, x1 = F.col("col_start") * res, (F.col("col_end") + 1) * res
     y1, y0 = ymax - F.col("row_start") * res, ymax - (F.col("row_end") + 1) * res
-    point = lambda x, y: F.concat(x.cast("long").cast("string"), F.lit(" "), y.cast("long").cast("string"))
+    point = lambda x, y: F.concat(x.cast("double").cast("string"), F.lit(" "), y.cast("double").cast("string"))
     ring = F.concat_ws(", ", point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
     return tiles.select("tile_id", F.concat(F.lit("POLYGON (("), ring, F.lit("))")).alias("wkt"))

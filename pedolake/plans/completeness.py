@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
+from ..functions.scratch import written
 from ..operators import completeness as c
 from .fixtures import derived, with_inputs
 
@@ -26,6 +27,11 @@ def _summary(spark, d):
     return c.combo_summary(spark, _soil(spark, d), ATTRS, "coord_id", _depth(), WEIGHTS)
 
 
+def _once(spark, d):
+    """The summary, written once for those who use it several times."""
+    return written(_summary(spark, d), "summary")
+
+
 _COMBO = ["combo_id", "n_attributes", "attributes", "n_rows_complete"]
 
 
@@ -101,7 +107,7 @@ def selection_rows(spark, d):
 
 
 def pareto_combo(spark, d):
-    return _shown(c.pareto_combos(_summary(spark, d)))
+    return _shown(c.pareto_combos(_once(spark, d)))
 
 
 def marginal_loss(spark, d):
@@ -112,7 +118,7 @@ def marginal_loss(spark, d):
 
 
 def bottleneck_summary(spark, d):
-    out = c.bottlenecks(_summary(spark, d), ATTRS, c.attr_completeness(_soil(spark, d), ATTRS), ["c_gkg"])
+    out = c.bottlenecks(_once(spark, d), ATTRS, c.attr_completeness(_soil(spark, d), ATTRS), ["c_gkg"])
     for name in ("pct_with", "pct_non_na", "mean_rows_with", "median_rows_with", "mean_rows_without", "bottleneck_effect", "bottleneck_intensity"):
         out = out.withColumn(name, rounded(F.col(name), 4))
     return out
@@ -135,16 +141,18 @@ def target_any(spark, d):
     return _shown(c.target_combos(_summary(spark, d), ATTRS, ["c_gkg", "clay_gkg"], "any"), "n_additional_attributes")
 
 
-def _selected(spark, d, priority="richness_first"):
-    return c.selection_candidates(_summary(spark, d), priority, 100, 0.05)
+def _selected(spark, d, priority="richness_first", summary=None):
+    return c.selection_candidates(summary or _summary(spark, d), priority, 100, 0.05)
 
 
 def diagnostic_combos(spark, d):
-    return _shown(c.diagnostic_combos(_summary(spark, d), _selected(spark, d)), "source")
+    s = _once(spark, d)
+    return _shown(c.diagnostic_combos(s, _selected(spark, d, summary=s)), "source")
 
 
 def _diagnostic(spark, d):
-    return c.diagnostic_combos(_summary(spark, d), _selected(spark, d)).select("combo_id", "combo_mask", "n_attributes", "attributes")
+    s = _once(spark, d)
+    return c.diagnostic_combos(s, _selected(spark, d, summary=s)).select("combo_id", "combo_mask", "n_attributes", "attributes")
 
 
 def depth_completeness(spark, d):
@@ -162,8 +170,8 @@ def selected_data(spark, d):
     return c.selected_data(_soil(spark, d), ATTRS, chosen).select("row_id", "coord_id", *ATTRS)
 
 
-def _one_summary(spark, d, priority):
-    chosen = _selected(spark, d, priority).where("selection_rank = 1")
+def _one_summary(spark, d, priority, summary=None):
+    chosen = _selected(spark, d, priority, summary).where("selection_rank = 1")
     out = c.selected_summary(_soil(spark, d), ATTRS, chosen, "coord_id", _depth())
     return out.withColumn("pct_rows_selected", rounded(F.col("pct_rows_selected"))).withColumn("pct_units_selected", rounded(F.col("pct_units_selected")))
 
@@ -173,9 +181,9 @@ def selected_summary(spark, d):
 
 
 def priority_comparison(spark, d):
-    out = None
+    out, s = None, _once(spark, d)
     for p in ("richness_first", "metric_first", "rows_first"):
-        one = _one_summary(spark, d, p).withColumn("strategy", F.lit(p))
+        one = _one_summary(spark, d, p, s).withColumn("strategy", F.lit(p))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -196,8 +204,18 @@ def input_summary(spark, d):
 
 
 def decision_notes(spark, d):
-    s = _summary(spark, d)
-    return c.decision_notes(s, c.attr_completeness(_soil(spark, d), ATTRS), _selected(spark, d).where("selection_rank = 1"))
+    s = _once(spark, d)
+    values = c.attr_completeness(_soil(spark, d), ATTRS)
+    targets = c.target_top(c.target_combos(s, ATTRS, ["c_gkg", "clay_gkg"]), 5)
+    chosen = _selected(spark, d, summary=s).where("selection_rank = 1")
+    losses, hard = c.marginal_loss(c.top_by_size(s)), c.bottlenecks(s, ATTRS, values, ["c_gkg"])
+    return c.decision_notes(s, values, chosen, WEIGHTS, RANGES, losses=losses, bottleneck=hard, targets=targets)
+
+
+def combo_several_units(spark, d):
+    """Combinations of three attributes at most, with shares of units averaged over two unit columns."""
+    s = c.combo_summary(spark, _soil(spark, d), ATTRS, "coord_id", max_size=3, more_units=["profile_id"])
+    return s.select("combo_id", "attributes", "n_rows_complete", rounded(F.col("mean_pct_units")).alias("mean_pct_units"))
 
 
 def depth_class_exact(spark, d):
@@ -351,6 +369,21 @@ ORACLES = {
     "priority_comparison": _q("".join(_cand(p, "c_" + p) for p in _ORDERS), " UNION ALL ".join(_selected_sql("c_" + p).format(label=f", '{p}' AS strategy") for p in _ORDERS)),
     "input_summary": _q("", """SELECT (SELECT count(*) FROM soil) AS n_rows, 5 AS n_attributes_evaluated, count(*) AS n_combinations, min(n_attributes) AS min_size,
       max(n_attributes) AS max_size, 'n_rows_complete' AS ranking_metric, 'richness_first' AS selection_priority, 'midpoint' AS depth_method FROM s"""),
+    "combo_several_units": _q("", """, u AS (SELECT count(DISTINCT coord_id) AS a, count(DISTINCT profile_id) AS b FROM soil)
+      SELECT s.combo_id, s.attributes, any_value(s.n_rows_complete) AS n_rows_complete, round((count(DISTINCT m.coord_id) / any_value(u.a) + count(DISTINCT m.profile_id) / any_value(u.b)) / 2, 6) AS mean_pct_units
+      FROM s LEFT JOIN m ON (m.mask & s.combo_mask) = s.combo_mask, u WHERE s.n_attributes <= 3 GROUP BY 1, 2"""),
+    "decision_notes": _q(_BEST + _TARGET.format(op="= 5") + _cand("richness_first") + f""", ha AS ({_HAS}),
+      ls AS (SELECT n_attributes, lag(n_rows_complete) OVER (ORDER BY n_attributes) - n_rows_complete AS lost FROM best),
+      bn AS (SELECT attribute, avg(CASE WHEN s.combo_mask & bit = 0 THEN n_rows_complete END) - avg(CASE WHEN s.combo_mask & bit <> 0 THEN n_rows_complete END) AS eff FROM ha, s WHERE attribute <> 'c_gkg' GROUP BY 1)""", """
+      SELECT 1 AS note_order, (SELECT count(*) FROM s) || ' combinations were evaluated on ' || (SELECT count(*) FROM soil) || ' rows.' AS note
+      UNION ALL SELECT 2, 'Candidates were ordered by selection_priority = richness_first.' UNION ALL SELECT 3, 'Attribute weights enter the weighted score.'
+      UNION ALL SELECT 4, 'Valid ranges were given and do not count in the completeness of combinations.'
+      UNION ALL (SELECT 5, 'Most complete rows: ' || attributes || ', with ' || n_rows_complete || ' rows.' FROM s ORDER BY n_rows_complete DESC, weighted_score DESC LIMIT 1)
+      UNION ALL (SELECT 6, 'The least complete attribute is ' || attribute || ' with ' || n_non_na || ' values.' FROM ha ORDER BY n_non_na, attribute LIMIT 1)
+      UNION ALL (SELECT 7, 'The largest loss, of ' || lost || ' rows, comes with size ' || n_attributes || '.' FROM ls WHERE lost IS NOT NULL ORDER BY lost DESC, n_attributes DESC LIMIT 1)
+      UNION ALL (SELECT 8, 'The strongest bottleneck is ' || attribute || '.' FROM bn WHERE eff > 0 ORDER BY eff DESC, attribute DESC LIMIT 1)
+      UNION ALL (SELECT 9, 'Best with the targets: ' || attributes || ', with ' || n_rows_complete || ' rows.' FROM tg ORDER BY n_rows_complete DESC, weighted_score DESC, n_attributes DESC, attributes LIMIT 1)
+      UNION ALL SELECT 10, 'Selected: ' || attributes || ', with ' || n_rows_complete || ' complete rows.' FROM cand WHERE selection_rank = 1"""),
     "depth_class_exact": with_inputs("soil", "SELECT CASE " + " ".join(f"WHEN abs(upper_depth_cm - {a}) <= 1e-8 AND abs(lower_depth_cm - {b}) <= 1e-8 THEN '{a}-{b}'" for a, b in [(0, 5), (5, 15), (15, 30), (30, 45), (45, 60), (60, 75)]) + " ELSE 'other' END AS depth_class, count(*) AS n FROM soil GROUP BY 1"),
     "depth_class_midpoint": with_inputs("soil", f"SELECT {_CLASS} AS depth_class, count(*) AS n FROM soil GROUP BY 1"),
 }
@@ -359,5 +392,5 @@ QUERIES = [
     availability_mask, attr_completeness, attr_completeness_ranges, row_attr_availability, attr_combinations, combo_summary, combo_units,
     combo_depth, best_combo_by_size, top_combo_by_size, selection_richness, selection_metric, selection_rows, pareto_combo, marginal_loss,
     bottleneck_summary, missingness_correlation, target_top, target_plus_by_size, target_any, diagnostic_combos, depth_completeness,
-    unit_completeness, selected_data, selected_summary, priority_comparison, input_summary, decision_notes, depth_class_exact, depth_class_midpoint,
+    unit_completeness, selected_data, selected_summary, priority_comparison, input_summary, decision_notes, combo_several_units, depth_class_exact, depth_class_midpoint,
 ]

@@ -160,8 +160,32 @@ def aoa_lpd(spark, d):
     train, new = _aoa(spark, d)
     dbar = aoa.mean_distance(train)
     limit = aoa.train_threshold(train, dbar)[1]
-    out = aoa.nearest(new, train, 20).join(F.broadcast(limit))
-    return out.select("vec_id", F.size(F.filter("near", lambda n: n["d"] / dbar < F.col("threshold"))).alias("lpd"))
+    return aoa.local_density(new, train, dbar, limit, 20).select("vec_id", "lpd", "lpd_share")
+
+
+def aoa_classes(spark, d):
+    """Dissimilarity with a class among the predictors; new rows hold a level that training rows lack, and weights count."""
+    kind = F.when(F.col("s_nationkey") % 3 == 0, "a").when(F.col("s_nationkey") % 3 == 1, "b").otherwise("c")
+    df = table(spark, d, "supplier").select(F.col("s_suppkey").alias("vec_id"), F.col("s_nationkey").alias("fold"), F.col("s_acctbal").alias("target"), kind.alias("class"))
+    train = (F.col("vec_id") % 4 != 0) & (F.col("class") != "c")
+    train, new = aoa.coded(df.where(train), df.where(~train), ["target"], ["class"])
+    mean, sd = aoa.training_moments(train, "vector")
+    train, new = (aoa.scaled(x, "vector", mean, sd, [2.0, 1.0, 1.0]) for x in (train, new))
+    return _round(aoa.dissimilarity(new, train, aoa.mean_distance(train)), ["di"], 5).select("vec_id", "di")
+
+
+def vector_bound(spark, d):
+    """Layers bound by feature id, and the greatest value of each row by a function of one's own."""
+    df = derived(spark, d, "layers")
+    layers = {m: df.where(f"{m} is not null").select("x", m).toDF("x", "v") for m in ("m1", "m2", "m3")}
+    out = spatial.bind_layers(layers, "x", "v")
+    return spatial.reduce_rows(out, ["m1", "m2", "m3"], "greatest", F.array_max)
+
+
+def tree_value_functions(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice")
+    what = [0.5, ("least", F.min), ("spread", lambda v: F.max(v) - F.min(v))]
+    return _round(scoring.tree_value_summaries(rows, "l_orderkey", "l_extendedprice", what), ["q50", "least", "spread"], 6)
 
 
 def aoa_neighbours(spark, d):
@@ -193,7 +217,7 @@ def _score(c):
 
 
 def _pd_rows(spark, d):
-    return derived(spark, d, "cells").na.drop(subset=["b4"]).select("b1", "b2", rounded(F.col("b4"), 2).alias("b4"))
+    return derived(spark, d, "cells").na.drop(subset=["b4"]).select("b1", "b2", "b4")
 
 
 def partial_dependence(spark, d):
@@ -233,8 +257,8 @@ def shapley_adjust(spark, d):
 def tree_value_quantiles(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     out = scoring.tree_value_summary(rows, "l_orderkey", "l_extendedprice", [0.05, 0.5, 0.95])
-    # a constant keeps values with few decimals off ties that engines round differently
-    return _round(out.withColumns({c: F.col(c) + 0.000271828 for c in ("q5", "q50", "q95", "mean", "sd")}), ["q5", "q50", "q95", "mean", "sd"], 3)
+    # prices have two decimals and quantiles fall between two of them in twentieths, so six digits tell them whole
+    return _round(out, ["q5", "q50", "q95", "mean", "sd"], 6)
 
 
 _REQ = "WITH rq AS (SELECT DISTINCT run, model FROM predobs, (SELECT unnest(['rf', 'gbm', 'qrf']) AS model))"
@@ -252,8 +276,8 @@ _AOA = """WITH e AS (SELECT vec_id, fold, part, generate_subscripts(embedding, 1
  td AS (SELECT vec_id, min(d) / dbar AS di FROM tt, db WHERE fold <> f2 GROUP BY vec_id, dbar),
  th AS (SELECT max(di) AS threshold FROM td, (SELECT quantile_cont(di, 0.25) AS a, quantile_cont(di, 0.75) AS b FROM td) WHERE di <= b + 1.5 * (b - a)),
  nn AS (SELECT a.vec_id, b.vec_id AS id, sqrt(list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) ** 2))) / dbar AS d FROM z a JOIN z b ON a.part = 'new' AND b.part = 'train', db)"""
-_PD = """WITH r AS (SELECT b1, b2, round(b4, 2) AS b4 FROM cells WHERE b4 IS NOT NULL), v AS (SELECT b1 AS value, count(*) AS n_rows FROM r GROUP BY 1),
- s AS (SELECT value, n_rows, value * b2 + sqrt(b4) AS p FROM v, r), o AS (SELECT value, n_rows, avg(p) AS mean, quantile_cont(p, 0.05) AS lci, quantile_cont(p, 0.95) AS uci FROM s GROUP BY 1, 2)"""
+_PD = """WITH r AS (SELECT b1, b2, b4, b1 * b2 + sqrt(b4) AS own FROM cells WHERE b4 IS NOT NULL), v AS (SELECT b1 AS value, count(*) AS n_rows FROM r GROUP BY 1),
+ s AS (SELECT value, n_rows, value * b2 + sqrt(b4){less} AS p FROM v, r), o AS (SELECT value, n_rows, avg(p) AS mean, quantile_cont(p, 0.05) AS lci, quantile_cont(p, 0.95) AS uci FROM s GROUP BY 1, 2)"""
 _SHAP = "WITH c AS (SELECT CAST(row AS BIGINT) * 100000 + col AS cell_id, b1, b2, b3 FROM cells), mu AS (SELECT avg(b1) AS m1, avg(b2) AS m2, avg(b3) AS m3 FROM c), ph AS (" + " UNION ALL ".join(
     f"SELECT cell_id, 'b{k}' AS feature, {w} * (b{k} - m{k}) AS phi, 2.0 * b1 - 1.5 * b2 + 3.0 * b3 AS score FROM c, mu" for k, w in ((1, 2.0), (2, -1.5), (3, 3.0))
 ) + ")"
@@ -284,23 +308,30 @@ ORACLES = {
     "aoa_di": with_inputs("train_new", _AOA + " SELECT vec_id, round(min(d), 5) AS di FROM nn GROUP BY 1"),
     "train_di_threshold": with_inputs("train_new", _AOA + " SELECT round(threshold, 5) AS threshold FROM th"),
     "aoa_flag": with_inputs("train_new", _AOA + " SELECT vec_id, CAST(min(d) <= any_value(threshold) AS INTEGER) AS aoa FROM nn, th GROUP BY 1"),
-    "aoa_lpd": with_inputs("train_new", _AOA + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, id) AS k FROM nn) SELECT vec_id, CAST(count(CASE WHEN d < threshold THEN 1 END) AS INTEGER) AS lpd FROM r, th WHERE k <= 20 GROUP BY 1"),
+    "aoa_lpd": with_inputs("train_new", _AOA + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, id) AS k FROM nn) SELECT vec_id, CAST(count(CASE WHEN d < threshold THEN 1 END) AS INTEGER) AS lpd, count(CASE WHEN d < threshold THEN 1 END) / 20 AS lpd_share FROM r, th WHERE k <= 20 GROUP BY 1"),
     "aoa_neighbours": with_inputs("train_new", _AOA + " SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, id) AS INTEGER) AS place, id AS neighbour FROM nn QUALIFY place <= 5"),
+    "aoa_classes": """WITH a AS (SELECT s_suppkey AS vec_id, s_acctbal AS target, ['a', 'b', 'c'][s_nationkey % 3 + 1] AS class FROM supplier), t AS (SELECT * FROM a WHERE vec_id % 4 <> 0 AND class <> 'c'), n AS (SELECT * FROM a WHERE vec_id % 4 = 0 OR class = 'c'),
+      m AS (SELECT avg(target) AS mt, stddev_samp(target) AS st, avg(CAST(class = 'a' AS DOUBLE)) AS ma, stddev_samp(CAST(class = 'a' AS DOUBLE)) AS sa, avg(CAST(class = 'b' AS DOUBLE)) AS mb, stddev_samp(CAST(class = 'b' AS DOUBLE)) AS sb FROM t),
+      z AS (SELECT vec_id, part, 2 * (target - mt) / st AS x, (CAST(class = 'a' AS DOUBLE) - ma) / sa AS y, (CAST(class = 'b' AS DOUBLE) - mb) / sb AS w FROM (SELECT *, 't' AS part FROM t UNION ALL SELECT *, 'n' FROM n), m),
+      p AS (SELECT a.vec_id, a.part, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.w - b.w) ** 2) AS d FROM z a JOIN z b ON b.part = 't' AND a.vec_id <> b.vec_id),
+      db AS (SELECT avg(x) AS dbar FROM (SELECT avg(d) AS x FROM p WHERE part = 't' GROUP BY vec_id)) SELECT vec_id, round(min(d) / any_value(dbar), 5) AS di FROM p, db WHERE part = 'n' GROUP BY 1""",
+    "vector_bound": with_inputs("layers", "SELECT x, m1, m2, m3, greatest(m1, m2, m3) AS greatest FROM layers"),
+    "tree_value_functions": "SELECT l_orderkey, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(min(l_extendedprice), 6) AS least, round(max(l_extendedprice) - min(l_extendedprice), 6) AS spread FROM lineitem GROUP BY 1",
     "depth_weighted_mean": with_inputs("profiles", """WITH s AS (SELECT unnest([0.0, 5.0, 15.0, 30.0, 60.0]) AS a, unnest([5.0, 15.0, 30.0, 60.0, 100.0]) AS b),
       o AS (SELECT profile_id, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, value, least(lower_limit, b) - greatest(upper_limit, a) AS w FROM profiles, s)
       SELECT profile_id, a AS upper, b AS lower, round(sum(w * value) / sum(w), 5) AS value FROM o WHERE w > 0 GROUP BY 1, 2, 3"""),
-    "partial_dependence": with_inputs("cells", _PD + " SELECT value, n_rows, round(mean, 5) AS mean, round(lci, 5) AS lci, round(uci, 5) AS uci FROM o"),
-    "partial_dependence_delta": with_inputs("cells", _PD + ", b AS (SELECT quantile_cont(b1 * b2 + sqrt(b4), 0.5) AS base FROM r) SELECT value, n_rows, round(mean - base, 5) AS mean, round(lci - base, 5) AS lci, round(uci - base, 5) AS uci FROM o, b"),
+    "partial_dependence": with_inputs("cells", _PD.format(less="") + " SELECT value, n_rows, round(mean, 5) + 0.0 AS mean, round(lci, 5) + 0.0 AS lci, round(uci, 5) + 0.0 AS uci FROM o"),
+    "partial_dependence_delta": with_inputs("cells", _PD.format(less=" - own") + " SELECT value, n_rows, round(mean, 5) + 0.0 AS mean, round(lci, 5) + 0.0 AS lci, round(uci, 5) + 0.0 AS uci FROM o"),
     "shapley_linear": with_inputs("cells", _SHAP + " SELECT cell_id, feature, round(phi, 6) + 0.0 AS phi FROM ph"),
     "shapley_adjust": with_inputs("cells", _SHAP + """, q AS (SELECT *, phi * phi + 0.01 AS var, sum(phi) OVER w AS s, max(phi * phi + 0.01) OVER w AS vmax FROM ph WINDOW w AS (PARTITION BY cell_id)),
       k AS (SELECT *, var / vmax * 1e6 AS v, score - s - 1.0 AS err FROM q), y AS (SELECT *, sum(v) OVER (PARTITION BY cell_id) AS vs FROM k)
       SELECT cell_id, feature, round(phi, 5) + 0.0 AS phi, round(phi + err * (v - v * vs / (1 + vs)), 5) + 0.0 AS phi_adjusted FROM y"""),
-    "tree_value_quantiles": "SELECT l_orderkey, round(quantile_cont(l_extendedprice, 0.05) + 0.000271828, 3) AS q5, round(quantile_cont(l_extendedprice, 0.5) + 0.000271828, 3) AS q50, round(quantile_cont(l_extendedprice, 0.95) + 0.000271828, 3) AS q95, round(avg(l_extendedprice) + 0.000271828, 3) AS mean, round(stddev_samp(l_extendedprice) + 0.000271828, 3) AS sd FROM lineitem GROUP BY 1",
+    "tree_value_quantiles": "SELECT l_orderkey, round(quantile_cont(l_extendedprice, 0.05), 6) AS q5, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.95), 6) AS q95, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS sd FROM lineitem GROUP BY 1",
 }
 
 QUERIES = [
     csv2_roundtrip, csv_roundtrip, text_export, layer_outputs, catalog_links, detect_dataset_ids, invalid_ids, manifest_status, manifest_summary, uri_mapping,
     pending_work, resume_pending, resume_conflicts, points_to_class, points_to_class_no_na, points_in_polygon, vector_modal, vector_variety, aoa_di,
-    train_di_threshold, aoa_flag, aoa_lpd, aoa_neighbours, aoa_mahalanobis, depth_weighted_mean, depth_spline, partial_dependence,
+    train_di_threshold, aoa_flag, aoa_lpd, aoa_neighbours, aoa_mahalanobis, aoa_classes, vector_bound, tree_value_functions, depth_weighted_mean, depth_spline, partial_dependence,
     partial_dependence_delta, shapley_linear, shapley_mc, shapley_adjust, tree_value_quantiles,
 ]

@@ -1,11 +1,13 @@
-"""Queries that fit models; they have no SQL, and only their rows are checked."""
+"""Queries that fit models: those of closed form have SQL, the others are held against plain versions in tests."""
 
 from __future__ import annotations
 
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from ..operators import aoa, metrics, modelling, scoring
-from .fixtures import derived
+from ..functions.expr import rounded
+from ..operators import aoa, cells, metrics, modelling, pipelines, scoring
+from .fixtures import derived, with_inputs
 
 _X = ["b1", "b2", "b4"]
 
@@ -59,20 +61,122 @@ def class_probabilities(spark, d):
     return scoring.class_probabilities(modelling.class_forest().fit(rows.where("fold <> 0")), rows.where("fold = 0"), "cell_id", levels)
 
 
+#: Inner folds and sizes of the pipelines below.
+_FAST = pipelines.Settings(sizes=[1], folds=2, threads=4)
+
+
+def _forest(**params):
+    return modelling.forest(trees=5, seed=7).copy({}).setMaxDepth(params["depth"])
+
+
 def repeated_holdout(spark, d):
-    return modelling.repeated_holdout(_rows(spark, d), _X, "target", "cell_id", 2)
+    """Two holdouts with elimination and tuning of a forest."""
+    learner = pipelines.spark_learner("rf", "regression", _forest, ({"depth": 3}, {"depth": 5}))
+    return pipelines.repeated(_rows(spark, d), learner, _X, "target", "cell_id", 2, settings=_FAST)["performance"]
 
 
 def nested_logo(spark, d):
-    return modelling.nested_logo(_rows(spark, d), _X, "target", "block", [0, 1, 2, 3])
+    """Each block left out in turn; elimination and tuning of boosted trees within the others."""
+    learner = pipelines.spark_learner("gbm", "regression", lambda **p: GBTRegressor(maxIter=3, maxDepth=p["depth"], seed=7), ({"depth": 2}, {"depth": 3}))
+    return pipelines.leave_one_out(_rows(spark, d), learner, _X, "target", "cell_id", "block", _FAST)["performance"]
 
 
 def single_fit(spark, d):
     """Fits and reports on all rows, without a split."""
-    rows = modelling.assembled(_rows(spark, d), _X, "target")
-    scored = modelling.forest().fit(rows).transform(rows)
-    return metrics.regression_metrics(scored.select(F.col("label").alias("obs"), F.col("prediction").alias("pred")))
+    learner = pipelines.spark_learner("rf", "regression", _forest, ({"depth": 5},))
+    return pipelines.single(_rows(spark, d), learner, _X, "target", "cell_id", settings=_FAST)["performance"]
+
 
+def gbm_influence(spark, d):
+    """Relative influence of each predictor in boosted trees on all rows."""
+    learner = pipelines.spark_learner("gbm", "regression", lambda **p: GBTRegressor(maxIter=3, maxDepth=3, seed=7))
+    return pipelines.single(_rows(spark, d), learner, _X, "target", "cell_id")["importance"]
 
-ORACLES: dict[str, str] = {}
-QUERIES = [cv_metrics, rfe_profile, importance_top, model_family_scores, nearest_votes, qrf_quantiles, class_probabilities, repeated_holdout, nested_logo, single_fit]
+
+def class_probabilities_resampled(spark, d):
+    """Probabilities on a coarser grid, whose cells take the predictors of the cell that holds their centre."""
+    df, levels = modelling.indexed_label(_rows(spark, d), "class")
+    model = modelling.class_forest().fit(modelling.assembled(df, _X, "label"))
+    out = None
+    for b in _X:
+        one = cells.resample_near(derived(spark, d, "cells"), b, 2.5).withColumnRenamed("value", b)
+        out = one if out is None else out.join(one, ["r", "c"])
+    grid = out.na.drop().withColumn("cell_id", F.col("r").cast("long") * 100_000 + F.col("c")).withColumn("label", F.lit(0.0))
+    return scoring.class_probabilities(model, modelling.assembled(grid, _X, "label"), "cell_id", levels)
+
+
+def single_fit_classes(spark, d):
+    """Predictors of a class by their importance in a forest on all rows, after elimination by kappa."""
+    learner = pipelines.spark_learner("rf", "classification", lambda **p: modelling.class_forest(trees=5))
+    settings = pipelines.Settings(sizes=[1, 2], folds=2, metric="kappa")
+    return pipelines.single(_rows(spark, d), learner, _X, "class", "cell_id", settings=settings)["importance"]
+
+
+def _shown(df, names, digits=4):
+    return df.withColumns({n: rounded(F.col(n), digits) for n in names})
+
+
+_PLAIN = pipelines.Settings(threads=4)
+
+
+def repeated_linear(spark, d):
+    """Three stratified holdouts of a line through one predictor, with the null model beside it."""
+    out = pipelines.repeated(_rows(spark, d), pipelines.linear(), ["b1"], "target", "cell_id", 3, settings=_PLAIN)["performance"]
+    return _shown(out.select("run", "data", "mae", "rmse", "nse"), ["mae", "rmse", "nse"])
+
+
+def nested_logo_linear(spark, d):
+    """Each block left out of a line through one predictor; pooled metrics."""
+    out = pipelines.leave_one_out(_rows(spark, d), pipelines.linear(), ["b1"], "target", "cell_id", "block", _PLAIN)["performance"]
+    return _shown(out, metrics.REGRESSION)
+
+
+def loocv_linear(spark, d):
+    """Each group's mean left out of a line through the groups' sizes."""
+    g = derived(spark, d, "groups").groupBy("group_id").agg(F.avg("target").alias("y"), F.count(F.lit(1)).cast("double").alias("x"))
+    out = pipelines.leave_one_out(g, pipelines.linear(), ["x"], "y", "group_id", None, _PLAIN)["predictions"]
+    return _shown(out.select("group_id", "y", "prediction"), ["y", "prediction"], 3)
+
+
+def nested_logo_classes(spark, d):
+    """Each block left out of nearest class means; pooled metrics."""
+    out = pipelines.leave_one_out(_rows(spark, d), pipelines.centroids(), ["b1"], "class", "cell_id", "block", _PLAIN)["performance"]
+    return _shown(out.select("accuracy", "kappa", "sensitivity", "specificity", "precision"), ["accuracy", "kappa", "sensitivity", "specificity", "precision"])
+
+
+def single_linear(spark, d):
+    """A line on all rows, and how well it fits them."""
+    return _shown(pipelines.single(_rows(spark, d), pipelines.linear(), ["b1"], "target", "cell_id", settings=_PLAIN)["performance"], metrics.REGRESSION)
+
+
+_RW = """rw AS (SELECT CAST(row AS BIGINT) * 100000 + col AS cell_id, b1, b3 + 0.3 * b1 * b2 AS target, row % 4 AS block FROM cells WHERE b4 IS NOT NULL)"""
+_CLASS = "CASE WHEN target < 0.35 THEN 'low' WHEN target < 0.7 THEN 'middle' ELSE 'high' END"
+_PAIRS = """SELECT {g} avg(obs) AS mo, avg(pred) AS mp, var_pop(obs) AS vo, var_pop(pred) AS vp, covar_pop(obs, pred) AS co, avg(abs(pred - obs)) AS mae, avg((pred - obs) ** 2) AS mse FROM pairs {by}"""
+_ALL = """SELECT round(2 * co / (vo + vp + (mo - mp) ** 2), 4) AS ccc, round(co * co / (vo * vp), 4) AS r2, round(1 - mse / vo, 4) AS nse, round(mae, 4) AS mae, round(sqrt(mse), 4) AS rmse,
+ round(2 * co / (vo + vp + (mo - mp) ** 2) * (1 - mse / vo) / (mae / mo), 4) AS mqi FROM (""" + _PAIRS.format(g="", by="") + ")"
+_STRATUM = " + ".join(f"CASE WHEN target > q[{k}] THEN 1 ELSE 0 END" for k in (1, 2, 3, 4))
+
+ORACLES: dict[str, str] = {
+    "nearest_votes": with_inputs("train_new", """WITH e AS (SELECT vec_id, fold, part, CAST(embedding AS DOUBLE[]) AS z FROM train_new),
+      p AS (SELECT a.vec_id, b.vec_id AS id, b.fold, sqrt(list_sum(list_transform(list_zip(a.z, b.z), lambda p: (p[1] - p[2]) ** 2))) AS d FROM e a JOIN e b ON a.part = 'new' AND b.part = 'train'),
+      r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, id) AS k FROM p), v AS (SELECT vec_id, fold, sum(1 / (d + 1e-9)) AS w FROM r WHERE k <= 7 GROUP BY 1, 2)
+      SELECT vec_id, fold AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, fold DESC) = 1"""),
+    "single_linear": with_inputs("cells", f"WITH {_RW}, f AS (SELECT regr_slope(target, b1) AS s, regr_intercept(target, b1) AS i FROM rw), pairs AS (SELECT target AS obs, i + s * b1 AS pred FROM rw, f) {_ALL}"),
+    "nested_logo_linear": with_inputs("cells", f"""WITH {_RW}, f AS (SELECT u, regr_slope(target, b1) AS s, regr_intercept(target, b1) AS i FROM rw, (SELECT unnest([0, 1, 2, 3]) AS u) WHERE block <> u GROUP BY u),
+      pairs AS (SELECT target AS obs, i + s * b1 AS pred FROM rw JOIN f ON u = block) {_ALL}"""),
+    "repeated_linear": with_inputs("cells", f"""WITH {_RW}, st AS (SELECT rw.*, run, {_STRATUM} AS stratum FROM (SELECT *, (SELECT quantile_cont(target, [0.2, 0.4, 0.6, 0.8]) FROM rw) AS q FROM rw) rw, (SELECT unnest([1, 2, 3]) AS run)),
+      h AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY run, stratum ORDER BY md5(concat_ws('-', cell_id, run)), cell_id) <= ceil(count(*) OVER (PARTITION BY run, stratum) * 0.75) THEN 'train' ELSE 'test' END AS role FROM st),
+      f AS (SELECT run, regr_slope(target, b1) AS s, regr_intercept(target, b1) AS i, avg(target) AS m FROM h WHERE role = 'train' GROUP BY run),
+      pairs AS (SELECT run, role AS data, target AS obs, i + s * b1 AS pred FROM h JOIN f USING (run) UNION ALL SELECT run, 'null', target, m FROM h JOIN f USING (run) WHERE role = 'test')
+      SELECT CAST(run AS INTEGER) AS run, data, round(mae, 4) AS mae, round(sqrt(mse), 4) AS rmse, round(1 - mse / vo, 4) + 0.0 AS nse FROM ({_PAIRS.format(g="run, data,", by="GROUP BY run, data")})"""),
+    "loocv_linear": with_inputs("groups", """WITH g AS (SELECT group_id, avg(target) AS y, CAST(count(*) AS DOUBLE) AS x FROM groups GROUP BY 1),
+      f AS (SELECT u.group_id, regr_slope(g.y, g.x) AS s, regr_intercept(g.y, g.x) AS i FROM g JOIN g u ON u.group_id <> g.group_id GROUP BY 1) SELECT group_id, round(y, 3) AS y, round(i + s * x, 3) AS prediction FROM g JOIN f USING (group_id)"""),
+    "nested_logo_classes": with_inputs("cells", f"""WITH {_RW}, k AS (SELECT *, {_CLASS} AS class FROM rw), m AS (SELECT u, class AS c, avg(b1) AS m FROM k, (SELECT unnest([0, 1, 2, 3]) AS u) WHERE block <> u GROUP BY ALL),
+      p AS (SELECT cell_id, any_value(class) AS obs, arg_min(c, (b1 - m) ** 2) AS pred FROM (SELECT * FROM k JOIN m ON u = block ORDER BY c) GROUP BY 1),
+      per AS (SELECT l.c, count(CASE WHEN obs = l.c AND pred = l.c THEN 1 END) AS t, count(CASE WHEN pred = l.c THEN 1 END) AS a, count(CASE WHEN obs = l.c THEN 1 END) AS b, count(*) AS n FROM p, (SELECT DISTINCT class AS c FROM k) l GROUP BY 1),
+      w AS (SELECT sum(t) / max(n) AS po, sum(CAST(a AS DOUBLE) * b) / (max(n) * CAST(max(n) AS DOUBLE)) AS pe FROM per)
+      SELECT round(any_value(po), 4) AS accuracy, round(any_value((po - pe) / (1 - pe)), 4) AS kappa, round(avg(t / nullif(b, 0)), 4) AS sensitivity, round(avg((n - a - b + t) / nullif(n - b, 0)), 4) AS specificity,
+      round(avg(t / nullif(a, 0)), 4) AS precision FROM per, w"""),
+}
+QUERIES = [cv_metrics, rfe_profile, importance_top, model_family_scores, nearest_votes, qrf_quantiles, class_probabilities, repeated_holdout, nested_logo, single_fit,
+    gbm_influence, class_probabilities_resampled, single_fit_classes, repeated_linear, nested_logo_linear, loocv_linear, nested_logo_classes, single_linear]

@@ -28,12 +28,14 @@ def _round(df, names, digits=6):
     return df.withColumns({n: rounded(F.col(n), digits) for n in names})
 
 
-#: Added before rounding, so that no value with few decimals sits on a tie that engines break differently.
-OFF_TIE = 2.71828e-7
+def _half_up(df, names):
+    """Six digits by plain arithmetic, which all engines do alike on ties; huge values stay as they are."""
+    six = lambda c: F.when(F.abs(c) < 1e9, F.floor(c * 1e6 + 0.5) / 1e6).otherwise(c) + F.lit(0.0)
+    return df.withColumns({n: six(F.col(n)) for n in names})
 
 
-def _off_tie(df, names):
-    return df.withColumns({n: rounded(F.col(n) + OFF_TIE) for n in names})
+def _half_up_sql(e):
+    return f"CASE WHEN abs({e}) < 1e9 THEN floor(({e}) * 1e6 + 0.5) / 1e6 ELSE {e} END + 0.0"
 
 
 def _with(df, bands):
@@ -49,12 +51,12 @@ _SENT = ["ireci", "mcari", "mcari705", "mcariosavi", "mcariosavi705", "msr705",
 
 def sentinel_indices(spark, d):
     df = r.sentinel_indices(_with(_cells(spark, d), SENTINEL), {k: f"s_{k}" for k in SENTINEL})
-    return _off_tie(df, _SENT).select("row", "col", *_SENT)
+    return _half_up(df, _SENT).select("row", "col", *_SENT)
 
 
 def landsat_indices(spark, d):
     df = r.landsat_indices(_with(_cells(spark, d), LANDSAT), {k: f"s_{k}" for k in LANDSAT})
-    return _off_tie(df, r.LANDSAT).select("row", "col", *r.LANDSAT)
+    return _half_up(df, r.LANDSAT).select("row", "col", *r.LANDSAT)
 
 
 def landsat_scaled(spark, d):
@@ -105,7 +107,42 @@ def resample_bilinear(spark, d):
 
 
 def resample_cubic(spark, d):
-    return _round(r.resample_cubic(_cells(spark, d), "b1", 2.5), ["value"])
+    return _round(r.resample_kernel(_cells(spark, d), "b1", 2.5, "cubic"), ["value"])
+
+
+def resample_cubicspline(spark, d):
+    return _round(r.resample_kernel(_cells(spark, d), "b1", 2.5, "cubicspline"), ["value"])
+
+
+def resample_lanczos(spark, d):
+    return _round(r.resample_kernel(_cells(spark, d), "b1", 2.5, "lanczos"), ["value"])
+
+
+def focal_fill_substitute(spark, d):
+    return r.focal_fill(_cells(spark, d), "b4", 3, substitute=-1.0).select("row", "col", rounded(F.col("b4")).alias("b4"))
+
+
+def aligned_layers(spark, d):
+    """A band on its own grid, and sums of blocks of four on a grid of four times the cell size."""
+    cells = _cells(spark, d)
+    base, coarse = r.Grid(0.0, YMAX, RES, *GRID), r.Grid(0.0, YMAX, 4 * RES, GRID[0] // 4, GRID[1] // 4)
+    wide = r.resample_sum(cells, "b1", 4).select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
+    out = r.align_layers({"own": (cells.select("row", "col", F.col("b1").alias("value")), base), "wide": (wide, coarse)}, base)
+    return out.where("own is not null").select("row", "col", "own", rounded(F.col("wide"), 4).alias("wide"))
+
+
+#: Cells in degrees, and a grid of spherical Mercator coordinates over them.
+DEGREES, TARGET = r.Grid(-15.0, 31.0, 0.031, 2048, 2048), r.Grid(-1669000.3, 3630000.7, 3217.9, 1024, 1200)
+
+
+def reproject_grid(spark, d):
+    layer = _cells(spark, d).select(F.col("row") % 2048, "col", F.col("b1").alias("value")).toDF("row", "col", "value")
+    return r.reproject(spark, layer, DEGREES, TARGET, r.inverse_mercator)
+
+
+def project_sinusoidal(spark, d):
+    x, y = r.sinusoidal(F.col("x") / 100.0 - 15.0, F.col("y") / 1000.0 - 30.0)
+    return _cells(spark, d).select("row", "col", rounded(x, 3).alias("sx"), rounded(y, 3).alias("sy"))
 
 
 def reproject_mercator(spark, d):
@@ -165,7 +202,10 @@ def tile_summary(spark, d):
     return _round(t.tile_summary(_cells(spark, d), _even(spark, d), "b4"), ["valid_fraction", "target", "error", "error_pct"], 4)
 
 
-_GLOBAL = ["mean_valid", "median_valid", "sd_valid", "mean_abs_error_pct", "max_abs_error_pct", "q25_valid", "q75_valid", "cv_valid", "valid_fraction"]
+_GLOBAL = [
+    "mean_valid", "median_valid", "sd_valid", "mean_abs_error_pct", "max_abs_error_pct", "q25_valid", "q75_valid", "cv_valid", "valid_fraction",
+    "target", "max_abs_error", "mean_total", "median_total", "min_fraction", "max_fraction", "mean_fraction", "median_fraction",
+]
 
 
 def tile_global_summary(spark, d):
@@ -240,7 +280,7 @@ def tri(spark, d):
 
 
 def tpi(spark, d):
-    return _off_tie(r.position_index(_dem(spark, d), "dem", 2), ["tpi"]).select("row", "col", "tpi")
+    return _half_up(r.position_index(_dem(spark, d), "dem", 2), ["tpi"]).select("row", "col", "tpi")
 
 
 def surface_area(spark, d):
@@ -248,15 +288,16 @@ def surface_area(spark, d):
 
 
 def curvatures(spark, d):
-    return r.curvatures(_window(spark, d), RES).drop(*[f"z{k}" for k in range(1, 10)])
+    out = r.curvatures(_window(spark, d), RES).drop(*[f"z{k}" for k in range(1, 10)])
+    return _round(out, [c for c in out.columns if c not in ("row", "col")], 7)
 
 
 def vrm(spark, d):
-    return r.vector_ruggedness(_dem(spark, d), _window(spark, d), RES)
+    return _round(r.vector_ruggedness(_dem(spark, d), _window(spark, d), RES), ["vrm"], 8)
 
 
 def convergence(spark, d):
-    return r.convergence(_dem(spark, d), _window(spark, d), RES)
+    return _round(r.convergence(_dem(spark, d), _window(spark, d), RES), ["convergence"], 5)
 
 
 def tpi_landforms(spark, d):
@@ -293,7 +334,7 @@ def _sent_sql():
         "savi": f"1.5 * {_dv(f'{n} - {rr}', f'{n} + {rr} + 0.5')}", "msavi": f"(2 * {n} + 1 - sqrt((2 * {n} + 1) * (2 * {n} + 1) - 8 * ({n} - {rr}))) / 2",
         "ndmi": _nd(n, s1), "ndmi2": _nd(n2, s1), "nbr": _nd(n, s2), "nbr2": _nd(s1, s2), "ndsi": _nd(rr, s1), "ndsi2": _nd(g, s1), "ndwi": _nd(g, n),
     }
-    return with_inputs("cells", f"WITH s AS (SELECT row, col, {_SB} FROM cells) SELECT row, col, " + ", ".join(f"round({e} + {OFF_TIE}, 6) + 0.0 AS {k}" for k, e in f.items()) + " FROM s")
+    return with_inputs("cells", f"WITH s AS (SELECT row, col, {_SB} FROM cells) SELECT row, col, " + ", ".join(f"{_half_up_sql(e)} AS {k}" for k, e in f.items()) + " FROM s")
 
 
 def _landsat_sql():
@@ -304,7 +345,7 @@ def _landsat_sql():
         "ndmi": _nd("nir", "swir1"), "nbr2": _nd("swir1", "swir2"), "nci": _nd("swir1", "swir2"), "brightness": "sqrt(blue * blue + green * green + red * red)",
         "clay": _dv("swir1", "swir2"), "ri": _dv("red * red", "blue * green * green * green"), "fei": _dv("red", "swir1"), "coi": _nd("red", "green"), "si": _nd("red", "blue"),
     }
-    return with_inputs("cells", f"WITH s AS (SELECT row, col, {_LB} FROM cells) SELECT row, col, " + ", ".join(f"round({e} + {OFF_TIE}, 6) + 0.0 AS {k}" for k, e in f.items()) + " FROM s")
+    return with_inputs("cells", f"WITH s AS (SELECT row, col, {_LB} FROM cells) SELECT row, col, " + ", ".join(f"{_half_up_sql(e)} AS {k}" for k, e in f.items()) + " FROM s")
 
 
 def _dominant_sql(fn):
@@ -332,6 +373,56 @@ _RINGSQL = " + ".join(
     f"CASE WHEN ({y1} > y) <> ({y2} > y) AND x < ({x2} - {x1}) * (y - {y1}) / ({y2} - {y1}) + {x1} THEN 1 ELSE 0 END"
     for (x1, y1), (x2, y2) in zip(RING, [*RING[1:], RING[0]], strict=True)
 )
+
+
+def _kernel_sql(weight, side):
+    """Resampling by a kernel of u - row and v - col; weight is SQL of a distance."""
+    near = ", ".join(map(str, range(1 - side, side + 1)))
+    return f"""WITH g AS (SELECT DISTINCT CAST(floor(row / 2.5) AS INTEGER) AS r, CAST(floor(col / 2.5) AS INTEGER) AS c FROM cells),
+      a AS (SELECT *, (r + 0.5) * 2.5 - 0.5 AS u, (c + 0.5) * 2.5 - 0.5 AS v FROM g), k AS (SELECT r, c, b1, {weight.format(t="abs(u - row)")} * {weight.format(t="abs(v - col)")} AS w FROM a
+      CROSS JOIN (SELECT unnest([{near}]) AS dr) CROSS JOIN (SELECT unnest([{near}]) AS dc) JOIN cells ON row = floor(u) + dr AND col = floor(v) + dc)
+      SELECT r, c, round(sum(w * b1) / sum(w), 6) + 0.0 AS value FROM k GROUP BY 1, 2 HAVING sum(w) > 0.000001"""
+
+
+_CUBIC = "(CASE WHEN {t} <= 1 THEN 1.5 * {t} ** 3 - 2.5 * {t} ** 2 + 1 WHEN {t} < 2 THEN -0.5 * {t} ** 3 + 2.5 * {t} ** 2 - 4 * {t} + 2 ELSE 0 END)"
+_SPLINE = "(CASE WHEN {t} < 1 THEN 2.0 / 3.0 - {t} ** 2 + 0.5 * {t} ** 3 WHEN {t} < 2 THEN (2 - {t}) ** 3 / 6.0 ELSE 0 END)"
+_LANCZOS = "(CASE WHEN {t} < 1e-9 THEN 1 WHEN {t} < 3 THEN 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t}) ** 2 ELSE 0 END)"
+
+
+def _curvature_sql():
+    rr, t, s = "((z1 + z3 + z4 + z6 + z7 + z9 - 2 * (z2 + z5 + z8)) / 2700.0)", "((z1 + z2 + z3 + z7 + z8 + z9 - 2 * (z4 + z5 + z6)) / 2700.0)", "((z3 + z7 - z1 - z9) / 3600.0)"
+    p, q = "((z3 + z6 + z9 - z1 - z4 - z7) / 180.0)", "((z1 + z2 + z3 - z7 - z8 - z9) / 180.0)"
+    f = {
+        "profile_curvature": "-al / nullif(g * (1 + g) ** 1.5, 0)", "plan_curvature": "-ac / nullif(g ** 1.5, 0)", "tangential_curvature": "-ac / nullif(g * sqrt(1 + g), 0)",
+        "longitudinal_curvature": "-2 * al / nullif(g, 0)", "cross_sectional_curvature": "-2 * ac / nullif(g, 0)", "general_curvature": "-2 * (r + t)", "mean_curvature": "h",
+        "total_curvature": "r * r + 2 * s * s + t * t", "minimal_curvature": "h - sqrt(greatest(h * h - k, 0))", "maximal_curvature": "h + sqrt(greatest(h * h - k, 0))",
+    }
+    return f""", q AS (SELECT row, col, {rr} AS r, {t} AS t, {s} AS s, {p} AS p, {q} AS q FROM w), q2 AS (SELECT *, p * p + q * q AS g FROM q),
+     q3 AS (SELECT *, p * p * r + 2 * p * q * s + q * q * t AS al, q * q * r - 2 * p * q * s + p * p * t AS ac,
+     -((1 + q * q) * r - 2 * p * q * s + (1 + p * p) * t) / (2 * (1 + g) ** 1.5) AS h, (r * t - s * s) / (1 + g) ** 2 AS k FROM q2)
+     SELECT row, col, """ + ", ".join(f"round({e}, 7) + 0.0 AS {n}" for n, e in f.items()) + " FROM q3"
+
+
+_STEPS = "(SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc)"
+_VRM = f""", n AS (SELECT row, col, -e / sqrt(1 + e * e + n * n) AS nx, -n / sqrt(1 + e * e + n * n) AS ny, 1 / sqrt(1 + e * e + n * n) AS nz FROM g),
+ j AS (SELECT a.row, a.col, avg(b.nx) AS x, avg(b.ny) AS y, avg(b.nz) AS z FROM n a JOIN (SELECT row - dr AS jr, col - dc AS jc, nx, ny, nz FROM n, {_STEPS}) b ON b.jr = a.row AND b.jc = a.col GROUP BY 1, 2)
+ SELECT row, col, round(1 - sqrt(x * x + y * y + z * z), 8) + 0.0 AS vrm FROM j"""
+_CONVERGENCE = f""", s AS (SELECT row, col, {{aspect}} AS aspect FROM g WHERE e <> 0 OR n <> 0),
+ j AS (SELECT a.row, a.col, abs((b.aspect - (degrees(atan2(-CAST(dc AS DOUBLE), CAST(dr AS DOUBLE))) + 360.0) % 360.0 + 540.0) % 360.0 - 180.0) AS turn FROM s a
+ JOIN (SELECT row - dr AS jr, col - dc AS jc, dr, dc, aspect FROM s, {_STEPS} WHERE dr <> 0 OR dc <> 0) b ON b.jr = a.row AND b.jc = a.col)
+ SELECT row, col, round(avg(turn) - 90.0, 5) + 0.0 AS convergence FROM j GROUP BY 1, 2"""
+
+
+def _tpi_sql(radius):
+    return f"""SELECT a.row, a.col, any_value(a.z) - avg(b.z) AS t FROM dem a JOIN (SELECT row - dr AS jr, col - dc AS jc, z FROM dem, (SELECT unnest(range(-{radius}, {radius + 1})) AS dr), (SELECT unnest(range(-{radius}, {radius + 1})) AS dc)
+      WHERE dr * dr + dc * dc BETWEEN 1 AND {radius * radius}) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col"""
+
+
+_LANDFORMS = f""", t1 AS ({_tpi_sql(1)}), t3 AS ({_tpi_sql(3)}), b AS (SELECT t1.t AS s, t3.t AS l, {{slope}} AS slope FROM t1 JOIN t3 USING (row, col) JOIN g USING (row, col)),
+ st AS (SELECT avg(s) AS ms, stddev_pop(s) AS ss, avg(l) AS ml, stddev_pop(l) AS sl FROM b), zz AS (SELECT (s - ms) / nullif(ss, 0) AS s, (l - ml) / nullif(sl, 0) AS t, slope FROM b, st),
+ f AS (SELECT CASE WHEN s <= -1 AND t <= -1 THEN 'canyon' WHEN s <= -1 AND t < 1 THEN 'midslope_drainage' WHEN s <= -1 THEN 'upland_drainage' WHEN s < 1 AND t <= -1 THEN 'u_valley'
+ WHEN s < 1 AND t < 1 AND slope <= 5 THEN 'plain' WHEN s < 1 AND t < 1 THEN 'open_slope' WHEN s < 1 THEN 'upper_slope' WHEN t <= -1 THEN 'local_ridge' WHEN t < 1 THEN 'midslope_ridge' ELSE 'high_ridge' END AS landform FROM zz)
+ SELECT landform, count(*) AS n FROM f GROUP BY 1"""
 _BALANCED = """WITH RECURSIVE b AS (SELECT min(row) AS lo, max(row) AS hi FROM cells),
  w AS (SELECT rr AS row, count(c.b4) AS w FROM (SELECT CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS rr FROM b) LEFT JOIN cells c ON c.row = rr GROUP BY rr),
  s AS (SELECT row, w, sum(w) OVER (ORDER BY row) AS cs FROM w), t AS (SELECT sum(w) / 8 AS target FROM w),
@@ -364,6 +455,23 @@ ORACLES = {
       a AS (SELECT *, (r + 0.5) * 2.5 - 0.5 AS u, (c + 0.5) * 2.5 - 0.5 AS v FROM g), k AS (SELECT *, (1 - abs(u - row)) * (1 - abs(v - col)) AS w FROM a
       CROSS JOIN (SELECT unnest([0, 1]) AS dr) CROSS JOIN (SELECT unnest([0, 1]) AS dc) JOIN cells ON row = floor(u) + dr AND col = floor(v) + dc)
       SELECT r, c, round(sum(w * b1) / sum(w), 6) AS value FROM k GROUP BY 1, 2 HAVING sum(w) > 0"""),
+    "resample_cubic": with_inputs("cells", _kernel_sql(_CUBIC, 2)),
+    "resample_cubicspline": with_inputs("cells", _kernel_sql(_SPLINE, 2)),
+    "resample_lanczos": with_inputs("cells", _kernel_sql(_LANCZOS, 3)),
+    "focal_fill_substitute": with_inputs("cells", """SELECT a.row, a.col, round(coalesce(a.b4, avg(b.b4), -1), 6) AS b4 FROM cells a LEFT JOIN
+      (SELECT row + dr AS jr, col + dc AS jc, b4 FROM cells, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc)) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col, a.b4"""),
+    "aligned_layers": with_inputs("cells", """WITH s AS (SELECT CAST(floor(row / 4) AS INTEGER) AS r, CAST(floor(col / 4) AS INTEGER) AS c, sum(b1) AS v FROM cells GROUP BY 1, 2)
+      SELECT row, col, b1 AS own, CASE WHEN row < 2048 AND col < 128 THEN round(v, 4) END AS wide FROM cells LEFT JOIN s ON r = floor(row / 4) AND c = floor(col / 4)"""),
+    "reproject_grid": with_inputs("cells", f"""WITH t AS (SELECT CAST(floor(i / {TARGET.n_cols}) AS INTEGER) AS r, CAST(i % {TARGET.n_cols} AS INTEGER) AS c FROM (SELECT unnest(range({TARGET.n_rows * TARGET.n_cols})) AS i)),
+      p AS (SELECT r, c, {TARGET.xmin} + (c + 0.5) * {TARGET.res} AS x, {TARGET.ymax} - (r + 0.5) * {TARGET.res} AS y FROM t),
+      q AS (SELECT r, c, floor(({DEGREES.ymax} - (degrees(2 * atan(exp(y / 6378137.0))) - 90.0)) / {DEGREES.res}) AS rr, floor((degrees(x / 6378137.0) - ({DEGREES.xmin})) / {DEGREES.res}) AS cc FROM p)
+      SELECT r AS row, c AS col, b1 AS value FROM q JOIN cells ON row % 2048 = rr AND col = cc"""),
+    "project_sinusoidal": with_inputs("cells", """WITH g AS (SELECT row, col, radians(x / 100.0 - 15.0) AS lon, radians(y / 1000.0 - 30.0) AS lat FROM cells)
+      SELECT row, col, round(lon * cos(lat) * 6378137.0, 3) + 0.0 AS sx, round(lat * 6378137.0, 3) + 0.0 AS sy FROM g"""),
+    "curvatures": with_inputs("cells", _WIN + _curvature_sql()),
+    "vrm": with_inputs("cells", _WIN + _VRM),
+    "convergence": with_inputs("cells", _WIN + _CONVERGENCE.format(aspect=_ASPECT)),
+    "tpi_landforms": with_inputs("cells", _WIN + _LANDFORMS.format(slope=_SLOPE)),
     "reproject_mercator": with_inputs("cells", """WITH g AS (SELECT row, col, x / 100.0 - 15.0 AS lon, y / 1000.0 - 30.0 AS lat FROM cells)
       SELECT row, col, round(radians(lon) * 6378137.0, 3) + 0.0 AS mx, round(ln(tan(radians(lat) / 2 + pi() / 4)) * 6378137.0, 3) + 0.0 AS my, round(lon, 6) AS lon, round(lat, 6) AS lat FROM g"""),
     "crop_mask": with_inputs("cells", f"SELECT row, col, b1 FROM cells WHERE x BETWEEN 0 AND 2500 AND y BETWEEN 15000 AND 55000 AND ({_RINGSQL}) % 2 = 1"),
@@ -373,13 +481,17 @@ ORACLES = {
     "tile_summary": with_inputs("cells", _TILES + " SELECT tile_id, n_total, n_valid, round(n_valid / n_total, 4) AS valid_fraction, round(target, 4) AS target, round(n_valid - target, 4) AS error, round(100 * (n_valid - target) / target, 4) AS error_pct FROM ts"),
     "tile_global_summary": with_inputs("cells", _TILES + """, e AS (SELECT *, abs(100 * (n_valid - target) / target) AS ae FROM ts), g AS (SELECT count(*) AS n_tiles, CAST(sum(n_total) AS BIGINT) AS total_pixels,
       CAST(sum(n_valid) AS BIGINT) AS valid_pixels, min(n_valid) AS min_valid, max(n_valid) AS max_valid, avg(n_valid) AS mean_valid, median(n_valid) AS median_valid, stddev_samp(n_valid) AS sd_valid,
-      avg(ae) AS mean_abs_error_pct, max(ae) AS max_abs_error_pct, count(CASE WHEN n_valid = 0 THEN 1 END) AS n_empty, quantile_cont(n_valid, 0.25) AS q25_valid, quantile_cont(n_valid, 0.75) AS q75_valid FROM e)
+      avg(ae) AS mean_abs_error_pct, max(ae) AS max_abs_error_pct, count(CASE WHEN n_valid = 0 THEN 1 END) AS n_empty, quantile_cont(n_valid, 0.25) AS q25_valid, quantile_cont(n_valid, 0.75) AS q75_valid,
+      max(target) AS target, max(abs(n_valid - target)) AS max_abs_error, min(n_total) AS min_total, max(n_total) AS max_total, avg(n_total) AS mean_total, median(n_total) AS median_total,
+      min(n_valid / n_total) AS min_fraction, max(n_valid / n_total) AS max_fraction, avg(n_valid / n_total) AS mean_fraction, median(n_valid / n_total) AS median_fraction FROM e)
       SELECT n_tiles, total_pixels, valid_pixels, min_valid, max_valid, round(mean_valid, 4) AS mean_valid, round(median_valid, 4) AS median_valid, round(sd_valid, 4) AS sd_valid,
       round(mean_abs_error_pct, 4) AS mean_abs_error_pct, round(max_abs_error_pct, 4) AS max_abs_error_pct, n_empty, round(q25_valid, 4) AS q25_valid, round(q75_valid, 4) AS q75_valid,
       round(sd_valid / mean_valid, 4) AS cv_valid, round(valid_pixels / total_pixels, 4) AS valid_fraction,
+      round(target, 4) AS target, round(max_abs_error, 4) AS max_abs_error, min_total, max_total, round(mean_total, 4) AS mean_total, round(median_total, 4) AS median_total,
+      round(min_fraction, 4) AS min_fraction, round(max_fraction, 4) AS max_fraction, round(mean_fraction, 4) AS mean_fraction, round(median_fraction, 4) AS median_fraction,
       CASE WHEN n_empty > 0 THEN 'poor' WHEN sd_valid / mean_valid <= 0.02 AND max_abs_error_pct <= 5 THEN 'excellent' WHEN sd_valid / mean_valid <= 0.05 AND max_abs_error_pct <= 10 THEN 'good'
       WHEN sd_valid / mean_valid <= 0.1 AND max_abs_error_pct <= 20 THEN 'acceptable' ELSE 'poor' END AS status FROM g"""),
-    "tile_polygons": with_inputs("cells", _TILES + """, p AS (SELECT tile_id, CAST(col_start * 30 AS BIGINT) AS x0, CAST((col_end + 1) * 30 AS BIGINT) AS x1, CAST(60000 - row_start * 30 AS BIGINT) AS y1, CAST(60000 - (row_end + 1) * 30 AS BIGINT) AS y0 FROM tl)
+    "tile_polygons": with_inputs("cells", _TILES + """, p AS (SELECT tile_id, CAST(col_start * 30.0 AS DOUBLE) AS x0, CAST((col_end + 1) * 30.0 AS DOUBLE) AS x1, CAST(60000.0 - row_start * 30.0 AS DOUBLE) AS y1, CAST(60000.0 - (row_end + 1) * 30.0 AS DOUBLE) AS y0 FROM tl)
       SELECT tile_id, format('POLYGON (({} {}, {} {}, {} {}, {} {}, {} {}))', x0, y0, x1, y0, x1, y1, x0, y1, x0, y0) AS wkt FROM p"""),
     "stack_by_tile": with_inputs("cells", _TILES + " SELECT tile_id, " + ", ".join(f"round(sum({b}), 4) AS {b}" for b in ("b1", "b2", "b3", "b4")) + ", count(*) AS n FROM tl JOIN cells ON row BETWEEN row_start AND row_end AND col BETWEEN col_start AND col_end GROUP BY 1"),
     "bivariate_classes": with_inputs("cells", _BIV + " SELECT *, CAST((b1_class - 1) * 5 + b2_class AS INTEGER) AS colour_id FROM bc"),
@@ -391,14 +503,15 @@ ORACLES = {
     "slope_aspect": with_inputs("cells", _WIN + f" SELECT row, col, round({_SLOPE}, 4) AS slope, round({_ASPECT}, 4) AS aspect FROM g"),
     "tri": with_inputs("cells", _WIN + " SELECT row, col, round(sqrt(" + " + ".join(f"(z{k} - z5) ** 2" for k in (1, 2, 3, 4, 6, 7, 8, 9)) + "), 8) AS tri FROM w"),
     "tpi": with_inputs("cells", """WITH dem AS (SELECT CAST(floor(row / 5) AS INTEGER) AS row, CAST(floor(col / 5) AS INTEGER) AS col, max(b1) * 100 + max(b2) + min(b3) AS z FROM cells GROUP BY 1, 2), o AS (SELECT dr, dc FROM (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) WHERE dr * dr + dc * dc BETWEEN 1 AND 4)
-      SELECT a.row, a.col, round(any_value(a.z) - avg(b.z) + 2.71828e-7, 6) + 0.0 AS tpi FROM dem a JOIN (SELECT row + dr AS jr, col + dc AS jc, z FROM dem, o) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col"""),
+      SELECT row, col, CASE WHEN abs(t) < 1e9 THEN floor(t * 1e6 + 0.5) / 1e6 ELSE t END + 0.0 AS tpi FROM (SELECT a.row, a.col, any_value(a.z) - avg(b.z) AS t FROM dem a JOIN (SELECT row + dr AS jr, col + dc AS jc, z FROM dem, o) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col)"""),
     "surface_area": with_inputs("cells", _WIN + " SELECT row, col, round(900.0 * sqrt(1 + e * e + n * n), 4) AS surface_area FROM g"),
     "dah": with_inputs("cells", _WIN + f" SELECT row, col, round(cos(radians(202.5 - coalesce({_ASPECT}, 0))) * radians({_SLOPE}), 5) + 0.0 AS dah FROM g"),
 }
 
 QUERIES = [
     cells_complete, sentinel_indices, landsat_indices, landsat_scaled, thermal_celsius, band_stack, cell_round, dominant_class_max, dominant_class_min,
-    ensemble_agreement, focal_fill_mean, resample_near, resample_sum, resample_bilinear, resample_cubic, reproject_mercator, crop_mask, uniform_tiles,
+    ensemble_agreement, focal_fill_mean, resample_near, resample_sum, resample_bilinear, resample_cubic, resample_cubicspline, resample_lanczos,
+    focal_fill_substitute, aligned_layers, reproject_grid, project_sinusoidal, reproject_mercator, crop_mask, uniform_tiles,
     check_tiles, balanced_row_ranges, balanced_col_ranges, tile_summary, tile_global_summary, tile_polygons, layout_comparison, stack_by_tile,
     bivariate_classes, bivariate_colour_table, grid_extent, value_attribute_table, class_code_join, hillshade, slope_aspect, tri, tpi, surface_area,
     curvatures, vrm, convergence, tpi_landforms, dah,

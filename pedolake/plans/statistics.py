@@ -108,8 +108,9 @@ def performance_by_run(spark, d):
 
 
 def pooled_test_metrics(spark, d):
-    df = derived(spark, d, "predobs").where("row_id % 4 = 0")
-    return _round(metrics.regression_metrics(df), metrics.REGRESSION, 4)
+    """Test rows of all runs, pooled: each row is tested in the run that it falls to."""
+    df = derived(spark, d, "predobs").withColumn("data", F.when(F.col("row_id") % 5 == F.col("run"), "test").otherwise("train"))
+    return _round(metrics.regression_metrics(df, ["data"]), metrics.REGRESSION, 4)
 
 
 def class_metrics_multiclass(spark, d):
@@ -191,10 +192,11 @@ def logo_index(spark, d):
 
 
 def loo_index(spark, d):
-    df = derived(spark, d, "groups").select("row_id")
-    first = df.agg(F.min("row_id").alias("first"))
-    role = F.when(F.col("row_id") == F.col("first"), "holdout").otherwise("train")
-    return df.join(F.broadcast(first)).select("row_id", role.alias("role"))
+    return resample.loo_index(derived(spark, d, "groups"), "row_id")
+
+
+def logo_holdouts(spark, d):
+    return resample.leave_one_out_rows(derived(spark, d, "groups"), "group_id", "row_id")
 
 
 def _index(spark, d):
@@ -203,8 +205,8 @@ def _index(spark, d):
 
 
 def validate_folds(spark, d):
-    n = derived(spark, d, "groups").count()
-    return resample.validate_resamples(_index(spark, d), n)
+    rows = derived(spark, d, "groups")
+    return resample.validate_resamples(_index(spark, d), rows.count(), rows=rows)
 
 
 def validate_folds_classes(spark, d):
@@ -229,9 +231,11 @@ def cumulative_weight(spark, d):
 
 def stack_runs(spark, d):
     df = derived(spark, d, "predobs")
-    a = df.where("run = 0").select("row_id", "obs").withColumn("run_id", F.lit("run_1"))
-    b = df.where("run = 1").select("row_id", "pred").withColumn("run_id", F.lit("run_2"))
-    return a.unionByName(b, allowMissingColumns=True)
+    out = None
+    for run in range(5):  # the runs have different columns
+        one = df.where(F.col("run") == run).select("row_id", "obs" if run % 2 == 0 else "pred").withColumn("run_id", F.lit(f"run_{run + 1}"))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def set_difference(spark, d):
@@ -279,7 +283,7 @@ _FOLDS = f"""WITH g AS (SELECT DISTINCT group_id FROM groups), r AS (SELECT grou
  f AS (SELECT *, CAST((row_number() OVER (PARTITION BY rep ORDER BY {_md5('group_id', 'rep + 11')}, group_id) - 1) % 4 + 1 AS INTEGER) AS fold FROM r),
  idx AS (SELECT printf('Fold%02d.Rep%02d', k, rep) AS resample, row_id, class, CASE WHEN k = fold THEN 'holdout' ELSE 'train' END AS role
  FROM groups JOIN f USING (group_id), (SELECT unnest([1, 2, 3, 4]) AS k))"""
-_VALID = """, v AS (SELECT resample, count(CASE WHEN role = 'train' THEN 1 END) AS n_train, count(CASE WHEN role = 'holdout' THEN 1 END) AS n_holdout,
+_VALID = """, v AS (SELECT resample, CAST(0 AS BIGINT) AS n_unknown, count(CASE WHEN role = 'train' THEN 1 END) AS n_train, count(CASE WHEN role = 'holdout' THEN 1 END) AS n_holdout,
  count(DISTINCT CASE WHEN role = 'train' THEN class END) AS n_train_classes FROM idx GROUP BY 1)"""
 _SFOLDS = f"""WITH g AS (SELECT group_id, min(class) AS class FROM groups GROUP BY 1), r AS (SELECT *, unnest([1, 2]) AS rep FROM g),
  f AS (SELECT group_id, class, rep, CAST((row_number() OVER (PARTITION BY rep, class ORDER BY {_md5('group_id', 'rep + 11')}, group_id) - 1) % 4 + 1 AS INTEGER) AS fold FROM r)"""
@@ -339,7 +343,7 @@ ORACLES = {
     "null_model_metrics": with_inputs("predobs", """SELECT grp, round(avg(abs(m - obs)), 4) AS mae, round(sqrt(avg((m - obs) ** 2)), 4) AS rmse
       FROM predobs, (SELECT avg(obs) AS m FROM predobs WHERE run < 4) WHERE run = 4 GROUP BY grp"""),
     "performance_by_run": with_inputs("predobs", "WITH pr AS (SELECT *, CASE WHEN row_id % 4 = 0 THEN 'test' ELSE 'train' END AS data FROM predobs) " + _reg("pr", "run, data")),
-    "pooled_test_metrics": with_inputs("predobs", _reg("predobs", "", "row_id % 4 = 0")),
+    "pooled_test_metrics": with_inputs("predobs", "WITH pr AS (SELECT *, CASE WHEN row_id % 5 = run THEN 'test' ELSE 'train' END AS data FROM predobs) " + _reg("pr", "data")),
     "class_metrics_multiclass": with_inputs("predcls", f"WITH cls AS (SELECT * FROM predcls), {_PER.format(levels=_LEVELS)}, {_WHOLE} SELECT run, {_KAPPA}, {_CLS_VALUES} FROM per JOIN w USING (run) GROUP BY run, po, pe"),
     "class_metrics_binary": with_inputs("predcls", f"WITH cls AS (SELECT 0 AS run, CASE WHEN obs = 'A' THEN obs ELSE 'other' END AS obs, CASE WHEN pred = 'A' THEN pred ELSE 'other' END AS pred FROM predcls), {_PER.format(levels=['A', 'other'])}, {_WHOLE} SELECT {_KAPPA}, {_CLS_VALUES} FROM per JOIN w USING (run) WHERE level = 'A' GROUP BY po, pe"),
     "confusion_matrix": with_inputs("predcls", "WITH l AS (SELECT unnest(['A', 'N', 'R', 'Z']) AS level) SELECT p.level AS pred, o.level AS obs, count(c.obs) AS n FROM l p CROSS JOIN l o LEFT JOIN predcls c ON c.pred = p.level AND c.obs = o.level GROUP BY 1, 2"),
@@ -362,13 +366,15 @@ ORACLES = {
     "stratified_group_kfold": with_inputs("groups", _SFOLDS + " SELECT group_id, class, rep, fold FROM f"),
     "fold_leakage_check": with_inputs("groups", _SFOLDS + " SELECT rep, count(*) AS n_groups, count(CASE WHEN nf > 1 THEN 1 END) AS n_leaking FROM (SELECT rep, group_id, count(DISTINCT fold) AS nf FROM f GROUP BY 1, 2) GROUP BY 1"),
     "logo_index": with_inputs("groups", "SELECT group_id, count(*) AS n_holdout, (SELECT count(*) FROM groups) - count(*) AS n_train FROM groups GROUP BY 1"),
-    "loo_index": with_inputs("groups", "SELECT row_id, CASE WHEN row_id = (SELECT min(row_id) FROM groups) THEN 'holdout' ELSE 'train' END AS role FROM groups"),
+    "loo_index": with_inputs("groups", "SELECT row_id, count(*) AS n_holdout, (SELECT count(*) FROM groups) - count(*) AS n_train FROM groups GROUP BY 1"),
+    "logo_holdouts": with_inputs("groups", "SELECT group_id AS unit, row_id FROM groups"),
+    "high_correlation_drop": with_inputs("soil", "WITH c AS (SELECT abs(rho) AS r FROM (" + _rho("c_gkg", "sand_gkg") + """)) SELECT 'c_gkg' AS column_name, (1 + r) / 2 > (1 + 3 * r) / 4 AS "drop" FROM c UNION ALL SELECT 'c_twice', NOT (1 + r) / 2 > (1 + 3 * r) / 4 FROM c UNION ALL SELECT 'sand_gkg', FALSE FROM c"""),
     "validate_folds": with_inputs("groups", _FOLDS + _VALID + " SELECT *, n_train >= 2 AND n_holdout >= 2 AND n_train + n_holdout <= (SELECT count(*) FROM groups) AS usable FROM v"),
     "validate_folds_classes": with_inputs("groups", _FOLDS + _VALID + " SELECT *, FALSE AS usable FROM v WHERE n_train_classes <> 4"),
     "group_split_semi": with_inputs("groups", "SELECT row_id, group_id FROM groups WHERE group_id IN (SELECT group_id FROM groups WHERE row_id % 499 = 0)"),
     "group_split_anti": with_inputs("groups", "SELECT row_id, group_id FROM groups WHERE group_id NOT IN (SELECT group_id FROM groups WHERE row_id % 499 = 0)"),
     "cumulative_weight": with_inputs("cells", "WITH r AS (SELECT row, count(*) AS w FROM cells GROUP BY 1) SELECT row, w, CAST(sum(w) OVER (ORDER BY row) AS BIGINT) AS cumulative FROM r"),
-    "stack_runs": with_inputs("predobs", "SELECT row_id, obs, NULL AS pred, 'run_1' AS run_id FROM predobs WHERE run = 0 UNION ALL SELECT row_id, NULL, pred, 'run_2' FROM predobs WHERE run = 1"),
+    "stack_runs": with_inputs("predobs", "SELECT row_id, CASE WHEN run % 2 = 0 THEN obs END AS obs, CASE WHEN run % 2 = 1 THEN pred END AS pred, 'run_' || (run + 1) AS run_id FROM predobs"),
     "set_difference": """WITH s AS (SELECT s_nationkey AS k FROM supplier), c AS (SELECT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0)
       SELECT k, 'left' AS side FROM (SELECT k FROM s EXCEPT SELECT k FROM c) UNION ALL SELECT k, 'both' FROM (SELECT k FROM s INTERSECT SELECT k FROM c)""",
     "selected_predictors_wide": """WITH c AS (SELECT p_size, p_brand, row_number() OVER (PARTITION BY p_size ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1, 2)
@@ -380,6 +386,6 @@ QUERIES = [
     clean_names, safe_label, map_factor_back, row_limit, top_k_per_group, regression_metrics, regression_metrics_by_group, null_model_metrics,
     performance_by_run, pooled_test_metrics, class_metrics_multiclass, class_metrics_binary, confusion_matrix, group_target_mean, class_support,
     group_class_support, group_class_table, group_class_conflicts, pick_size_tolerance, near_zero_variance, spearman_matrix, high_correlation_drop,
-    stratified_holdout, grouped_holdout, group_kfold, stratified_group_kfold, fold_leakage_check, logo_index, loo_index, validate_folds,
+    stratified_holdout, grouped_holdout, group_kfold, stratified_group_kfold, fold_leakage_check, logo_index, logo_holdouts, loo_index, validate_folds,
     validate_folds_classes, group_split_semi, group_split_anti, cumulative_weight, stack_runs, set_difference, selected_predictors_wide,
 ]

@@ -7,10 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns that may hold dataset ids, in order of preference.
+# Columns that may hold dataset ids, in order of preference, and tables that a dataset has.
 ID_COLUMNS = ["dataset_id", "data_set", "data.set", "dataset", "id", "codigo", "identificacao", "data_id"]
 
 
+TABLES = ["dataset", "observation", "layer", "metadata", "version"]
+
+
+def require_links(links: DataFrame, step: str) -> DataFrame:
+    """The links of a step of a walk, or an error if there are none."""
+    if links.isEmpty():
+        raise ValueError(f"no links at step {step}")
+    return links
+
+
+def require_tables(names: Sequence[str], known: Sequence[str] = TABLES) -> list[str]:
+    """Distinct table names in lower case, or an error that names the unknown ones."""
+    wanted = list(dict.fromkeys(n.strip().lower() for n in names))
+    unknown = [n for n in wanted if n not in known]
+    if unknown or not wanted:
+        raise ValueError(f"unknown tables: {', '.join(unknown) or 'none given'}")
+    return wanted
+
+
 def catalog_links(pages: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """Links of pages that match all patterns, with the full path they stand for."""
     links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
@@ -55,7 +74,7 @@ def object_paths(files: DataFrame, root: str, bucket: str, pattern: str) -> Data
     """Object addresses of local paths below a root that match a pattern; others are rejected with the reason."""
     prefix = root.rstrip("/") + "/"
     inside, wanted = F.col("file_path").startswith(prefix), F.col("file_path").rlike(pattern)
-    relative = F.substring("file_path", len(prefix) + 1, 10_000)
+    relative = F.substr("file_path", F.lit(len(prefix) + 1))
     return files.select(
         "file_path",
         F.when(inside & wanted, F.concat(F.lit(bucket.rstrip("/") + "/"), relative)).alias("object_uri"),
@@ -63,6 +82,20 @@ def object_paths(files: DataFrame, root: str, bucket: str, pattern: str) -> Data
     )
 
 
+def local_paths(objects: DataFrame, bucket: str, root: str) -> DataFrame:
+    """Adds the local path below root of each object address below a bucket (or a folder in it); null for others."""
+    prefix = bucket.rstrip("/") + "/"
+    path = F.concat(F.lit(root.rstrip("/") + "/"), F.substr("object_uri", F.lit(len(prefix) + 1)))
+    return objects.withColumn("local_path", F.when(F.col("object_uri").startswith(prefix), path))
+
+
+def require_no_conflicts(found: DataFrame) -> None:
+    """An error that tells the first conflicts of a ledger, if there are any."""
+    some = found.limit(5).collect()
+    if some:
+        raise ValueError(f"settings differ from the ledger: {[r.asDict() for r in some]}")
+
+
 def pending(requested: DataFrame, finished: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Requested work that no ledger row finishes."""
     return requested.join(finished.select(*keys).distinct(), list(keys), "left_anti")

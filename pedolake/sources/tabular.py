@@ -47,5 +47,5 @@ def layers_long(df: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> Dat
 
 
 def write_layers(df: DataFrame, keys: Sequence[str], bands: Sequence[str], path: str) -> None:
-    """One folder per layer."""
-    layers_long(df, keys, bands).repartition("layer").write.partitionBy("layer").parquet(path)
+    """One folder per layer, written by as many tasks as the rows come from."""
+    layers_long(df, keys, bands).write.partitionBy("layer").parquet(path)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pedolake.operators import cells, cleaning, completeness, metrics, profiles, resample, screening, spatial, tiles
+from pedolake.sources import catalog
 
 
 def frame(spark, rows, schema):
@@ -14,10 +15,10 @@ def frame(spark, rows, schema):
 
 
 def test_regression_vector(spark):
-    pred = [1.1, 2.0, 2.9, 4.0, 5.0, 5.8, 7.0, 8.2, 9.0, 9.7]
-    row = metrics.regression_metrics(frame(spark, [(float(i + 1), p) for i, p in enumerate(pred)], "obs double, pred double")).first()
+    pairs = [(3.0, 4.5), (7.0, 6.0), (12.0, 13.0), (18.0, 16.5), (20.0, 22.0), (26.0, 25.0), (31.0, 30.0)]
+    row = metrics.regression_metrics(frame(spark, pairs, "obs double, pred double")).first()
     assert row.asDict().keys() == set(metrics.REGRESSION) and all(math.isfinite(v) for v in row)
-    assert row["mae"] == pytest.approx(0.09)
+    assert row["mae"] == pytest.approx(9 / 7) and row["rmse"] == pytest.approx(math.sqrt(12.5 / 7))
 
 
 @pytest.mark.parametrize("rows", [[], [(1.0, 2.0)], [(10.0, float(i)) for i in range(5)], [(None, 1.0), (float("nan"), 2.0)]])
@@ -27,28 +28,38 @@ def test_regression_degenerate(spark, rows):
 
 
 def test_class_vector(spark):
-    rows = list(zip("aabbccabca", "abbbcaabca", strict=True))
-    row = metrics.class_metrics(frame(spark, rows, "obs string, pred string"), ["a", "b", "c"]).first()
-    assert row["accuracy"] == pytest.approx(0.8) and row["kappa"] == pytest.approx(0.46 / 0.66)
+    rows = [("clay", "clay")] * 2 + [("clay", "loam")] + [("loam", "loam")] * 2 + [("loam", "sand"), ("sand", "sand"), ("sand", "clay")]
+    row = metrics.class_metrics(frame(spark, rows, "obs string, pred string"), ["clay", "loam", "sand"]).first()
+    assert row["accuracy"] == pytest.approx(5 / 8) and row["kappa"] == pytest.approx((5 / 8 - 22 / 64) / (1 - 22 / 64))
     assert len(row) == 13
 
 
 def test_class_one_row_has_no_kappa(spark):
-    row = metrics.class_metrics(frame(spark, [("a", "a")], "obs string, pred string"), ["a", "b", "c"]).first()
+    row = metrics.class_metrics(frame(spark, [("loam", "loam")], "obs string, pred string"), ["clay", "loam", "sand"]).first()
     assert row["kappa"] is None and not any(isinstance(v, float) and math.isnan(v) for v in row)
 
 
 def test_fold_validation(spark):
-    rows = [("f1", i, "train" if i <= 8 else "holdout", "x") for i in range(1, 11)] + [("f2", i, "train" if i <= 9 else "holdout", "x") for i in range(1, 11)]
-    out = {r["resample"]: r["usable"] for r in resample.validate_resamples(frame(spark, rows, "resample string, row_id int, role string, class string"), 10).collect()}
-    assert out == {"f1": True, "f2": False}
+    rows = [(name, i, "holdout" if i < held else "train", "x") for name, held in (("three", 3), ("one", 1), ("all", 13)) for i in range(13)]
+    index = frame(spark, [*rows, ("three", 99, "train", "x")], "resample string, row_id int, role string, class string")
+    known = spark.range(13).selectExpr("cast(id as int) as row_id")
+    out = {r["resample"]: r for r in resample.validate_resamples(index, 14, rows=known).collect()}
+    assert {k: r["usable"] for k, r in out.items()} == {"three": False, "one": False, "all": False} and out["three"]["n_unknown"] == 1
+    out = {r["resample"]: r["usable"] for r in resample.validate_resamples(frame(spark, rows, index.schema), 13, rows=known).collect()}
+    assert out == {"three": True, "one": False, "all": False}
+    with pytest.raises(ValueError):
+        resample.require_usable(resample.validate_resamples(index, 14, rows=known))
 
 
 def test_group_folds_do_not_leak(spark):
-    rows = [(g * 3 + r, f"g{g}", "ab"[g % 2]) for g in range(8) for r in range(3)]
-    folds = resample.stratified_group_folds(frame(spark, rows, "row_id int, id string, cl string"), "id", "cl", 4, 2, 3)
-    assert folds.select("rep", "fold").distinct().count() == 8
-    assert all(r["n_leaking"] == 0 for r in resample.fold_leakage(folds, "id").collect())
+    rows = [(g * 10 + r, f"plot{g}", ("u", "v", "w")[g % 3]) for g in range(9) for r in range(2 + 2 * (g % 2))]
+    df = frame(spark, rows, "row_id int, plot string, kind string")
+    folds = resample.stratified_group_folds(df, "plot", "kind", 3, 2, 5)
+    assert folds.select("rep", "fold").distinct().count() == 6
+    assert all(r["n_leaking"] == 0 for r in resample.fold_leakage(folds, "plot").collect())
+    assert resample.require_stratified(folds, "plot") is folds
+    with pytest.raises(ValueError):  # a class of one group cannot be in every training part
+        resample.require_stratified(resample.stratified_group_folds(df.where("plot in ('plot0', 'plot3', 'plot1')"), "plot", "kind", 3, 1, 5), "plot")
 
 
 def test_group_folds_need_two_groups(spark):
@@ -57,10 +68,10 @@ def test_group_folds_need_two_groups(spark):
 
 
 def test_balanced_split():
-    assert tiles.split_weights(np.ones(10), 2) == [(0, 4), (5, 9)]
-    assert tiles.split_weights(np.array([0, 0, 9, 0, 1]), 3) == [(0, 1), (2, 2), (3, 4)]
+    assert tiles.split_weights(np.full(12, 2.0), 3) == [(0, 3), (4, 7), (8, 11)]
+    assert tiles.split_weights(np.array([0, 0, 0, 7, 0, 2]), 3) == [(0, 2), (3, 3), (4, 5)]
     with pytest.raises(ValueError):
-        tiles.split_weights(np.zeros(4), 2)
+        tiles.split_weights(np.zeros(6), 3)
 
 
 def test_depth_classes(spark):
@@ -90,6 +101,69 @@ def test_outliers_of_a_null_group(spark):
     assert cleaning.remove_outliers(df, ["v"], 1.5, ["g"]).count() == 3
 
 
+def test_report_of_a_null_group(spark):
+    df = frame(spark, [(None, 1.0), (None, 1.1), (None, 1.2), ("g", 5.0)], "g string, v double")
+    out = {r["g"]: (r["n_before"], r["n_after"]) for r in cleaning.outlier_report(df, ["v"], 1.5, ["g"]).collect()}
+    assert out == {None: (3, 3), "g": (1, 1)}
+
+
+def test_gates_raise(spark):
+    df = frame(spark, [(1.0, 2.0), (float("nan"), 3.0)], "a double, b double")
+    assert cleaning.require_clean(df, ["b"]) is df
+    with pytest.raises(ValueError, match="a"):
+        cleaning.require_clean(df, ["a", "b"])
+    with pytest.raises(ValueError):
+        catalog.require_links(df.limit(0), "datasets")
+    with pytest.raises(ValueError):
+        catalog.require_tables(["layer", "nowhere"])
+    with pytest.raises(ValueError):
+        catalog.require_no_conflicts(df)
+
+
+def test_paths_there_and_back(spark):
+    long = "/data/soil/" + "d/" * 6000 + "x.tif"
+    files = frame(spark, [("/data/soil/a/b.tif",), (long,), ("/else/b.tif",)], "file_path string")
+    there = catalog.object_paths(files, "/data/soil", "gs://bucket/soil", r"\.tif$")
+    back = {r["file_path"]: r["local_path"] for r in catalog.local_paths(there.where("object_uri is not null"), "gs://bucket/soil/", "/data/soil").collect()}
+    assert back == {"/data/soil/a/b.tif": "/data/soil/a/b.tif", long: long}
+
+
+def test_ids_from_any_column(spark):
+    df = frame(spark, [("x1", "CTB0001 "), ("zz", "note"), (None, "abc1234")], "code string, note string")
+    assert sorted(r[0] for r in catalog.detect_dataset_ids(df).collect()) == ["abc1234", "ctb0001"]
+
+
+def test_missing_rasters_and_sizes_of_zero(spark):
+    cells_ = frame(spark, [(r, c, None) for r in range(4) for c in range(4)], "row int, col int, v double")
+    grid = frame(spark, [(1, 0, 1, 0, 3), (2, 2, 3, 0, 3)], "tile_id int, row_start int, row_end int, col_start int, col_end int")
+    summary = tiles.tile_summary(cells_, grid, "v")
+    assert [r["error_pct"] for r in summary.collect()] == [None, None]
+    assert tiles.global_summary(summary).first()["status"] == "poor"
+    assert tiles.tile_polygons(grid.limit(1), 0.5, 10.0).first()["wkt"] == "POLYGON ((0.0 9.0, 2.0 9.0, 2.0 10.0, 0.0 10.0, 0.0 9.0))"
+    profile = frame(spark, [(2, 0.0), (3, -1.0)], "size int, r2 double")
+    assert metrics.size_within_tolerance(profile, "size", "r2", 1.0).count() == 0
+    coded = cells_.withColumn("v", F.when(F.col("row") == 0, F.col("col") * 1.0))
+    assert [r["n_valid"] for r in tiles.tile_summary(coded, grid, "v", [1.0, 3.0]).orderBy("tile_id").collect()] == [2, 0]
+
+
+def test_layers_are_aligned_and_checked(spark):
+    base = cells.Grid(0.0, 40.0, 10.0, 4, 4)
+    coarse = cells.Grid(0.0, 40.0, 20.0, 2, 2)
+    fine = frame(spark, [(r, c, float(10 * r + c)) for r in range(4) for c in range(4)], "row int, col int, value double")
+    wide = frame(spark, [(r, c, float(r * 2 + c)) for r in range(2) for c in range(2)], "row int, col int, value double")
+    out = cells.align_layers({"fine": (fine, base), "wide": (wide, coarse)}, base).collect()
+    assert len(out) == 16 and all(r["fine"] == 10 * r["row"] + r["col"] and r["wide"] == r["row"] // 2 * 2 + r["col"] // 2 for r in out)
+    with pytest.raises(ValueError):
+        cells.require_same_geometry([base, coarse])
+    with pytest.raises(ValueError):
+        cells.band_stack({"a": fine, "b": fine.where("row > 0")}, strict=True)
+
+
+def test_missing_cells_take_a_constant(spark):
+    df = frame(spark, [(0, 0, 1.0), (0, 1, None), (9, 9, None)], "row int, col int, v double")
+    assert sorted(r["v"] for r in cells.focal_fill(df, "v", 3, substitute=-9.0).collect()) == [-9.0, 1.0, 1.0]
+
+
 def test_find_correlated():
     m = np.array([[1, 0.95, 0.1], [0.95, 1, 0.3], [0.1, 0.3, 1]])
     assert screening.find_correlated(m, 0.9) == [1]
