@@ -2,8 +2,8 @@
 
 A text is its lower-cased words and one end; the end also stands before the first word. The model mixes
 the trigram estimate c(u,v,w)/c(u,v), the bigram estimate c(v,w)/c(v), the unigram estimate c(w)/N and
-the uniform 1/(V+1); the first word of a text, which has no word before the end, takes its bigram
-estimate for its trigram estimate. The weights depend on the bucket (power of two) of the context's
+the uniform 1/(V+1); the first word of a text, which has no word before the end, has no trigram
+estimate. The weights depend on the bucket (power of two) of the context's
 count: that of (u,v) where the pair was seen, else that of v. They are learned by expectation-
 maximisation on a tenth of the training documents, against estimates from the other nine tenths. Scores
 then use the counts of all training documents.
@@ -13,7 +13,7 @@ counts of its distinct words, pairs and triples, as sorted hashes dealt to targe
 sums the counts of all blocks and answers every block in the block's own order; each block then scores
 its documents with the answers. A frequent word is one key per block, so no key gathers many rows, and
 what is gathered grows with the distinct n-grams of the input. Word keys are 64 bits long; those of
-pairs and triples 48 bits within a target, whose number grows with the corpus. The rounds of the
+pairs and triples 46 bits within a target, whose number grows with the corpus. The rounds of the
 expectation-maximisation read the estimates of the tuning tokens where they lie and add up shares by
 bucket; only those sums come to the driver.
 
@@ -34,17 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, materialize, mix64, pack, pack_sorted, remainder, tune, unpack, unpack_sorted
+from .common import LOWER_TABLE, materialize, mix64, pack, pack_sorted, release, remainder, tune, unpack, unpack_sorted
 
 #: Tokens of a block, and bytes of text for each target of the count exchange.
-BLOCK_TOKENS, TARGET_BYTES = 1_500_000, 5_000_000
+BLOCK_TOKENS, TARGET_BYTES = 600_000, 5_000_000
 #: Remainders of crc32(doc_id) modulo 10: not trained on, and used for the weights.
 HELD_OUT, TUNING = 0, 1
 BUCKETS = 40
 #: Rounds of expectation-maximisation at most, and the change of a weight at which they end.
-ROUNDS, SETTLED = 40, 1e-4
+ROUNDS, SETTLED = 15, 1e-3
 _SALT, _SALT3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SHORT = np.uint64(16)
+_SHORT = np.uint64(18)
 GRAMS = ("words", "pairs", "triples")
 
 _TOKENS = "block long, tuning boolean, doc_ids array<long>, lengths array<int>, rems array<int>, tokens binary, hashes binary"
@@ -109,7 +109,7 @@ class Block:
     def placed(answers: pd.DataFrame, suffix: str = "") -> list[np.ndarray]:
         """Counts of the words, pairs and triples from the answers of all targets."""
         answers = answers.sort_values("target")
-        return [np.concatenate([unpack(b, np.uint32) for b in answers[g + suffix]]).astype(float) for g in GRAMS]
+        return [np.concatenate([unpack(b, np.uint32) for b in answers[g + suffix]]) for g in GRAMS]
 
 
 def encode_blocks(docs: DataFrame) -> DataFrame:
@@ -122,6 +122,7 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
                 ("rems", pa.list_(pa.int32())), ("tokens", pa.binary()), ("hashes", pa.binary()),
             ]
         )
+        release()
         part, made = TaskContext.get().partitionId(), 0
         open_blocks: dict[int, dict] = {}
 
@@ -214,22 +215,22 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(BUCKETS - 1, 1 + np.floor(np.log2(np.maximum(context, 1)))), 0).astype(int)
 
 
-def estimates(counts: list[np.ndarray], block: Block, n: float, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each token, and its estimates (trigram, bigram, unigram, uniform) as columns.
+def gathered(counts: list[np.ndarray], block: Block) -> np.ndarray:
+    """For each token the counts of its triple, of the pair before it, of its pair, of the word before it and its own."""
+    words, pairs, triples = counts
+    out = np.zeros((5, len(block.pairs.at)), np.uint32)
+    out[2], out[3], out[4] = pairs[block.pairs.at], words[block.before], words[block.words.at]
+    out[0, block.inner], out[1, block.inner] = triples[block.triples.at], out[2, block.inner - 1]
+    return out
+
+
+def estimates(c: np.ndarray, n: float, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each token, and its estimates (trigram, bigram, unigram, uniform) as columns, from its counts.
 
     Buckets of a pair's count come after those of a word's."""
-    words, pairs, triples = counts
     ratio = lambda a, b: np.divide(a, b, out=np.zeros(len(b)), where=b > 0)
-    context, pair = words[block.before], pairs[block.pairs.at]
-    p = np.zeros((len(pair), 4))
-    p[:, 1] = ratio(pair, context)
-    p[:, 2] = words[block.words.at] / max(n, 1.0)
-    p[:, 3] = 1 / (v + 1)
-    p[:, 0] = p[:, 1]
-    of_pair = np.zeros(len(pair))
-    of_pair[block.inner] = pair[block.inner - 1]
-    p[block.inner, 0] = ratio(triples[block.triples.at], of_pair[block.inner])
-    return np.where(of_pair > 0, BUCKETS + bucket_of(of_pair), bucket_of(context)), p
+    p = np.stack((ratio(c[0], c[1]), ratio(c[2], c[3]), c[4] / max(n, 1.0), np.full(c.shape[1], 1 / (v + 1))), 1)
+    return np.where(c[1] > 0, BUCKETS + bucket_of(c[1]), bucket_of(c[3])), p
 
 
 def first_weights() -> np.ndarray:
@@ -256,8 +257,8 @@ def renewed(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return out / out.sum(1, keepdims=True)
 
 
-def learn_weights(spark: SparkSession, rows: DataFrame) -> np.ndarray:
-    """Weights by expectation-maximisation over rows (bucket, p: packed buckets and estimates of some tokens)."""
+def learn_weights(rows: DataFrame, n: float, v: int) -> np.ndarray:
+    """Weights by expectation-maximisation over rows (counts: the packed counts of some tokens)."""
     weights = first_weights()
     for _ in range(ROUNDS):
 
@@ -265,7 +266,7 @@ def learn_weights(spark: SparkSession, rows: DataFrame) -> np.ndarray:
             total = np.zeros((2 * BUCKETS, 4))
             for batch in batches:
                 for row in batch.to_pylist():
-                    total += shares(unpack(row["bucket"], np.int16), unpack(row["p"], np.float64).reshape(-1, 4), weights)
+                    total += shares(*estimates(unpack(row["counts"], np.uint32).reshape(5, -1), n, v), weights)
             yield pa.record_batch([pa.array(np.arange(8 * BUCKETS)), pa.array(total.ravel())], names=["i", "s"])
 
         got = rows.mapInArrow(one, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
@@ -296,21 +297,20 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def estimate(tokens: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         block = opened(tokens.iloc[0], targets)
-        bucket, p = estimates(block.placed(replies, "_rest"), block, n_rest, v_rest)
-        return pd.DataFrame({"bucket": [pack(bucket.astype(np.int16))], "p": [pack(p.ravel())]})
+        return pd.DataFrame({"counts": [pack(gathered(block.placed(replies, "_rest"), block).ravel())]})
 
     rest = answers.where("words_rest is not null").select("block", "target", *[f"{g}_rest" for g in GRAMS])
-    tuning = tokens.where("tuning").groupBy("block").cogroup(rest.groupBy("block")).applyInPandas(estimate, "bucket binary, p binary")
-    weights = learn_weights(spark, materialize(spark, tuning, "lm-tuning"))
+    tuning = tokens.where("tuning").groupBy("block").cogroup(rest.groupBy("block")).applyInPandas(estimate, "counts binary")
+    weights = learn_weights(materialize(spark, tuning, "lm-tuning").coalesce(max(8, targets // 16)), n_rest, v_rest)
     if not n_all:
         weights = np.tile([0.0, 0.0, 0.0, 1.0], (2 * BUCKETS, 1))
 
     def score(tokens: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         row = tokens.iloc[0]
         block = opened(row, targets)
-        counts = block.placed(replies)
-        bucket, p = estimates(counts, block, n_all, v_all)
-        own = counts[0][block.words.at]
+        counts = gathered(block.placed(replies), block)
+        bucket, p = estimates(counts, n_all, v_all)
+        own = counts[4].astype(float)
         base = np.log10((own + 0.1) / (n_all + 0.1 * (v_all + 1)))
         lengths = np.asarray(row.lengths, np.int64)
         add = lambda x: np.add.reduceat(x, np.cumsum(lengths) - lengths)

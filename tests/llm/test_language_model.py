@@ -36,7 +36,7 @@ def estimates(t, n):
         bi = c2[v, w] / c1[v] if c1[v] else 0.0
         u = t[i - 2] if i > 1 else ""
         pair = c2[u, v] if i else 0
-        tri = (c3[u, v, w] / pair if pair else 0.0) if i else bi
+        tri = c3[u, v, w] / pair if pair else 0.0
         yield (lm.BUCKETS + bucket(pair) if pair else bucket(c1[v])), (tri, bi, c1[w] / max(total, 1), 1 / (kinds + 1))
 
 
