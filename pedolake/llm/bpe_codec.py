@@ -40,9 +40,9 @@ from .common import materialize, tune, worker_holds
 from .token_counts import SPACE, byte_letters
 
 #: Words of the lexicon, bytes of a worker's memo, and longest text piece that either holds.
-LEXICON, MEMO_BYTES, LONGEST = 32_768, 256 << 20, 64
+LEXICON, MEMO_BYTES, LONGEST = 32_768, 96 << 20, 64
 #: Characters of texts that are encoded together; what an entry of the memo takes beside its letters and ids.
-GROUP_CHARS, ENTRY_BYTES = 1 << 21, 160
+GROUP_CHARS, ENTRY_BYTES = 1 << 20, 160
 _PIECE = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )

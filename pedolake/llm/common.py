@@ -65,6 +65,11 @@ def worker_holds(key: tuple, make: Callable):
     return _HELD[key]
 
 
+def release() -> None:
+    """Drops what this worker holds, before work that needs the memory."""
+    _HELD.clear()
+
+
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

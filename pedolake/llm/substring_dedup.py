@@ -39,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, pack, tune, unpack
+from .common import materialize, mix64, pack, release, tune, unpack
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text of a block and of a shard; bytes hashed at once (a power of two).
-BLOCK_BYTES, SHARD_BYTES, CHUNK = 6 << 20, 2 << 20, 1 << 20
+BLOCK_BYTES, SHARD_BYTES, CHUNK = 4 << 20, 2 << 20, 1 << 20
 #: Spans of one pick that a shard takes; more are dealt over several.
 HOT = 2048
 #: Odd multipliers of the rolling hashes.
@@ -164,6 +164,7 @@ def coded_blocks(docs: DataFrame, length: int) -> DataFrame:
     (schema, own), most = _blocks_schema(docs), BLOCK_BYTES
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def emit() -> pa.RecordBatch:
