@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_TABLE, materialize, mix64, pack, pack_sorted, release, remainder, tune, unpack, unpack_sorted
 
 #: Tokens of a block, and bytes of text for each target of the count exchange.
-BLOCK_TOKENS, TARGET_BYTES = 600_000, 5_000_000
+BLOCK_TOKENS, TARGET_BYTES = 800_000, 8_000_000
 #: Remainders of crc32(doc_id) modulo 10: not trained on, and used for the weights.
 HELD_OUT, TUNING = 0, 1
 BUCKETS = 40
@@ -114,6 +114,7 @@ class Block:
 
 def encode_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of tokens: the training documents, the tuning ones and those held out in blocks of their own."""
+    most = BLOCK_TOKENS
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -151,7 +152,7 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
                 held["lengths"].append(len(ids) + 1)
                 held["rems"].append(rem)
                 held["n"] += len(ids) + 1
-                if held["n"] >= BLOCK_TOKENS:
+                if held["n"] >= most:
                     yield emit(kind, open_blocks.pop(kind))
         for kind in sorted(open_blocks):
             yield emit(kind, open_blocks[kind])
