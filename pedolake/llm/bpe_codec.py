@@ -3,8 +3,8 @@
 Frequent words are counted over the whole corpus, their ids are found by exact merging, and they are
 compiled into a minimal acyclic automaton whose states share suffixes; each arc knows how many words
 come before those below it, so a walk also gives the word's number, which points to its ids. The
-automaton is broadcast as one block of bytes; each worker lays its arcs out by state and byte in a
-temporary file, maps that, and keeps it for later tasks. Texts are cut into units at spaces that begin a
+automaton is broadcast as one block of bytes; each worker writes it to a temporary file, maps that, and
+keeps it for later tasks. Texts are cut into units at spaces that begin a
 piece; the distinct units of some texts walk through the automaton side by side, a byte at a time.
 Units that it does not hold are merged exactly, and remembered in a table whose bytes are bounded.
 Decoding goes from ids to bytes of the vocabulary.
@@ -36,11 +36,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, tune, worker_holds
+from .common import materialize, release, tune, worker_holds
 from .token_counts import SPACE, byte_letters
 
 #: Words of the lexicon, bytes of a worker's memo, and longest text piece that either holds.
-LEXICON, MEMO_BYTES, LONGEST = 32_768, 96 << 20, 64
+LEXICON, MEMO_BYTES, LONGEST = 32_768, 192 << 20, 64
 #: Characters of texts that are encoded together; what an entry of the memo takes beside its letters and ids.
 GROUP_CHARS, ENTRY_BYTES = 1 << 20, 160
 _PIECE = regex.compile(
@@ -166,25 +166,20 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """Reads a compiled lexicon; its arcs are laid out by state and kind of byte in a memory-mapped table."""
+    """Reads a compiled lexicon from a memory-mapped file; an arc is found by its state and byte."""
 
     def __init__(self, compiled: bytes):
-        whole = np.frombuffer(compiled, np.int32)
+        with tempfile.TemporaryFile() as f:
+            f.write(compiled)
+            f.flush()
+            whole = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
         self.root, at, parts = int(whole[0]), 8, []
         for n in whole[1:8].tolist():
             parts.append(whole[at : at + n])
             at += n
         first, self.final, labels, self.targets, self.skips, ends, ids = parts
-        used = np.unique(labels)
-        self.kind, self.width = np.zeros(256, np.int32), len(used) + 1
-        self.kind[used] = np.arange(1, self.width)
-        arcs = np.zeros(max(1, len(self.final) * self.width), np.int32)
-        state = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        arcs[state * self.width + self.kind[labels]] = np.arange(1, len(labels) + 1)
-        with tempfile.TemporaryFile() as f:
-            f.write(arcs.tobytes())
-            f.flush()
-            self.arcs = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), np.int32)
+        #: state and byte of each arc, ascending as states are numbered in order and words were added in order
+        self.arcs = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first)) << 8 | labels
         cuts, ids = ends.tolist(), ids.tolist()
         #: ids of each word, by its number
         self.outputs = [tuple(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
@@ -200,8 +195,11 @@ class Lexicon:
             done = done[self.final[state[done]] > 0]
             out[done] = number[done]
             alive = alive[size[alive] > k]
-            arc = self.arcs[state[alive] * self.width + self.kind[data[at[alive] + k]]]
-            alive, arc = alive[arc > 0], arc[arc > 0] - 1
+            wanted = state[alive] << 8 | data[at[alive] + k]
+            arc = np.searchsorted(self.arcs, wanted)
+            there = arc < len(self.arcs)
+            there[there] = self.arcs[arc[there]] == wanted[there]
+            alive, arc = alive[there], arc[there]
             number[alive] += self.skips[arc]
             state[alive] = self.targets[arc]
             k += 1
@@ -362,8 +360,8 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: str, size: i
     return compile_lexicon({u.encode(): ids(u) for u in units if len(u.encode()) <= LONGEST})
 
 
-def round_trip(spark: SparkSession, text: Column, vocabulary: str, lexicon: bytes) -> Column:
-    """Struct n_tokens, ids_sha256, decoded_sha256 of each whole text."""
+def round_trip(spark: SparkSession, text: Column, vocabulary: str, lexicon: bytes, keep: bool = True) -> Column:
+    """Struct n_tokens, ids_sha256, decoded_sha256 of each whole text; a worker keeps its codec from task to task, or not."""
     tune(spark)
     shared = spark.sparkContext.broadcast(lexicon)
 
@@ -374,6 +372,9 @@ def round_trip(spark: SparkSession, text: Column, vocabulary: str, lexicon: byte
             sha = lambda raw: hashlib.sha256(raw).hexdigest()
             rows = [(len(ids), sha(own.decimal(ids)), sha(own.decode(ids))) for ids in own.encode(texts)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep:
+            del own
+            release()
 
     return code(F.coalesce(text, F.lit("")))
 
@@ -404,8 +405,9 @@ def decode_ids(spark: SparkSession, ids: Column, vocabulary: str, lexicon: bytes
     return text(ids)
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, size: int = LEXICON) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def encode_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, size: int = LEXICON, keep: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256. Without keep, workers free their
+    codecs after each task, for jobs whose other stages need the memory."""
     lexicon = build_lexicon(spark, docs, vocabulary, size)
-    coded = docs.select("doc_id", round_trip(spark, F.col("text"), vocabulary, lexicon).alias("code"))
+    coded = docs.select("doc_id", round_trip(spark, F.col("text"), vocabulary, lexicon, keep).alias("code"))
     return coded.select("doc_id", "code.n_tokens", "code.ids_sha256", "code.decoded_sha256")
