@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes what is left and proves the round trip."""
-    return bpe_codec.encode_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe_codec.encode_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), keep=False)
 
 
 STAGES = [
