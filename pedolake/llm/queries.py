@@ -11,13 +11,16 @@ from . import (
     bpe_codec,
     decontaminate,
     embedding_join,
+    hard_negatives,
     language_model,
     license_scan,
     near_dedup,
     sharding,
     substring_dedup,
     token_counts,
+    token_files,
     toxicity,
+    whitening,
 )
 
 
@@ -73,6 +76,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_report(
+        spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, for each numbered operator."""
     found = [
@@ -86,6 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_license_scan,
         op9_bpe_codec,
         op10_sharding,
+        op11_whitening,
+        op12_hard_negatives,
+        op13_token_files,
     ]
     return {f.__name__: f for f in found}
 
@@ -129,7 +149,19 @@ _OP7 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words("text", r"[^\x20\x09-\x0D
  SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = doc_id"""
 
+_OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(CAST(embedding AS DOUBLE[]), lambda c: floor(256 * c)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+ SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 3"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that it can express; the others are tested against plain versions."""
-    return {"op3_cover_tree_join": _OP3, "op5_decontamination": _OP5, "op7_minhash_near_dedup": _OP7}
+    return {"op3_cover_tree_join": _OP3, "op5_decontamination": _OP5, "op7_minhash_near_dedup": _OP7, "op12_hard_negatives": _OP12}

@@ -13,6 +13,7 @@ COLUMNS = {
     "op8_license_scan": ["doc_id", "license", "dice", "n_matches", "licenses"],
     "op9_bpe_codec": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op10_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op13_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
