@@ -2,9 +2,9 @@
 
 Documents are ordered by id (repeated ids by a hash of the text, so a hot id is split); each task encodes its
 range of them and writes one stream file. The ids of its documents, each with an end id, follow each other
-without gaps in sequences of ``length`` ids; the last sequence of a file is padded. A file's batches hold two
-columns of fixed-size lists: ``ids`` (16 bits where the vocabulary fits, else 32) and ``mask`` (0 padding,
-1 id, 3 last id of a document). All batches but the last have ``BATCH`` sequences, none is compressed and no
+without gaps in sequences of ``length`` ids; the last sequence of a file is padded. A file's batches hold three
+columns of fixed-size lists: ``ids`` (16 bits where the vocabulary fits, else 32), ``mask`` (an id, not padding)
+and ``ends`` (last id of a document), of one bit each. All batches but the last have ``BATCH`` sequences, none is compressed and no
 value is null, so sequence k of a file lies at a known place: ``SequenceFile`` maps the file and gives arrays
 that share its memory. A second stream file beside it lists its documents (doc_id, first id, number of ids).
 
@@ -12,8 +12,8 @@ Files get names of their own and are listed in a table that Spark commits once a
 or repeated task leaves behind is in no list. A task holds one batch of sequences and one of texts. The folder
 is any that ``pyarrow.fs`` opens, below the shared scratch folder unless named.
 
-Words between white space are encoded by the tokenizers library once per worker and remembered (up to ``MEMO``
-bytes); texts with special strings or control characters that only one of the two libraries takes for white
+What stands between white space is remembered by each worker with its ids (up to ``MEMO`` bytes), and so are the
+pieces that words consist of, which the tokenizers library encodes once, many as one text; texts with special strings or control characters that only one of the two libraries takes for white
 space go through it whole.
 
 Defined results: null and empty texts hold the end id alone; null doc_ids come first; repeated rows are
@@ -23,6 +23,9 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,78 +41,111 @@ from pyspark.taskcontext import TaskContext
 from tokenizers import Tokenizer
 
 from .common import materialize, scratch_path, tune, worker_holds
+from .token_counts import _PIECE
 
 END = 2
 LENGTH, BATCH = 2048, 128
 #: Bytes of remembered words (characters, ids and the entries of the tables).
 MEMO = 160 << 20
-_LAST = 3
+
+
+class _Pool:
+    """Arrays of ids end to end; each has a number."""
+
+    def __init__(self, kind: np.dtype):
+        self.ids, self.starts, self.sizes = np.empty(1 << 16, kind), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.filled = self.n = 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        for name, used, more in (("ids", self.filled, len(ids)), ("starts", self.n, len(sizes)), ("sizes", self.n, len(sizes))):
+            held = getattr(self, name)
+            if used + more > len(held):
+                grown = np.empty(max(2 * len(held), used + more), held.dtype)
+                grown[:used] = held[:used]
+                setattr(self, name, grown)
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.starts[self.n : self.n + len(sizes)] = self.filled + np.cumsum(sizes) - sizes
+        self.filled, self.n = self.filled + len(ids), self.n + len(sizes)
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of those numbers, one after the other, and how many each has."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def nbytes(self) -> int:
+        return self.ids.nbytes + self.starts.nbytes + self.sizes.nbytes
 
 
 class WordIds:
-    """Encodes texts word by word; what a word gives is kept in one pool of ids."""
+    """Encodes texts word by word; what words and their pieces give is kept in pools of ids."""
 
     def __init__(self, path: str, memo: int = MEMO):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation(), self.library.no_padding()
-        self.kind = np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # ids that end a piece
+        self.last = np.array([str(self.library.id_to_token(i)).endswith("</w>") for i in range(size)])
         self.memo = memo
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.pool, self.starts, self.sizes = np.empty(1 << 16, self.kind), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
-        self.filled = self.used = 0
-
-    def _room(self, name: str, used: int, more: int) -> None:
-        held = getattr(self, name)
-        if used + more > len(held):
-            grown = np.empty(max(2 * len(held), used + more), held.dtype)
-            grown[:used] = held[:used]
-            setattr(self, name, grown)
-
-    def _learn(self, words: list[str]) -> None:
-        found = self.library.encode_batch(words, add_special_tokens=False)
-        for word, e in zip(words, found, strict=True):
-            ids, n = e.ids, len(self.number)
-            self._room("pool", self.filled, len(ids))
-            for name in ("starts", "sizes"):
-                self._room(name, n, 1)
-            self.pool[self.filled : self.filled + len(ids)] = ids
-            self.starts[n], self.sizes[n] = self.filled, len(ids)
-            self.filled += len(ids)
-            self.number[word] = n
-            self.used += 120 + 2 * len(word)
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
+        self.of_words, self.of_pieces, self.used = _Pool(self.kind), _Pool(self.kind), 0
+
+    def _new_pieces(self, pieces: list[str]) -> None:
+        """Many pieces go through the library as one text; ids that end a piece tell them apart."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(pieces) or (len(ids) and ends[-1] != len(ids) - 1):
+            each = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+            ids, ends = np.array([i for x in each for i in x], self.kind), np.cumsum([len(x) for x in each]) - 1
+        self.pieces.update(zip(pieces, range(self.of_pieces.n, self.of_pieces.n + len(pieces)), strict=True))
+        self.of_pieces.add(ids, np.diff(ends, prepend=-1))
+        self.used += 100 * len(pieces) + 2 * sum(map(len, pieces))
+
+    def _new_words(self, words: list[str]) -> None:
+        parts = [_PIECE.findall(w if w.isascii() else unicodedata.normalize("NFC", w).replace("Σ", "σ").lower()) for w in words]
+        flat = [p for x in parts for p in x]
+        new = list(set(flat).difference(self.pieces))
+        for k in range(0, len(new), 2048):
+            self._new_pieces(new[k : k + 2048])
+        ids, sizes = self.of_pieces.joined(np.fromiter(map(self.pieces.__getitem__, flat), np.int64, len(flat)))
+        ends = np.cumsum([0, *map(len, parts)])
+        before = np.r_[0, np.cumsum(sizes)]
+        self.words.update(zip(words, range(self.of_words.n, self.of_words.n + len(words)), strict=True))
+        self.of_words.add(ids, np.diff(before[ends]))
+        self.used += 100 * len(words) + 2 * sum(map(len, words))
 
     def whole(self, text: str) -> bool:
         """Whether the text has to go through the library in one piece."""
         return any(c in text for c in "\x1c\x1d\x1e\x1f") or ("<" in text and any(s in text for s in self.special))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        for text in texts:
-            if self.whole(text):
-                yield np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
-                continue
-            words = text.split()
-            missing = set(words).difference(self.number)
-            if missing:
-                if self.used + self.pool.nbytes + self.starts.nbytes + self.sizes.nbytes > self.memo:
-                    self._clear()
-                    missing = set(words)
-                missing = sorted(missing)
-                for k in range(0, len(missing), 4096):
-                    self._learn(missing[k : k + 4096])
-            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes, dtype=np.int64)
-            yield self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        """The ids of each text; the new words of all of them are looked up together."""
+        alone = [self.whole(t) for t in texts]
+        split = [() if own else (t.lower() if t.isascii() else t).split() for t, own in zip(texts, alone, strict=True)]
+        flat = list(itertools.chain.from_iterable(split))
+        missing = set(flat).difference(self.words)
+        if missing:
+            if self.used + self.of_words.nbytes() + self.of_pieces.nbytes() > self.memo:
+                self._clear()
+                missing = set(flat)
+            self._new_words(list(missing))
+        ids, sizes = self.of_words.joined(np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat)))
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, split)])]
+        for text, own, first, last in zip(texts, alone, ends, ends[1:]):
+            yield np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind) if own else ids[first:last]
 
 
 def _schema(kind: pa.DataType, length: int) -> pa.Schema:
-    fields = [pa.field("ids", pa.list_(pa.field("item", kind, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), False), length), False)]
-    return pa.schema(fields)
+    kinds = {"ids": kind, "mask": pa.bool_(), "ends": pa.bool_()}
+    return pa.schema([pa.field(name, pa.list_(pa.field("item", k, False), length), False) for name, k in kinds.items()])
 
 
 class SequenceWriter:
@@ -118,8 +154,8 @@ class SequenceWriter:
     def __init__(self, sink, kind: np.dtype, length: int = LENGTH, batch: int = BATCH):
         self.schema = _schema(pa.from_numpy_dtype(kind), length)
         self.stream = pa.ipc.new_stream(sink, self.schema)
-        self.length, self.ids, self.mask = length, np.zeros(length * batch, kind), np.zeros(length * batch, np.uint8)
-        self.held = 0
+        self.length, self.held, self.ids = length, 0, np.zeros(length * batch, kind)
+        self.mask, self.ends = np.zeros(length * batch, bool), np.zeros(length * batch, bool)
 
     def add(self, ids: np.ndarray) -> None:
         """One document's ids; the last is marked."""
@@ -127,22 +163,22 @@ class SequenceWriter:
         while done < len(ids):
             n = min(len(ids) - done, len(self.ids) - self.held)
             self.ids[self.held : self.held + n] = ids[done : done + n]
-            self.mask[self.held : self.held + n] = 1
+            self.mask[self.held : self.held + n], self.ends[self.held : self.held + n] = True, False
             done, self.held = done + n, self.held + n
-            if done == len(ids):
-                self.mask[self.held - 1] = _LAST
+            self.ends[self.held - 1] = done == len(ids)
             if self.held == len(self.ids):
                 self._write(self.held)
 
     def _write(self, n: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[:n]), type=f.type) for x, f in zip((self.ids, self.mask), self.schema, strict=True)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x[:n]), type=f.type) for x, f in zip((self.ids, self.mask, self.ends), self.schema, strict=True)]
         self.stream.write_batch(pa.record_batch(lists, schema=self.schema))
         self.held = 0
 
     def close(self) -> None:
         if self.held:
             n = -(-self.held // self.length) * self.length
-            self.ids[self.held : n] = self.mask[self.held : n] = 0
+            for x in (self.ids, self.mask, self.ends):
+                x[self.held : n] = 0
             self._write(n)
         self.stream.close()
 
@@ -158,10 +194,11 @@ class SequenceFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence k, not copied."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray, pa.BooleanArray]:
+        """Ids, mask and ends of sequence k, not copied."""
         batch, at = self.batches[k // self.per], (k % self.per) * self.length
-        return tuple(batch.column(c).values.slice(at, self.length).to_numpy(zero_copy_only=True) for c in (0, 1))
+        ids, mask, ends = (batch.column(c).values.slice(at, self.length) for c in range(3))
+        return ids.to_numpy(zero_copy_only=True), mask, ends
 
     def tokens(self, first: int, n: int) -> np.ndarray:
         """The n ids from place ``first`` of the file on; copied only where they cross batches."""
