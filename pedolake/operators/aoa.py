@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order_stats import quantiles
+
 #: Training rows of one broadcast chunk.
 CHUNK_ROWS = 20_000
 
@@ -93,7 +95,7 @@ def dissimilarity(rows: DataFrame, train: DataFrame, dbar: float) -> DataFrame:
 def train_threshold(train: DataFrame, dbar: float) -> tuple[DataFrame, DataFrame]:
     """Training dissimilarities to other folds, and the largest within the upper whisker."""
     own = nearest(train, train, other_fold=True).withColumn("di", F.when(F.size("near") > 0, F.col("near")[0]["d"] / dbar))
-    q = own.agg(F.percentile("di", [0.25, 0.75]).alias("q"))
+    q = quantiles(own, "di", [0.25, 0.75]).select("q")
     bound = F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
     return own, own.join(F.broadcast(q)).where(F.col("di") <= bound).agg(F.max("di").alias("threshold"))
 

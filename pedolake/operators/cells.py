@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order_stats import quantiles
+
 div = F.try_divide
 
 
@@ -323,7 +325,7 @@ def in_ring(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column
 
 def quantile_class(df: DataFrame, band: str, breaks: int) -> DataFrame:
     """Class 2 ... breaks + 1 of a band by its quantiles: right-closed, the least value in the first."""
-    cuts = df.agg(F.percentile(band, [k / breaks for k in range(1, breaks)]).alias("cuts"))
+    cuts = quantiles(df, band, [k / breaks for k in range(1, breaks)]).select(F.col("q").alias("cuts"))
     below = F.size(F.filter("cuts", lambda c: c < F.col(band)))
     return df.join(F.broadcast(cuts)).withColumn(f"{band}_class", (below + 2).cast("int")).drop("cuts")
 

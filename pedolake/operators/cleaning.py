@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, rounded
+from .order_stats import quantiles
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -78,8 +79,7 @@ def require_clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _bounds(df: DataFrame, column: str, groups: Sequence[str], multiplier: float) -> DataFrame:
-    q = F.percentile(column, [0.25, 0.75])
-    out = df.groupBy(*groups).agg(q.alias("q"), F.count(F.lit(1)).alias("n_before"))
+    out = quantiles(df, column, [0.25, 0.75], groups).withColumnRenamed("n_rows", "n_before")
     spread = (F.col("q")[1] - F.col("q")[0]) * multiplier
     return out.select(*groups, "n_before", (F.col("q")[0] - spread).alias("lower_bound"), (F.col("q")[1] + spread).alias("upper_bound"))
 
@@ -91,7 +91,7 @@ def _within(df: DataFrame, column: str, groups: Sequence[str], multiplier: float
     on = F.lit(True)
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    joined = df.join(renamed, on) if groups else df.join(F.broadcast(renamed))
+    joined = df.join(renamed, on) if groups else df.crossJoin(renamed)  # one row
     return joined.where(F.col(column).between(F.col("lower_bound"), F.col("upper_bound"))).select(*df.columns)
 
 

@@ -8,19 +8,22 @@ Inner folds are dealt by groups where groups are given, so that no group is on b
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import written
-from . import metrics, modelling, resample
+from . import metrics, modelling, moments, resample
 
 FOLD = "__fold"
+#: Units that are solved together.
+SOLVED = 2048
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,8 @@ class Learner:
     task: str
     fit: Callable[[DataFrame, Sequence[str], str, Mapping], Fitted]
     grid: Sequence[Mapping] = ({},)
+    #: Whether it is least squares with the parameter ``penalty``, which pipelines may then fit from moments.
+    moments: bool = False
 
     def __post_init__(self):
         if self.task not in ("regression", "classification"):
@@ -47,29 +52,20 @@ class Learner:
             raise ValueError("a learner needs at least one set of parameters")
 
 
-def linear() -> Learner:
-    """Least squares by the normal equations: moments from one aggregation, one small system on the driver.
+def linear(penalties: Sequence[float] = (0.0,)) -> Learner:
+    """Least squares from moments of one aggregation; a penalty adds a share of each predictor's own square sum.
 
     A predictor that is a combination of others gets the least of all solutions."""
 
-    def fit(rows: DataFrame, columns: Sequence[str], label: str, _: Mapping) -> Fitted:
-        names = [*columns, label]
-        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-        full = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop()
-        means = full.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).first()
-        m = [means[i] or 0.0 for i in range(len(names))]
-        centred = [F.col(c) - F.lit(m[i]) for i, c in enumerate(names)]
-        sums = full.agg(*[F.sum(centred[i] * centred[j]) for i, j in pairs]).first()
-        s = np.zeros((len(names), len(names)))
-        for (i, j), v in zip(pairs, sums, strict=True):
-            s[i, j] = s[j, i] = v or 0.0
-        weights = np.linalg.lstsq(s[:-1, :-1], s[:-1, -1], rcond=None)[0]
-        base = m[-1] - float(weights @ m[:-1])
-        value = sum((F.lit(float(w)) * F.col(c).cast("double") for w, c in zip(weights, columns, strict=True)), F.lit(base))
-        spread = np.sqrt(np.maximum(np.diag(s)[:-1], 0))
-        return Fitted(lambda df: df.withColumn("prediction", value), {c: float(abs(w) * k) for c, w, k in zip(columns, weights, spread, strict=True)})
-
-    return Learner("linear", "regression", fit)
+    def fit(rows: DataFrame, columns: Sequence[str], label: str, params: Mapping) -> Fitted:
+        scale = moments.scale_of(rows, [*columns, label])
+        sums = moments.part_sums(rows.withColumn(FOLD, F.lit(0)), [FOLD], scale).first()
+        n, v = (np.array([sums["n"]]), np.array([sums["sums"]])) if sums else (np.zeros(1), np.zeros((1, (len(columns) + 1) * (len(columns) + 4) // 2)))
+        w, base, importance = moments.raw_units(moments.fitted(n, v, np.ones((1, len(columns))), params.get("penalty", 0.0)), scale)
+        value = sum((F.lit(float(x)) * F.col(c).cast("double") for x, c in zip(w[0], columns, strict=True)), F.lit(float(base[0])))
+        return Fitted(lambda df: df.withColumn("prediction", value), dict(zip(columns, map(float, importance[0]), strict=True)))
+
+    return Learner("linear", "regression", fit, tuple({"penalty": float(x)} for x in penalties), moments=True)
 
 
 def centroids() -> Learner:
@@ -122,30 +118,37 @@ def report(scored: DataFrame, task: str, label: str, levels: Sequence[str] = (),
     return metrics.regression_metrics(pairs, groups) if task == "regression" else metrics.class_metrics(pairs, levels, groups)
 
 
-def _value(scored: DataFrame, task: str, label: str, levels: Sequence[str], metric: str, larger: bool) -> float:
-    row = report(scored, task, label, levels).first().asDict()
-    if metric not in row:
-        raise ValueError(f"there is no metric {metric}")
-    if row[metric] is None:
-        return float("-inf" if larger else "inf")
-    if not isinstance(row[metric], (int, float)):
-        raise TypeError(f"metric {metric} is not a number")
-    return float(row[metric])
-
-
-def with_folds(df: DataFrame, k: int, key: str, group: str | None, seed: int) -> DataFrame:
-    """Adds an inner fold: groups, where there are any, are dealt in turn in the order of their hash (no group is
-    parted, and few groups still fill all folds); rows by the hash of the key."""
+def _value(scored: DataFrame, task: str, label: str, levels: Sequence[str], s: Settings) -> float:
+    """The chosen metric of predictions, NaN where it is not defined."""
+    if s.report:
+        row = s.report(scored.select(F.col(label).alias("obs"), F.col("prediction").alias("pred"))).first().asDict()
+    else:
+        row = report(scored, task, label, levels).first().asDict()
+    if s.metric not in row:
+        raise ValueError(f"there is no metric {s.metric}")
+    if row[s.metric] is None:
+        return float("nan")
+    if not isinstance(row[s.metric], (int, float)):
+        raise TypeError(f"metric {s.metric} is not a number")
+    return float(row[s.metric])
+
+
+def with_folds(df: DataFrame, k: int, key: str, group: str | None, seed: int | str) -> DataFrame:
+    """Adds an inner fold: groups, where there are any, are dealt in turn in the order of their draws (no group is
+    parted, and few groups still fill all folds); rows by the draw of the key. The seed may be a column of runs."""
+    by, start = ([seed], F.col(seed).cast("string")) if isinstance(seed, str) else ([], seed)
     if not group:
-        return df.withColumn(FOLD, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
-    turn = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(group)), group))  # a row for each group
-    folds = df.select(group).distinct().withColumn(FOLD, ((turn - 1) % k).cast("int")).withColumnRenamed(group, "__group")
-    return df.join(folds, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+        return df.withColumn(FOLD, (F.conv(F.substring(resample.draw(start, key), 1, 8), 16, 10).cast("long") % k).cast("int"))
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(resample.draw(start, group), group))  # a row for each group
+    folds = df.select(*by, group).distinct().withColumn(FOLD, ((turn - 1) % k).cast("int")).withColumnsRenamed({x: f"__f_{x}" for x in (*by, group)})
+    return df.join(folds, [F.col(x).eqNullSafe(F.col(f"__f_{x}")) for x in (*by, group)]).drop(*[f"__f_{x}" for x in (*by, group)])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes to try in elimination (none: keep all), inner folds, metric, and the loss in per cent that a smaller size may have."""
+    """Sizes to try in elimination (none: keep all), inner folds, metric, and the loss in per cent that a smaller size may have.
+
+    ``report`` is a metric function of one's own: it takes rows (obs, pred) and returns one row that has the metric."""
 
     sizes: Sequence[int] = ()
     folds: int = 3
@@ -153,19 +156,25 @@ class Settings:
     larger: bool = True
     tolerance: float = 1.5
     threads: int = 4
+    report: Callable[[DataFrame], DataFrame] | None = None
 
 
 def within_tolerance(profile: Mapping[int, float], tolerance: float, larger: bool) -> int:
-    """The smallest size whose value is at most tolerance per cent worse than the best."""
-    best = max(profile.values()) if larger else min(profile.values())
-    loss = {k: abs(best - v) / abs(best) * 100 if best else float(v != best) * 100 for k, v in profile.items()}
-    return min(k for k, x in loss.items() if x <= tolerance)
+    """The smallest size whose value is at most tolerance per cent worse than the best; the largest if none is defined."""
+    sizes = sorted(profile)
+    return int(moments.smallest_within(np.array([[profile[k] for k in sizes]], float), sizes, tolerance, larger)[0])
 
 
 def _ranked(fit: Fitted, columns: Sequence[str]) -> list[str]:
     return sorted(columns, key=lambda c: (-fit.importance.get(c, 0.0), c))
 
 
+def _defined_mean(values: Sequence[float]) -> float:
+    """Mean over the folds in which a metric is defined, NaN if there is none."""
+    values = [v for v in values if not np.isnan(v)]
+    return float(np.mean(values)) if values else float("nan")
+
+
 def eliminate(df: DataFrame, learner: Learner, columns: Sequence[str], label: str, levels: Sequence[str], s: Settings) -> tuple[list[str], dict[int, float]]:
     """Predictors kept, and the mean metric of each size: in each fold they are ranked by a fit on all of them."""
     sizes = sorted({k for k in s.sizes if 0 < k < len(columns)} | {len(columns)})
@@ -178,12 +187,12 @@ def eliminate(df: DataFrame, learner: Learner, columns: Sequence[str], label: st
         ranked, out = _ranked(whole, columns), {}
         for size in sizes:
             fit = whole if size == len(columns) else learner.fit(train, ranked[:size], label, learner.grid[0])
-            out[size] = _value(fit.score(held), learner.task, label, levels, s.metric, s.larger)
+            out[size] = _value(fit.score(held), learner.task, label, levels, s)
         return out
 
     with ThreadPoolExecutor(s.threads) as pool:
         parts = list(pool.map(one, range(s.folds)))
-    profile = {k: float(np.mean([p[k] for p in parts])) for k in sizes}
+    profile = {k: _defined_mean([p[k] for p in parts]) for k in sizes}
     size = within_tolerance(profile, s.tolerance, s.larger)
     return _ranked(learner.fit(df, columns, label, learner.grid[0]), columns)[:size], profile
 
@@ -196,13 +205,13 @@ def tune(df: DataFrame, learner: Learner, columns: Sequence[str], label: str, le
     def one(job: tuple[int, int]) -> float:
         i, fold = job
         fit = learner.fit(df.where(F.col(FOLD) != fold), columns, label, learner.grid[i])
-        return _value(fit.score(df.where(F.col(FOLD) == fold)), learner.task, label, levels, s.metric, s.larger)
+        return _value(fit.score(df.where(F.col(FOLD) == fold)), learner.task, label, levels, s)
 
     with ThreadPoolExecutor(s.threads) as pool:
         values = list(pool.map(one, [(i, k) for i in range(len(learner.grid)) for k in range(s.folds)]))
-    means = np.reshape(values, (len(learner.grid), s.folds)).mean(1)
-    best = int(np.argmax(means) if s.larger else np.argmin(means))
-    return learner.grid[best], float(means[best])
+    means = np.array([_defined_mean(v) for v in np.reshape(values, (len(learner.grid), s.folds))])
+    best = int(np.where(np.isnan(means), -np.inf, means if s.larger else -means).argmax())
+    return learner.grid[best], None if np.isnan(means[best]) else float(means[best])
 
 
 @dataclass(frozen=True)
@@ -249,35 +258,158 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def holdouts(df: DataFrame, task: str, label: str, key: str, runs: Sequence[int], p: float, group: str | None) -> DataFrame:
+    """Each row once for each run, with run and role, stratified by quantiles of the target or by class.
+
+    Whole groups where groups are given, which must not hold two classes; rows without a group are one group."""
+    if not group:
+        rows, stratum = (resample.quantile_strata(df, label), "stratum") if task == "regression" else (df, label)
+        return resample.stratified_holdouts(rows, stratum, key, p, runs).select(*df.columns, "run", "role")
+    if task == "regression":
+        units = resample.quantile_strata(df.groupBy(group).agg(F.avg(label).alias("__mean")), "__mean")
+    else:
+        mixed = [r[0] for r in metrics.group_classes(df, group, label).where("n_classes > 1").select(group).limit(10).collect()]
+        if mixed:
+            raise ValueError(f"groups of more than one class: {mixed}")
+        units = df.groupBy(group).agg(F.min(label).alias("stratum"))
+    roles = resample.stratified_holdouts(units, "stratum", group, p, runs).select(F.col(group).alias("__group"), "run", "role")
+    return df.join(roles, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+
+
+def _from_moments(learner: Learner, s: Settings) -> bool:
+    """Whether all that is to be chosen follows from moments."""
+    nothing = not s.sizes and len(learner.grid) == 1
+    return learner.moments and (nothing or (s.metric in moments.METRICS and s.report is None))
+
+
+def _chooser(learner: Learner, columns: Sequence[str], s: Settings, fold_n: np.ndarray, fold_sums: np.ndarray) -> moments.Chooser:
+    penalties, order = [x.get("penalty", 0.0) for x in learner.grid], sorted(range(len(columns)), key=lambda i: columns[i])
+    return moments.Chooser(len(columns), fold_n, fold_sums, s.sizes, penalties, s.metric, s.larger, s.tolerance, order)
+
+
+def _fold_table(sums: Sequence, folds: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    n, v = np.zeros(folds), np.zeros((folds, q * (q + 3) // 2))
+    for r in sums:
+        n[r[FOLD]], v[r[FOLD]] = r["n"], r["sums"]
+    return n, v
+
+
 def repeated(
     df: DataFrame, learner: Learner, columns: Sequence[str], label: str, key: str, runs: int, p: float = 0.75,
     group: str | None = None, settings: Settings = Settings(),
 ) -> dict[str, DataFrame]:
     """Repeated holdouts: performance (run, data: train, test, null; metrics), importance (run, place, predictor).
 
-    Rows are split by quantiles of the target or by class, whole groups where groups are given."""
-    levels, spark = _levels(df, learner, label), df.sparkSession
+    Rows are split by quantiles of the target or by class, whole groups where groups are given. Least squares take
+    the moments of all runs from one pass over the rows."""
+    levels, spark, numbers = _levels(df, learner, label), df.sparkSession, list(range(1, runs + 1))
+    split = holdouts(df, learner.task, label, key, numbers, p, group)
+    fast = _from_moments(learner, settings)
+    folds = settings.folds if not fast or settings.sizes or len(learner.grid) > 1 else 1
+    split = with_folds(split, folds, key, group, "run") if folds > 1 else split.withColumn(FOLD, F.lit(0))
+    if not fast:
+        split = written(split, "holdouts")
+    seen = {(r["run"], r["role"]) for r in split.where(F.col(label).isNotNull()).select("run", "role").distinct().collect()}
+    if any((k, role) not in seen for k in numbers for role in ("train", "test")):
+        raise ValueError("a run has no rows to train or to test; there are too few rows or groups")
+    if fast:
+        return _repeated_from_moments(split, learner, columns, label, numbers, folds, settings)
     performance, importance = [], []
-    for run in range(1, runs + 1):
-        if group and learner.task == "regression":
-            split = resample.grouped_holdout(df, group, label, p, run)
-        elif group:
-            of_group = df.groupBy(group).agg(F.min(label).alias("__class"))
-            split = df.join(resample.stratified_holdout(of_group, "__class", group, p, run).select(group, "role"), group)
-        elif learner.task == "regression":
-            split = resample.stratified_holdout(resample.quantile_strata(df, label), "stratum", key, p, run).drop("stratum")
-        else:
-            split = resample.stratified_holdout(df, label, key, p, run)
-        split = written(with_folds(split, settings.folds, key, group, run), "holdout")
-        trained = train(split.where("role = 'train'"), learner, columns, label, levels, settings)
-        scored = trained.fit.score(split).select("role", label, "prediction")
-        nothing = split.where("role = 'test'").select(F.lit("null").alias("role"), label, _null_prediction(split.where("role = 'train'"), learner.task, label).alias("prediction"))
+    for run in numbers:
+        own = split.where(F.col("run") == run).drop("run")
+        trained = train(own.where("role = 'train'"), learner, columns, label, levels, settings)
+        scored = trained.fit.score(own).select("role", label, "prediction")
+        nothing = own.where("role = 'test'").select(F.lit("null").alias("role"), label, _null_prediction(own.where("role = 'train'"), learner.task, label).alias("prediction"))
         one = report(scored.unionByName(nothing), learner.task, label, levels, ["role"])
         performance.append(one.withColumnRenamed("role", "data").withColumn("run", F.lit(run)))
         importance.append(_rows_of(spark, run, trained))
     return {"performance": _union(performance), "importance": _union(importance)}
 
 
+def _repeated_from_moments(split: DataFrame, learner: Learner, columns: Sequence[str], label: str, runs: Sequence[int], folds: int, s: Settings) -> dict[str, DataFrame]:
+    spark, q = split.sparkSession, len(columns) + 1
+    scale = moments.scale_of(split, [*columns, label])
+    trains = split.where("role = 'train'")
+    sums = moments.part_sums(trains, ["run", FOLD], scale).collect()  # a row for each run and fold
+    means = {r["run"]: r["m"] for r in trains.groupBy("run").agg(F.avg(label).alias("m")).collect()}
+    models, importance = [], []
+    for run in runs:
+        n, v = _fold_table([r for r in sums if r["run"] == run], folds, q)
+        fit, size, ranked, _ = _chooser(learner, columns, s, n, v).choose(np.zeros(1), np.zeros((1, v.shape[1])), np.array([-1]))
+        w, base, weight = moments.raw_units(fit, scale)
+        models.append((run, [float(x) for x in w[0]], float(base[0]), None if means.get(run) is None else float(means[run])))
+        importance += [(str(run), k + 1, columns[i], float(weight[0, i])) for k, i in enumerate(ranked[0, : size[0]])]
+    table = spark.createDataFrame(models, "run int, __w array<double>, __base double, __mean double")
+    pairs = _predicted(split.join(table, "run"), columns).select("run", F.col("role").alias("data"), label, "prediction", "__mean")
+    null = pairs.where("data = 'test'").withColumns({"data": F.lit("null"), "prediction": F.col("__mean")})
+    performance = report(pairs.unionByName(null), "regression", label, (), ["run", "data"])
+    return {"performance": performance, "importance": spark.createDataFrame(importance, "run string, place int, predictor string, importance double")}
+
+
+def _predicted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds the prediction of the weights (__w) and base (__base) of each row; predictors of weight 0 may be null."""
+    parts = [F.when(F.col("__w")[i] == 0, F.lit(0.0)).otherwise(F.col("__w")[i] * F.col(c).cast("double")) for i, c in enumerate(columns)]
+    return df.withColumn("prediction", sum(parts, F.col("__base")))
+
+
+def _left_out_from_moments(df: DataFrame, learner: Learner, columns: Sequence[str], label: str, key: str, unit: str | None, s: Settings) -> dict[str, DataFrame]:
+    """Units are fitted by the executors, each from all moments less its own; nothing of them comes to the driver."""
+    spark, by, names, p = df.sparkSession, unit or key, [*columns, label], len(columns)
+    rows = df.where(F.col(by).isNotNull())
+    choosing = bool(s.sizes) or len(learner.grid) > 1
+    rows = with_folds(rows, s.folds, key, unit, 0) if choosing else rows.withColumn(FOLD, F.lit(0))
+    scale = moments.scale_of(rows, names)
+    fold_n, fold_sums = _fold_table(moments.part_sums(rows, [FOLD], scale).collect(), s.folds if choosing else 1, p + 1)
+    chooser, list_of = _chooser(learner, columns, s, fold_n, fold_sums), "array<double>"
+
+    def models(n: np.ndarray, v: np.ndarray, fold: np.ndarray) -> pd.DataFrame:
+        fit, size, ranked, _ = chooser.choose(n, v, fold)
+        w, base, importance = moments.raw_units(fit, scale)
+        return pd.DataFrame({"__w": list(w), "__base": base, "__ranked": [r[:k].astype(np.int32) for r, k in zip(ranked, size, strict=True)], "__importance": list(importance)})
+
+    fields = f"__w {list_of}, __base double, __ranked array<int>, __importance {list_of}"
+    shown = [F.col(by).cast("string").alias("unit"), key, label, "prediction"]
+    alone = unit is None and rows.groupBy(key).count().where("count > 1").isEmpty()
+    if alone:  # each row is a unit: its moments are its own products, and no row is exchanged
+        x = [f"__x{i}" for i in range(p + 1)]
+        inputs = rows.select(key, label, *[c for c in columns if c not in (key, label)], FOLD, *[F.col(c).cast("double").alias(n) for c, n in zip(names, x, strict=True)])
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for k in range(0, len(batch), SOLVED):
+                    part = batch.iloc[k : k + SOLVED].reset_index(drop=True)
+                    z = scale.z(part[x].to_numpy(float))
+                    full = ~np.isnan(z).any(1)
+                    v = moments.vectors(np.where(full[:, None], z, 0.0))
+                    yield pd.concat([part.drop(columns=[FOLD, *x]), models(full.astype(float), v, part[FOLD].to_numpy())], axis=1)
+
+        kept = inputs.drop(FOLD, *x)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + fields
+        solved = written(_predicted(inputs.mapInPandas(each, schema), columns).select(*shown, "__ranked", "__importance"), "left-out")
+        predictions, of_units = solved.select("unit", key, label, "prediction"), solved
+    else:
+        own = moments.part_sums(rows, [by], scale).withColumnRenamed(by, "__unit")
+        units = rows.select(by, FOLD).distinct().join(own, F.col(by) == F.col("__unit"), "left").select(by, FOLD, "n", "sums")
+        width = fold_sums.shape[1]
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for k in range(0, len(batch), SOLVED):
+                    part = batch.iloc[k : k + SOLVED].reset_index(drop=True)
+                    v = np.array([np.zeros(width) if x is None else x for x in part.sums], float).reshape(len(part), width)
+                    yield pd.concat([part[[by]], models(part.n.fillna(0).to_numpy(float), v, part[FOLD].to_numpy())], axis=1)
+
+        of_units = units.mapInPandas(each, f"`{by}` {rows.schema[by].dataType.simpleString()}, {fields}")
+        of_units = written(of_units.withColumnRenamed(by, "__unit").withColumn("unit", F.col("__unit").cast("string")), "units")
+        predictions = _predicted(rows.join(of_units.drop("unit"), F.col(by) == F.col("__unit")), columns).select(*shown)
+    if of_units.select("unit").limit(2).count() < 2:
+        raise ValueError("at least two units are needed")
+    named = F.array(*map(F.lit, columns))
+    importance = of_units.select(F.col("unit").alias("run"), "__importance", F.posexplode("__ranked").alias("at", "i"))
+    importance = importance.select("run", (F.col("at") + 1).alias("place"), F.get(named, "i").alias("predictor"), F.get("__importance", "i").alias("importance"))
+    return {"predictions": predictions, "performance": report(predictions, "regression", label), "importance": importance}
+
+
 def leave_one_out(
     df: DataFrame, learner: Learner, columns: Sequence[str], label: str, key: str, unit: str | None = None,
     settings: Settings = Settings(),
@@ -285,7 +417,11 @@ def leave_one_out(
     """One unit (each group, or each row where no unit is given) left out at a time, all else nested within.
 
     Gives predictions (unit, key, label, prediction), performance (one row of pooled metrics) and importance.
-    The units' names come to the driver, as each is a fit of its own; inner folds are dealt by units."""
+    Least squares take any number of units in a fixed number of jobs (if the metric, where one chooses, is among
+    ``moments.METRICS``). Other learners fit each unit on its own: the units' names then come to the driver. Inner
+    folds are dealt by units."""
+    if _from_moments(learner, settings):
+        return _left_out_from_moments(df, learner, columns, label, key, unit, settings)
     levels, spark, by = _levels(df, learner, label), df.sparkSession, unit or key
     units = [r[0] for r in df.where(F.col(by).isNotNull()).select(by).distinct().orderBy(by).collect()]
     if len(units) < 2:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
+from .order_stats import quantiles
 
 def draw(seed: int | Column, *ids: str) -> Column:
     """Pseudo-random text by which rows are ordered."""
@@ -16,7 +18,7 @@ def draw(seed: int | Column, *ids: str) -> Column:
 
 def quantile_strata(df: DataFrame, target: str, groups: int = 5) -> DataFrame:
     """Adds a stratum: the number of inner quantiles of the target that lie below a value."""
-    cuts = df.agg(F.percentile(target, [k / groups for k in range(1, groups)]).alias("cuts"))
+    cuts = quantiles(df, target, [k / groups for k in range(1, groups)]).select(F.col("q").alias("cuts"))
     below = F.size(F.filter("cuts", lambda c: c < F.col(target)))
     return df.join(F.broadcast(cuts)).withColumn("stratum", below.cast("int")).drop("cuts")
 
@@ -43,11 +45,43 @@ def stratified_holdout(df: DataFrame, stratum: str, key: str, p: float, seed: in
     return placed.withColumn("role", F.when(F.col("place") <= F.ceil(F.col("n_group") * p), "train").otherwise("test")).drop("place", "n_group")
 
 
+def holdout_cuts(df: DataFrame, stratum: str, key: str, p: float, runs: Sequence[int]) -> DataFrame:
+    """The draw and key of the last row that trains, for each run and stratum: (run, __stratum, cut_draw, cut_key).
+
+    ceil(p * n) rows of a stratum of n train, but one less where that would leave none to test (a lone row trains).
+    Rows are counted by the first letters of their draws; only the part that holds the cut is ordered.
+    """
+    drawn = df.select(F.col(stratum).alias("__stratum"), F.col(key).alias("cut_key"), F.explode(F.array(*map(F.lit, runs))).alias("run"))
+    drawn = drawn.withColumn("cut_draw", draw(F.col("run").cast("string"), "cut_key")).withColumn("__part", F.substring("cut_draw", 1, 3))
+    of_stratum = Window.partitionBy("run", "__stratum")
+    n, before = F.sum("__n").over(of_stratum), F.coalesce(F.sum("__n").over(of_stratum.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    takes = F.when((F.col("n") > 1) & (F.ceil(F.col("n") * p) == F.col("n")), F.col("n") - 1).otherwise(F.ceil(F.col("n") * p))
+    parts = drawn.groupBy("run", "__stratum", "__part").agg(F.count(F.lit(1)).alias("__n")).select("*", n.alias("n"), before.alias("before"))
+    parts = parts.withColumn("rest", takes - F.col("before")).where((F.col("rest") > 0) & (F.col("rest") <= F.col("__n")))
+    at = parts.select(F.col("run").alias("__run"), F.col("__stratum").alias("__s"), F.col("__part").alias("__p"), "rest")
+    near = drawn.join(at, (F.col("run") == F.col("__run")) & F.col("__stratum").eqNullSafe(F.col("__s")) & (F.col("__part") == F.col("__p")))
+    place = F.row_number().over(Window.partitionBy("run", "__stratum").orderBy("cut_draw", "cut_key"))
+    return near.withColumn("__place", place).where(F.col("__place") == F.col("rest")).select("run", "__stratum", "cut_draw", "cut_key")
+
+
+def stratified_holdouts(df: DataFrame, stratum: str, key: str, p: float, runs: Sequence[int]) -> DataFrame:
+    """Each row once for each run, with run and role: what is drawn up to the stratum's cut trains.
+
+    No row is exchanged: the cuts (a row for each run and stratum) are joined, and Spark sends them out if they
+    are small. Rows of one key stay together."""
+    cuts = written(holdout_cuts(df, stratum, key, p, runs), "cuts").withColumnRenamed("run", "__run")
+    each = df.withColumn("run", F.explode(F.array(*map(F.lit, runs))))
+    own = draw(F.col("run").cast("string"), key)
+    joined = each.join(cuts, (F.col("run") == F.col("__run")) & F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
+    trains = (own < F.col("cut_draw")) | ((own == F.col("cut_draw")) & (F.col(key) <= F.col("cut_key")))
+    return joined.withColumn("role", F.when(trains, "train").otherwise("test")).select(*df.columns, "run", "role")
+
+
 def grouped_holdout(df: DataFrame, group: str, target: str, p: float, seed: int) -> DataFrame:
-    """Whole groups to 'train' or 'test', stratified by the groups' mean target."""
+    """Whole groups to 'train' or 'test', stratified by the groups' mean target; rows without a group are one."""
     means = df.groupBy(group).agg(F.avg(target).alias("target_mean"))
     roles = stratified_holdout(quantile_strata(means, "target_mean"), "stratum", group, p, seed)
-    return df.join(roles.select(group, "role"), group)
+    return df.join(roles.select(F.col(group).alias("__g"), "role"), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def group_kfold(df: DataFrame, group: str, key: str, k: int, repeats: int, seed: int) -> DataFrame:

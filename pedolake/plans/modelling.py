@@ -131,11 +131,33 @@ def nested_logo_linear(spark, d):
     return _shown(out, metrics.REGRESSION)
 
 
+_P = ["a", "b", "c"]
+
+
+def _orders(spark, d):
+    """All orders with three predictors: sizes of a kind that tell something, little and nothing of the target."""
+    a, b, c = (F.col(x).cast("double") for x in ("group_id", "b", "c"))
+    g = derived(spark, d, "groups").withColumns({"b": F.col("row_id") % 97, "c": F.col("row_id") % 13})
+    y = F.col("target") / 1000 + 3 * F.col("b") - F.col("c")
+    return g.select("row_id", a.alias("a"), b.alias("b"), c.alias("c"), y.alias("y"), (F.col("group_id") % 6).cast("int").alias("unit"))
+
+
 def loocv_linear(spark, d):
-    """Each group's mean left out of a line through the groups' sizes."""
-    g = derived(spark, d, "groups").groupBy("group_id").agg(F.avg("target").alias("y"), F.count(F.lit(1)).cast("double").alias("x"))
-    out = pipelines.leave_one_out(g, pipelines.linear(), ["x"], "y", "group_id", None, _PLAIN)["predictions"]
-    return _shown(out.select("group_id", "y", "prediction"), ["y", "prediction"], 3)
+    """Every order left out in turn of least squares on three predictors."""
+    out = pipelines.leave_one_out(_orders(spark, d), pipelines.linear(), _P, "y", "row_id", None, _PLAIN)["predictions"]
+    return _shown(out.select("row_id", "y", "prediction"), ["y", "prediction"], 3)
+
+
+#: Elimination among two predictors and two penalties, by inner folds of units.
+_CHOICE = pipelines.Settings(sizes=[1], folds=2, metric="rmse", larger=False, tolerance=0.5)
+
+
+def nested_logo_choice(spark, d):
+    """Each of six units left out, with elimination and tuning within the others: what is kept, and pooled metrics."""
+    out = pipelines.leave_one_out(_orders(spark, d), pipelines.linear([0.0, 0.5]), ["b", "c"], "y", "row_id", "unit", _CHOICE)
+    kept = out["importance"].select(F.lit("importance").alias("part"), "run", "predictor", rounded(F.col("importance"), 4).alias("value"))
+    pooled = out["performance"].select(F.lit("performance").alias("part"), F.lit("all").alias("run"), F.explode(F.create_map(*[x for m in metrics.REGRESSION for x in (F.lit(m), rounded(F.col(m), 4))])).alias("predictor", "value"))
+    return kept.unionByName(pooled)
 
 
 def nested_logo_classes(spark, d):
@@ -150,6 +172,7 @@ def single_linear(spark, d):
 
 
 _RW = """rw AS (SELECT CAST(row AS BIGINT) * 100000 + col AS cell_id, b1, b3 + 0.3 * b1 * b2 AS target, row % 4 AS block FROM cells WHERE b4 IS NOT NULL)"""
+_OW = """o AS (SELECT row_id, CAST(group_id AS DOUBLE) AS a, CAST(row_id % 97 AS DOUBLE) AS b, CAST(row_id % 13 AS DOUBLE) AS c, target / 1000 + 3 * (row_id % 97) - row_id % 13 AS y, CAST(group_id % 6 AS INTEGER) AS unit FROM groups)"""
 _CLASS = "CASE WHEN target < 0.35 THEN 'low' WHEN target < 0.7 THEN 'middle' ELSE 'high' END"
 _PAIRS = """SELECT {g} avg(obs) AS mo, avg(pred) AS mp, var_pop(obs) AS vo, var_pop(pred) AS vp, covar_pop(obs, pred) AS co, avg(abs(pred - obs)) AS mae, avg((pred - obs) ** 2) AS mse FROM pairs {by}"""
 _ALL = """SELECT round(2 * co / (vo + vp + (mo - mp) ** 2), 4) AS ccc, round(co * co / (vo * vp), 4) AS r2, round(1 - mse / vo, 4) AS nse, round(mae, 4) AS mae, round(sqrt(mse), 4) AS rmse,
@@ -169,8 +192,39 @@ ORACLES: dict[str, str] = {
       f AS (SELECT run, regr_slope(target, b1) AS s, regr_intercept(target, b1) AS i, avg(target) AS m FROM h WHERE role = 'train' GROUP BY run),
       pairs AS (SELECT run, role AS data, target AS obs, i + s * b1 AS pred FROM h JOIN f USING (run) UNION ALL SELECT run, 'null', target, m FROM h JOIN f USING (run) WHERE role = 'test')
       SELECT CAST(run AS INTEGER) AS run, data, round(mae, 4) AS mae, round(sqrt(mse), 4) AS rmse, round(1 - mse / vo, 4) + 0.0 AS nse FROM ({_PAIRS.format(g="run, data,", by="GROUP BY run, data")})"""),
-    "loocv_linear": with_inputs("groups", """WITH g AS (SELECT group_id, avg(target) AS y, CAST(count(*) AS DOUBLE) AS x FROM groups GROUP BY 1),
-      f AS (SELECT u.group_id, regr_slope(g.y, g.x) AS s, regr_intercept(g.y, g.x) AS i FROM g JOIN g u ON u.group_id <> g.group_id GROUP BY 1) SELECT group_id, round(y, 3) AS y, round(i + s * x, 3) AS prediction FROM g JOIN f USING (group_id)"""),
+    "loocv_linear": with_inputs("groups", f"""WITH {_OW}, m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my FROM o),
+      z AS (SELECT row_id, y, a - ma AS a, b - mb AS b, c - mc AS c, y - my AS v, n, my FROM o, m),
+      s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * v) AS av, sum(b * v) AS bv, sum(c * v) AS cv FROM z),
+      k AS (SELECT *, bb * cc - bc * bc AS kaa, ac * bc - ab * cc AS kab, ab * bc - ac * bb AS kac, aa * cc - ac * ac AS kbb, ab * ac - aa * bc AS kbc, aa * bb - ab * ab AS kcc FROM s),
+      i AS (SELECT *, aa * kaa + ab * kab + ac * kac AS det FROM k),
+      w AS (SELECT *, (kaa * av + kab * bv + kac * cv) / det AS wa, (kab * av + kbb * bv + kbc * cv) / det AS wb, (kac * av + kbc * bv + kcc * cv) / det AS wc FROM i)
+      SELECT row_id, round(y, 3) AS y, round(y - (v - wa * a - wb * b - wc * c) / (1 - 1.0 / n - (kaa * a * a + kbb * b * b + kcc * c * c + 2 * (kab * a * b + kac * a * c + kbc * b * c)) / det), 3) AS prediction FROM z, w"""),
+    "nested_logo_choice": with_inputs("groups", f"""WITH {_OW}, d AS (SELECT unit, (row_number() OVER (ORDER BY md5(unit || '-0'), unit) - 1) % 2 AS fold FROM (SELECT DISTINCT unit FROM o)),
+      r AS (SELECT o.*, fold FROM o JOIN d USING (unit)), u AS (SELECT unit AS u FROM d),
+      t AS (SELECT u, f, r.* FROM r, u, (SELECT unnest([0, 1, 2]) AS f) WHERE unit <> u AND fold <> f),
+      s AS (SELECT u, f, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, var_pop(b) AS bb, covar_pop(b, c) AS bc, var_pop(c) AS cc, covar_pop(b, y) AS bv, covar_pop(c, y) AS cv, count(*) AS n FROM t GROUP BY 1, 2),
+      g AS (SELECT *, bb * (1 + l) AS gb, cc * (1 + l) AS gc FROM s, (SELECT unnest([0.0, 0.5]) AS l)),
+      full_ AS (SELECT *, (gc * bv - bc * cv) / (gb * gc - bc * bc) AS wb, (gb * cv - bc * bv) / (gb * gc - bc * bc) AS wc FROM g),
+      best AS (SELECT u, f, abs(wb) * sqrt(bb) >= abs(wc) * sqrt(cc) AS b_first FROM full_ WHERE l = 0),
+      fits AS (SELECT u, f, l, 2 AS size, wb, wc, my - wb * mb - wc * mc AS base, bb, cc, n FROM full_
+        UNION ALL SELECT u, f, l, 1, CASE WHEN b_first THEN bv / gb ELSE 0 END, CASE WHEN b_first THEN 0 ELSE cv / gc END, my - CASE WHEN b_first THEN bv / gb * mb ELSE cv / gc * mc END, bb, cc, n FROM g JOIN best USING (u, f)),
+      sums AS (SELECT unit, fold, count(*) AS n, sum(b) AS b, sum(c) AS c, sum(y) AS y, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(b * y) AS bv, sum(c * y) AS cv, sum(y * y) AS yy FROM r GROUP BY 1, 2),
+      held AS (SELECT fits.u, f, l, size, sqrt(sum(yy + h.n * base * base + wb * wb * h.bb + wc * wc * h.cc + 2 * (base * wb * b + base * wc * c + wb * wc * bc - base * y - wb * bv - wc * cv)) / sum(h.n)) AS rmse
+        FROM fits JOIN sums h ON h.unit <> fits.u AND h.fold = f WHERE f < 2 GROUP BY ALL),
+      profile AS (SELECT u, size, avg(rmse) AS rmse FROM held WHERE l = 0 GROUP BY 1, 2),
+      sized AS (SELECT u, CASE WHEN max(CASE WHEN size = 1 THEN rmse END) - min(rmse) <= 0.005 * min(rmse) THEN 1 ELSE 2 END AS size FROM profile GROUP BY 1),
+      -- penalties are tried on what elimination has kept from all of the training part
+      wide AS (SELECT g.u, g.f, g.l, size, CASE WHEN size = 2 THEN wb WHEN k.b_first THEN bv / g.gb ELSE 0 END AS wb, CASE WHEN size = 2 THEN wc WHEN k.b_first THEN 0 ELSE cv / g.gc END AS wc, g.mb, g.mc, g.my, g.bb, g.cc, g.n, k.b_first
+        FROM full_ g JOIN sized USING (u) JOIN best k ON k.u = g.u AND k.f = 2),
+      based AS (SELECT *, my - wb * mb - wc * mc AS base FROM wide),
+      tried AS (SELECT based.u, f, l, sqrt(sum(yy + h.n * base * base + wb * wb * h.bb + wc * wc * h.cc + 2 * (base * wb * b + base * wc * c + wb * wc * bc - base * y - wb * bv - wc * cv)) / sum(h.n)) AS rmse
+        FROM based JOIN sums h ON h.unit <> based.u AND h.fold = f WHERE f < 2 GROUP BY ALL),
+      tuned AS (SELECT u, arg_min(l, rmse) AS l FROM (SELECT u, l, avg(rmse) AS rmse FROM tried GROUP BY 1, 2) GROUP BY 1),
+      final AS (SELECT based.* FROM based JOIN tuned USING (u, l) WHERE f = 2),
+      pairs AS (SELECT y AS obs, base + wb * b + wc * c AS pred FROM r JOIN final ON u = unit), p AS ({_ALL})
+      SELECT 'importance' AS part, CAST(u AS VARCHAR) AS run, 'b' AS predictor, round(abs(wb) * sqrt(bb * n), 4) AS value FROM final WHERE size = 2 OR b_first
+      UNION ALL SELECT 'importance', CAST(u AS VARCHAR), 'c', round(abs(wc) * sqrt(cc * n), 4) FROM final WHERE size = 2 OR NOT b_first
+      UNION ALL SELECT 'performance', 'all', name, value FROM (UNPIVOT p ON ccc, r2, nse, mae, rmse, mqi)"""),
     "nested_logo_classes": with_inputs("cells", f"""WITH {_RW}, k AS (SELECT *, {_CLASS} AS class FROM rw), m AS (SELECT u, class AS c, avg(b1) AS m FROM k, (SELECT unnest([0, 1, 2, 3]) AS u) WHERE block <> u GROUP BY ALL),
       p AS (SELECT cell_id, any_value(class) AS obs, arg_min(c, (b1 - m) ** 2) AS pred FROM (SELECT * FROM k JOIN m ON u = block ORDER BY c) GROUP BY 1),
       per AS (SELECT l.c, count(CASE WHEN obs = l.c AND pred = l.c THEN 1 END) AS t, count(CASE WHEN pred = l.c THEN 1 END) AS a, count(CASE WHEN obs = l.c THEN 1 END) AS b, count(*) AS n FROM p, (SELECT DISTINCT class AS c FROM k) l GROUP BY 1),
@@ -179,4 +233,4 @@ ORACLES: dict[str, str] = {
       round(avg(t / nullif(a, 0)), 4) AS precision FROM per, w"""),
 }
 QUERIES = [cv_metrics, rfe_profile, importance_top, model_family_scores, nearest_votes, qrf_quantiles, class_probabilities, repeated_holdout, nested_logo, single_fit,
-    gbm_influence, class_probabilities_resampled, single_fit_classes, repeated_linear, nested_logo_linear, loocv_linear, nested_logo_classes, single_linear]
+    gbm_influence, class_probabilities_resampled, single_fit_classes, repeated_linear, nested_logo_linear, loocv_linear, nested_logo_choice, nested_logo_classes, single_linear]
