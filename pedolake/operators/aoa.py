@@ -1,9 +1,7 @@
 """Area of applicability: dissimilarity of new rows to the training rows.
 
-Distances go block by block: the training rows are cut into chunks of bounded size by a hash of their
-id, each chunk passes through the driver and is broadcast, and running results are kept per row, so no
-join of all pairs is built. A training table is what a model was fitted on; its chunks stay broadcast
-while a query runs.
+Nearest training rows are found exactly and with pruning (see ``neighbours``); only the mean distance of the
+training rows, a mean over all pairs, looks at all of them, block by block.
 """
 
 from __future__ import annotations
@@ -15,11 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import distance_totals, nearest
 from .order_stats import quantiles
 
-#: Training rows of one broadcast chunk.
-CHUNK_ROWS = 20_000
-
 
 def training_moments(train: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and sample deviation of each predictor."""
@@ -36,54 +32,9 @@ def scaled(df: DataFrame, vector: str, mean: np.ndarray, sd: np.ndarray, weight:
     return df.withColumn("z", F.when(~F.exists(v, lambda c: c.isNull() | F.isnan(c)), z))
 
 
-def chunks(train: DataFrame, columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Complete training rows, a bounded chunk at a time."""
-    complete = train.where("z is not null").select("vec_id", "z", *columns)
-    n = max(1, -(-complete.count() // CHUNK_ROWS))
-    for k in range(n):
-        yield complete.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == k).toPandas()
-
-
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
-
-
-def nearest(rows: DataFrame, train: DataFrame, k: int = 1, other_fold: bool = False) -> DataFrame:
-    """Adds the distances and ids of the k nearest training rows (of another fold, if asked), and the sum of all distances."""
-    names = [c for c in rows.columns]
-    out = rows.withColumn("near", F.array().cast("array<struct<d:double,id:long>>")).withColumn("total", F.lit(0.0)).withColumn("n_train", F.lit(0).cast("long"))
-    for chunk in chunks(train, ["fold"] if other_fold else []):
-        if not len(chunk):
-            continue
-        shared = rows.sparkSession.sparkContext.broadcast((np.stack(chunk.z.to_numpy()), chunk.vec_id.to_numpy(), chunk.fold.to_numpy() if other_fold else None))
-        out = out.withColumn("s", _step(shared, k)(F.col("z"), F.col("vec_id"), F.col("fold") if other_fold else F.lit(0)))
-        merged = F.slice(F.array_sort(F.concat("near", "s.near")), 1, k)
-        out = out.select(*names, merged.alias("near"), (F.col("total") + F.col("s.total")).alias("total"), (F.col("n_train") + F.col("s.n")).alias("n_train"))
-    return out
-
-
-def _step(shared, k: int):
-    @F.pandas_udf("near array<struct<d:double,id:long>>, total double, n long")
-    def step(z: pd.Series, ids: pd.Series, fold: pd.Series) -> pd.DataFrame:
-        y, y_ids, y_fold = shared.value
-        near, total, n = [[] for _ in z], np.zeros(len(z)), np.zeros(len(z), int)
-        full = np.flatnonzero(z.notna().to_numpy())
-        if len(full):
-            d = _distances(np.stack([np.asarray(z.iloc[i], float) for i in full]), y)
-            for row, i in enumerate(full):
-                keep = y_ids != ids.iloc[i] if y_fold is None else y_fold != fold.iloc[i]
-                di, idi = d[row][keep], y_ids[keep]
-                total[i], n[i] = di.sum(), len(di)
-                order = np.lexsort((idi, di))[:k]
-                near[i] = [{"d": float(di[o]), "id": int(idi[o])} for o in order]
-        return pd.DataFrame({"near": near, "total": total, "n": n})
-
-    return step
-
-
 def mean_distance(train: DataFrame) -> float:
     """Mean over training rows of their mean distance to the others."""
-    return float(nearest(train, train).select(F.avg(F.col("total") / F.col("n_train"))).first()[0])
+    return float(distance_totals(train).where("n > 0").select(F.avg(F.col("total") / F.col("n"))).first()[0])
 
 
 def dissimilarity(rows: DataFrame, train: DataFrame, dbar: float) -> DataFrame:
