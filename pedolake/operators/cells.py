@@ -1,7 +1,7 @@
 """Raster algebra on cell tables: one row per cell (row, col, x, y) and one column per band.
 
-Cell-wise indices are column expressions. Neighbourhood operators explode integer offsets and join on
-(row, col), so each cell meets a fixed number of others whatever the grid's size.
+Cell-wise indices are column expressions. Neighbourhood operators run on tiles with a halo (see ``halo``): cells are
+exchanged once, and windows are array operations.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import halo
 from .order_stats import quantiles
 
 div = F.try_divide
@@ -198,30 +200,12 @@ def ensemble_agreement(df: DataFrame, layers: Sequence[str]) -> DataFrame:
     return out.withColumn("moda", F.col("__best.v")).withColumn("frequencia_moda", share).drop("__best")
 
 
-def neighbours(targets: DataFrame, cells: DataFrame, offsets: Sequence[tuple[int, int]], value: str) -> DataFrame:
-    """Rows (row, col, dr, dc, value): the present neighbours of each target at the given offsets."""
-    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets])
-    wide = targets.select("row", "col", F.explode(steps).alias("o")).select(
-        "row", "col", F.col("o.dr").alias("dr"), F.col("o.dc").alias("dc"), (F.col("row") + F.col("o.dr")).alias("nr"), (F.col("col") + F.col("o.dc")).alias("nc")
-    )
-    source = cells.select(F.col("row").alias("nr"), F.col("col").alias("nc"), F.col(value).alias("value"))
-    return wide.join(source, ["nr", "nc"]).select("row", "col", "dr", "dc", "value")
-
-
-def window_offsets(n: int) -> list[tuple[int, int]]:
-    """Offsets of an n x n window, n odd."""
+def focal_fill(cells: DataFrame, band: str, n: int = 3, how: str = "avg", substitute: float | None = None) -> DataFrame:
+    """Missing values of a band from a function of their n x n window (avg, sum, min, max, median); present values
+    stay. What no window fills takes the substitute, if one is given."""
     if n % 2 == 0:
         raise ValueError("the window must be odd")
-    h = n // 2
-    return [(a, b) for a in range(-h, h + 1) for b in range(-h, h + 1)]
-
-
-def focal_fill(cells: DataFrame, band: str, n: int = 3, how: str = "avg", substitute: float | None = None) -> DataFrame:
-    """Missing values of a band from an aggregate of their window; present values stay. What no window fills
-    takes the substitute, if one is given."""
-    holes = cells.where(F.col(band).isNull())
-    near = neighbours(holes, cells, window_offsets(n), band).where("value is not null")
-    filled = near.groupBy("row", "col").agg(getattr(F, how)("value").alias("__fill"))
+    filled = halo.focal(cells, band, n, how).withColumnRenamed("value", "__fill")
     return cells.join(filled, ["row", "col"], "left").withColumn(band, F.coalesce(band, "__fill", F.lit(substitute).cast("double"))).drop("__fill")
 
 
@@ -242,33 +226,23 @@ def resample_sum(cells: DataFrame, band: str, factor: int) -> DataFrame:
 
 def resample_bilinear(cells: DataFrame, band: str, factor: float) -> DataFrame:
     """Bilinear values at the centres of a grid of factor times the cell size; missing neighbours take no weight."""
-    grown = cells.select(F.floor(F.col("row") / factor).cast("int").alias("r"), F.floor(F.col("col") / factor).cast("int").alias("c")).distinct()
-    u, v = (F.col("r") + 0.5) * factor - 0.5, (F.col("c") + 0.5) * factor - 0.5
-    at = grown.withColumn("u", u).withColumn("v", v).withColumn("row", F.floor("u").cast("int")).withColumn("col", F.floor("v").cast("int"))
-    near = neighbours(at.select("row", "col").distinct(), cells, [(0, 0), (0, 1), (1, 0), (1, 1)], band).where("value is not null")
-    both = at.join(near, ["row", "col"])
-    weight = (1 - F.abs(F.col("u") - F.col("row") - F.col("dr"))) * (1 - F.abs(F.col("v") - F.col("col") - F.col("dc")))
-    summed = both.withColumn("w", weight).groupBy("r", "c").agg(F.sum(F.col("w") * F.col("value")).alias("a"), F.sum("w").alias("b"))
-    return summed.where("b > 0").select("r", "c", (F.col("a") / F.col("b")).alias("value"))
+    return halo.resampled(cells, band, factor, lambda t: np.maximum(1 - t, 0.0), 1, 0.0)
 
 
-def cubic_weight(t: Column) -> Column:
-    """Catmull-Rom kernel."""
-    a = F.abs(t)
-    return F.when(a <= 1, 1.5 * a * a * a - 2.5 * a * a + 1).when(a < 2, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2).otherwise(0.0)
+def cubic_weight(t: np.ndarray) -> np.ndarray:
+    """Catmull-Rom kernel of distances."""
+    return np.where(t <= 1, 1.5 * t * t * t - 2.5 * t * t + 1, np.where(t < 2, -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2, 0.0))
 
 
-def spline_weight(t: Column) -> Column:
-    """Cubic B-spline kernel."""
-    a = F.abs(t)
-    return F.when(a < 1, 2.0 / 3.0 - a * a + 0.5 * a * a * a).when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6.0).otherwise(0.0)
+def spline_weight(t: np.ndarray) -> np.ndarray:
+    """Cubic B-spline kernel of distances."""
+    return np.where(t < 1, 2.0 / 3.0 - t * t + 0.5 * t * t * t, np.where(t < 2, (2 - t) * (2 - t) * (2 - t) / 6.0, 0.0))
 
 
-def lanczos_weight(t: Column) -> Column:
-    """Lanczos kernel of three lobes."""
-    a = F.abs(t)
-    x = F.lit(3.141592653589793) * a
-    return F.when(a < 1e-9, 1.0).when(a < 3, 3 * F.sin(x) * F.sin(x / 3) / (x * x)).otherwise(0.0)
+def lanczos_weight(t: np.ndarray) -> np.ndarray:
+    """Lanczos kernel of three lobes, of distances."""
+    x = np.pi * np.where(t < 1e-9, 1.0, t)
+    return np.where(t < 1e-9, 1.0, np.where(t < 3, 3 * np.sin(x) * np.sin(x / 3) / (x * x), 0.0))
 
 
 #: Kernels by name, with the cells that they reach to either side.
@@ -279,14 +253,7 @@ def resample_kernel(cells: DataFrame, band: str, factor: float, kernel: str) ->
     """Weighted means of the cells around each new centre, weights made to sum to one over the present ones."""
     if kernel not in KERNELS:
         raise ValueError(f"unknown kernel {kernel}")
-    weight, side = KERNELS[kernel]
-    grown = cells.select(F.floor(F.col("row") / factor).cast("int").alias("r"), F.floor(F.col("col") / factor).cast("int").alias("c")).distinct()
-    at = grown.withColumn("u", (F.col("r") + 0.5) * factor - 0.5).withColumn("v", (F.col("c") + 0.5) * factor - 0.5)
-    at = at.withColumn("row", F.floor("u").cast("int")).withColumn("col", F.floor("v").cast("int"))
-    near = neighbours(at.select("row", "col").distinct(), cells, [(a, b) for a in range(1 - side, side + 1) for b in range(1 - side, side + 1)], band).where("value is not null")
-    w = weight(F.col("u") - F.col("row") - F.col("dr")) * weight(F.col("v") - F.col("col") - F.col("dc"))
-    summed = at.join(near, ["row", "col"]).withColumn("w", w).groupBy("r", "c").agg(F.sum(F.col("w") * F.col("value")).alias("a"), F.sum("w").alias("b"))
-    return summed.where("b > 0.000001").select("r", "c", (F.col("a") / F.col("b")).alias("value"))
+    return halo.resampled(cells, band, factor, *KERNELS[kernel], 1e-6)
 
 
 #: Radius of the sphere of the web Mercator projection, in metres.
@@ -354,11 +321,7 @@ def value_attribute_table(df: DataFrame, code: str, labels: DataFrame) -> DataFr
 
 def neighbourhood(cells: DataFrame, band: str) -> DataFrame:
     """Cells with all nine values z1 ... z9 of their 3 x 3 window (z1 top left, z5 the cell)."""
-    offs = window_offsets(3)
-    near = neighbours(cells.select("row", "col"), cells, offs, band).where("value is not null")
-    place = (F.col("dr") + 1) * 3 + F.col("dc") + 2
-    wide = near.groupBy("row", "col").agg(*[F.max(F.when(place == k, F.col("value"))).alias(f"z{k}") for k in range(1, 10)])
-    return wide.na.drop()
+    return halo.surrounding(cells, band)
 
 
 def _z() -> list[Column]:
@@ -403,11 +366,9 @@ def surface_area(window: DataFrame, res: float) -> DataFrame:
 
 
 def position_index(cells: DataFrame, band: str, radius: int, name: str = "tpi") -> DataFrame:
-    """Value less the mean of the window around it (the cell itself left out)."""
-    offs = [(a, b) for a, b in window_offsets(2 * radius + 1) if (a or b) and a * a + b * b <= radius * radius]
-    near = neighbours(cells.select("row", "col"), cells, offs, band).where("value is not null")
-    mean = near.groupBy("row", "col").agg(F.avg("value").alias("__mean"))
-    return cells.join(mean, ["row", "col"]).where(F.col(band).isNotNull()).withColumn(name, F.col(band) - F.col("__mean")).drop("__mean")
+    """Cells (row, col, the band) and their value less the mean of the disc around them (the cell itself left out)."""
+    near = halo.disc_mean(cells, band, radius)
+    return near.select("row", "col", F.col("value").alias(band), (F.col("value") - F.col("mean")).alias(name))
 
 
 def curvatures(window: DataFrame, res: float) -> DataFrame:
@@ -443,20 +404,13 @@ def vector_ruggedness(cells: DataFrame, window: DataFrame, res: float) -> DataFr
     east, north = gradients(res)
     size = F.sqrt(1 + east * east + north * north)
     n = window.select("row", "col", (-east / size).alias("nx"), (-north / size).alias("ny"), (1 / size).alias("nz"))
-    packed = n.select("row", "col", F.struct("nx", "ny", "nz").alias("n"))
-    near = neighbours(packed.select("row", "col"), packed, window_offsets(3), "n")
-    m = near.groupBy("row", "col").agg(*[F.avg(f"value.{c}").alias(c) for c in ("nx", "ny", "nz")])
+    m = halo.box_means(n, ["nx", "ny", "nz"])
     return m.select("row", "col", (1 - F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)).alias("vrm"))
 
 
 def convergence(cells: DataFrame, window: DataFrame, res: float) -> DataFrame:
     """Mean angle between the neighbours' aspects and the direction to the cell, less 90 degrees."""
-    asp = slope_aspect(window, res).select("row", "col", "aspect").where("aspect is not null")
-    offs = [o for o in window_offsets(3) if o != (0, 0)]
-    near = neighbours(asp.select("row", "col"), asp, offs, "aspect")
-    to_cell = F.pmod(F.degrees(F.atan2(-F.col("dc").cast("double"), F.col("dr").cast("double"))) + 360.0, F.lit(360.0))
-    turn = F.abs(F.pmod(F.col("value") - to_cell + 540.0, F.lit(360.0)) - 180.0)
-    return near.withColumn("turn", turn).groupBy("row", "col").agg((F.avg("turn") - 90.0).alias("convergence"))
+    return halo.convergence(slope_aspect(window, res).select("row", "col", "aspect").where("aspect is not null"), "aspect")
 
 
 def landforms(cells: DataFrame, window: DataFrame, band: str, small: int, large: int, res: float) -> DataFrame:

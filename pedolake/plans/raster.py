@@ -38,6 +38,11 @@ def _half_up_sql(e):
     return f"CASE WHEN abs({e}) < 1e9 THEN floor(({e}) * 1e6 + 0.5) / 1e6 ELSE {e} END + 0.0"
 
 
+def _settled(df, names):
+    """Six digits after ten: sums in another order, which differ in the last bits, agree on ties then."""
+    return _half_up(_round(df, names, 10), names)
+
+
 def _with(df, bands):
     return df.select("row", "col", *[F.expr(e).alias(f"s_{n}") for n, e in bands.items()])
 
@@ -103,19 +108,19 @@ def resample_sum(spark, d):
 
 
 def resample_bilinear(spark, d):
-    return _round(r.resample_bilinear(_cells(spark, d), "b1", 2.5), ["value"])
+    return _settled(r.resample_bilinear(_cells(spark, d), "b1", 2.5), ["value"])
 
 
 def resample_cubic(spark, d):
-    return _round(r.resample_kernel(_cells(spark, d), "b1", 2.5, "cubic"), ["value"])
+    return _settled(r.resample_kernel(_cells(spark, d), "b1", 2.5, "cubic"), ["value"])
 
 
 def resample_cubicspline(spark, d):
-    return _round(r.resample_kernel(_cells(spark, d), "b1", 2.5, "cubicspline"), ["value"])
+    return _settled(r.resample_kernel(_cells(spark, d), "b1", 2.5, "cubicspline"), ["value"])
 
 
 def resample_lanczos(spark, d):
-    return _round(r.resample_kernel(_cells(spark, d), "b1", 2.5, "lanczos"), ["value"])
+    return _settled(r.resample_kernel(_cells(spark, d), "b1", 2.5, "lanczos"), ["value"])
 
 
 def focal_fill_substitute(spark, d):
@@ -280,7 +285,7 @@ def tri(spark, d):
 
 
 def tpi(spark, d):
-    return _half_up(r.position_index(_dem(spark, d), "dem", 2), ["tpi"]).select("row", "col", "tpi")
+    return _settled(r.position_index(_dem(spark, d), "dem", 2), ["tpi"]).select("row", "col", "tpi")
 
 
 def surface_area(spark, d):
@@ -381,11 +386,11 @@ def _kernel_sql(weight, side):
     return f"""WITH g AS (SELECT DISTINCT CAST(floor(row / 2.5) AS INTEGER) AS r, CAST(floor(col / 2.5) AS INTEGER) AS c FROM cells),
       a AS (SELECT *, (r + 0.5) * 2.5 - 0.5 AS u, (c + 0.5) * 2.5 - 0.5 AS v FROM g), k AS (SELECT r, c, b1, {weight.format(t="abs(u - row)")} * {weight.format(t="abs(v - col)")} AS w FROM a
       CROSS JOIN (SELECT unnest([{near}]) AS dr) CROSS JOIN (SELECT unnest([{near}]) AS dc) JOIN cells ON row = floor(u) + dr AND col = floor(v) + dc)
-      SELECT r, c, round(sum(w * b1) / sum(w), 6) + 0.0 AS value FROM k GROUP BY 1, 2 HAVING sum(w) > 0.000001"""
+      SELECT r, c, {_half_up_sql("round(sum(w * b1) / sum(w), 10)")} AS value FROM k GROUP BY 1, 2 HAVING sum(w) > 0.000001"""
 
 
-_CUBIC = "(CASE WHEN {t} <= 1 THEN 1.5 * {t} ** 3 - 2.5 * {t} ** 2 + 1 WHEN {t} < 2 THEN -0.5 * {t} ** 3 + 2.5 * {t} ** 2 - 4 * {t} + 2 ELSE 0 END)"
-_SPLINE = "(CASE WHEN {t} < 1 THEN 2.0 / 3.0 - {t} ** 2 + 0.5 * {t} ** 3 WHEN {t} < 2 THEN (2 - {t}) ** 3 / 6.0 ELSE 0 END)"
+_CUBIC = "(CASE WHEN {t} <= 1 THEN 1.5 * {t} * {t} * {t} - 2.5 * {t} * {t} + 1 WHEN {t} < 2 THEN -0.5 * {t} * {t} * {t} + 2.5 * {t} * {t} - 4 * {t} + 2 ELSE 0 END)"
+_SPLINE = "(CASE WHEN {t} < 1 THEN 2.0 / 3.0 - {t} * {t} + 0.5 * {t} * {t} * {t} WHEN {t} < 2 THEN (2 - {t}) * (2 - {t}) * (2 - {t}) / 6.0 ELSE 0 END)"
 _LANCZOS = "(CASE WHEN {t} < 1e-9 THEN 1 WHEN {t} < 3 THEN 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t}) ** 2 ELSE 0 END)"
 
 
@@ -414,7 +419,7 @@ _CONVERGENCE = f""", s AS (SELECT row, col, {{aspect}} AS aspect FROM g WHERE e
 
 
 def _tpi_sql(radius):
-    return f"""SELECT a.row, a.col, any_value(a.z) - avg(b.z) AS t FROM dem a JOIN (SELECT row - dr AS jr, col - dc AS jc, z FROM dem, (SELECT unnest(range(-{radius}, {radius + 1})) AS dr), (SELECT unnest(range(-{radius}, {radius + 1})) AS dc)
+    return f"""SELECT a.row, a.col, round(any_value(a.z) - avg(b.z), 10) AS t FROM dem a JOIN (SELECT row - dr AS jr, col - dc AS jc, z FROM dem, (SELECT unnest(range(-{radius}, {radius + 1})) AS dr), (SELECT unnest(range(-{radius}, {radius + 1})) AS dc)
       WHERE dr * dr + dc * dc BETWEEN 1 AND {radius * radius}) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col"""
 
 
@@ -451,10 +456,10 @@ ORACLES = {
       (SELECT row + dr AS jr, col + dc AS jc, b4 FROM cells, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc)) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col, a.b4"""),
     "resample_near": with_inputs("cells", "WITH g AS (SELECT DISTINCT CAST(floor(row / 2.5) AS INTEGER) AS r, CAST(floor(col / 2.5) AS INTEGER) AS c FROM cells) SELECT r, c, b1 AS value FROM g JOIN cells ON row = floor((r + 0.5) * 2.5) AND col = floor((c + 0.5) * 2.5)"),
     "resample_sum": with_inputs("cells", "SELECT CAST(floor(row / 4) AS INTEGER) AS r, CAST(floor(col / 4) AS INTEGER) AS c, round(sum(b1), 6) AS value, count(b1) AS n_cells FROM cells GROUP BY 1, 2"),
-    "resample_bilinear": with_inputs("cells", """WITH g AS (SELECT DISTINCT CAST(floor(row / 2.5) AS INTEGER) AS r, CAST(floor(col / 2.5) AS INTEGER) AS c FROM cells),
+    "resample_bilinear": with_inputs("cells", f"""WITH g AS (SELECT DISTINCT CAST(floor(row / 2.5) AS INTEGER) AS r, CAST(floor(col / 2.5) AS INTEGER) AS c FROM cells),
       a AS (SELECT *, (r + 0.5) * 2.5 - 0.5 AS u, (c + 0.5) * 2.5 - 0.5 AS v FROM g), k AS (SELECT *, (1 - abs(u - row)) * (1 - abs(v - col)) AS w FROM a
       CROSS JOIN (SELECT unnest([0, 1]) AS dr) CROSS JOIN (SELECT unnest([0, 1]) AS dc) JOIN cells ON row = floor(u) + dr AND col = floor(v) + dc)
-      SELECT r, c, round(sum(w * b1) / sum(w), 6) AS value FROM k GROUP BY 1, 2 HAVING sum(w) > 0"""),
+      SELECT r, c, {_half_up_sql("round(sum(w * b1) / sum(w), 10)")} AS value FROM k GROUP BY 1, 2 HAVING sum(w) > 0"""),
     "resample_cubic": with_inputs("cells", _kernel_sql(_CUBIC, 2)),
     "resample_cubicspline": with_inputs("cells", _kernel_sql(_SPLINE, 2)),
     "resample_lanczos": with_inputs("cells", _kernel_sql(_LANCZOS, 3)),
@@ -503,7 +508,7 @@ ORACLES = {
     "slope_aspect": with_inputs("cells", _WIN + f" SELECT row, col, round({_SLOPE}, 4) AS slope, round({_ASPECT}, 4) AS aspect FROM g"),
     "tri": with_inputs("cells", _WIN + " SELECT row, col, round(sqrt(" + " + ".join(f"(z{k} - z5) ** 2" for k in (1, 2, 3, 4, 6, 7, 8, 9)) + "), 8) AS tri FROM w"),
     "tpi": with_inputs("cells", """WITH dem AS (SELECT CAST(floor(row / 5) AS INTEGER) AS row, CAST(floor(col / 5) AS INTEGER) AS col, max(b1) * 100 + max(b2) + min(b3) AS z FROM cells GROUP BY 1, 2), o AS (SELECT dr, dc FROM (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) WHERE dr * dr + dc * dc BETWEEN 1 AND 4)
-      SELECT row, col, CASE WHEN abs(t) < 1e9 THEN floor(t * 1e6 + 0.5) / 1e6 ELSE t END + 0.0 AS tpi FROM (SELECT a.row, a.col, any_value(a.z) - avg(b.z) AS t FROM dem a JOIN (SELECT row + dr AS jr, col + dc AS jc, z FROM dem, o) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col)"""),
+      SELECT row, col, CASE WHEN abs(t) < 1e9 THEN floor(t * 1e6 + 0.5) / 1e6 ELSE t END + 0.0 AS tpi FROM (SELECT a.row, a.col, round(any_value(a.z) - avg(b.z), 10) AS t FROM dem a JOIN (SELECT row + dr AS jr, col + dc AS jc, z FROM dem, o) b ON b.jr = a.row AND b.jc = a.col GROUP BY a.row, a.col)"""),
     "surface_area": with_inputs("cells", _WIN + " SELECT row, col, round(900.0 * sqrt(1 + e * e + n * n), 4) AS surface_area FROM g"),
     "dah": with_inputs("cells", _WIN + f" SELECT row, col, round(cos(radians(202.5 - coalesce({_ASPECT}, 0))) * radians({_SLOPE}), 5) + 0.0 AS dah FROM g"),
 }

@@ -182,9 +182,9 @@ def test_boundary_points_count_twice(spark):
     assert out == {"p": 1, "q": 1, None: 1}
 
 
-def test_even_window_is_refused():
+def test_even_window_is_refused(spark):
     with pytest.raises(ValueError):
-        cells.window_offsets(4)
+        cells.focal_fill(spark.createDataFrame([(0, 0, 1.0)], "row int, col int, v double"), "v", 4)
 
 
 def test_zero_denominators_are_null(spark):
