@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_ratio
+from . import lattice
 
 Ranges = Mapping[str, tuple[float, float]]
 #: Combinations beyond this number are refused.
@@ -113,11 +114,6 @@ def attr_combinations(
     return combos.withColumn("combo_id", F.row_number().over(order)).drop("places")
 
 
-def containing(masks: DataFrame, combos: DataFrame) -> DataFrame:
-    """Masks joined to the combinations they contain, of which there are at most ``COMBINATION_LIMIT``."""
-    return masks.join(F.broadcast(combos), F.col("mask").bitwiseAND(F.col("combo_mask")) == F.col("combo_mask"))
-
-
 def combo_summary(
     spark: SparkSession, df: DataFrame, attrs: Sequence[str], unit: str | None = None, depth: Column | None = None,
     weights: Mapping[str, float] | None = None, min_size: int = 2, required: Sequence[str] = (), ranges: Ranges | None = None,
@@ -132,12 +128,13 @@ def combo_summary(
     extra = ([unit] if unit else []) + (["depth_class"] if depth is not None else [])
     seen = mask_counts(data, attrs, extra, ranges)
     key = ["combo_id"]
-    rows = containing(seen.groupBy("mask").agg(F.sum("n").alias("n")), combos).groupBy(key).agg(F.sum("n").alias("n_rows_complete"))
+    reached = lambda counts, name: counts.join(combos.select(*key, "combo_mask"), "combo_mask").select(*key, F.col("n").alias(name))
+    rows = reached(lattice.superset_sums(seen.select("mask", "n"), combos, len(attrs)), "n_rows_complete")
     total = seen.agg(F.sum("n").alias("total_rows"), *([F.count_distinct(unit).alias("total_units")] if unit else []))
     out = combos.join(F.broadcast(total)).join(rows, key, "left").withColumn("n_rows_complete", F.coalesce("n_rows_complete", F.lit(0)))
     if unit:
-        units = containing(seen.where(F.col(unit).isNotNull()).select("mask", unit).distinct(), combos)
-        out = out.join(units.groupBy(key).agg(F.count_distinct(unit).alias("n_units_complete")), key, "left")
+        units = lattice.superset_units(seen.where(F.col(unit).isNotNull()), combos, len(attrs), unit)
+        out = out.join(reached(units, "n_units_complete"), key, "left")
         out = out.withColumn("n_units_complete", F.coalesce("n_units_complete", F.lit(0)))
         out = out.withColumn("pct_units_complete", safe_ratio(F.col("n_units_complete"), F.col("total_units")))
     if more_units:
@@ -145,8 +142,8 @@ def combo_summary(
         mean = shares.groupBy(key).agg((F.sum("pct_units_complete") / (len(more_units) + bool(unit))).alias("mean_pct_units"))
         out = out.join(mean, key, "left").withColumn("mean_pct_units", F.coalesce("mean_pct_units", F.lit(0.0)))
     if depth is not None:
-        depths = containing(seen.where("depth_class is not null").select("mask", "depth_class").distinct(), combos)
-        out = out.join(depths.groupBy(key).agg(F.count_distinct("depth_class").alias("n_depth_classes_complete")), key, "left")
+        depths = lattice.superset_units(seen.where("depth_class is not null"), combos, len(attrs), "depth_class")
+        out = out.join(reached(depths, "n_depth_classes_complete"), key, "left")
         out = out.withColumn("n_depth_classes_complete", F.coalesce("n_depth_classes_complete", F.lit(0)))
     n = F.col("n_rows_complete")
     represents = F.log1p(n)
@@ -302,8 +299,10 @@ def depth_completeness(df: DataFrame, attrs: Sequence[str], combos: DataFrame, d
     """Complete rows of each combination and depth class, and their share of the class."""
     seen = mask_counts(df.withColumn("depth_class", depth).where("depth_class is not null"), attrs, ["depth_class"])
     totals = seen.groupBy("depth_class").agg(F.sum("n").alias("n_rows_depth_total"))
-    keys = ["combo_id", "n_attributes", "attributes", "depth_class"]
-    out = containing(seen, combos).groupBy(*keys).agg(F.sum("n").alias("n_rows_complete")).join(F.broadcast(totals), "depth_class")
+    sums = lattice.superset_sums(seen, combos, len(attrs), ["depth_class"]).withColumnRenamed("n", "n_rows_complete")
+    named = combos.select("combo_id", "n_attributes", "attributes", "combo_mask")
+    out = sums.join(named, "combo_mask").drop("combo_mask").join(totals, "depth_class")
+    out = out.select("combo_id", "n_attributes", "attributes", "depth_class", "n_rows_complete", "n_rows_depth_total")
     return out.withColumn("pct_rows_complete_within_depth", safe_ratio(F.col("n_rows_complete"), F.col("n_rows_depth_total")))
 
 
@@ -313,15 +312,18 @@ def unit_completeness(df: DataFrame, attrs: Sequence[str], combos: DataFrame, un
     long = masked.select("mask", F.explode(F.array(*[F.struct(F.lit(u).alias("unit_col"), F.col(u).alias("unit")) for u in units])).alias("u"))
     seen = long.select("mask", "u.*").where("unit is not null").distinct()
     total = seen.groupBy("unit_col").agg(F.count_distinct("unit").alias("n_units_total"))
-    keys = ["combo_id", "n_attributes", "attributes", "unit_col"]
-    out = containing(seen, combos).groupBy(*keys).agg(F.count_distinct("unit").alias("n_units_complete")).join(F.broadcast(total), "unit_col")
+    counts = lattice.superset_units(seen, combos, len(attrs), "unit", ["unit_col"]).withColumnRenamed("n", "n_units_complete")
+    named = combos.select("combo_id", "n_attributes", "attributes", "combo_mask")
+    out = counts.join(named, "combo_mask").join(total, "unit_col")
+    out = out.select("combo_id", "n_attributes", "attributes", "unit_col", "n_units_complete", "n_units_total")
     return out.withColumn("pct_units_complete", safe_ratio(F.col("n_units_complete"), F.col("n_units_total")))
 
 
 def selected_data(df: DataFrame, attrs: Sequence[str], chosen: DataFrame) -> DataFrame:
     """Rows that are complete for a chosen combination (one row with combo_mask)."""
-    masked = df.withColumn("mask", availability_mask(attrs))
-    return containing(masked, chosen.select("combo_mask")).drop("mask", "combo_mask")
+    holds = F.col("mask").bitwiseAND(F.col("combo_mask")) == F.col("combo_mask")
+    one = df.withColumn("mask", availability_mask(attrs)).crossJoin(chosen.select("combo_mask"))
+    return one.where(holds).drop("mask", "combo_mask")
 
 
 def selected_summary(df: DataFrame, attrs: Sequence[str], chosen: DataFrame, unit: str, depth: Column) -> DataFrame:
