@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,8 +40,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset, below a folder made here."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new path below spark.checkpoint.dir; where that is unset, below a folder made here, but only on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -66,8 +73,12 @@ def worker_holds(key: tuple, make: Callable):
 
 
 def release() -> None:
-    """Drops what this worker holds, before work that needs the memory."""
+    """Drops what this worker holds, and gives freed memory back to the system: idle workers stay for the next task."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def remainder(doc_id: Column, mod: int) -> Column:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, components, local_components, materialize, mix64, tune, worker_holds
+from .common import LOWER_TABLE, components, local_components, materialize, mix64, release, tune
 
 SKETCH_BITS = 1024
 #: Pairs whose estimate is this far below the threshold are not checked: eight standard deviations of 180
@@ -64,6 +64,8 @@ class NearParams:
 DEFAULT = NearParams()
 #: Sets of a chunk; ids up to which a list of candidates is broadcast rather than shuffled.
 CHUNK, BROADCAST_ROWS = 512, 1_000_000
+#: Words whose hashes a task remembers.
+WORDS = 100_000
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -87,7 +89,7 @@ class WordHashes(dict):
     """Hash of each word, remembered; starts anew when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -114,8 +116,8 @@ def samples(shingles: np.ndarray, params: NearParams = DEFAULT) -> np.ndarray:
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     multiply, add, _ = _draws(params)
     least = np.full(params.samples, np.uint32(0xFFFFFFFF))
-    for at in range(0, len(low), 4096):
-        part = low[at : at + 4096]
+    for at in range(0, len(low), 1024):
+        part = low[at : at + 1024]
         np.minimum(least, (multiply[:, None] * part + add[:, None]).min(1), out=least)
     return least
 
@@ -155,7 +157,7 @@ def sketch_documents(docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame
     )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_holds(("words",), WordHashes)
+        words = WordHashes()
         for batch in batches:
             ids, texts, hashes = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             n, k1, k2, bands, sketches = [], [], [], [], []
@@ -170,6 +172,7 @@ def sketch_documents(docs: DataFrame, params: NearParams = DEFAULT) -> DataFrame
                     k1.append(None), k2.append(None), bands.append(None), sketches.append(None)
             made = [pa.array(v, f.type) for v, f in zip((n, k1, k2, bands, sketches), list(schema)[2:], strict=True)]
             yield pa.record_batch([ids, hashes, *made], schema=schema)
+        release()
 
     return rows_of(docs).mapInArrow(sketch, _BASE)
 
@@ -183,9 +186,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, shingle: int = DE
 
     @F.pandas_udf("binary")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = worker_holds(("words",), WordHashes)
+        words = WordHashes()
         for t in batches:
             yield pd.Series([s.tobytes() for s in shingle_sets(list(t), words, shingle)], dtype=object)
+        release()
 
     return picked.select("node", shingles("raw").alias("shingles"))
 
