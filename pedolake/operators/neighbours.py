@@ -7,8 +7,10 @@ rows (equal rows are dealt over several), and their list, of at most some ten th
 sent to every task.
 
 A query first meets the blocks that can be nearest, which gives it a distance that its k-th neighbour cannot
-exceed; then it meets only the blocks that may hold nearer rows. Queries travel to the blocks in packs; a block
-that many queries look for is held by several tasks. Distances of what is kept are taken from differences.
+exceed; then it meets only the blocks that may hold nearer rows. A task holds a group of blocks whose pivots follow
+each other along their widest direction; queries travel to a group once, in packs, with the blocks of it that they
+want. A group that many queries look for is held by several tasks. Distances of what is kept are taken from
+differences. Where nothing can be pruned, all pairs are looked at, in slabs of bounded size.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ from pyspark.sql import functions as F
 from ..functions.scratch import written
 
 #: Pivots at most, rows of a block at least aimed at, blocks of a table, marks by which a pivot's rows are cut,
-#: queries that one holder of a block serves, and blocks that a query meets at first.
+#: queries that one holder of a group serves, and blocks that a query meets at first.
 PIVOTS, BLOCK, BLOCKS, MARKS, SERVED, FIRST = 1024, 2048, 32_768, 64, 65_536, 4
+#: Rows of a group, queries and rows that are compared at once, and bounds that a task holds at once.
+GROUP, QUERIES, SLAB, HELD = 32_768, 512, 2048, 1 << 20
 #: Relative slack of bounds against rounding.
 SLACK = 1e-9
-_FIELDS = ["block", "kind", "rows", "ids", "folds", "z", "limits"]
-_PACK = "block long, kind int, rows binary, ids binary, folds binary, z binary, limits binary"
+_FIELDS = ["block", "kind", "rows", "ids", "folds", "z", "limits", "wants"]
+_PACK = "block long, kind int, rows binary, ids binary, folds binary, z binary, limits binary, wants binary"
 
 
 def gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -42,13 +46,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _packs(block: np.ndarray, kind: int, rows, ids, folds, z, limits) -> pa.RecordBatch:
+def _packs(block: np.ndarray, kind: int, rows, ids, folds, z, limits, wants) -> pa.RecordBatch:
     """One row for each block of what belongs to it."""
     order = np.argsort(block, kind="stable")
     block = block[order]
     cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     ends = np.r_[cuts[1:], len(block)]
-    columns = [np.ascontiguousarray(x[order]) for x in (rows, ids, folds, z, limits)]
+    columns = [np.ascontiguousarray(x[order]) for x in (rows, ids, folds, z, limits, wants)]
     made = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for c in columns]
     return pa.record_batch([pa.array(block[cuts].astype(np.int64)), pa.array(np.full(len(cuts), kind, np.int32)), *made], names=_FIELDS)
 
@@ -65,6 +69,7 @@ class Blocks:
     n: np.ndarray
     fold_low: np.ndarray
     fold_high: np.ndarray
+    group: np.ndarray
 
     def bounds(self, z: np.ndarray, folds: np.ndarray, other_fold: bool) -> np.ndarray:
         """Least possible distance of each query to each block's rows; infinite where all rows are of its own fold."""
@@ -101,6 +106,8 @@ def blocks_of(train: DataFrame, other_fold: bool = False, block_rows: int = BLOC
     most = min(PIVOTS, int(np.ceil(2 * np.sqrt(n))))
     pivots = np.array([r["z"] for r in rows.select("z", F.xxhash64("id", "z").alias("h")).orderBy("h").limit(most).collect()], float)
     pivots = np.unique(pivots, axis=0)
+    middle = pivots - pivots.mean(0)
+    pivots = pivots[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0])]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,12 +136,14 @@ def blocks_of(train: DataFrame, other_fold: bool = False, block_rows: int = BLOC
         for batch in batches:
             if batch.num_rows:
                 block, ids, folds, z = batch.column("block").to_numpy(), batch.column("id").to_numpy(), batch.column("fold").to_numpy(), _matrix(batch.column("z"))
-                yield _packs(block, 0, ids, ids, folds, z, np.zeros(len(ids)))
+                yield _packs(block, 0, ids, ids, folds, z, np.zeros(len(ids)), np.zeros(len(ids), np.uint8))
 
     numbered = dealt.withColumn("ring", F.col("ring").cast("long")).join(numbers, ["pivot", "ring", "part"]).select("block", "id", "fold", "z")
     packs = written(numbered.mapInArrow(pack, _PACK), "blocks")
     column = lambda name, kind=float: np.array([r[name] for r in listed], kind)
-    return Blocks(packs, pivots, column("pivot", int), column("low"), column("high"), column("n", int), column("a", np.int64), column("b", np.int64))
+    sizes, aim = column("n", int), min(GROUP, max(-(-n // rows.sparkSession.sparkContext.defaultParallelism), SLAB))
+    group = np.cumsum(sizes) // aim
+    return Blocks(packs, pivots, column("pivot", int), column("low"), column("high"), sizes, column("a", np.int64), column("b", np.int64), np.unique(group, return_inverse=True)[1])
 
 
 def _unpacked(batch: pa.RecordBatch, i: int, dims: int) -> tuple[np.ndarray, ...]:
@@ -142,48 +151,78 @@ def _unpacked(batch: pa.RecordBatch, i: int, dims: int) -> tuple[np.ndarray, ...
     return raw("rows", np.int64), raw("ids", np.int64), raw("folds", np.int64), raw("z", np.float64).reshape(-1, dims), raw("limits", np.float64)
 
 
-def closest(z, ids, folds, limits, y, y_ids, y_folds, k: int, other_fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, distance, id) of up to k nearest rows of y within each query's limit, nearest first, ties by id."""
-    d = gaps(z, y)
-    d[(y_folds == folds[:, None]) if other_fold else (y_ids == ids[:, None])] = np.inf
-    if k < d.shape[1]:
-        limits = np.minimum(limits, np.partition(d, k - 1, axis=1)[:, k - 1])
-    size = np.sqrt(np.maximum((z * z).sum(1), (y * y).sum(1).max(initial=0)))
-    i, j = np.nonzero(d <= (limits + 1e-7 * (1 + size))[:, None])  # products may be off by that
-    i, j = (x[np.isfinite(d[i, j])] for x in (i, j))
-    exact = np.sqrt(((z[i] - y[j]) ** 2).sum(1))
-    order = np.lexsort((y_ids[j], exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return i[kept], exact[kept], y_ids[j][kept]
+class Nearest:
+    """The k nearest rows found so far of each query of a pack, within its limit, nearest first, ties by id."""
+
+    def __init__(self, z, ids, folds, limits, k: int, other_fold: bool):
+        self.z, self.ids, self.folds, self.limits, self.k, self.other_fold = z, ids, folds, limits.copy(), k, other_fold
+        self.q, self.d, self.near = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def meet(self, at: np.ndarray, y, y_ids, y_folds) -> None:
+        """The queries at these places meet rows."""
+        z, k = self.z[at], self.k
+        d = gaps(z, y)
+        d[(y_folds == self.folds[at][:, None]) if self.other_fold else (y_ids == self.ids[at][:, None])] = np.inf
+        limits = self.limits[at]
+        if k < d.shape[1]:
+            limits = np.minimum(limits, np.partition(d, k - 1, axis=1)[:, k - 1])
+        size = np.sqrt(np.maximum((z * z).sum(1), (y * y).sum(1).max(initial=0)))
+        i, j = np.nonzero(d <= (limits + 1e-7 * (1 + size))[:, None])  # products may be off by that
+        i, j = (x[np.isfinite(d[i, j])] for x in (i, j))
+        q = np.concatenate((self.q, at[i]))
+        exact = np.concatenate((self.d, np.sqrt(((z[i] - y[j]) ** 2).sum(1))))
+        near = np.concatenate((self.near, y_ids[j]))
+        order = np.lexsort((near, exact, q))
+        q, exact, near = q[order], exact[order], near[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        full = rank == k - 1
+        self.limits[q[full]] = np.minimum(self.limits[q[full]], exact[full])
+        self.q, self.d, self.near = q[rank < k], exact[rank < k], near[rank < k]
 
 
 def _search(blocks: Blocks, packs: DataFrame, k: int, other_fold: bool) -> DataFrame:
-    """Packs of queries meet their blocks: (row, near: its k nearest there, looked: rows compared)."""
-    dims = blocks.pivots.shape[1]
-    packs = written(packs, "queries")
-    wanted = packs.groupBy("block").agg(F.sum(F.length("rows") / 8).alias("q")).select("block", F.greatest(F.lit(1), F.ceil(F.col("q") / SERVED)).cast("int").alias("holders"))
-    held = blocks.packs.join(wanted, "block").withColumn("holder", F.explode(F.sequence(F.lit(0), F.col("holders") - 1)))
-    asked = packs.join(wanted, "block").withColumn("holder", F.pmod(F.xxhash64("rows"), F.col("holders")).cast("int"))
-    both = held.unionByName(asked).drop("holders").repartition("block", "holder").sortWithinPartitions("block", "holder", "kind")
+    """Packs of queries meet their groups: (row, near: its k nearest there, looked: rows compared)."""
+    spark, dims, n_groups = packs.sparkSession, blocks.pivots.shape[1], int(blocks.group.max()) + 1
+    packs = written(packs.withColumnRenamed("block", "group"), "queries")
+    wanted = packs.groupBy("group").agg(F.sum(F.length("rows") / 8).alias("q")).select("group", F.greatest(F.lit(1), F.ceil(F.col("q") / SERVED)).cast("int").alias("holders"))
+    grouped = spark.createDataFrame([(i, int(g)) for i, g in enumerate(blocks.group)], "block long, group long")
+    held = blocks.packs.join(grouped, "block").join(wanted, "group").withColumn("holder", F.explode(F.sequence(F.lit(0), F.col("holders") - 1)))
+    asked = packs.withColumn("block", F.lit(0).cast("long")).join(wanted, "group").withColumn("holder", F.pmod(F.xxhash64("rows"), F.col("holders")).cast("int"))
+    both = held.drop("holders").unionByName(asked.drop("holders")).repartition(n_groups, "group", "holder").sortWithinPartitions("group", "holder", "kind", "block")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, own = None, [], None
+        at, parts, own, starts = None, [], None, None
         for batch in batches:
-            for i, (block, holder, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "holder", "kind")), strict=True)):
-                if (block, holder) != at:
-                    at, parts, own = (block, holder), [], None
+            for i, (group, holder, kind, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("group", "holder", "kind", "block")), strict=True)):
+                if (group, holder) != at:
+                    at, parts, own = (group, holder), [], None
                 if kind == 0:
-                    parts.append(_unpacked(batch, i, dims)[1:4])
+                    parts.append((block, *_unpacked(batch, i, dims)[1:4]))
                     continue
-                own = own or [np.concatenate(x) for x in zip(*parts, strict=True)]
+                if own is None:
+                    numbers = np.concatenate([np.full(len(x[1]), x[0]) for x in parts])  # rising
+                    own = [np.concatenate(x) for x in list(zip(*parts, strict=True))[1:]]
+                    starts = np.append(np.searchsorted(numbers, np.unique(numbers)), len(numbers))
                 rows, ids, folds, z, limits = _unpacked(batch, i, dims)
-                for a in range(0, len(rows), 512):
-                    s = slice(a, a + 512)
-                    q, d, near = closest(z[s], ids[s], folds[s], limits[s], own[2], own[0], own[1], k, other_fold)
-                    cuts = np.searchsorted(q, np.arange(len(rows[s]) + 1)).astype(np.int32)
-                    structs = pa.StructArray.from_arrays([pa.array(d), pa.array(near)], names=["d", "id"])
-                    yield pa.record_batch([pa.array(rows[s]), pa.ListArray.from_arrays(cuts, structs), pa.array(np.full(len(rows[s]), len(own[0])))], names=["row", "near", "looked"])
+                wants = np.unpackbits(np.frombuffer(batch.column("wants")[i].as_buffer(), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(starts) - 1].astype(bool)
+                for a in range(0, len(rows), QUERIES):
+                    s = slice(a, a + QUERIES)
+                    best, looked = Nearest(z[s], ids[s], folds[s], limits[s], k, other_fold), np.zeros(len(rows[s]), np.int64)
+                    if wants[s].mean() > 0.3:  # so many that whole slabs are quicker
+                        some = np.arange(len(rows[s]))
+                        for lo in range(0, len(own[0]), SLAB):
+                            best.meet(some, own[2][lo : lo + SLAB], own[0][lo : lo + SLAB], own[1][lo : lo + SLAB])
+                        looked += len(own[0])
+                    else:
+                        for b in np.flatnonzero(wants[s].any(0)):
+                            some = np.flatnonzero(wants[s][:, b])
+                            for lo in range(starts[b], starts[b + 1], SLAB):
+                                hi = min(lo + SLAB, starts[b + 1])
+                                best.meet(some, own[2][lo:hi], own[0][lo:hi], own[1][lo:hi])
+                            looked[some] += starts[b + 1] - starts[b]
+                    cuts = np.searchsorted(best.q, np.arange(len(rows[s]) + 1)).astype(np.int32)
+                    structs = pa.StructArray.from_arrays([pa.array(best.d), pa.array(best.near)], names=["d", "id"])
+                    yield pa.record_batch([pa.array(rows[s]), pa.ListArray.from_arrays(cuts, structs), pa.array(looked)], names=["row", "near", "looked"])
 
     return both.mapInArrow(meet, "row long, near array<struct<d:double,id:long>>, looked long")
 
@@ -202,22 +241,26 @@ def nearest(rows: DataFrame, train: DataFrame, k: int = 1, other_fold: bool = Fa
     fold = F.xxhash64("fold") if other_fold else F.lit(0).cast("long")
     asking = rows.where("z is not null").select(F.col("__row").alias("row"), F.coalesce(F.col("vec_id").cast("long"), F.lit(np.iinfo(np.int64).min)).alias("id"), fold.alias("fold"), "z")
     tasks = blocks.packs.sparkSession.sparkContext.defaultParallelism
-    sent = asking.repartition(tasks) if asking.rdd.getNumPartitions() < tasks else asking
-    light = Blocks(None, *[getattr(blocks, x) for x in ("pivots", "pivot", "low", "high", "n", "fold_low", "fold_high")])
+    sent = asking.repartition(tasks)
+    light = Blocks(None, *[getattr(blocks, x) for x in ("pivots", "pivot", "low", "high", "n", "fold_low", "fold_high", "group")])
+    cuts = np.append(np.searchsorted(light.group, np.unique(light.group)), len(light.group))
+    at_once = max(16, min(1024, HELD // len(light.group)))
 
     def send(again: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
+                for a in range(0, batch.num_rows, at_once):
+                    part = batch.slice(a, at_once)
                     row, ids, folds = (part.column(c).to_numpy() for c in ("row", "id", "fold"))
                     z = _matrix(part.column("z"))
                     least = light.bounds(z, folds, other_fold)
                     first = light.nearest(least, k)
                     limits = part.column("reach").to_numpy() if again else np.full(len(row), np.inf)
-                    q, block = np.nonzero((least <= limits[:, None]) & np.isfinite(least) & ~first if again else first)
-                    if len(q):
-                        yield _packs(block, 1, row[q], ids[q], folds[q], z[q], limits[q])
+                    want = (least <= limits[:, None]) & np.isfinite(least) & ~first if again else first
+                    for g, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        q = np.flatnonzero(want[:, lo:hi].any(1))
+                        if len(q):
+                            yield _packs(np.full(len(q), g), 1, row[q], ids[q], folds[q], z[q], limits[q], np.packbits(want[q, lo:hi], axis=1))
 
         return run
 
@@ -247,7 +290,7 @@ def distance_totals(train: DataFrame, group_rows: int = 32_768) -> DataFrame:
                     part = batch.slice(a, 1024)
                     row, ids, z = part.column("row").to_numpy(), part.column("id").to_numpy(), _matrix(part.column("z"))
                     block = row % groups if kind == 0 else np.zeros(len(row), np.int64)
-                    yield _packs(block, kind, row, ids, np.zeros(len(row), np.int64), z, np.zeros(len(row)))
+                    yield _packs(block, kind, row, ids, np.zeros(len(row), np.int64), z, np.zeros(len(row)), np.zeros(len(row), np.uint8))
 
         return run
 
