@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
+
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, keep_all: bool = True) -> DataFrame:
     """Points with each box (poly_id, class_name, xmin ... ymax) that holds them, bounds included.
@@ -21,7 +23,8 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keep_all: bool = True)
     bucket = lambda c: F.floor(F.col(c) / side)
     spread = sized.withColumn("bx", F.explode(F.sequence(bucket("xmin"), bucket("xmax"))))
     spread = spread.withColumn("by", F.explode(F.sequence(bucket("ymin"), bucket("ymax"))))
-    placed = points.withColumn("__point", F.monotonically_increasing_id()) if keep_all else points
+    # numbers are written: made twice, they could differ
+    placed = written(points.withColumn("__point", F.monotonically_increasing_id()), "points") if keep_all else points
     looked = placed.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
     looked = looked.withColumn("bx", bucket("x")).withColumn("by", bucket("y"))
     inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import rounded
 from ..functions.scratch import scratch_path
-from ..operators import aoa, profiles, scoring, spatial
+from ..operators import aoa, polygons, profiles, scoring, spatial
 from ..sources import catalog, tabular
 from .fixtures import derived, table, with_inputs
 
@@ -114,6 +114,27 @@ def points_to_class_no_na(spark, d):
     return spatial.points_to_class(derived(spark, d, "points"), derived(spark, d, "polygons"), na=False)
 
 
+def _parcels(spark, d):
+    """Parcels side by side, which share their borders: a rectangle with a hole, and a triangle as a second part."""
+    x, h = F.col("xmin"), F.col("ymax")
+    ring = lambda *at: F.array(*[F.struct((x + a).alias("x"), F.lit(b).cast("double").alias("y") if isinstance(b, (int, float)) else b.alias("y")) for a, b in at])
+    rings = F.array(ring((0, 0), (5, 0), (5, h), (0, h)), ring((2.5, 8), (4.5, 10), (2.5, 12), (0.5, 10)), ring((0, 200), (5, 200), (2.5, 300)))
+    return derived(spark, d, "polygons").select("poly_id", "class_name", rings.alias("rings"))
+
+
+def _sites(spark, d):
+    """Points whose coordinates are whole or half numbers, so that many lie on a border."""
+    return derived(spark, d, "points").select("point_id", (F.col("x") - 0.5).alias("x"), (F.floor(F.col("y") * 2) / 2).alias("y"))
+
+
+def rings_to_class(spark, d):
+    return polygons.points_to_class(_sites(spark, d), _parcels(spark, d))
+
+
+def points_in_rings(spark, d):
+    return polygons.points_in_polygons(_sites(spark, d), _parcels(spark, d), keep_all=False).select("point_id", "poly_id")
+
+
 def points_in_polygon(spark, d):
     p = derived(spark, d, "polygons")
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
@@ -282,6 +303,10 @@ _SHAP = "WITH c AS (SELECT CAST(row AS BIGINT) * 100000 + col AS cell_id, b1, b2
     f"SELECT cell_id, 'b{k}' AS feature, {w} * (b{k} - m{k}) AS phi, 2.0 * b1 - 1.5 * b2 + 3.0 * b3 AS score FROM c, mu" for k, w in ((1, 2.0), (2, -1.5), (3, 3.0))
 ) + ")"
 
+_PARCELS = """WITH s AS (SELECT point_id, x - 0.5 AS x, floor(y * 2) / 2 AS y FROM points),
+  m AS (SELECT point_id, poly_id, class_name FROM s JOIN polygons ON (x BETWEEN xmin AND xmin + 5 AND y BETWEEN 0 AND ymax AND abs(x - xmin - 2.5) + abs(y - 10) >= 2)
+    OR (y BETWEEN 200 AND 300 AND abs(x - xmin - 2.5) * 40 <= 300 - y))"""
+
 ORACLES = {
     "csv2_roundtrip": with_inputs("soil", "SELECT row_id, c_gkg, sand_gkg, p_mgkg FROM soil"),
     "csv_roundtrip": "SELECT p_partkey, p_brand, p_size FROM part",
@@ -301,6 +326,8 @@ ORACLES = {
     "resume_conflicts": with_inputs("predobs", _REQ + " SELECT run, model, 'k' AS field, CAST(run + 5 AS VARCHAR) AS was, '7' AS now FROM rq WHERE run + 5 <> 7 UNION ALL SELECT run, model, 'metric', 'r2', 'mqi' FROM rq WHERE run = 3"),
     "points_to_class": with_inputs("points polygons", "SELECT class_name, count(*) AS n_points FROM points LEFT JOIN polygons ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax GROUP BY 1"),
     "points_to_class_no_na": with_inputs("points polygons", "SELECT class_name, count(*) AS n_points FROM points JOIN polygons ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax GROUP BY 1"),
+    "rings_to_class": with_inputs("points polygons", _PARCELS + " SELECT class_name, count(*) AS n_points FROM s LEFT JOIN m ON s.point_id = m.point_id GROUP BY 1"),
+    "points_in_rings": with_inputs("points polygons", _PARCELS + " SELECT point_id, poly_id FROM m"),
     "points_in_polygon": with_inputs("points polygons", "SELECT point_id, poly_id FROM points JOIN polygons ON x > xmin AND y > ymin AND (x - xmin) / (xmax - xmin) + (y - ymin) / (ymax - ymin) < 1"),
     "vector_modal": with_inputs("layers", """WITH u AS (SELECT x, y, unnest([m3, m1, m2]) AS v, unnest([1, 2, 3]) AS k FROM layers), c AS (SELECT x, y, v, count(*) AS n, min(k) AS k FROM u GROUP BY 1, 2, 3)
       SELECT x, y, v AS modal FROM c QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY n DESC, k) = 1"""),
@@ -331,7 +358,7 @@ ORACLES = {
 
 QUERIES = [
     csv2_roundtrip, csv_roundtrip, text_export, layer_outputs, catalog_links, detect_dataset_ids, invalid_ids, manifest_status, manifest_summary, uri_mapping,
-    pending_work, resume_pending, resume_conflicts, points_to_class, points_to_class_no_na, points_in_polygon, vector_modal, vector_variety, aoa_di,
+    pending_work, resume_pending, resume_conflicts, points_to_class, points_to_class_no_na, points_in_polygon, points_in_rings, rings_to_class, vector_modal, vector_variety, aoa_di,
     train_di_threshold, aoa_flag, aoa_lpd, aoa_neighbours, aoa_mahalanobis, aoa_classes, vector_bound, tree_value_functions, depth_weighted_mean, depth_spline, partial_dependence,
     partial_dependence_delta, shapley_linear, shapley_mc, shapley_adjust, tree_value_quantiles,
 ]
