@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
 from ..operators import cells as r
+from ..operators import projections
 from ..operators import tiles as t
 from .fixtures import derived, with_inputs
 
@@ -145,6 +146,22 @@ def reproject_grid(spark, d):
     return r.reproject(spark, layer, DEGREES, TARGET, r.inverse_mercator)
 
 
+#: A grid on the homolosine, over two southern lobes and the gap between them, and one of degrees beneath it.
+LOBES, BENEATH = r.Grid(-4000000.3, -1000000.7, 7331.3, 700, 600), r.Grid(-60.0, -5.0, 0.0301, 2048, 2048)
+
+
+def _beneath(spark, d):
+    return _cells(spark, d).select((F.col("row") % 2048).alias("row"), (F.col("col") * 13 + F.col("row") % 13).alias("col"), F.col("b1").alias("value")).groupBy("row", "col").agg(F.max("value").alias("value"))
+
+
+def reproject_homolosine(spark, d):
+    return r.reproject(spark, _beneath(spark, d), BENEATH, LOBES, projections.inverse_homolosine)
+
+
+def reproject_bilinear(spark, d):
+    return _settled(projections.reproject_bilinear(spark, _beneath(spark, d), BENEATH, LOBES, projections.inverse_homolosine), ["value"])
+
+
 def project_sinusoidal(spark, d):
     x, y = r.sinusoidal(F.col("x") / 100.0 - 15.0, F.col("y") / 1000.0 - 30.0)
     return _cells(spark, d).select("row", "col", rounded(x, 3).alias("sx"), rounded(y, 3).alias("sy"))
@@ -440,6 +457,15 @@ _BALANCED = """WITH RECURSIVE b AS (SELECT min(row) AS lo, max(row) AS hi FROM c
  rng AS (SELECT tile_row, coalesce(lag(high) OVER (ORDER BY tile_row) + 1, (SELECT lo FROM b)) AS low, high FROM ends)
  SELECT CAST(tile_row AS INTEGER) AS tile_row, CAST(low AS INTEGER) AS low, high, CAST((SELECT sum(w) FROM w WHERE row BETWEEN low AND high) AS BIGINT) AS weight FROM rng"""
 
+_LOBES = f"""WITH l AS (SELECT row % 2048 AS row, col * 13 + row % 13 AS col, max(b1) AS value FROM cells GROUP BY 1, 2),
+  t AS (SELECT CAST(floor(i / {LOBES.n_cols}) AS INTEGER) AS r, CAST(i % {LOBES.n_cols} AS INTEGER) AS c FROM (SELECT unnest(range({LOBES.n_rows * LOBES.n_cols})) AS i)),
+  p AS (SELECT r, c, ({LOBES.xmin} + (c + 0.5) * {LOBES.res}) / 6378137.0 AS x, ({LOBES.ymax} - (r + 0.5) * {LOBES.res}) / 6378137.0 AS y FROM t),
+  k AS (SELECT *, CASE WHEN degrees(x) < -100 THEN -160 WHEN degrees(x) < -20 THEN -60 WHEN degrees(x) < 80 THEN 20 ELSE 140 END AS m, asin(least((abs(y) + 0.0528035274542) / sqrt(2), 1)) AS th, abs(y) <= radians(40 + 44 / 60 + 11.8 / 3600) AS low FROM p),
+  g AS (SELECT r, c, m, CASE WHEN low THEN degrees(y) ELSE -degrees(asin((2 * th + sin(2 * th)) / pi())) END AS lat,
+    m + degrees(CASE WHEN low THEN (x - radians(m)) / cos(y) ELSE (x - radians(m)) * pi() / (2 * sqrt(2) * cos(th)) END) AS lon FROM k WHERE y < 0),
+  q AS (SELECT r, c, ({BENEATH.ymax} - lat) / {BENEATH.res} AS u, (lon - ({BENEATH.xmin})) / {BENEATH.res} AS v FROM g
+    WHERE (m = -60 AND lon BETWEEN -100 AND -20) OR (m = 20 AND lon BETWEEN -20 AND 80))"""
+
 ORACLES = {
     "cells_complete": with_inputs("cells", "SELECT row, col, b1, b4 FROM cells WHERE b4 IS NOT NULL"),
     "sentinel_indices": _sent_sql(),
@@ -471,6 +497,10 @@ ORACLES = {
       p AS (SELECT r, c, {TARGET.xmin} + (c + 0.5) * {TARGET.res} AS x, {TARGET.ymax} - (r + 0.5) * {TARGET.res} AS y FROM t),
       q AS (SELECT r, c, floor(({DEGREES.ymax} - (degrees(2 * atan(exp(y / 6378137.0))) - 90.0)) / {DEGREES.res}) AS rr, floor((degrees(x / 6378137.0) - ({DEGREES.xmin})) / {DEGREES.res}) AS cc FROM p)
       SELECT r AS row, c AS col, b1 AS value FROM q JOIN cells ON row % 2048 = rr AND col = cc"""),
+    "reproject_homolosine": with_inputs("cells", _LOBES + " SELECT r AS row, c AS col, value FROM q JOIN l ON l.row = floor(u) AND l.col = floor(v)"),
+    "reproject_bilinear": with_inputs("cells", _LOBES + f""", n AS (SELECT r, c, value, (1 - abs(u - 0.5 - l.row)) * (1 - abs(v - 0.5 - l.col)) AS w FROM q, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)
+      JOIN l ON l.row = floor(u - 0.5) + a AND l.col = floor(v - 0.5) + b)
+      SELECT r AS row, c AS col, {_half_up_sql("round(sum(w * value) / sum(w), 10)")} AS value FROM n GROUP BY 1, 2 HAVING sum(w) > 0"""),
     "project_sinusoidal": with_inputs("cells", """WITH g AS (SELECT row, col, radians(x / 100.0 - 15.0) AS lon, radians(y / 1000.0 - 30.0) AS lat FROM cells)
       SELECT row, col, round(lon * cos(lat) * 6378137.0, 3) + 0.0 AS sx, round(lat * 6378137.0, 3) + 0.0 AS sy FROM g"""),
     "curvatures": with_inputs("cells", _WIN + _curvature_sql()),
@@ -516,7 +546,7 @@ ORACLES = {
 QUERIES = [
     cells_complete, sentinel_indices, landsat_indices, landsat_scaled, thermal_celsius, band_stack, cell_round, dominant_class_max, dominant_class_min,
     ensemble_agreement, focal_fill_mean, resample_near, resample_sum, resample_bilinear, resample_cubic, resample_cubicspline, resample_lanczos,
-    focal_fill_substitute, aligned_layers, reproject_grid, project_sinusoidal, reproject_mercator, crop_mask, uniform_tiles,
+    focal_fill_substitute, aligned_layers, reproject_grid, reproject_homolosine, reproject_bilinear, project_sinusoidal, reproject_mercator, crop_mask, uniform_tiles,
     check_tiles, balanced_row_ranges, balanced_col_ranges, tile_summary, tile_global_summary, tile_polygons, layout_comparison, stack_by_tile,
     bivariate_classes, bivariate_colour_table, grid_extent, value_attribute_table, class_code_join, hillshade, slope_aspect, tri, tpi, surface_area,
     curvatures, vrm, convergence, tpi_landforms, dah,
