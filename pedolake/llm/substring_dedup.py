@@ -27,7 +27,7 @@ unless named in ``carry``, and may have any name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -194,10 +194,19 @@ def coded_blocks(docs: DataFrame, length: int) -> DataFrame:
                 made, held, size = made + 1, [], 0
         if held:
             yield emit()
+        held.clear()
+        release()
 
     return docs.mapInArrow(code, schema)
 
 
+def freed(make: Callable[..., pa.Table], *given) -> pa.Table:
+    """What make gives, after the memory that it took has been given back."""
+    out = make(*given)
+    release()
+    return out
+
+
 def _texts_of(row: pa.Table) -> bytes:
     return zstandard.ZstdDecompressor().decompress(row.column("texts")[0].as_py())
 
@@ -357,8 +366,8 @@ def told_windows(spark: SparkSession, blocks: DataFrame, length: int) -> DataFra
     shard = F.when(hot, -1 - F.abs(F.shiftright(F.xxhash64("pick", salt), 1))).otherwise(F.pmod(F.xxhash64("pick"), F.lit(shards)))
     wanted = spans.join(of_pick, "pick").select("one.block", "one.pair", "pick", "span", shard.cast("long").alias("shard"), hot.alias("hot"))
     raw = wanted.groupBy("block").cogroup(blocks.select("block", "texts", "first", "n", "pair").groupBy("block"))
-    raw = raw.applyInArrow(lambda w, b: span_bytes(b, w, length), "shard long, pick long, span long, hot boolean, raw binary")
-    verdicts = materialize(spark, raw.groupBy("shard").applyInArrow(lambda t: judge(t, length), _VERDICT), "repeats-verdicts")
+    raw = raw.applyInArrow(lambda w, b: freed(span_bytes, b, w, length), "shard long, pick long, span long, hot boolean, raw binary")
+    verdicts = materialize(spark, raw.groupBy("shard").applyInArrow(lambda t: freed(judge, t, length), _VERDICT), "repeats-verdicts")
     classes = verdicts.where("keys is not null").select("pick", "span", F.explode(F.arrays_zip("keys", "at")).alias("x"))
     classes = classes.select("pick", "span", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
     shared = classes.groupBy("pick", "key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
@@ -389,7 +398,7 @@ def remove_repeats(
         .groupBy("block")
         .cogroup(told.groupBy("block"))
         .applyInArrow(
-            lambda b, t: cut_block(b, t, length, names, keep_text),
+            lambda b, t: freed(cut_block, b, t, length, names, keep_text),
             f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, raw binary",
         )
     )
