@@ -147,7 +147,7 @@ def reproject_grid(spark, d):
 
 
 #: A grid on the homolosine, over two southern lobes and the gap between them, and one of degrees beneath it.
-LOBES, BENEATH = r.Grid(-4000000.3, -1000000.7, 7331.3, 700, 600), r.Grid(-60.0, -5.0, 0.0301, 2048, 2048)
+LOBES, BENEATH = r.Grid(-6700000.3, -600000.7, 7331.3, 700, 1000), r.Grid(-60.0, -5.0, 0.0301, 2048, 2048)
 
 
 def _beneath(spark, d):
