@@ -158,11 +158,13 @@ class Nearest:
         self.z, self.ids, self.folds, self.limits, self.k, self.other_fold = z, ids, folds, limits.copy(), k, other_fold
         self.q, self.d, self.near = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
 
-    def meet(self, at: np.ndarray, y, y_ids, y_folds) -> None:
-        """The queries at these places meet rows."""
+    def meet(self, at: np.ndarray, y, y_ids, y_folds, wanted: np.ndarray | None = None) -> None:
+        """The queries at these places meet rows, or those that a matrix of theirs wants."""
         z, k = self.z[at], self.k
         d = gaps(z, y)
         d[(y_folds == self.folds[at][:, None]) if self.other_fold else (y_ids == self.ids[at][:, None])] = np.inf
+        if wanted is not None:
+            d[~wanted] = np.inf
         limits = self.limits[at]
         if k < d.shape[1]:
             limits = np.minimum(limits, np.partition(d, k - 1, axis=1)[:, k - 1])
@@ -209,9 +211,10 @@ def _search(blocks: Blocks, packs: DataFrame, k: int, other_fold: bool) -> DataF
                     s = slice(a, a + QUERIES)
                     best, looked = Nearest(z[s], ids[s], folds[s], limits[s], k, other_fold), np.zeros(len(rows[s]), np.int64)
                     if wants[s].mean() > 0.3:  # so many that whole slabs are quicker
-                        some = np.arange(len(rows[s]))
+                        some, of_block = np.arange(len(rows[s])), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
                         for lo in range(0, len(own[0]), SLAB):
-                            best.meet(some, own[2][lo : lo + SLAB], own[0][lo : lo + SLAB], own[1][lo : lo + SLAB])
+                            part = slice(lo, lo + SLAB)  # blocks that were met before are not wanted again
+                            best.meet(some, own[2][part], own[0][part], own[1][part], wants[s][:, of_block[part]])
                         looked += len(own[0])
                     else:
                         for b in np.flatnonzero(wants[s].any(0)):

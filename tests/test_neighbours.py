@@ -23,12 +23,12 @@ def plain(ids, folds, z, t_ids, t_folds, t, k, other_fold):
 
 
 @pytest.mark.parametrize("other_fold", [False, True])
-@pytest.mark.parametrize("kind", ["clusters", "ties", "equal"])
+@pytest.mark.parametrize("kind", ["clusters", "spread", "ties", "equal"])
 def test_as_all_pairs(spark, monkeypatch, kind, other_fold):
     monkeypatch.setattr(neighbours, "SERVED", 40)
     rng = np.random.default_rng(6)
     n = 700
-    t = {"clusters": rng.normal(size=(7, 5))[rng.integers(7, size=n)] * 50 + rng.normal(size=(n, 5)), "ties": rng.integers(0, 3, (n, 3)), "equal": np.ones((n, 2))}[kind].astype(float)
+    t = {"clusters": rng.normal(size=(7, 5))[rng.integers(7, size=n)] * 50 + rng.normal(size=(n, 5)), "spread": rng.normal(size=(n, 24)), "ties": rng.integers(0, 3, (n, 3)), "equal": np.ones((n, 2))}[kind].astype(float)
     folds = [f"f{i}" for i in (np.arange(n) * 7 // n if kind == "clusters" else rng.integers(3, size=n))]
     q = [*(t[:60] + (kind == "clusters") * 0.3), None, t.mean(0) + 1e3]
     ids, q_folds = [*range(0, 60), 9001, 9002], [*folds[:60], "f0", "elsewhere"]
