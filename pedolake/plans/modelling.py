@@ -1,4 +1,4 @@
-"""Queries that fit models: those of closed form have SQL, the others are held against plain versions in tests."""
+"""Queries that fit models: those of closed form have SQL; of trees and forests tests see the rows and columns only."""
 
 from __future__ import annotations
 
