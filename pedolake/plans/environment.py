@@ -45,7 +45,7 @@ def layer_outputs(spark, d):
 
 
 def catalog_links(spark, d):
-    return catalog.catalog_links(table(spark, d, "pages"), ["^/[A-Z]", "[a-m]$"]).select("page_id", "href", "path")
+    return catalog.catalog_links(table(spark, d, "pages"), ["^/[A-Z]", "[a-m]$"], strict=True).select("page_id", "href", "path")
 
 
 def detect_dataset_ids(spark, d):

@@ -30,11 +30,14 @@ def require_tables(names: Sequence[str], known: Sequence[str] = TABLES) -> list[
     return wanted
 
 
-def catalog_links(pages: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Links of pages that match all patterns, with the full path they stand for."""
+def catalog_links(pages: DataFrame, patterns: Sequence[str], strict: bool = False) -> DataFrame:
+    """Links of pages that match all patterns, with the full path they stand for; if strict, a pattern that leaves
+    none is an error."""
     links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
     for p in patterns:
         links = links.where(F.col("href").rlike(p))
+        if strict:
+            require_links(links, p)
     return links.withColumn("path", F.concat(F.regexp_replace("url", "/+$", ""), F.lit("/"), F.regexp_replace("href", "^/+", "")))
 
 

@@ -196,3 +196,10 @@ def test_zero_denominators_are_null(spark):
 def test_unknown_index_is_refused(spark):
     with pytest.raises(ValueError):
         cells.landsat_indices(frame(spark, [(1.0,)], "red double"), {}, ["nope"])
+
+
+def test_empty_catalogue_step_is_an_error(spark):
+    pages = spark.createDataFrame([(1, "http://a", '<a href="/Soil">')], "page_id int, url string, html string")
+    assert catalog.catalog_links(pages, ["^/S", "l$"], strict=True).count() == 1 and catalog.catalog_links(pages, ["^/x"]).count() == 0
+    with pytest.raises(ValueError, match="no links"):
+        catalog.catalog_links(pages, ["^/S", "^/x"], strict=True)
