@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated substrings out of the texts; bytes left of a character that is cut go with it."""
     carry = ("lang", "source")
-    done = substring_dedup.remove_repeats(spark, docs.select(DOCUMENT), keep_text=True, carry=carry)
-
-    @F.pandas_udf("string")
-    def whole_characters(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    text = done.select("doc_id", whole_characters("raw").alias("text"), *carry)
+    done = substring_dedup.remove_repeats(spark, docs.select(DOCUMENT), keep_text=True, carry=carry, whole_characters=True)
+    text = done.select("doc_id", F.col("raw").cast("string").alias("text"), *carry)
     return text.withColumn("n_chars", F.length("text").cast("long")).select(DOCUMENT)
 
 

@@ -44,7 +44,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text of a block and of a shard; bytes hashed at once (a power of two).
-BLOCK_BYTES, SHARD_BYTES, CHUNK = 4 << 20, 2 << 20, 1 << 20
+BLOCK_BYTES, SHARD_BYTES, CHUNK = 4 << 20, 1 << 20, 1 << 18
 #: Spans of one pick that a shard takes; more are dealt over several.
 HOT = 2048
 #: Odd multipliers of the rolling hashes.
@@ -301,7 +301,7 @@ def spans_of(covered: np.ndarray) -> np.ndarray:
     return np.stack((np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)), 1)
 
 
-def cut_block(block: pa.Table, told: pa.Table, length: int, own: list[str], keep_text: bool) -> pa.Table:
+def cut_block(block: pa.Table, told: pa.Table, length: int, own: list[str], keep_text: bool, whole_characters: bool) -> pa.Table:
     """Results of a block's documents, from what is told of its pairs (gone: null means every window)."""
     if not block.num_rows:
         raise ValueError("told of a block that is not there")
@@ -334,6 +334,8 @@ def cut_block(block: pa.Table, told: pa.Table, length: int, own: list[str], keep
             kept = data[at : at + size][~covered[at : at + size]].tobytes()
         removed.append(size - len(kept))
         digests.append(hashlib.sha256(kept).hexdigest())
+        if keep_text and whole_characters and spans:
+            kept = kept.decode("utf-8", "ignore").encode()
         left.append(kept if keep_text else None)
     columns = {name: block.column(name).combine_chunks().flatten() for name in own} | {
         "n_bytes": pa.array(lengths, pa.int64()),
@@ -380,10 +382,11 @@ def told_windows(spark: SparkSession, blocks: DataFrame, length: int) -> DataFra
 
 
 def remove_repeats(
-    spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep_text: bool = False, carry: tuple[str, ...] = ()
+    spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep_text: bool = False, carry: tuple[str, ...] = (), whole_characters: bool = False
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns of carry, and
-    raw, what is left of the bytes (null unless keep_text). length may be 8 to a quarter of CHUNK."""
+    raw, what is left of the bytes (null unless keep_text; with whole_characters, bytes left of a cut
+    character go from it too, but count for nothing else). length may be 8 to a quarter of CHUNK."""
     if not 8 <= length <= CHUNK // 4:
         raise ValueError(f"length must be 8 to {CHUNK // 4}")
     tune(spark)
@@ -398,7 +401,7 @@ def remove_repeats(
         .groupBy("block")
         .cogroup(told.groupBy("block"))
         .applyInArrow(
-            lambda b, t: freed(cut_block, b, t, length, names, keep_text),
+            lambda b, t: freed(cut_block, b, t, length, names, keep_text, whole_characters),
             f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, raw binary",
         )
     )
