@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Mapping, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import scratch_path
@@ -13,6 +18,35 @@ from ..functions.scratch import scratch_path
 
 #: Values of a predictor that are tried together on each row.
 VALUES = 512
+#: Bytes of a pickled model that are sent to every executor at most.
+MODEL_BYTES = 256 << 20
+
+
+@lru_cache(1)
+def _loaded(held):
+    return pickle.loads(held.value)
+
+
+def python_scorer(spark: SparkSession, predict: Callable[[pd.DataFrame], Sequence[float]], columns: Sequence[str], most_bytes: int = MODEL_BYTES) -> Callable[[Mapping[str, Column]], Column]:
+    """A scorer for the functions below from any Python model: predict gets the predictors of a batch as a frame of
+    doubles (a null is NaN) and gives a number for each row; what is not a number is null.
+
+    The model is pickled, refused beyond most_bytes, sent once to each executor and loaded once by each worker.
+    """
+    raw = cloudpickle.dumps(predict)
+    if len(raw) > most_bytes:
+        raise ValueError(f"the model has {len(raw)} bytes, more than {most_bytes}")
+    held, names = spark.sparkContext.broadcast(raw), list(columns)
+
+    @F.pandas_udf("double")
+    def score(*parts: pd.Series) -> pd.Series:
+        rows = pd.DataFrame(dict(zip(names, (p.astype(float) for p in parts), strict=True)))
+        out = np.asarray(_loaded(held)(rows), float) if len(rows) else np.zeros(0)
+        if out.shape != (len(rows),):
+            raise ValueError(f"the model gave {out.shape} numbers for {len(rows)} rows")
+        return pd.Series(out)
+
+    return lambda given: score(*[given[c].cast("double") for c in names])
 
 
 def leaf_values(model, train: DataFrame, target: str, key: str) -> DataFrame:

@@ -251,6 +251,14 @@ def partial_dependence_delta(spark, d):
     return _round(out, ["mean", "lci", "uci"], 5)
 
 
+def partial_dependence_model(spark, d):
+    """The same curve from a model that is a plain Python function, scored in batches."""
+    names = ["b1", "b2", "b4"]
+    scorer = scoring.python_scorer(spark, lambda rows: rows["b1"] * rows["b2"] + rows["b4"] ** 0.5, names)
+    out = scoring.partial_dependence(_pd_rows(spark, d), "b1", scorer, names, 0.05, 0.95)
+    return _round(out, ["mean", "lci", "uci"], 5)
+
+
 _W = {"b1": 2.0, "b2": -1.5, "b3": 3.0}
 
 
@@ -360,5 +368,6 @@ QUERIES = [
     csv2_roundtrip, csv_roundtrip, text_export, layer_outputs, catalog_links, detect_dataset_ids, invalid_ids, manifest_status, manifest_summary, uri_mapping,
     pending_work, resume_pending, resume_conflicts, points_to_class, points_to_class_no_na, points_in_polygon, points_in_rings, rings_to_class, vector_modal, vector_variety, aoa_di,
     train_di_threshold, aoa_flag, aoa_lpd, aoa_neighbours, aoa_mahalanobis, aoa_classes, vector_bound, tree_value_functions, depth_weighted_mean, depth_spline, partial_dependence,
-    partial_dependence_delta, shapley_linear, shapley_mc, shapley_adjust, tree_value_quantiles,
+    partial_dependence_delta, partial_dependence_model, shapley_linear, shapley_mc, shapley_adjust, tree_value_quantiles,
 ]
+ORACLES["partial_dependence_model"] = ORACLES["partial_dependence"]

@@ -33,3 +33,25 @@ def test_numbers_are_dense(spark):
         assert got == first
     empty, n = scoring.numbered(df.limit(0), ["v", "w"])
     assert n == 0 and empty.count() == 0
+
+
+def test_python_models_pass_as_column_expressions_do(spark):
+    i = F.col("id")
+    rows = spark.range(300).select("id", F.when(i % 50 != 7, (i % 7) / 7).alias("b1"), ((i * 31) % 19 / 19).alias("b2"))
+    full = rows.na.drop()
+    plain = lambda c: c["b1"] * c["b2"] + c["b1"]
+    model = scoring.python_scorer(spark, plain, ["b1", "b2"])
+    for delta in (False, True):
+        want, got = (sorted(scoring.partial_dependence(full, "b1", s, ["b1", "b2"], 0.1, 0.9, delta).collect()) for s in (plain, model))
+        assert len(got) == 7 and all(a == pytest.approx(b) for a, b in zip(got, want, strict=True))
+    want, got = (sorted(scoring.shapley_monte_carlo(full, full, s, ["b1", "b2"], "id", 4, 5).collect()) for s in (plain, model))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(a[2:] == pytest.approx(b[2:]) for a, b in zip(got, want, strict=True))
+    # nulls reach the model as NaN and come back as null; no rows are no rows
+    assert rows.select(model({"b1": F.col("b1"), "b2": F.col("b2")}).alias("s")).where("s is null").count() == 6
+    assert rows.limit(0).select(model({"b1": F.col("b1"), "b2": F.col("b2")})).count() == 0
+
+
+def test_python_models_are_bounded(spark):
+    with pytest.raises(ValueError, match="bytes"):
+        scoring.python_scorer(spark, lambda rows, held=bytes(5000): [0.0] * len(rows), ["a"], most_bytes=4000)
