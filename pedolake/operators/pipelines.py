@@ -14,11 +14,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import written
+from ..sources import catalog
 from . import metrics, modelling, moments, resample
 
 FOLD = "__fold"
@@ -294,17 +296,48 @@ def _fold_table(sums: Sequence, folds: int, q: int) -> tuple[np.ndarray, np.ndar
     return n, v
 
 
+class RunLedger:
+    """Runs that are finished, in a folder that all executors share: the tables of each run, then its marker.
+
+    A marker is one file of one row with the settings, so it is there or not; a run without one is done again."""
+
+    def __init__(self, spark: SparkSession, folder: str, settings: Mapping[str, object]):
+        self.spark, self.folder, self.settings = spark, folder.rstrip("/"), {k: str(v) for k, v in settings.items()}
+
+    def _row(self, run: int) -> DataFrame:
+        fields = ", ".join(f"{k} string" for k in self.settings)
+        return self.spark.createDataFrame([(run, *self.settings.values())], f"run int, {fields}")
+
+    def finished(self, run: int) -> bool:
+        """Whether a run has a marker; an error if it was made with other settings, which names the fields."""
+        try:
+            found = self.spark.read.parquet(f"{self.folder}/finished-{run}")
+        except AnalysisException:  # no marker
+            return False
+        catalog.require_no_conflicts(catalog.conflicts(found, self._row(run), ["run"], list(self.settings)))
+        return True
+
+    def finish(self, run: int, tables: Mapping[str, DataFrame]) -> None:
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{self.folder}/{name}-{run}")
+        self._row(run).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/finished-{run}")
+
+    def table(self, run: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}-{run}")
+
+
 def repeated(
     df: DataFrame, learner: Learner, columns: Sequence[str], label: str, key: str, runs: int, p: float = 0.75,
-    group: str | None = None, settings: Settings = Settings(),
+    group: str | None = None, settings: Settings = Settings(), ledger: str | None = None,
 ) -> dict[str, DataFrame]:
     """Repeated holdouts: performance (run, data: train, test, null; metrics), importance (run, place, predictor).
 
     Rows are split by quantiles of the target or by class, whole groups where groups are given. Least squares take
-    the moments of all runs from one pass over the rows."""
+    the moments of all runs from one pass over the rows. With a ledger (a shared folder) each run is written when it
+    is finished, and a job that is started again with the same settings and number of rows goes on behind the last."""
     levels, spark, numbers = _levels(df, learner, label), df.sparkSession, list(range(1, runs + 1))
     split = holdouts(df, learner.task, label, key, numbers, p, group)
-    fast = _from_moments(learner, settings)
+    fast = _from_moments(learner, settings) and ledger is None
     folds = settings.folds if not fast or settings.sizes or len(learner.grid) > 1 else 1
     split = with_folds(split, folds, key, group, "run") if folds > 1 else split.withColumn(FOLD, F.lit(0))
     if not fast:
@@ -314,8 +347,16 @@ def repeated(
         raise ValueError("a run has no rows to train or to test; there are too few rows or groups")
     if fast:
         return _repeated_from_moments(split, learner, columns, label, numbers, folds, settings)
-    performance, importance = [], []
+    performance, importance, book = [], [], None
+    if ledger is not None:
+        fields = {"learner": learner.name, "grid": [dict(g) for g in learner.grid], "columns": list(columns), "label": label, "row_key": key, "p": p, "grouped": group}
+        fields |= {k: getattr(settings, k) for k in ("sizes", "folds", "metric", "larger", "tolerance")}
+        book = RunLedger(spark, ledger, fields | {"n_rows": split.where(F.col("run") == 1).count()})
     for run in numbers:
+        if book and book.finished(run):
+            performance.append(book.table(run, "performance"))
+            importance.append(book.table(run, "importance"))
+            continue
         own = split.where(F.col("run") == run).drop("run")
         trained = train(own.where("role = 'train'"), learner, columns, label, levels, settings)
         scored = trained.fit.score(own).select("role", label, "prediction")
@@ -323,6 +364,8 @@ def repeated(
         one = report(scored.unionByName(nothing), learner.task, label, levels, ["role"])
         performance.append(one.withColumnRenamed("role", "data").withColumn("run", F.lit(run)))
         importance.append(_rows_of(spark, run, trained))
+        if book:
+            book.finish(run, {"performance": performance[-1], "importance": importance[-1]})
     return {"performance": _union(performance), "importance": _union(importance)}
 
 

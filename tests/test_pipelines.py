@@ -171,3 +171,29 @@ def test_metric_of_ones_own(rows):
     settings = p.Settings(sizes=[1], folds=2, metric="worst", larger=False, tolerance=50.0, report=worst)
     kept, profile = p.eliminate(p.with_folds(rows, 2, "id", "g", 1), p.linear(), ["c", "b", "a"], "y", [], settings)
     assert kept == ["a"] and 0 < profile[1] < 1
+
+
+def test_stopped_runs_go_on_where_they_ended(rows, tmp_path):
+    whole, fits, line = p.repeated(rows, p.linear(), ["a", "b"], "y", "id", 3), [], p.linear()
+
+    def stops_at(n):
+        def fit(*given):
+            if len(fits) == n:
+                raise RuntimeError("stopped")
+            fits.append(1)
+            return line.fit(*given)
+
+        return replace(line, fit=fit, moments=False)
+
+    ledger = str(tmp_path / "ledger")
+    with pytest.raises(RuntimeError, match="stopped"):
+        p.repeated(rows, stops_at(2), ["a", "b"], "y", "id", 3, ledger=ledger)
+    out = p.repeated(rows, stops_at(99), ["a", "b"], "y", "id", 3, ledger=ledger)
+    assert len(fits) == 3
+    for name, by in (("performance", ["run", "data"]), ("importance", ["run", "place"])):
+        got, want = (out[name].orderBy(by).toPandas(), whole[name].orderBy(by).toPandas())
+        assert list(got[by[0]]) == list(want[by[0]])
+        for c in want.select_dtypes("float"):
+            assert np.allclose(got[c].astype(float), want[c], equal_nan=True)
+    with pytest.raises(ValueError, match="tolerance"):
+        p.repeated(rows, stops_at(99), ["a", "b"], "y", "id", 3, ledger=ledger, settings=p.Settings(tolerance=9.0))
