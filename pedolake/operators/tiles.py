@@ -100,7 +100,8 @@ def tile_summary(cells: DataFrame, tiles: DataFrame, band: str, values: list | N
     n = n.groupBy("tile_id").agg(F.count_if(valid_cell(band, values)).alias("n_valid"))
     out = tiles.select("tile_id", "row_start", "row_end", "col_start", "col_end").join(n, "tile_id", "left")
     total = cells.agg(F.count_if(valid_cell(band, values)).alias("all_valid")).join(tiles.agg(F.count(F.lit(1)).alias("n_tiles")))
-    pixels = ((F.col("row_end") - F.col("row_start") + 1) * (F.col("col_end") - F.col("col_start") + 1)).cast("long")
+    high, wide = (F.col(f"{c}_end").cast("long") - F.col(f"{c}_start") + 1 for c in ("row", "col"))
+    pixels = high * wide  # of a large grid more than an int holds
     out = out.join(F.broadcast(total)).withColumn("n_valid", F.coalesce("n_valid", F.lit(0).cast("long"))).withColumn("n_total", pixels)
     target = F.col("all_valid") / F.col("n_tiles")
     return out.select(
