@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite, ratio_nonzero
+from ..functions.expr import finite, plain, ratio_nonzero
 
 
 def valid_cell(band: str, values: list | None = None) -> Column:
@@ -137,6 +137,6 @@ def tile_polygons(tiles: DataFrame, res: float, ymax: float) -> DataFrame:
     """Closed rings of tiles as text, from half a cell outside the outer cell centres."""
     x0, x1 = F.col("col_start") * res, (F.col("col_end") + 1) * res
     y1, y0 = ymax - F.col("row_start") * res, ymax - (F.col("row_end") + 1) * res
-    point = lambda x, y: F.concat(x.cast("double").cast("string"), F.lit(" "), y.cast("double").cast("string"))
+    point = lambda x, y: F.concat(plain(x.cast("double")), F.lit(" "), plain(y.cast("double")))
     ring = F.concat_ws(", ", point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
     return tiles.select("tile_id", F.concat(F.lit("POLYGON (("), ring, F.lit("))")).alias("wkt"))

@@ -24,3 +24,15 @@ def test_pixels_of_tiles_beyond_an_int(spark):
     one = tiles.tile_summary(cells, grid, "v")
     assert (one.first()["n_total"], one.first()["n_valid"]) == (3_600_000_000, 1)
     assert tiles.global_summary(one).first()["total_pixels"] == 3_600_000_000
+
+
+def test_polygons_far_from_the_origin(spark, tmp_path):
+    con = lineitem(spark, tmp_path, [(r, c, 1.0, 2.0, 0.0) for r, c in ((0, 0), (1_199_999, 59_999))])
+    said = harness.compare(registry.queries()["tile_polygons"](spark, str(tmp_path)), con, registry.oracle_sql()["tile_polygons"])
+    assert not said, said
+
+
+def test_plain_text_of_doubles(spark):
+    values = [0.0, -0.5, 1e7, -35940000.0, 12345678.25, 99999999999999.98, 1e15 - 1, 0.00012345, 123.456, 9999999.5]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(plain(F.col("v"))).collect()]
+    assert got == [duckdb.execute("SELECT format('{}', CAST(? AS DOUBLE))", [v]).fetchone()[0] for v in values]
