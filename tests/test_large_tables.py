@@ -42,3 +42,9 @@ def test_points_on_a_ring_are_not_in_it(spark):
     ring = spark.createDataFrame([(1, [(0.0, 0.0), (6.0, 0.0), (0.0, 20.0)])], "poly_id long, ring array<struct<x: double, y: double>>")
     points = spark.createDataFrame([(1, 0.5, 0.0), (2, 0.5, -0.0), (3, 3.0, 10.0), (4, 0.0, 5.0), (5, 0.5, 0.01), (6, 2.0, 5.0)], "point_id long, x double, y double")
     assert sorted(r["point_id"] for r in spatial.points_in_rings(points, ring).collect()) == [5, 6]
+
+
+def test_mercator_beyond_the_poles(spark, tmp_path):
+    con = lineitem(spark, tmp_path, [(r, 7, 1.0, 2.0, 0.0) for r in (0, 1000, 3999, 4001, 4500, 9000, 13_000, 19_999)])
+    said = harness.compare(registry.queries()["reproject_mercator"](spark, str(tmp_path)), con, registry.oracle_sql()["reproject_mercator"])
+    assert not said, said
