@@ -95,3 +95,25 @@ def test_cells_travel_once(grid):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "row int, col int, v double")
     assert halo.surrounding(none, "v").collect() == halo.disc_mean(none, "v", 2).collect() == cells.resample_bilinear(none, "v", 2.0).collect() == []
+
+
+def test_nearly_empty_grids_cost_their_cells_only(spark):
+    """Cells far apart: what is held is a place for each cell, not for each place of its tile."""
+    df = spark.createDataFrame([(1000 * i + 64, 777 * i * i, float(i)) for i in range(60)], "row int, col int, v double")
+
+    def held(t):
+        return {"row": np.array([0]), "col": np.array([0]), "value": np.array([float(t.here.size)])}
+
+    rows = halo.by_tile(df, ["v"], 3, held, "row int, col int, value double").collect()
+    assert sum(r["value"] for r in rows) < 1000
+
+
+def test_full_and_nearly_empty_tiles_agree(spark):
+    """The same cells in full tiles and, spread over a larger grid, as lists of cells."""
+    rng = np.random.default_rng(4)
+    at = [(r, c, None if rng.random() < 0.2 else float(rng.normal())) for r in range(40) for c in range(40) if rng.random() > 0.1]
+    df = spark.createDataFrame(at, "row int, col int, v double")
+    for make, keys, values in ((lambda n: halo.focal(df, "v", 3, "avg", n), ("row", "col"), ["value"]), (lambda n: halo.disc_mean(df, "v", 4, n), ("row", "col"), ["value", "mean"]), (lambda n: halo.resampled(df, "v", 2.5, cells.lanczos_weight, 3, 1e-6, n), ("r", "c"), ["value"])):
+        full, few = got(make(16), *keys), got(make(512), *keys)
+        assert set(full) == set(few) and full
+        assert all(full[k][v] == pytest.approx(few[k][v], rel=1e-12, abs=1e-12) for k in full for v in values)
