@@ -13,11 +13,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import scratch_path
+from ..functions.scratch import scratch_path, written
 
 
 #: Values of a predictor that are tried together on each row.
 VALUES = 512
+#: Draws of a task.
+DRAWS = 4_000_000
 #: Bytes of a pickled model that are sent to every executor at most.
 MODEL_BYTES = 256 << 20
 
@@ -144,18 +146,35 @@ def numbered(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, int]:
 
 
 def shapley_monte_carlo(rows: DataFrame, background: DataFrame, scorer: Callable[[Mapping[str, Column]], Column], features: Sequence[str], key: str, draws: int, seed: int) -> DataFrame:
-    """Monte-Carlo Shapley values: per draw a background row (each of them with equal chance) and a feature order, both from hashes."""
+    """Monte-Carlo Shapley values: per draw a background row (each of them with equal chance) and a feature order, both from hashes.
+
+    Draws go to the background with their key alone, and come back to the row with the background's values; all features
+    of a row are summed up where it is, so no difference is exchanged."""
     bg, n = numbered(background, features)
-    bg = bg.select("number", *[F.col(c).alias(f"b_{c}") for c in features])
-    wide = rows.select(key, *features).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    pick = F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(max(n, 1)).cast("long"))
-    wide = wide.withColumn("number", pick).join(bg, "number")
-    order = {c: F.xxhash64(F.col(key), F.col("draw"), F.lit(seed), F.lit(c)) for c in features}
-    out = []
-    for f in features:
-        mixed = {c: F.when(order[c] < order[f], F.col(c)).otherwise(F.col(f"b_{c}")) for c in features if c != f}
-        out.append(F.struct(F.lit(f).alias("feature"), (scorer({**mixed, f: F.col(f)}) - scorer({**mixed, f: F.col(f"b_{f}")})).alias("phi")))
-    return wide.select(key, F.explode(F.array(*out)).alias("p")).groupBy(key, "p.feature").agg(F.avg("p.phi").alias("phi"), F.var_pop("p.phi").alias("var"))
+    rows = written(rows.select(key, *features), "explained")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * draws // DRAWS))
+    bg = bg.select("number", *[F.col(c).alias(f"b_{c}") for c in features]).repartition(parts, "number")
+
+    def values(own: DataFrame, on: Column) -> DataFrame:
+        """Of rows whose keys are told apart by an expression that is never null."""
+        own = own.withColumn("__on", on)
+        asked = own.select(key, "__on").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+        pick = F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(max(n, 1)).cast("long"))
+        drawn = asked.select("__on", "draw", pick.alias("number")).repartition(parts, "number").join(bg.hint("shuffle_hash"), "number").drop("number")
+        wide = drawn.repartition(parts, "__on").join(own.repartition(parts, "__on").hint("shuffle_hash"), "__on")
+        order = {c: F.xxhash64(F.col(key), F.col("draw"), F.lit(seed), F.lit(c)) for c in features}
+        phi = []
+        for i, f in enumerate(features):
+            mixed = {c: F.when(order[c] < order[f], F.col(c)).otherwise(F.col(f"b_{c}")) for c in features if c != f}
+            phi.append((scorer({**mixed, f: F.col(f)}) - scorer({**mixed, f: F.col(f"b_{f}")})).alias(f"__phi{i}"))
+        means = [m(f"__phi{i}").alias(f"{n}{i}") for i in range(len(features)) for n, m in (("phi", F.avg), ("var", F.var_pop))]
+        whole = wide.select("__on", key, *phi).groupBy("__on").agg(F.first(key).alias(key), *means)
+        of = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"phi{i}").alias("phi"), F.col(f"var{i}").alias("var")) for i, f in enumerate(features)])
+        return whole.select(key, F.explode(of).alias("p")).select(key, "p.*")
+
+    named, nameless = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+    out = values(named, F.col(key))
+    return out if nameless.isEmpty() else out.unionByName(values(nameless, F.lit(0)))
 
 
 def shapley_adjust(phi: DataFrame, scores: DataFrame, key: str, baseline: float) -> DataFrame:

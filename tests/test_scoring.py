@@ -55,3 +55,13 @@ def test_python_models_pass_as_column_expressions_do(spark):
 def test_python_models_are_bounded(spark):
     with pytest.raises(ValueError, match="bytes"):
         scoring.python_scorer(spark, lambda rows, held=bytes(5000): [0.0] * len(rows), ["a"], most_bytes=4000)
+
+
+def test_shapley_exchanges_no_differences(spark):
+    """A row's features are summed up where it is: nothing is exchanged by feature; equal keys and rows without one are kept."""
+    rows = spark.createDataFrame([(1, 0.5, 2.0), (1, 0.5, 2.0), (2, 1.0, 3.0), (None, 4.0, 1.0), (None, 4.0, 1.0)], "id long, b1 double, b2 double")
+    phi = scoring.shapley_monte_carlo(rows, rows, lambda c: c["b1"] + 2 * c["b2"], ["b1", "b2"], "id", 6, 5)
+    exchanged = [x for x in phi._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanged and not any("feature" in x for x in exchanged)
+    got = sorted(((r["id"] or 0, r["feature"]) for r in phi.collect()))
+    assert got == [(k, f) for k in (0, 1, 2) for f in ("b1", "b2")]
