@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pedolake.functions.expr import plain
 from pedolake.operators import spatial, tiles
-from pedolake.plans import registry
+from pedolake.plans import fixtures, registry
 
 
 def lineitem(spark, folder, rows):
@@ -48,3 +48,13 @@ def test_mercator_beyond_the_poles(spark, tmp_path):
     con = lineitem(spark, tmp_path, [(r, 7, 1.0, 2.0, 0.0) for r in (0, 1000, 3999, 4001, 4500, 9000, 13_000, 19_999)])
     said = harness.compare(registry.queries()["reproject_mercator"](spark, str(tmp_path)), con, registry.oracle_sql()["reproject_mercator"])
     assert not said, said
+
+
+def test_grouped_inputs_have_as_many_tasks_as_rows_ask_for(spark, sf):
+    """Tasks of a grouping hold a bounded number of rows at any size, and the grouping needs no exchange of its own."""
+    df = fixtures.table(spark, sf, "lineitem")
+    many = fixtures.dealt(df, ["l_partkey", "l_suppkey"], 500)
+    assert many.rdd.getNumPartitions() == -(-df.count() // 500)
+    assert fixtures.dealt(df, ["l_partkey"]) is df
+    plan = many.groupBy("l_partkey", "l_suppkey").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
