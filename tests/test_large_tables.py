@@ -5,7 +5,7 @@ import harness
 from pyspark.sql import functions as F
 
 from pedolake.functions.expr import plain
-from pedolake.operators import spatial, tiles
+from pedolake.operators import cells, pipelines, spatial, tiles
 from pedolake.plans import fixtures, registry
 
 
@@ -20,8 +20,8 @@ def lineitem(spark, folder, rows):
 
 def test_pixels_of_tiles_beyond_an_int(spark):
     grid = spark.createDataFrame([(1, 0, 239_999, 0, 14_999)], "tile_id int, row_start int, row_end int, col_start int, col_end int")
-    cells = spark.createDataFrame([(3, 4, 1.0), (5, 6, None)], "row long, col long, v double")
-    one = tiles.tile_summary(cells, grid, "v")
+    few = spark.createDataFrame([(3, 4, 1.0), (5, 6, None)], "row long, col long, v double")
+    one = tiles.tile_summary(few, grid, "v")
     assert (one.first()["n_total"], one.first()["n_valid"]) == (3_600_000_000, 1)
     assert tiles.global_summary(one).first()["total_pixels"] == 3_600_000_000
 
@@ -58,3 +58,22 @@ def test_grouped_inputs_have_as_many_tasks_as_rows_ask_for(spark, sf):
     assert fixtures.dealt(df, ["l_partkey"]) is df
     plan = many.groupBy("l_partkey", "l_suppkey").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def counted(spark, n):
+    """Rows (id, b1, b2, y) and a counter of how often a row of them has been made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return float(i * 37 % 101)
+
+    rows = spark.range(n).withColumn("b1", value.asNondeterministic()("id"))
+    return rows.withColumns({"b2": F.col("id") * 11 % 53 + 0.0, "y": F.col("id") * 3.0}), made
+
+
+def test_classes_of_two_bands_read_them_once(spark):
+    rows, made = counted(spark, 200)
+    assert cells.bivariate_map(rows, "b1", "b2", 4).groupBy("colour_id").count().count() > 4
+    assert made.value == 200
