@@ -77,3 +77,9 @@ def test_classes_of_two_bands_read_them_once(spark):
     rows, made = counted(spark, 200)
     assert cells.bivariate_map(rows, "b1", "b2", 4).groupBy("colour_id").count().count() > 4
     assert made.value == 200
+
+
+def test_repeated_holdouts_read_their_rows_once(spark):
+    rows, made = counted(spark, 200)
+    out = pipelines.repeated(rows, pipelines.linear(), ["b1", "b2"], "y", "id", 2)["performance"]
+    assert out.count() == 6 and made.value == 200
