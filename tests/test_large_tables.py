@@ -1,7 +1,10 @@
 """What small tables do not show: large grids, latitudes beyond the poles, points on a border."""
 
+from dataclasses import replace
+
 import duckdb
 import harness
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from pedolake.functions.expr import plain
@@ -83,3 +86,28 @@ def test_repeated_holdouts_read_their_rows_once(spark):
     rows, made = counted(spark, 200)
     out = pipelines.repeated(rows, pipelines.linear(), ["b1", "b2"], "y", "id", 2)["performance"]
     assert out.count() == 6 and made.value == 200
+
+
+def test_rows_of_equal_predictors_are_one_row_of_a_fit(spark):
+    """Boosted trees see them by their number and mean label, and give the same; nulls stay with the fits that can take them."""
+    rows = [(i, float(i * i % 7), None if i % 50 == 3 else float(i % 3), None if i % 11 == 5 else float(i * i % 7 * 3 - i % 3 + i % 2)) for i in range(600)]
+    df, seen, out = spark.createDataFrame(rows, "id int, b1 double, b2 double, y double").repartition(3), [], []
+    for gathers in (False, True):
+        learner = pipelines.spark_learner("gbm", "regression", lambda **a: GBTRegressor(maxIter=2, maxDepth=a["depth"], seed=7), ({"depth": 1}, {"depth": 3}), gathers=gathers)
+
+        def fit(few, *args, own=learner.fit):
+            seen.append(few.count())
+            return own(few, *args)
+
+        got = pipelines.single(df, replace(learner, fit=fit), ["b1", "b2"], "y", "id", settings=pipelines.Settings(sizes=[1], folds=2))
+        out.append([*got["performance"].first()] + [r["importance"] for r in got["importance"].orderBy("place").collect()])
+    assert len(seen) == 20 and max(seen[10:]) < 50 < min(seen[:10])
+    assert all(abs(a - b) < 1e-9 for a, b in zip(*out, strict=True)), out
+
+
+def test_gathering_is_left_where_rows_differ(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 50).alias("b1"), F.col("id").cast("double").alias("y"))
+    learner = replace(pipelines.linear(), gathers=True)
+    assert pipelines.gathered(rows, learner, ["b1"], "y", []) is rows
+    few = pipelines.gathered(rows.withColumn("b1", F.col("id") % 4), learner, ["b1"], "y", [])
+    assert sorted((r["b1"], r["y"], r[pipelines.ROWS]) for r in few.collect()) == [(k, 48.0 + k, 25.0) for k in range(4)]
