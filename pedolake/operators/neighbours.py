@@ -28,8 +28,11 @@ from ..functions.scratch import written
 #: Pivots at most, rows of a block at least aimed at, blocks of a table, marks by which a pivot's rows are cut,
 #: queries that one holder of a group serves, and blocks that a query meets at first.
 PIVOTS, BLOCK, BLOCKS, MARKS, SERVED, FIRST = 1024, 2048, 32_768, 64, 65_536, 4
-#: Rows of a group, queries and rows that are compared at once, and bounds that a task holds at once.
-GROUP, QUERIES, SLAB, HELD = 32_768, 512, 2048, 1 << 20
+#: Rows of a group, groups of a table that needs no more, queries and rows that are compared at once, and bounds that a task
+#: holds at once.
+GROUP, GROUPS, QUERIES, SLAB, HELD = 131_072, 4, 512, 2048, 1 << 20
+#: Rows of a side of the comparison of all pairs, and sides of a table that needs no more.
+SIDE, SIDES = 65_536, 8
 #: Relative slack of bounds against rounding.
 SLACK = 1e-9
 _FIELDS = ["block", "kind", "rows", "ids", "folds", "z", "limits", "wants"]
@@ -141,7 +144,7 @@ def blocks_of(train: DataFrame, other_fold: bool = False, block_rows: int = BLOC
     numbered = dealt.withColumn("ring", F.col("ring").cast("long")).join(numbers, ["pivot", "ring", "part"]).select("block", "id", "fold", "z")
     packs = written(numbered.mapInArrow(pack, _PACK), "blocks")
     column = lambda name, kind=float: np.array([r[name] for r in listed], kind)
-    sizes, aim = column("n", int), min(GROUP, max(-(-n // rows.sparkSession.sparkContext.defaultParallelism), SLAB))
+    sizes, aim = column("n", int), min(GROUP, max(-(-n // GROUPS), SLAB))
     group = np.cumsum(sizes) // aim
     return Blocks(packs, pivots, column("pivot", int), column("low"), column("high"), sizes, column("a", np.int64), column("b", np.int64), np.unique(group, return_inverse=True)[1])
 
@@ -158,19 +161,36 @@ class Nearest:
         self.z, self.ids, self.folds, self.limits, self.k, self.other_fold = z, ids, folds, limits.copy(), k, other_fold
         self.q, self.d, self.near = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
 
-    def meet(self, at: np.ndarray, y, y_ids, y_folds, wanted: np.ndarray | None = None) -> None:
-        """The queries at these places meet rows, or those that a matrix of theirs wants."""
-        z, k = self.z[at], self.k
-        d = gaps(z, y)
-        d[(y_folds == self.folds[at][:, None]) if self.other_fold else (y_ids == self.ids[at][:, None])] = np.inf
-        if wanted is not None:
-            d[~wanted] = np.inf
-        limits = self.limits[at]
-        if k < d.shape[1]:
-            limits = np.minimum(limits, np.partition(d, k - 1, axis=1)[:, k - 1])
-        size = np.sqrt(np.maximum((z * z).sum(1), (y * y).sum(1).max(initial=0)))
-        i, j = np.nonzero(d <= (limits + 1e-7 * (1 + size))[:, None])  # products may be off by that
-        i, j = (x[np.isfinite(d[i, j])] for x in (i, j))
+    def meet(self, at: np.ndarray, y, y_ids, y_folds, wanted: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """The queries at these places meet rows, or those of the blocks that they want (a matrix, and each row's block).
+
+        Where all have limits, only what the limits leave is looked at more closely."""
+        z, k, limits = self.z[at], self.k, self.limits[at]
+        own, theirs = (self.folds[at], y_folds) if self.other_fold else (self.ids[at], y_ids)
+        length, y_length = (z * z).sum(1), (y * y).sum(1)
+        d = z @ y.T
+        d *= -2.0
+        d += length[:, None]
+        d += y_length
+        slack = 1e-7 * (1 + np.sqrt(np.maximum(length, y_length.max(initial=0))))  # products may be off by that
+        i = j = None
+        if np.isfinite(limits).all():
+            i, j = np.divmod(np.flatnonzero(d <= ((limits + slack) ** 2)[:, None]), max(1, len(y)))
+            kept = own[i] != theirs[j]
+            if wanted is not None:
+                kept &= wanted[0][i, wanted[1][j]]
+            i, j = i[kept], j[kept]
+        if i is None or len(i) > 4 * k * len(at):  # the k-th of these rows may tell more than the limit
+            d = np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+            d[theirs == own[:, None]] = np.inf
+            if wanted is not None:
+                d[~wanted[0][:, wanted[1]]] = np.inf
+            if k < d.shape[1]:
+                limits = np.minimum(limits, np.partition(d, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero(d <= (limits + slack)[:, None])
+            i, j = (x[np.isfinite(d[i, j])] for x in (i, j))
+        if not len(i):
+            return
         q = np.concatenate((self.q, at[i]))
         exact = np.concatenate((self.d, np.sqrt(((z[i] - y[j]) ** 2).sum(1))))
         near = np.concatenate((self.near, y_ids[j]))
@@ -186,11 +206,16 @@ def _search(blocks: Blocks, packs: DataFrame, k: int, other_fold: bool) -> DataF
     """Packs of queries meet their groups: (row, near: its k nearest there, looked: rows compared)."""
     spark, dims, n_groups = packs.sparkSession, blocks.pivots.shape[1], int(blocks.group.max()) + 1
     packs = written(packs.withColumnRenamed("block", "group"), "queries")
-    wanted = packs.groupBy("group").agg(F.sum(F.length("rows") / 8).alias("q")).select("group", F.greatest(F.lit(1), F.ceil(F.col("q") / SERVED)).cast("int").alias("holders"))
+    asked = packs.groupBy("group").agg((F.sum(F.length("rows")) / 8).cast("long").alias("q")).orderBy("group").collect()  # a row for each group
+    most = -(-2 * spark.sparkContext.defaultParallelism // n_groups)
+    holders = [max(1, -(-r["q"] // SERVED), min(-(-r["q"] // 1024), most)) for r in asked]
+    starts, tasks = np.cumsum([0, *holders[:-1]]), max(1, sum(holders))
+    wanted = spark.createDataFrame([(r["group"], h, int(s)) for r, h, s in zip(asked, holders, starts, strict=False)], "group long, holders int, start int")
     grouped = spark.createDataFrame([(i, int(g)) for i, g in enumerate(blocks.group)], "block long, group long")
-    held = blocks.packs.join(grouped, "block").join(wanted, "group").withColumn("holder", F.explode(F.sequence(F.lit(0), F.col("holders") - 1)))
-    asked = packs.withColumn("block", F.lit(0).cast("long")).join(wanted, "group").withColumn("holder", F.pmod(F.xxhash64("rows"), F.col("holders")).cast("int"))
-    both = held.drop("holders").unionByName(asked.drop("holders")).repartition(n_groups, "group", "holder").sortWithinPartitions("group", "holder", "kind", "block")
+    held = blocks.packs.join(F.broadcast(grouped), "block").join(F.broadcast(wanted), "group").withColumn("holder", F.explode(F.sequence(F.lit(0), F.col("holders") - 1)))
+    asked = packs.withColumn("block", F.lit(0).cast("long")).join(F.broadcast(wanted), "group").withColumn("holder", F.pmod(F.xxhash64("rows"), F.col("holders")).cast("int"))
+    both = held.unionByName(asked).withColumn("task", F.col("start") + F.col("holder")).drop("holders", "start")
+    both = both.repartitionById(tasks, F.col("task")).drop("task").sortWithinPartitions("group", "holder", "kind", "block")  # each holder is a task
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, own, starts = None, [], None, None
@@ -214,7 +239,7 @@ def _search(blocks: Blocks, packs: DataFrame, k: int, other_fold: bool) -> DataF
                         some, of_block = np.arange(len(rows[s])), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
                         for lo in range(0, len(own[0]), SLAB):
                             part = slice(lo, lo + SLAB)  # blocks that were met before are not wanted again
-                            best.meet(some, own[2][part], own[0][part], own[1][part], wants[s][:, of_block[part]])
+                            best.meet(some, own[2][part], own[0][part], own[1][part], (wants[s], of_block[part]))
                         looked += len(own[0])
                     else:
                         for b in np.flatnonzero(wants[s].any(0)):
@@ -277,44 +302,69 @@ def nearest(rows: DataFrame, train: DataFrame, k: int = 1, other_fold: bool = Fa
     return out.withColumns({"near": F.coalesce("near", F.array().cast(kind)), "looked": F.coalesce("looked", F.lit(0).cast("long"))})
 
 
-def distance_totals(train: DataFrame, group_rows: int = 32_768) -> DataFrame:
-    """For each complete training row the sum of its distances to all rows of other vec_ids, and their number.
+def _added(z, ids, y, y_ids, same: bool) -> tuple[np.ndarray, ...]:
+    """Sums of distances, and their numbers, of each row of one side to the rows of other ids on the other, and the reverse."""
+    total, n, y_total, y_n = np.zeros(len(z)), np.full(len(z), len(y)), np.zeros(len(y)), np.full(len(y), len(z))
+    length, y_length = (z * z).sum(1), (y * y).sum(1)
+    for a in range(0, len(z), QUERIES):
+        i = slice(a, a + QUERIES)
+        for b in range(0, len(y), SLAB):
+            j = slice(b, b + SLAB)
+            d = z[i] @ y[j].T
+            d *= -2.0
+            d += length[i, None]
+            d += y_length[j]
+            np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+            if np.isin(ids[i], y_ids[j]).any():
+                own = ids[i, None] == y_ids[j]
+                d[own] = 0.0
+                n[i] -= own.sum(1)
+                y_n[j] -= own.sum(0)
+            total[i] += d.sum(1)
+            if not same:
+                y_total[j] += d.sum(0)
+    return total, n, y_total, y_n
+
+
+def paired(rows: DataFrame, groups: int) -> DataFrame:
+    """Rows (row, id, z) in packs, dealt over groups, with a partition for each two of them and for each against itself."""
 
-    A mean over all pairs has to see all pairs. Rows are dealt over groups of bounded size, and each pack of rows goes to
-    every group, so a task holds one group and one pack."""
-    rows = written(_keyed(train, False).withColumn("row", F.monotonically_increasing_id()), "pairs")
-    n = rows.count()
-    groups = max(1, -(-n // group_rows), min(-(-n // 1024), rows.sparkSession.sparkContext.defaultParallelism))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, ids, z = batch.column("row").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("z"))
+                yield _packs(row % groups, 0, row, ids, np.zeros(len(row), np.int64), z, np.zeros(len(row)), np.zeros(len(row), np.uint8))
 
-    def pack(kind: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
-                    row, ids, z = part.column("row").to_numpy(), part.column("id").to_numpy(), _matrix(part.column("z"))
-                    block = row % groups if kind == 0 else np.zeros(len(row), np.int64)
-                    yield _packs(block, kind, row, ids, np.zeros(len(row), np.int64), z, np.zeros(len(row)), np.zeros(len(row), np.uint8))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("other")
+    sent = rows.mapInArrow(pack, _PACK).select("block", "rows", "ids", "z", other)
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    sent = sent.withColumns({"pair": (high * (high + 1) / 2 + low).cast("int"), "kind": (F.col("block") > F.col("other")).cast("int")})
+    return sent.repartitionById(groups * (groups + 1) // 2, F.col("pair")).select("kind", "rows", "ids", "z")
 
-        return run
 
-    every = rows.mapInArrow(pack(1), _PACK).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    both = rows.mapInArrow(pack(0), _PACK).unionByName(every.select(*_FIELDS)).repartition(groups, "block").sortWithinPartitions("block", "kind")
+def distance_totals(train: DataFrame, group_rows: int = SIDE) -> DataFrame:
+    """For each complete training row the sum of its distances to all rows of other vec_ids, and their number.
+
+    A mean over all pairs has to see all pairs, each once. Rows are dealt over groups of bounded size, and a task holds two of
+    them (or one against itself); a group goes to as many tasks as there are groups, which are few unless the table asks for more."""
+    rows = written(_keyed(train, False).withColumn("row", F.monotonically_increasing_id()), "pairs")
+    n = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n // group_rows), min(-(-n // 1024), max(SIDES, int(np.ceil(np.sqrt(2 * cores))))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, own = None, [], None
+        sides: tuple[list, list] = ([], [])
         for batch in batches:
-            for i, (block, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "kind")), strict=True)):
-                if block != at:
-                    at, parts, own = block, [], None
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
                 row, ids = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("rows", "ids"))
-                z = np.frombuffer(batch.column("z")[i].as_buffer(), np.float64).reshape(len(row), -1)
-                if kind == 0:
-                    parts.append((ids, z))
-                    continue
-                if not parts:
-                    continue
-                own = own or [np.concatenate(x) for x in zip(*parts, strict=True)]
-                d, other = gaps(z, own[1]), own[0] != ids[:, None]
-                yield pa.record_batch([pa.array(row), pa.array((d * other).sum(1)), pa.array(other.sum(1))], names=["row", "total", "n"])
-
-    return both.mapInArrow(add, "row long, total double, n long").groupBy("row").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+                sides[kind].append((row, ids, np.frombuffer(batch.column("z")[i].as_buffer(), np.float64).reshape(len(row), -1)))
+        if not sides[0]:  # a group without rows
+            return
+        row, ids, z = (np.concatenate(x) for x in zip(*sides[0], strict=True))
+        of_row, of_ids, of_z = (np.concatenate(x) for x in zip(*(sides[1] or sides[0]), strict=True))
+        total, n, y_total, y_n = _added(z, ids, of_z, of_ids, not sides[1])
+        yield pa.record_batch([pa.array(row), pa.array(total), pa.array(n)], names=["row", "total", "n"])
+        if sides[1]:
+            yield pa.record_batch([pa.array(of_row), pa.array(y_total), pa.array(y_n)], names=["row", "total", "n"])
+
+    return paired(rows, groups).mapInArrow(add, "row long, total double, n long").groupBy("row").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pedolake.operators import neighbours
 from pedolake.operators.neighbours import distance_totals, nearest
@@ -67,3 +68,41 @@ def test_totals(spark):
     d = np.sqrt(((t[:, None] - t[None]) ** 2).sum(2))
     other = np.array(ids)[:, None] != np.array(ids)
     assert np.allclose(sorted(r["total"] for r in got), sorted((d * other).sum(1))) and sorted(r["n"] for r in got) == sorted(other.sum(1))
+
+
+def test_all_pairs_meet_once_and_two_groups_a_task(spark):
+    """A task of the totals reads two groups of rows, not the table, and no two tasks' shares come together."""
+    rng = np.random.default_rng(3)
+    rows = neighbours._keyed(frame(spark, range(900), "x" * 900, rng.normal(size=(900, 3))), False).withColumn("row", F.monotonically_increasing_id())
+    read = neighbours.paired(rows, 6).rdd.mapPartitions(lambda part: [sum(len(r["rows"]) // 8 for r in part)]).collect()
+    assert len(read) == 21 and min(read) > 0 and max(read) <= 2 * (150 + 3) and sum(read) == 900 * 6
+
+
+@pytest.mark.parametrize("other_fold", [False, True])
+def test_limits_leave_the_same_rows(other_fold):
+    """Queries with limits, which look closer only at what these leave, find what queries without limits find."""
+    rng = np.random.default_rng(4)
+    y, z = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 4, (20, 3)).astype(float)
+    ids, own, folds, y_folds = np.arange(300), np.arange(20), rng.integers(3, size=20), rng.integers(3, size=300)
+    blocks, wants = np.arange(300) // 100, rng.random((20, 3)) < 0.7
+    found = []
+    for limits in (np.full(20, np.inf), np.full(20, 1.5), np.full(20, 9.0)):
+        best = neighbours.Nearest(z, own, folds, limits, 4, other_fold)
+        best.meet(np.arange(20), y, ids, y_folds, (wants, blocks))
+        near = best.d <= 1.5
+        found.append((best.q[near].tolist(), best.d[near].tolist(), best.near[near].tolist()))
+    assert len(found[0][0]) > 20 and found[0] == found[1] == found[2]
+
+
+def test_holders_of_groups_are_tasks_of_their_own(spark, monkeypatch):
+    """Queries and groups are dealt to holders by number, so that no task gets the share of two by chance."""
+    monkeypatch.setattr(neighbours, "SERVED", 40)
+    rng, dealt = np.random.default_rng(5), []
+    plain_deal = type(spark.range(1)).repartitionById
+    monkeypatch.setattr(type(spark.range(1)), "repartitionById", lambda df, n, by: dealt.append(plain_deal(df, n, by)) or dealt[-1])
+    t = frame(spark, range(400), "x" * 400, rng.normal(size=(400, 8)))
+    monkeypatch.setattr(neighbours, "SLAB", 64)
+    assert nearest(t, t, 2, block_rows=30).count() == 400
+    for df in dealt:
+        holders = df.rdd.mapPartitions(lambda part: [len({(r["group"], r["holder"]) for r in part})]).collect()
+        assert len(holders) > 4 and set(holders) == {1}
