@@ -170,6 +170,23 @@ def test_find_correlated():
     assert screening.find_correlated(np.eye(3), 0.9) == []
 
 
+def test_splines_side_by_side(spark):
+    """Profiles of equally many layers are fitted together: by hand for two layers, with gaps, and outside of the depths."""
+    rng, breaks = np.random.default_rng(2), [0.0, 5.0, 15.0, 30.0]
+    upper, value = np.sort(rng.integers(0, 5, (2000, 3)) + [0, 8, 20], axis=1).astype(float), rng.normal(size=(2000, 3))
+    lower = upper + rng.integers(1, 8, (2000, 3))
+    means, rmse = profiles.splines_means(upper, lower, value, breaks, 0.1)
+    for i in range(0, 2000, 100):
+        one = profiles.spline_means(upper[i], lower[i], value[i], breaks, 0.1)
+        assert np.allclose(means[i], one[0], equal_nan=True) and np.isclose(rmse[i], one[1])
+    rows = [(1, 0.0, 10.0, 2.0), (1, 10.0, 30.0, 5.0), (2, 0.0, 4.0, 3.0), (3, 40.0, 50.0, 8.0), (4, 10.0, 20.0, 6.0), (4, 0.0, 10.0, 6.0)]
+    got = {r["profile_id"]: r for r in profiles.depth_spline(spark.createDataFrame(rows, "profile_id int, upper_limit double, lower_limit double, value double"), breaks).collect()}
+    fitted = np.linalg.solve(np.eye(2) + 1.2 / 60 * np.array([[1, -1], [-1, 1]]), [2.0, 5.0])  # 6 n lambda q' r^-1 q with r = 2 (10 + 20)
+    assert np.isclose(got[1]["rmse"], np.sqrt(np.mean((fitted - [2.0, 5.0]) ** 2)))
+    assert (got[2]["d_0_5"], got[2]["d_5_15"], got[3]["d_0_5"], got[3]["filled"], got[2]["filled"]) == (3.0, None, 8.0, True, False) or np.isnan(got[2]["d_5_15"])
+    assert np.allclose([got[4][c] for c in ("d_0_5", "d_5_15")], 6.0)
+
+
 def test_spline_of_a_flat_profile():
     means, rmse = profiles.spline_means(np.array([0.0, 10.0, 30.0]), np.array([10.0, 30.0, 60.0]), np.array([7.0, 7.0, 7.0]), [0.0, 5.0, 15.0, 30.0, 60.0], 0.1)
     assert np.allclose(means, 7.0) and rmse == pytest.approx(0, abs=1e-9)
