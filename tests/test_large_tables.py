@@ -4,11 +4,11 @@ from dataclasses import replace
 
 import duckdb
 import harness
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from pedolake.functions.expr import plain
-from pedolake.operators import cells, pipelines, spatial, tiles
+from pedolake.operators import cells, modelling, pipelines, spatial, tiles
 from pedolake.plans import fixtures, registry
 
 
@@ -111,3 +111,43 @@ def test_gathering_is_left_where_rows_differ(spark):
     assert pipelines.gathered(rows, learner, ["b1"], "y", []) is rows
     few = pipelines.gathered(rows.withColumn("b1", F.col("id") % 4), learner, ["b1"], "y", [])
     assert sorted((r["b1"], r["y"], r[pipelines.ROWS]) for r in few.collect()) == [(k, 48.0 + k, 25.0) for k in range(4)]
+
+
+def test_trees_of_a_forest_see_their_drawn_rows_of_equal_predictors_as_one(spark):
+    """The same predictions and importances as fits to every drawn row, and predictions of each kind of row are made once."""
+    rows = [(i, float(i * i % 7), None if i % 50 == 3 else float(i % 3), None if i % 11 == 5 else float(i * i % 7 * 3 - i % 3 + i % 5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, b1 double, b2 double, y double").repartition(3)
+    make, names = lambda **p: RandomForestRegressor(numTrees=2, maxDepth=p["depth"], seed=7), ["b1", "b2"]
+    learner = pipelines.forest_learner("rf", 2, make, ({"depth": 3},))
+    few = pipelines.gathered(df, learner, names, "y", [], "id")
+    assert few.count() <= 24 and pipelines.gathered(df, learner, names, "y", []) is df
+    fit = pipelines.by_kind(df, few, learner, names).fit(few, names, "y", {"depth": 3})
+    got = {r["id"]: r["prediction"] for r in fit.score(df).collect()}
+    want, weights = {}, []
+    for t in range(2):
+        times = pipelines.drawn_times(F.lit(t), F.col("id")).cast("int")
+        drawn = modelling.assembled(df.withColumn("one", F.explode(F.array_repeat(F.lit(1), times))), names, "y")
+        model = make(depth=3).setNumTrees(1).setBootstrap(False).setFeatureSubsetStrategy("onethird").setSeed(7 + t).fit(drawn)
+        weights.append(model.featureImportances.toArray())
+        for r in model.transform(modelling.assembled(df.withColumn("y", F.lit(0.0)), names, "y")).collect():
+            want[r["id"]] = want.get(r["id"], 0.0) + r["prediction"] / 2
+    assert len(set(want.values())) > 5 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert all(abs(fit.importance[c] - w) < 1e-9 for c, w in zip(names, sum(weights) / 2, strict=True))
+
+
+def test_rows_are_drawn_a_poisson_number_of_times(spark):
+    times = spark.range(40_000).select(pipelines.drawn_times(F.lit(1), F.col("id")).alias("k"), pipelines.drawn_times(F.lit(2), F.col("id")).alias("j"))
+    mean, var, both, none = times.agg(F.avg("k"), F.var_pop("k"), F.covar_pop("k", "j"), F.avg((F.col("k") == 0).cast("double"))).first()
+    assert abs(mean - 1) < 0.03 and abs(var - 1) < 0.05 and abs(both) < 0.03 and abs(none - 0.3679) < 0.015
+
+
+def test_forests_of_a_holdout_are_fitted_to_gathered_rows(spark):
+    df, seen = spark.range(800).select("id", (F.col("id") * 37 % 5).cast("double").alias("b1"), (F.col("id") * 11 % 101).cast("double").alias("y")), []
+    learner = pipelines.forest_learner("rf", 2, lambda **_: RandomForestRegressor(numTrees=2, maxDepth=2, seed=1))
+
+    def fit(few, *args, own=learner.fit):
+        seen.append(few.count())
+        return own(few, *args)
+
+    out = pipelines.repeated(df, replace(learner, fit=fit), ["b1"], "y", "id", 2, settings=pipelines.Settings(folds=2))["performance"]
+    assert sorted((r["run"], r["data"]) for r in out.collect()) == [(k, d) for k in (1, 2) for d in ("null", "test", "train")] and seen == [10, 10]
