@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pedolake.operators import cells, halo
@@ -117,3 +118,28 @@ def test_full_and_nearly_empty_tiles_agree(spark):
         full, few = got(make(16), *keys), got(make(512), *keys)
         assert set(full) == set(few) and full
         assert all(full[k][v] == pytest.approx(few[k][v], rel=1e-12, abs=1e-12) for k in full for v in values)
+
+
+def test_thin_cells_travel_as_rows(grid):
+    """No lists are gathered before or after the exchange: cells are ordered by one number for their tile."""
+    plan = halo.resampled(grid[1], "v", 2.5, cells.lanczos_weight, 3, 1e-6)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Sort [tile#" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_tiles_go_on_in_later_batches(spark, monkeypatch):
+    """Tiles cut by batches come out whole, whatever the cells at once, in negative and far places too."""
+    rng = np.random.default_rng(5)
+    at = sorted({(r, c) for r, c in rng.integers(-40, 40, (900, 2)).tolist()} | {(-(2**31) + 400, 2**31 - 400), (2**31 - 400, -(2**31) + 400)})
+    df = spark.createDataFrame([(r, c, float(i)) for i, (r, c) in enumerate(at)] + [(None, 3, 1.0), (3, None, 2.0)], "row long, col long, v double")
+    one = [r.asDict() for r in halo.sorted_cells(df.coalesce(1), ["v"], 2, 16).coalesce(1).sortWithinPartitions("tile").collect()]
+    rows = pa.Table.from_pylist(one, pa.schema([("tile", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), ("v0", pa.float64())]))
+    want = {}
+    for (r, c), i in zip(at, range(len(at)), strict=True):
+        for t in {((r + a) // 16, (c + b) // 16) for a in (-2, 2) for b in (-2, 2)}:
+            want.setdefault(t, set()).add((r, c, float(i)))
+    for at_once, batch in ((1, 1), (50, 7), (300, 1000), (1 << 18, 13)):
+        monkeypatch.setattr(halo, "AT_ONCE", at_once)
+        out = [r for b in halo.packed(iter(rows.to_batches(max_chunksize=batch))) for r in b.to_pylist()]
+        assert len(out) == len(want)
+        assert {(r["tr"], r["tc"]): {(x["row"], x["col"], x["v0"]) for x in r["cells"]} for r in out} == want
+    assert {(r["tr"], r["tc"]): {(x["row"], x["col"], x["v0"]) for x in r["cells"]} for r in halo.tiled(df, ["v"], 2, 16).collect()} == want
