@@ -96,7 +96,9 @@ def inverse_sinusoidal(x: Column, y: Column) -> tuple[Column, Column]:
 def corners(layer: DataFrame) -> DataFrame:
     """Of each place (row, col) with any cell among it, the next one to the right and the two below: their values z00 ... z11."""
 
-    def compute(t: halo.Tile) -> dict:
+    def compute(t: halo.Tile | halo.Listed) -> dict:
+        if isinstance(t, halo.Listed):
+            t = t.spread([(-1, -1), (-1, 0), (0, -1)])
         z = {f"z{a}{b}": t.view(t.bands["value"], a, b) for a in (0, 1) for b in (0, 1)}
         there = ~(z["z00"] != z["z00"]) | ~(z["z01"] != z["z01"]) | ~(z["z10"] != z["z10"]) | ~(z["z11"] != z["z11"])
         return halo.picked(t, there, z)

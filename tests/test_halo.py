@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pedolake.operators import cells, halo
+from pedolake.operators import cells, halo, projections
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +143,13 @@ def test_tiles_go_on_in_later_batches(spark, monkeypatch):
         assert len(out) == len(want)
         assert {(r["tr"], r["tc"]): {(x["row"], x["col"], x["v0"]) for x in r["cells"]} for r in out} == want
     assert {(r["tr"], r["tc"]): {(x["row"], x["col"], x["v0"]) for x in r["cells"]} for r in halo.tiled(df, ["v"], 2, 16).collect()} == want
+
+
+def test_corners_need_no_cell_at_their_place(grid):
+    """Each place with a value at it, to its right or below it has a row, in tiles of few cells as well."""
+    held, df = grid
+    rows = got(projections.corners(df.withColumnRenamed("v", "value")), "row", "col")
+    there = {k: v for k, v in held.items() if v is not None}
+    places = {(r - a, c - b) for r, c in there for a in (0, 1) for b in (0, 1)}
+    want = {(r, c): [there.get((r + a, c + b)) for a in (0, 1) for b in (0, 1)] for r, c in places}
+    assert {k: [r[f"z{a}{b}"] for a in (0, 1) for b in (0, 1)] for k, r in rows.items()} == want and len(want) > len(there)
