@@ -65,3 +65,25 @@ def test_shapley_exchanges_no_differences(spark):
     assert exchanged and not any("feature" in x for x in exchanged)
     got = sorted(((r["id"] or 0, r["feature"]) for r in phi.collect()))
     assert got == [(k, f) for k in (0, 1, 2) for f in ("b1", "b2")]
+
+
+def test_shapley_takes_blocks_by_their_rows_and_exchanges_no_draw(spark, monkeypatch):
+    """Small blocks, a background row that fills several of them, and another number of partitions: as a whole and as before."""
+    monkeypatch.setattr(scoring, "HELD", 1024)
+    i = F.col("id")
+    rows = spark.range(30_000).select("id", F.when(i < 24_000, i / 24_000).otherwise(3.0).alias("b1"), F.when(i < 24_000, F.pmod(i * 7919, F.lit(24_000)) / 24_000).otherwise(1.0).alias("b2"))
+    score = lambda c: c["b1"] * c["b2"] + c["b1"]
+    phi = scoring.shapley_monte_carlo(rows, rows, score, ["b1", "b2"], "id", 8, 5)
+    assert phi._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    base = rows.agg(F.avg(score({"b1": F.col("b1"), "b2": F.col("b2")}))).first()[0]
+    both = phi.groupBy("id").agg(F.sum("phi").alias("s")).join(rows, "id").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("s"), F.avg(score({"b1": F.col("b1"), "b2": F.col("b2")}) - base).alias("want")).first()
+    assert both["n"] == 30_000 and both["s"] == pytest.approx(both["want"], abs=0.04)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        again = scoring.shapley_monte_carlo(rows.repartition(5), rows.repartition(2), score, ["b1", "b2"], "id", 8, 5)
+        far = phi.join(again.withColumnsRenamed({"phi": "p2", "var": "v2"}), ["id", "feature"]).agg(F.count(F.lit(1)), F.max(F.abs(F.col("phi") - F.col("p2"))), F.max(F.abs(F.col("var") - F.col("v2")))).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert far[0] == 60_000 and far[1] < 1e-12 and far[2] < 1e-12
+    assert scoring.shapley_monte_carlo(rows, rows.limit(0), score, ["b1", "b2"], "id", 8, 5).count() == 0
